@@ -231,3 +231,226 @@ def q_top50_export(spark, sf_dir):
 @query("scatter_rules")
 def q_scatter_rules(spark, sf_dir):
     return R.scatter_rules(rules(spark, sf_dir, MAIN))
+
+
+# --------------------------------------------------------------- clustering --
+import uuid  # noqa: E402
+
+from tillroll.operators import kmeans as K  # noqa: E402
+from tillroll.operators import scaling as S  # noqa: E402
+from tillroll.operators import segments as G  # noqa: E402
+from tillroll.session import checkpoint_root, materialize  # noqa: E402
+from tillroll.sources.tables import row_counts, table  # noqa: E402
+
+K_FINAL = 4          # reference FINAL_K
+KM_MAX_ITER = 20     # integer Lloyd iterations of the deterministic engine
+MONEY = {"Monetary": "decimal(28,2)"}
+CUSTOMER_COLS = ["CustomerID", "Frequency", "Monetary", "Recency", "Cluster", "Segment"]
+PRODUCT_COLS = ["Description", *FE.PRODUCT_FEATURES, "Cluster", "Segment"]
+
+
+def customers_segmented(spark, sf_dir):
+    r = materialize(rfm(spark, sf_dir))
+    seg, model = K.segment(r, "CustomerID", FE.RFM_FEATURES, "customer", K_FINAL, KM_MAX_ITER, money=MONEY)
+    return seg.select(*CUSTOMER_COLS), model
+
+
+def products_segmented(spark, sf_dir):
+    p = materialize(product_features(spark, sf_dir))
+    seg, model = K.segment(p, "Description", FE.PRODUCT_FEATURES, "product", K_FINAL, KM_MAX_ITER)
+    return seg.select(*PRODUCT_COLS), model
+
+
+def _scaled(df, id_col, features):
+    out = S.standard_scale(df, features)
+    return out.select(id_col, *[f"z_{f}" for f in features], *[f"z_{f}_milli" for f in features])
+
+
+@query("scaled_rfm")
+def q_scaled_rfm(spark, sf_dir):
+    return _scaled(rfm(spark, sf_dir), "CustomerID", FE.RFM_FEATURES)
+
+
+@query("scaled_products")
+def q_scaled_products(spark, sf_dir):
+    return _scaled(product_features(spark, sf_dir), "Description", FE.PRODUCT_FEATURES)
+
+
+@query("kmeans_fixed_customers")
+def q_kmeans_fixed_customers(spark, sf_dir):
+    return customers_segmented(spark, sf_dir)[0]
+
+
+@query("kmeans_fixed_products")
+def q_kmeans_fixed_products(spark, sf_dir):
+    return products_segmented(spark, sf_dir)[0]
+
+
+def _means_long(seg, kind, features, exact=None):
+    m = K.cluster_means(seg, features, exact=exact)
+    m = m.join(seg.select("Cluster", "Segment").distinct(), "Cluster")
+    body = ", ".join(f"'{f}', mean_{f}" for f in features)
+    return m.selectExpr(f"'{kind}' AS kind", "Cluster", "Segment", "n",
+                        f"stack({len(features)}, {body}) AS (feature, mean)") \
+            .withColumn("mean", R.round_half_up("mean", 2))
+
+
+@query("cluster_means")
+def q_cluster_means(spark, sf_dir):
+    c, _ = customers_segmented(spark, sf_dir)
+    p, _ = products_segmented(spark, sf_dir)
+    return _means_long(c, "customer", FE.RFM_FEATURES, MONEY).unionByName(
+        _means_long(p, "product", FE.PRODUCT_FEATURES))
+
+
+def _saved_and_loaded(spark, model, name):
+    path = f"{checkpoint_root(spark)}/models/{name}-{uuid.uuid4().hex}"
+    model.save(spark, path)
+    return K.FixedKMeansModel.load(spark, path)
+
+
+@query("score_customers")
+def q_score_customers(spark, sf_dir):
+    """M11 over every customer's RFM row, with the model saved and reloaded."""
+    _, model = customers_segmented(spark, sf_dir)
+    model = _saved_and_loaded(spark, model, "rfm-kmeans")
+    r = rfm(spark, sf_dir).select("CustomerID", "Recency", "Frequency", "Monetary")
+    scored = G.score(spark, model.assign(r), "customer", model.labels)
+    return scored.select("CustomerID", F.col("Recency").alias("recency"), F.col("Frequency").alias("frequency"),
+                         F.col("Monetary").alias("monetary"), "cluster_id", "segment",
+                         F.col("action").alias("marketing_action"),
+                         "segment_description")
+
+
+@query("score_products")
+def q_score_products(spark, sf_dir):
+    """M12 over every product's feature row, model saved and reloaded."""
+    _, model = products_segmented(spark, sf_dir)
+    model = _saved_and_loaded(spark, model, "product-kmeans")
+    p = product_features(spark, sf_dir)
+    scored = G.score(spark, model.assign(p), "product", model.labels)
+    return scored.select("Description", *FE.PRODUCT_FEATURES, "cluster_id", "segment",
+                         F.col("action").alias("seller_action"), "segment_description")
+
+
+@query("customer_lookup")
+def q_customer_lookup(spark, sf_dir):
+    c, _ = customers_segmented(spark, sf_dir)
+    ids = table(spark, sf_dir, "customer", "c_custkey").select(F.col("c_custkey").alias("customer_id"))
+    return G.customer_lookup(spark, c, ids)
+
+
+@query("customer_summary")
+def q_customer_summary(spark, sf_dir):
+    return G.segment_summary(spark, customers_segmented(spark, sf_dir)[0], "customer")
+
+
+@query("product_summary")
+def q_product_summary(spark, sf_dir):
+    return G.segment_summary(spark, products_segmented(spark, sf_dir)[0], "product")
+
+
+@query("products_by_segment")
+def q_products_by_segment(spark, sf_dir):
+    return G.products_by_segment(spark, products_segmented(spark, sf_dir)[0], 20)
+
+
+@query("overview_kpis")
+def q_overview_kpis(spark, sf_dir):
+    c, _ = customers_segmented(spark, sf_dir)
+    p, _ = products_segmented(spark, sf_dir)
+    return G.overview_kpis(c, p, rules(spark, sf_dir, MAIN))
+
+
+@query("overview_top_rules")
+def q_overview_top_rules(spark, sf_dir):
+    return G.overview_top_rules(rules(spark, sf_dir, MAIN), 5)
+
+
+@query("top_customers")
+def q_top_customers(spark, sf_dir):
+    return G.top_customers(customers_segmented(spark, sf_dir)[0], 10)
+
+
+@query("top_products")
+def q_top_products(spark, sf_dir):
+    return G.top_products(products_segmented(spark, sf_dir)[0], 10)
+
+
+@query("segment_distribution")
+def q_segment_distribution(spark, sf_dir):
+    c, _ = customers_segmented(spark, sf_dir)
+    p, _ = products_segmented(spark, sf_dir)
+    return G.segment_distribution(spark, c, "customer").unionByName(G.segment_distribution(spark, p, "product"))
+
+
+@query("segment_profile_customers")
+def q_segment_profile_customers(spark, sf_dir):
+    return G.segment_profile(customers_segmented(spark, sf_dir)[0], FE.RFM_FEATURES, invert=("Recency",),
+                             exact=MONEY)
+
+
+@query("segment_profile_products")
+def q_segment_profile_products(spark, sf_dir):
+    return G.segment_profile(products_segmented(spark, sf_dir)[0], FE.PRODUCT_FEATURES)
+
+
+@query("segment_boxplot")
+def q_segment_boxplot(spark, sf_dir):
+    c, _ = customers_segmented(spark, sf_dir)
+    p, _ = products_segmented(spark, sf_dir)
+    return (G.segment_boxplot(c, FE.RFM_FEATURES).withColumn("kind", F.lit("customer"))
+            .unionByName(G.segment_boxplot(p, FE.PRODUCT_FEATURES).withColumn("kind", F.lit("product"))))
+
+
+@query("scatter_customers")
+def q_scatter_customers(spark, sf_dir):
+    return customers_segmented(spark, sf_dir)[0].select("CustomerID", "Recency", "Frequency", "Monetary", "Segment")
+
+
+@query("scatter_products")
+def q_scatter_products(spark, sf_dir):
+    return products_segmented(spark, sf_dir)[0].select(
+        "Description", "avg_price", (F.col("total_revenue") / 1000).alias("revenue_k"), "Segment")
+
+
+@query("top_products_per_segment")
+def q_top_products_per_segment(spark, sf_dir):
+    return G.top_products_per_segment(products_segmented(spark, sf_dir)[0], 10)
+
+
+@query("campaign_targets")
+def q_campaign_targets(spark, sf_dir):
+    return G.campaign_targets(spark, customers_segmented(spark, sf_dir)[0])
+
+
+@query("dataset_health")
+def q_dataset_health(spark, sf_dir):
+    c, _ = customers_segmented(spark, sf_dir)
+    p, _ = products_segmented(spark, sf_dir)
+    return row_counts({"customers": c, "products": p, "rules": rules(spark, sf_dir, MAIN)})
+
+
+# Trained (pyspark.ml) models: iterative and seed-driven, so rows-only checks.
+@query("kmeans_trained_customers")
+def q_kmeans_trained_customers(spark, sf_dir):
+    r = materialize(rfm(spark, sf_dir))
+    model, _ = K.train_kmeans(r, FE.RFM_FEATURES, k=K_FINAL)
+    return model.transform(r).select("CustomerID", *FE.RFM_FEATURES, "Cluster")
+
+
+@query("kmeans_trained_products")
+def q_kmeans_trained_products(spark, sf_dir):
+    p = materialize(product_features(spark, sf_dir))
+    model, _ = K.train_kmeans(p, FE.PRODUCT_FEATURES, k=K_FINAL)
+    return model.transform(p).select("Description", *FE.PRODUCT_FEATURES, "Cluster")
+
+
+@query("k_sweep_customers")
+def q_k_sweep_customers(spark, sf_dir):
+    return K.k_sweep(materialize(rfm(spark, sf_dir)), FE.RFM_FEATURES)
+
+
+@query("k_sweep_products")
+def q_k_sweep_products(spark, sf_dir):
+    return K.k_sweep(materialize(product_features(spark, sf_dir)), FE.PRODUCT_FEATURES)

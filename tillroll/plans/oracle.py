@@ -296,3 +296,280 @@ oracle("top50_export", with_(*M) + f"""
 SELECT antecedents_str AS "If customer buys", consequents_str AS "Recommend", support AS "Support",
        confidence AS "Confidence", lift AS "Lift" FROM rules_m ORDER BY {ORDER} LIMIT 50""")
 oracle("scatter_rules", with_(*M) + f"SELECT {RULE_SEL} FROM rules_m")
+
+
+# --------------------------------------------------------------- clustering --
+RFM_F = ["Recency", "Frequency", "Monetary"]
+PROD_F = ["avg_price", "total_quantity", "num_transactions", "num_customers", "total_revenue"]
+KM_ITERS = 20
+
+
+def scaled_ctes(src: str, id_col: str, feats: list[str], t: str) -> list[tuple[str, str]]:
+    g = "1000000.0"
+    mom = ", ".join(
+        f"floor(avg(CAST({f} AS DOUBLE)) * {g} + 0.5) / {g} AS m_{f}, "
+        f"floor(stddev_pop(CAST({f} AS DOUBLE)) * {g} + 0.5) / {g} AS s_{f}" for f in feats)
+    zs = ", ".join(
+        f"CASE WHEN s_{f} IS NULL OR s_{f} = 0 THEN 0.0 ELSE (CAST({f} AS DOUBLE) - m_{f}) / s_{f} END AS z_{f}"
+        for f in feats)
+    milli = ", ".join(f"CAST(floor(z_{f} * 1000) AS BIGINT) AS z_{f}_milli" for f in feats)
+    return [(f"mom_{t}", f"SELECT {mom} FROM {src}"),
+            (f"zf_{t}", f"SELECT {id_col} AS id, {zs} FROM {src}, mom_{t}"),
+            (f"z_{t}", f"SELECT *, {milli} FROM zf_{t}")]
+
+
+def kmeans_ctes(t: str, feats: list[str], k: int = 4, iters: int = KM_ITERS) -> list[tuple[str, str]]:
+    zc = [f"z_{f}_milli" for f in feats]
+    cols = ", ".join(zc)
+    ctes = [(f"c0_{t}", f"""
+  SELECT CAST(row_number() OVER (ORDER BY first_id) - 1 AS BIGINT) AS cid, {cols}
+  FROM (SELECT {cols}, min(id) AS first_id FROM z_{t} GROUP BY {cols} ORDER BY first_id LIMIT {k})""")]
+    dist = " + ".join(f"(z.{c} - c.{c}) * (z.{c} - c.{c})" for c in zc)
+
+    def assign(i: int) -> tuple[str, str]:
+        return (f"a{i}_{t}", f"SELECT z.id, min(({dist}) * 16 + c.cid) % 16 AS cid "
+                             f"FROM z_{t} z CROSS JOIN c{i}_{t} c GROUP BY z.id")
+    for i in range(iters):
+        ctes.append(assign(i))
+        sums = ", ".join(f"sum(z.{c}) AS s_{c}" for c in zc)
+        ctes.append((f"s{i}_{t}", f"SELECT a.cid, count(*) AS n, {sums} FROM a{i}_{t} a JOIN z_{t} z ON a.id = z.id "
+                                  f"GROUP BY a.cid"))
+        upd = ", ".join(
+            f"CASE WHEN s.n IS NULL THEN c.{c} ELSE CAST((s.s_{c} - ((s.s_{c} % s.n) + s.n) % s.n) // s.n AS BIGINT) "
+            f"END AS {c}" for c in zc)
+        ctes.append((f"c{i + 1}_{t}", f"SELECT c.cid, {upd} FROM c{i}_{t} c LEFT JOIN s{i}_{t} s ON s.cid = c.cid"))
+    ctes.append(assign(iters))
+    ctes.append((f"assigned_{t}", f"a{iters}_{t}"))
+    ctes[-1] = (f"assigned_{t}", f"SELECT id, CAST(cid AS INTEGER) AS Cluster FROM a{iters}_{t}")
+    return ctes
+
+
+def customers_seg_ctes() -> list[tuple[str, str]]:
+    ctes = rfm_ctes() + scaled_ctes("rfm", "CustomerID", RFM_F, "c") + kmeans_ctes("c", RFM_F)
+    ctes += [
+        ("cj", "SELECT r.*, a.Cluster FROM rfm r JOIN assigned_c a ON a.id = r.CustomerID"),
+        ("cm", """
+  SELECT Cluster, CAST(sum(Recency) AS DOUBLE) / count(*) AS mr, CAST(sum(Frequency) AS DOUBLE) / count(*) AS mf,
+         CAST(sum(CAST(Monetary AS DECIMAL(28,2))) AS DOUBLE) / count(*) AS mm FROM cj GROUP BY Cluster"""),
+        ("c_lost", "SELECT Cluster FROM cm ORDER BY mr DESC, Cluster LIMIT 1"),
+        ("c_rk", """
+  SELECT Cluster, rank() OVER (ORDER BY mr) + rank() OVER (ORDER BY mf DESC) + rank() OVER (ORDER BY mm DESC) AS rs
+  FROM cm WHERE Cluster <> (SELECT Cluster FROM c_lost)"""),
+        ("c_lab", """
+  SELECT Cluster, CASE WHEN (SELECT count(*) FROM cm) <> 4 THEN 'Cluster ' || Cluster ELSE 'Lost' END AS Segment
+  FROM c_lost
+  UNION ALL
+  SELECT Cluster, CASE WHEN (SELECT count(*) FROM cm) <> 4 THEN 'Cluster ' || Cluster
+                       ELSE CASE row_number() OVER (ORDER BY rs, Cluster) WHEN 1 THEN 'Champions'
+                                 WHEN 2 THEN 'Loyal' ELSE 'At-Risk' END END
+  FROM c_rk"""),
+        ("cust_seg", """
+  SELECT cj.CustomerID, cj.Frequency, cj.Monetary, cj.Recency, cj.Cluster, l.Segment
+  FROM cj JOIN c_lab l ON l.Cluster = cj.Cluster"""),
+    ]
+    return ctes
+
+
+def products_seg_ctes() -> list[tuple[str, str]]:
+    ctes = product_features_ctes() + scaled_ctes("product_features", "Description", PROD_F, "p") + \
+        kmeans_ctes("p", PROD_F)
+    means = ", ".join(f"CAST(sum({f}) AS DOUBLE) / count(*) AS m_{f}" for f in PROD_F)
+    ctes += [
+        ("pj", "SELECT f.*, a.Cluster FROM product_features f JOIN assigned_p a ON a.id = f.Description"),
+        ("pm", f"SELECT Cluster, {means} FROM pj GROUP BY Cluster"),
+        ("p_prem", "SELECT Cluster FROM pm ORDER BY m_avg_price DESC, Cluster LIMIT 1"),
+        ("p_trend", """
+  SELECT Cluster FROM pm WHERE Cluster NOT IN (SELECT Cluster FROM p_prem)
+  ORDER BY m_total_quantity DESC, m_num_transactions DESC, Cluster LIMIT 1"""),
+        ("p_niche", """
+  SELECT Cluster FROM pm WHERE Cluster NOT IN (SELECT Cluster FROM p_prem) AND Cluster NOT IN (SELECT Cluster FROM p_trend)
+  ORDER BY m_num_transactions, m_num_customers, Cluster LIMIT 1"""),
+        ("p_lab", """
+  SELECT Cluster, CASE WHEN (SELECT count(*) FROM pm) <> 4 THEN 'Cluster ' || Cluster
+                       WHEN Cluster IN (SELECT Cluster FROM p_prem) THEN 'Premium'
+                       WHEN Cluster IN (SELECT Cluster FROM p_trend) THEN 'Trending'
+                       WHEN Cluster IN (SELECT Cluster FROM p_niche) THEN 'Niche' ELSE 'Budget' END AS Segment
+  FROM pm"""),
+        ("prod_seg", f"""
+  SELECT pj.Description, {', '.join('pj.' + f for f in PROD_F)}, pj.Cluster, l.Segment
+  FROM pj JOIN p_lab l ON l.Cluster = pj.Cluster"""),
+    ]
+    return ctes
+
+
+CS, PS = customers_seg_ctes(), products_seg_ctes()
+
+
+def _dim_values(rows: list[tuple], cols: str) -> str:
+    def lit(v):
+        if isinstance(v, str):
+            return "'" + v.replace("'", "''") + "'"
+        return repr(v)
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {body}) AS t({cols})"
+
+
+def _seg_dim(kind: str) -> tuple[str, str]:
+    from tillroll.functions import dims
+    names = dims.CUSTOMER_SEGMENTS if kind == "customer" else dims.PRODUCT_SEGMENTS
+    acts = dims.CUSTOMER_ACTIONS if kind == "customer" else dims.PRODUCT_ACTIONS
+    descs = dims.CUSTOMER_DESCRIPTIONS if kind == "customer" else dims.PRODUCT_DESCRIPTIONS
+    rows = [(s, i, acts[s], descs[s]) for i, s in enumerate(names)]
+    return f"dim_{kind}", _dim_values(rows, "Segment, seg_order, action, description")
+
+
+oracle("scaled_rfm", with_(*rfm_ctes(), *scaled_ctes("rfm", "CustomerID", RFM_F, "c")) +
+       "SELECT id AS CustomerID, " + ", ".join(f"z_{f}" for f in RFM_F) + ", " +
+       ", ".join(f"z_{f}_milli" for f in RFM_F) + " FROM z_c")
+oracle("scaled_products", with_(*product_features_ctes(), *scaled_ctes("product_features", "Description", PROD_F, "p")) +
+       "SELECT id AS Description, " + ", ".join(f"z_{f}" for f in PROD_F) + ", " +
+       ", ".join(f"z_{f}_milli" for f in PROD_F) + " FROM z_p")
+oracle("kmeans_fixed_customers", with_(*CS) + "SELECT * FROM cust_seg")
+oracle("kmeans_fixed_products", with_(*PS) + "SELECT * FROM prod_seg")
+
+
+def _means_long_sql(src: str, kind: str, feats: list[str], exact: set[str]) -> str:
+    parts = []
+    for f in feats:
+        x = f"CAST({f} AS DECIMAL(28,2))" if f in exact else f
+        parts.append(f"SELECT '{kind}' AS kind, Cluster, Segment, count(*) AS n, '{f}' AS feature, "
+                     f"{hu(f'CAST(sum({x}) AS DOUBLE) / count({x})', 2)} AS mean FROM {src} GROUP BY Cluster, Segment")
+    return "\nUNION ALL ".join(parts)
+
+
+oracle("cluster_means", with_(*CS, *PS) + _means_long_sql("cust_seg", "customer", RFM_F, {"Monetary"}) +
+       "\nUNION ALL " + _means_long_sql("prod_seg", "product", PROD_F, set()))
+
+oracle("score_customers", with_(*CS, _seg_dim("customer")) + """
+SELECT s.CustomerID, s.Recency AS recency, s.Frequency AS frequency, s.Monetary AS monetary,
+       s.Cluster AS cluster_id, s.Segment AS segment, coalesce(d.action, '') AS marketing_action,
+       coalesce(d.description, '') AS segment_description
+FROM cust_seg s LEFT JOIN dim_customer d ON d.Segment = s.Segment""")
+oracle("score_products", with_(*PS, _seg_dim("product")) + f"""
+SELECT s.Description, {', '.join('s.' + f for f in PROD_F)}, s.Cluster AS cluster_id, s.Segment AS segment,
+       coalesce(d.action, '') AS seller_action, coalesce(d.description, '') AS segment_description
+FROM prod_seg s LEFT JOIN dim_product d ON d.Segment = s.Segment""")
+oracle("customer_lookup", with_(*CS, _seg_dim("customer")) + f"""
+SELECT s.CustomerID AS customer_id, coalesce(s.Segment, 'Unknown') AS segment,
+       {hu('CAST(s.Recency AS DOUBLE)', 2)} AS recency, CAST(s.Frequency AS BIGINT) AS frequency,
+       {hu('s.Monetary', 2)} AS monetary, coalesce(d.action, '') AS marketing_action
+FROM cust_seg s JOIN (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS cid FROM customer) i ON i.cid = s.CustomerID
+LEFT JOIN dim_customer d ON d.Segment = s.Segment""")
+
+
+def _summary_sql(src: str, kind: str) -> str:
+    return f"""
+SELECT c.Segment, c.count, {hu('c.count / (SELECT count(*) FROM ' + src + ') * 100', 1)} AS percentage,
+       coalesce(d.action, '') AS action, (SELECT count(*) FROM {src}) AS total
+FROM (SELECT Segment, count(*) AS count FROM {src} WHERE Segment IS NOT NULL GROUP BY Segment) c
+LEFT JOIN dim_{kind} d ON d.Segment = c.Segment"""
+
+
+oracle("customer_summary", with_(*CS, _seg_dim("customer")) + _summary_sql("cust_seg", "customer"))
+oracle("product_summary", with_(*PS, _seg_dim("product")) + _summary_sql("prod_seg", "product"))
+oracle("products_by_segment", with_(*PS, _seg_dim("product")) + f"""
+SELECT f.Segment, f.position, f.Description, {', '.join('f.' + x for x in PROD_F)}, sh.count, sz.segment_size,
+       d.action
+FROM (SELECT *, row_number() OVER (PARTITION BY Segment ORDER BY Description) AS position FROM prod_seg
+      WHERE Segment IN ('Premium', 'Trending', 'Budget', 'Niche')) f
+JOIN (SELECT Segment, count(*) AS segment_size FROM prod_seg GROUP BY Segment) sz ON sz.Segment = f.Segment
+JOIN (SELECT Segment, least(count(*), 20) AS count FROM prod_seg
+      WHERE Segment IN ('Premium', 'Trending', 'Budget', 'Niche') GROUP BY Segment) sh ON sh.Segment = f.Segment
+LEFT JOIN dim_product d ON d.Segment = f.Segment
+WHERE f.position <= 20""")
+oracle("overview_kpis", with_(*CS, *PS, *M) + f"""
+SELECT count(*) AS total_customers,
+       {hu('CAST(sum(CAST(Monetary AS DECIMAL(28,2))) AS DOUBLE)', 2)} AS total_revenue_gbp,
+       {hu('CAST(sum(CAST(Monetary AS DECIMAL(28,2))) AS DOUBLE) / count(*)', 2)} AS avg_order_value,
+       {hu('CAST(sum(CAST(Monetary AS DECIMAL(28,2))) AS DOUBLE) / sum(Frequency)', 2)} AS avg_invoice_value,
+       (SELECT count(*) FROM prod_seg) AS total_products, (SELECT count(*) FROM rules_m) AS total_rules
+FROM cust_seg""")
+oracle("overview_top_rules", with_(*M) +
+       f"SELECT antecedents_str, consequents_str, lift, confidence FROM rules_m ORDER BY {ORDER} LIMIT 5")
+oracle("top_customers", with_(*CS) + """
+SELECT CustomerID, Recency, Frequency, Monetary, Segment FROM cust_seg WHERE Segment = 'Champions'
+ORDER BY Monetary DESC, CustomerID LIMIT 10""")
+oracle("top_products", with_(*PS) + """
+SELECT Description, avg_price, total_quantity, total_revenue, Segment FROM prod_seg
+ORDER BY total_revenue DESC, Description LIMIT 10""")
+
+
+def _dist_sql(src: str, kind: str) -> str:
+    n = f"coalesce(c.n, 0)"
+    return f"""
+SELECT '{kind}' AS kind, d.Segment, d.seg_order, CAST({n} AS BIGINT) AS count,
+       {hu(n + ' / (SELECT count(*) FROM ' + src + ') * 100', 1)} AS percentage
+FROM dim_{kind} d LEFT JOIN (SELECT Segment, count(*) AS n FROM {src} GROUP BY Segment) c ON c.Segment = d.Segment"""
+
+
+oracle("segment_distribution", with_(*CS, *PS, _seg_dim("customer"), _seg_dim("product")) +
+       _dist_sql("cust_seg", "customer") + "\nUNION ALL" + _dist_sql("prod_seg", "product"))
+
+
+def _profile_sql(src: str, feats: list[str], invert: set[str], exact: set[str]) -> str:
+    means = ", ".join(
+        f"floor(CAST(sum({'CAST(' + f + ' AS DECIMAL(28,2))' if f in exact else f}) AS DOUBLE) / count({f})"
+        f" * 1000000.0 + 0.5) / 1000000.0 AS m_{f}"
+        for f in feats)
+    cols = []
+    for f in feats:
+        norm = f"(m_{f} - min(m_{f}) OVER ()) / CASE WHEN max(m_{f}) OVER () - min(m_{f}) OVER () <> 0 " \
+               f"THEN max(m_{f}) OVER () - min(m_{f}) OVER () END"
+        if f in invert:
+            norm = f"1.0 - {norm}"
+        cols += [f"{hu('m_' + f, 2)} AS mean_{f}", f"{norm} AS norm_{f}"]
+    return f"SELECT Segment, {', '.join(cols)} FROM (SELECT Segment, {means} FROM {src} " \
+           f"WHERE Segment IS NOT NULL GROUP BY Segment)"
+
+
+oracle("segment_profile_customers", with_(*CS) + _profile_sql("cust_seg", RFM_F, {"Recency"}, {"Monetary"}))
+oracle("segment_profile_products", with_(*PS) + _profile_sql("prod_seg", PROD_F, set(), set()))
+
+
+def _box_sql(src: str, kind: str, feats: list[str]) -> str:
+    long = " UNION ALL ".join(f"SELECT Segment, '{f}' AS feature, CAST({f} AS DOUBLE) AS v FROM {src} "
+                              f"WHERE Segment IS NOT NULL" for f in feats)
+    return f"""
+SELECT l.Segment, l.feature, q.q1, q.median, q.q3, q.iqr,
+       min(CASE WHEN l.v >= q.q1 - 1.5 * q.iqr AND l.v <= q.q3 + 1.5 * q.iqr THEN l.v END) AS whisker_low,
+       max(CASE WHEN l.v >= q.q1 - 1.5 * q.iqr AND l.v <= q.q3 + 1.5 * q.iqr THEN l.v END) AS whisker_high,
+       count(*) FILTER (WHERE NOT (l.v >= q.q1 - 1.5 * q.iqr AND l.v <= q.q3 + 1.5 * q.iqr)) AS n_outliers,
+       count(*) AS n, '{kind}' AS kind
+FROM ({long}) l JOIN (
+  SELECT Segment, feature, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median,
+         quantile_cont(v, 0.75) AS q3, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr
+  FROM ({long}) GROUP BY Segment, feature) q ON q.Segment = l.Segment AND q.feature = l.feature
+GROUP BY l.Segment, l.feature, q.q1, q.median, q.q3, q.iqr"""
+
+
+oracle("segment_boxplot", with_(*CS, *PS) + _box_sql("cust_seg", "customer", RFM_F) + "\nUNION ALL" +
+       _box_sql("prod_seg", "product", PROD_F))
+oracle("scatter_customers", with_(*CS) + "SELECT CustomerID, Recency, Frequency, Monetary, Segment FROM cust_seg")
+oracle("scatter_products", with_(*PS) +
+       "SELECT Description, avg_price, total_revenue / 1000 AS revenue_k, Segment FROM prod_seg")
+oracle("top_products_per_segment", with_(*PS) + """
+SELECT Segment, rank, Description, substring(Description, 1, 40) AS label, total_revenue,
+       total_revenue / 1000 AS revenue_k
+FROM (SELECT *, row_number() OVER (PARTITION BY Segment ORDER BY total_revenue DESC, Description) AS rank
+      FROM prod_seg WHERE Segment IS NOT NULL) WHERE rank <= 10""")
+
+
+def _campaign_sql() -> str:
+    from tillroll.functions import dims
+    rows = []
+    for seg, (strategy, _desc, channels) in dims.CAMPAIGNS.items():
+        for ch in channels:
+            rows.append((seg, strategy, ch))
+    return _dim_values(rows, "Segment, strategy, channel")
+
+
+oracle("campaign_targets", with_(*CS, ("camp", _campaign_sql())) + f"""
+SELECT k.Segment, k.strategy, k.channel, CAST(coalesce(c.count, 0) AS BIGINT) AS target_count,
+       coalesce({hu('c.count / (SELECT count(*) FROM cust_seg) * 100', 1)}, 0.0) AS percentage,
+       (SELECT count(*) FROM cust_seg) AS addressable_audience
+FROM camp k LEFT JOIN (SELECT Segment, count(*) AS count FROM cust_seg WHERE Segment IS NOT NULL GROUP BY Segment) c
+  ON c.Segment = k.Segment""")
+oracle("dataset_health", with_(*CS, *PS, *M) + """
+SELECT 'customers' AS "table", count(*) AS "rows" FROM cust_seg
+UNION ALL SELECT 'products', count(*) FROM prod_seg
+UNION ALL SELECT 'rules', count(*) FROM rules_m""")
