@@ -454,3 +454,72 @@ def q_k_sweep_customers(spark, sf_dir):
 @query("k_sweep_products")
 def q_k_sweep_products(spark, sf_dir):
     return K.k_sweep(materialize(product_features(spark, sf_dir)), FE.PRODUCT_FEATURES)
+
+
+# -------------------------------------------------------------------- users --
+from tillroll.operators import users as U  # noqa: E402
+from tillroll.sources import users as US  # noqa: E402
+
+USER_QUERY, USER_ROLE = "0001", "customer"
+
+
+@query("users_report")
+def q_users_report(spark, sf_dir):
+    return U.user_listing(US.users(spark, sf_dir))
+
+
+@query("user_search")
+def q_user_search(spark, sf_dir):
+    return U.user_search(US.users(spark, sf_dir), USER_QUERY, USER_ROLE)
+
+
+@query("user_roles")
+def q_user_roles(spark, sf_dir):
+    return U.user_roles(spark, US.users(spark, sf_dir))
+
+
+@query("new_accounts")
+def q_new_accounts(spark, sf_dir):
+    return U.check_new_accounts(US.signups(spark, sf_dir), US.users(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- streaming --
+from tillroll.functions import dims as D  # noqa: E402
+from tillroll.sources.tables import write_table  # noqa: E402
+from tillroll.streaming import kpis as ST  # noqa: E402
+
+
+def _events(spark, sf_dir):
+    """The supplied folder holds every table; the glob picks the event files."""
+    return ST.order_stream(spark, sf_dir.rstrip("/"), glob="events*.parquet")
+
+
+@query("stream_kpis")
+def q_stream_kpis(spark, sf_dir):
+    orders = _events(spark, sf_dir)
+    return ST.run_to_table(ST.live_kpis(orders, "1 day", "1 hour"), "kpis")
+
+
+@query("stream_order_feed")
+def q_stream_order_feed(spark, sf_dir):
+    c, _ = customers_segmented(spark, sf_dir)
+    c = materialize(c)
+    orders = _events(spark, sf_dir)
+    return ST.run_to_table(ST.enrich_orders(orders, c, D.segment_dim(spark, "customer")), "order_feed")
+
+
+@query("stream_scoring")
+def q_stream_scoring(spark, sf_dir):
+    """RFM rows arrive as files; each micro-batch is scored against the
+    saved model."""
+    _, model = customers_segmented(spark, sf_dir)
+    model = _saved_and_loaded(spark, model, "rfm-kmeans")
+    root = f"{checkpoint_root(spark)}/streams/rfm-in-{uuid.uuid4().hex}"
+    r = rfm(spark, sf_dir).select("CustomerID", "Recency", "Frequency", "Monetary")
+    write_table(r, root)
+    rows = spark.readStream.schema(r.schema).parquet(root)
+    scored = ST.score_stream(rows, model, spark, "customer").select(
+        "CustomerID", F.col("Recency").alias("recency"), F.col("Frequency").alias("frequency"),
+        F.col("Monetary").alias("monetary"), "cluster_id", "segment",
+        F.col("action").alias("marketing_action"), "segment_description")
+    return ST.run_to_table(scored, "scoring")

@@ -573,3 +573,56 @@ oracle("dataset_health", with_(*CS, *PS, *M) + """
 SELECT 'customers' AS "table", count(*) AS "rows" FROM cust_seg
 UNION ALL SELECT 'products', count(*) FROM prod_seg
 UNION ALL SELECT 'rules', count(*) FROM rules_m""")
+
+
+# -------------------------------------------------------------------- users --
+def users_cte() -> tuple[str, str]:
+    from tillroll.sources.users import SEGMENT_ROLE
+    case = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SEGMENT_ROLE.items())
+    return "users", f"""
+  SELECT c_custkey AS id, c_name AS name, lower(replace(c_name, '#', '.')) || '@example.com' AS email,
+         CASE c_mktsegment {case} ELSE 'customer' END AS role, c_acctbal >= 0 AS is_active, f.created_at
+  FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS created_at FROM orders GROUP BY o_custkey) f
+    ON f.o_custkey = c_custkey"""
+
+
+LISTING = """SELECT id, name, email, role, is_active, CASE WHEN is_active THEN 'Active' ELSE 'Inactive' END AS status,
+       strftime(created_at, '%Y-%m-%d') AS joined FROM users"""
+oracle("users_report", with_(users_cte()) + LISTING)
+oracle("user_search", with_(users_cte()) + LISTING +
+       " WHERE (contains(lower(name), '0001') OR contains(lower(email), '0001')) AND role = 'customer'")
+oracle("user_roles", with_(users_cte()) + """
+SELECT coalesce(d.role, c.role) AS role, CAST(coalesce(c.n, 0) AS BIGINT) AS users,
+       (SELECT count(*) FROM users) AS total_users
+FROM (VALUES ('customer'), ('seller'), ('marketer'), ('admin')) d(role)
+FULL JOIN (SELECT role, count(*) AS n FROM users GROUP BY role) c ON c.role = d.role""")
+oracle("new_accounts", with_(users_cte(), ("req", """
+  SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS request_id, s_name AS name,
+         lower(replace(s_name, '#', '.')) || '@example.com' AS email,
+         CASE WHEN s_nationkey = 0 THEN 'vendor' ELSE 'seller' END AS role FROM supplier
+  UNION ALL
+  SELECT 'C' || CAST(c_custkey AS VARCHAR), c_name, lower(replace(c_name, '#', '.')) || '@example.com', 'customer'
+  FROM customer WHERE c_acctbal < 0""")) + """
+SELECT r.request_id, r.name, r.email, r.role,
+       CASE WHEN coalesce(length(trim(r.name)), 0) = 0 OR coalesce(length(trim(r.email)), 0) = 0 THEN 'missing_fields'
+            WHEN r.role NOT IN ('customer', 'seller', 'marketer', 'admin') THEN 'invalid_role'
+            WHEN lower(r.email) IN (SELECT lower(email) FROM users)
+              OR r.request_id <> (SELECT min(q.request_id) FROM req q WHERE lower(q.email) = lower(r.email))
+              THEN 'duplicate_email'
+            ELSE 'accepted' END AS status
+FROM req r""")
+
+# ---------------------------------------------------------------- streaming --
+oracle("stream_kpis", """
+WITH p AS (SELECT CAST(value AS DECIMAL(18,2)) AS amt, ts FROM events WHERE event_type = 'purchase'),
+w AS (SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
+             count(*) AS orders, sum(amt) AS amt FROM p GROUP BY 1, 2)
+SELECT window_start, window_end, orders, CAST(amt AS DOUBLE) AS amount, CAST(amt AS DOUBLE) / orders AS avg_amount
+FROM w WHERE window_end <= (SELECT max(ts) FROM p) - INTERVAL 1 HOUR""")
+oracle("stream_order_feed", with_(*CS, _seg_dim("customer")) + """
+SELECT e.event_id AS order_id, CAST(e.user_id AS VARCHAR) AS customer_id, e.ts, e.value AS amount,
+       coalesce(s.Segment, 'Unknown') AS customer_segment, coalesce(d.action, '') AS marketing_action
+FROM events e LEFT JOIN cust_seg s ON s.CustomerID = CAST(e.user_id AS VARCHAR)
+LEFT JOIN dim_customer d ON d.Segment = s.Segment
+WHERE e.event_type = 'purchase'""")
+oracle("stream_scoring", ORACLE["score_customers"])
