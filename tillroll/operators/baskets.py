@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.session import materialize
+
 
 @dataclass(frozen=True)
 class BasketSpec:
@@ -71,3 +73,14 @@ def basket_arrays(clean_basket: DataFrame, spec: BasketSpec) -> DataFrame:
                    .select(F.col(spec.basket_col).alias("basket")).distinct())
     return (all_baskets.join(items, "basket", "left")
             .select("basket", F.coalesce("items", F.array().cast("array<string>")).alias("items")))
+
+
+def prepare(clean_basket: DataFrame, spec: BasketSpec) -> tuple[DataFrame, int]:
+    """Pairs restricted to the kept items, and the support denominator, from
+    one pass over the cleaned lines: the distinct pairs are checkpointed and
+    both the basket count and the item statistics read them.  (Cleaned lines
+    have positive quantities, so every cleaned basket has at least one pair.)"""
+    pairs = materialize(basket_pairs(clean_basket, spec))
+    n = pairs.select(F.count_distinct("basket")).first()[0]
+    keep = F.broadcast(kept_items(pairs, spec).select("item"))
+    return pairs.join(keep, "item", "left_semi").select("basket", "item"), n

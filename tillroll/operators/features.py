@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.text import whole_days
+from tillroll.session import materialize
 
 RFM_FEATURES = ["Recency", "Frequency", "Monetary"]
 PRODUCT_FEATURES = ["avg_price", "total_quantity", "num_transactions", "num_customers", "total_revenue"]
@@ -20,12 +21,14 @@ PRODUCT_FEATURES = ["avg_price", "total_quantity", "num_transactions", "num_cust
 def build_rfm(clean_rfm: DataFrame) -> DataFrame:
     """CustomerID, Frequency (distinct invoices), Monetary, Recency (whole days
     before max(InvoiceDate) + 1 day)."""
-    ref_date = clean_rfm.select(F.max("InvoiceDate")).scalar() + F.expr("INTERVAL 1 DAY")
     per_customer = clean_rfm.groupBy("CustomerID").agg(
         F.max("InvoiceDate").alias("LastPurchase"),
         F.count_distinct("InvoiceNo").alias("Frequency"),
         F.sum("TotalPrice").cast("double").alias("Monetary"),
     )
+    # max over the per-customer maxima: the subquery shares the aggregation's
+    # shuffle with the main plan (reused exchange) instead of rescanning lines.
+    ref_date = per_customer.select(F.max("LastPurchase")).scalar() + F.expr("INTERVAL 1 DAY")
     return per_customer.select(
         "CustomerID", "Frequency", "Monetary",
         whole_days(ref_date, F.col("LastPurchase")).alias("Recency"),
@@ -51,8 +54,10 @@ def build_product_features(clean_product: DataFrame, revenue_quantile: float = 0
     The cap is the exact linear-interpolated percentile; there is one value per
     product, so the aggregation buffer is bounded by the catalogue size.
     ``exact_cap=False`` switches to ``percentile_approx`` for huge catalogues.
+    The per-product table is checkpointed once: the cap and the filter both
+    read it, instead of aggregating all lines twice.
     """
-    agg = product_aggregates(clean_product)
+    agg = materialize(product_aggregates(clean_product))
     if exact_cap:
         cap_expr = F.percentile("total_revenue", F.lit(revenue_quantile))
     else:

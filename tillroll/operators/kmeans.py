@@ -101,6 +101,13 @@ def fit_fixed_kmeans(df: DataFrame, id_col: str, features: list[str], k: int = 4
     scaler = fit_scaler(df, features)
     zcols = _milli(features)
     points = materialize(scaler.transform(df.select(id_col, *features)).select(id_col, *zcols))
+    try:
+        return _lloyd(points, id_col, zcols, features, scaler, k, max_iter)
+    finally:
+        points.unpersist()
+
+
+def _lloyd(points, id_col, zcols, features, scaler, k, max_iter) -> FixedKMeansModel:
     centres = initial_centres(points, id_col, zcols, k)
     it, converged = 0, False
     while it < max_iter:

@@ -62,15 +62,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return checkpoint_root(spark)
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, keep_in_memory: bool = True) -> DataFrame:
     """Cut lineage of a table that several later jobs (iterations, levels) reuse.
 
     ``checkpoint()`` writes to the shared checkpoint folder, so a lost executor
     does not force recomputation of the whole upstream plan.  Never a
-    ``localCheckpoint``: those blocks die with the executor.
+    ``localCheckpoint``: those blocks die with the executor.  The input is
+    persisted while the checkpoint is written (otherwise the write job would
+    compute it a second time), and the checkpointed table is cached for the
+    jobs that follow; lost cache blocks are re-read from the checkpoint.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        cp = df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
+    return cp.persist(StorageLevel.MEMORY_AND_DISK) if keep_in_memory else cp
 
 
 def persist(df: DataFrame) -> DataFrame:
