@@ -219,39 +219,62 @@ def _vector_pipeline(features: list[str], ddof: int = 0):
     return Pipeline(stages=stages)
 
 
+def _fit_restarts(vectors: DataFrame, specs: list[tuple[int, int]], max_iter: int, tol: float,
+                  workers: int) -> dict[tuple[int, int], tuple[object, float]]:
+    """Fit one K-Means per (k, seed).  The fits are independent Spark jobs, so
+    a small driver thread pool submits them concurrently (the scheduler
+    interleaves their tasks); each fit itself is distributed."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.ml.clustering import KMeans
+
+    def fit(spec):
+        k, s = spec
+        m = KMeans(k=k, seed=s, maxIter=max_iter, tol=tol, featuresCol="features",
+                   predictionCol="Cluster").fit(vectors)
+        return spec, (m, m.summary.trainingCost)
+
+    with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:
+        return dict(pool.map(fit, specs))
+
+
 def train_kmeans(df: DataFrame, features: list[str], k: int = 4, seed: int = 42, n_init: int = 10,
-                 max_iter: int = 300, tol: float = 1e-4):
+                 max_iter: int = 300, tol: float = 1e-4, workers: int = 8):
     """M5: scaler + K-Means pipeline; restarts use seeds seed..seed+n_init-1 and
-    keep the lowest training cost.  The scaled vector table is cached once and
-    shared by all restarts.  Returns (PipelineModel, cost)."""
+    keep the lowest training cost (ties: lower seed).  The scaled vector table
+    is cached once and shared by all restarts.  Returns (PipelineModel, cost)."""
     from pyspark.ml import PipelineModel
-    from pyspark.ml.clustering import KMeans
 
     scaler_model = _vector_pipeline(features).fit(df)
     vectors = scaler_model.transform(df).select("features").cache()
-    best, best_cost = None, None
     try:
-        for s in range(seed, seed + n_init):
-            m = KMeans(k=k, seed=s, maxIter=max_iter, tol=tol, featuresCol="features",
-                       predictionCol="Cluster").fit(vectors)
-            cost = m.summary.trainingCost
-            if best_cost is None or cost < best_cost:
-                best, best_cost = m, cost
+        fits = _fit_restarts(vectors, [(k, s) for s in range(seed, seed + n_init)], max_iter, tol, workers)
     finally:
         vectors.unpersist()
-    return PipelineModel(stages=[*scaler_model.stages, best]), best_cost
+    best_seed = min(range(seed, seed + n_init), key=lambda s: (fits[(k, s)][1], s))
+    best, cost = fits[(k, best_seed)]
+    return PipelineModel(stages=[*scaler_model.stages, best]), cost
 
 
 def k_sweep(df: DataFrame, features: list[str], ks=range(2, 11), seed: int = 42, n_init: int = 10,
-            max_iter: int = 300) -> DataFrame:
+            max_iter: int = 300, tol: float = 1e-4, workers: int = 8) -> DataFrame:
     """M4: (k, inertia, silhouette) per k — inertia = best training cost over
-    the restarts, silhouette from ``ClusteringEvaluator`` (squared Euclidean)."""
+    the restarts, silhouette from ``ClusteringEvaluator`` (squared Euclidean)
+    on that best model's assignment."""
     from pyspark.ml.evaluation import ClusteringEvaluator
 
-    rows = []
-    for k in ks:
-        model, cost = train_kmeans(df, features, k, seed, n_init, max_iter)
-        pred = model.transform(df)
-        sil = ClusteringEvaluator(featuresCol="features", predictionCol="Cluster").evaluate(pred)
-        rows.append((int(k), float(cost), float(sil)))
+    scaler_model = _vector_pipeline(features).fit(df)
+    vectors = scaler_model.transform(df).select("features").cache()
+    try:
+        specs = [(k, s) for k in ks for s in range(seed, seed + n_init)]
+        fits = _fit_restarts(vectors, specs, max_iter, tol, workers)
+        rows = []
+        for k in ks:
+            best_seed = min(range(seed, seed + n_init), key=lambda s: (fits[(k, s)][1], s))
+            model, cost = fits[(k, best_seed)]
+            sil = ClusteringEvaluator(featuresCol="features", predictionCol="Cluster").evaluate(
+                model.transform(vectors))
+            rows.append((int(k), float(cost), float(sil)))
+    finally:
+        vectors.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
