@@ -35,6 +35,15 @@ def build_rfm(clean_rfm: DataFrame) -> DataFrame:
     )
 
 
+def reference_date(clean_rfm: DataFrame) -> DataFrame:
+    """Last clean invoice time, the reference time one day later
+    and its calendar date (what the RFM job reports)."""
+    last = F.max("InvoiceDate")
+    ref = last + F.expr("INTERVAL 1 DAY")
+    return clean_rfm.agg(last.alias("last_invoice"), ref.alias("reference_time"),
+                         F.to_date(ref).alias("reference_date"))
+
+
 def product_aggregates(clean_product: DataFrame) -> DataFrame:
     """A2: per-Description features before the outlier and activity filters."""
     return clean_product.groupBy("Description").agg(

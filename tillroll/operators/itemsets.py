@@ -6,15 +6,17 @@ Level-wise plan (lengths 1..max_len):
 2. baskets are reduced to their frequent items and *identical baskets are
    merged* into one weighted signature row (``groupBy(items).count()``), so a
    basket pattern repeated millions of times is expanded once, with a weight;
-3. level k+1 extends each surviving level-k prefix inside a signature with the
-   items that follow it (items are sorted, so every itemset is generated once),
+   the signature table is checkpointed and given a stable id;
+3. level k+1 extends every frequent level-k prefix found in a signature by the
+   items that follow it (items are sorted, so each itemset is generated once),
    sums the weights per candidate (partial aggregation before the shuffle) and
    keeps candidates with ``freq / N >= min_support``.
 
-Arrays are bounded by the kept-item cap of the basket build, so the extension
-of one signature is bounded too.  The signature table and each level's
-surviving prefixes are checkpointed: later levels reuse them, and a lost
-executor does not replay the whole mining.
+Candidate rows stay narrow — (signature id, weight, prefix, position) — and
+fetch the signature's items only where they are extended (a join on the
+signature id), instead of dragging every basket's item array through each
+level.  Level-2 rows are regenerated from the cached signatures rather than
+written out.  Arrays are bounded by the kept-item cap of the basket build.
 """
 from __future__ import annotations
 
@@ -34,6 +36,25 @@ def _finish(df: DataFrame, n_baskets: int) -> DataFrame:
     )
 
 
+def _extend(rows: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(sig, w, prefix, pos) -> every extension by an item after ``pos``."""
+    with_items = rows.join(signatures.select("sig", "items"), "sig")
+    return (with_items
+            .select("sig", "w", "prefix", "pos",
+                    F.posexplode(F.slice("items", F.col("pos") + 2, F.size("items"))).alias("off", "item"))
+            .select("sig", "w", F.concat("prefix", F.array("item")).alias("prefix"),
+                    (F.col("pos") + 1 + F.col("off")).alias("pos")))
+
+
+def _pairs(signatures: DataFrame) -> DataFrame:
+    """Level-2 candidate rows generated inside each signature (no join)."""
+    return (signatures
+            .select("sig", "w", "items", F.posexplode("items").alias("pos", "a"))
+            .select("sig", "w", "a", "pos",
+                    F.posexplode(F.slice("items", F.col("pos") + 2, F.size("items"))).alias("off", "b"))
+            .select("sig", "w", F.array("a", "b").alias("prefix"), (F.col("pos") + 1 + F.col("off")).alias("pos")))
+
+
 def frequent_itemsets(pairs: DataFrame, n_baskets: int, min_support: float,
                       max_len: int = 3) -> DataFrame:
     """``pairs``: distinct ``(basket, item)``; returns ``items, freq, support, length``."""
@@ -47,22 +68,15 @@ def frequent_itemsets(pairs: DataFrame, n_baskets: int, min_support: float,
         signatures = materialize(
             pairs.join(l1.select("item"), "item", "left_semi")
                  .groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("items"))
-                 .groupBy("items").agg(F.count(F.lit(1)).alias("w")))
-        rows = signatures.select("items", "w", F.posexplode("items").alias("pos", "item")).select(
-            "items", "w", F.array("item").alias("prefix"), "pos")
+                 .groupBy("items").agg(F.count(F.lit(1)).alias("w"))
+                 .withColumn("sig", F.monotonically_increasing_id()))
+        ext = _pairs(signatures)
         for k in range(2, max_len + 1):
-            ext = (rows
-                   .select("items", "w", "prefix", "pos",
-                           F.posexplode(F.slice("items", F.col("pos") + 2, F.size("items"))).alias("off", "item"))
-                   .select("items", "w",
-                           F.concat("prefix", F.array("item")).alias("prefix"),
-                           (F.col("pos") + 1 + F.col("off")).alias("pos")))
-            if k < max_len:
-                ext = materialize(ext)
             counts = ext.groupBy("prefix").agg(F.sum("w").alias("freq")).filter(frequent)
-            levels.append(counts.select(F.col("prefix").alias("items"), "freq"))
             if k < max_len:
-                rows = ext.join(counts.select("prefix"), "prefix", "left_semi")
+                counts = materialize(counts)  # bounded by the candidate count
+                ext = _extend(ext.join(counts.select("prefix"), "prefix", "left_semi"), signatures)
+            levels.append(counts.select(F.col("prefix").alias("items"), "freq"))
     out = levels[0]
     for lvl in levels[1:]:
         out = out.unionByName(lvl)

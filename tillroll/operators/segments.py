@@ -128,11 +128,11 @@ def products_by_segment(spark: SparkSession, products: DataFrame, limit: int = 2
     full size and its action."""
     first = first_per_segment(products.filter(F.col("Segment").isin(dims.PRODUCT_SEGMENTS)), "Description", limit)
     sizes = products.groupBy("Segment").agg(F.count(F.lit(1)).alias("segment_size"))
-    shown = first.groupBy("Segment").agg(F.count(F.lit(1)).alias("count"))
     dim = F.broadcast(dims.segment_dim(spark, "product").select("Segment", "action"))
-    return (first.join(shown, "Segment").join(sizes, "Segment").join(dim, "Segment", "left")
+    return (first.join(F.broadcast(sizes), "Segment").join(dim, "Segment", "left")
             .select("Segment", "position", "Description", "avg_price", "total_quantity", "num_transactions",
-                    "num_customers", "total_revenue", "count", "segment_size", "action"))
+                    "num_customers", "total_revenue",
+                    F.least(F.col("segment_size"), F.lit(limit)).alias("count"), "segment_size", "action"))
 
 
 def customer_lookup(spark: SparkSession, customers: DataFrame, ids: DataFrame) -> DataFrame:
@@ -190,16 +190,20 @@ def overview_top_rules(rules: DataFrame, n: int = 5) -> DataFrame:
 
 
 def top_customers(customers: DataFrame, limit: int = 10, segment: str = "Champions") -> DataFrame:
-    """A segment's customers by Monetary descending (ties by id)."""
-    return (customers.filter(F.col("Segment") == segment)
-            .orderBy(F.desc("Monetary"), F.asc("CustomerID")).limit(limit)
-            .select("CustomerID", "Recency", "Frequency", "Monetary", "Segment"))
+    """O4 + W5: a segment's customers by Monetary descending (ties by id),
+    with the leaderboard position (window over the <= limit rows kept)."""
+    order = [F.desc("Monetary"), F.asc("CustomerID")]
+    top = customers.filter(F.col("Segment") == segment).orderBy(*order).limit(limit)
+    return top.select(F.row_number().over(Window.orderBy(*order)).alias("position"),
+                      "CustomerID", "Recency", "Frequency", "Monetary", "Segment")
 
 
 def top_products(products: DataFrame, limit: int = 10) -> DataFrame:
-    """O5."""
-    return (products.orderBy(F.desc("total_revenue"), F.asc("Description")).limit(limit)
-            .select("Description", "avg_price", "total_quantity", "total_revenue", "Segment"))
+    """O5 + W5."""
+    order = [F.desc("total_revenue"), F.asc("Description")]
+    top = products.orderBy(*order).limit(limit)
+    return top.select(F.row_number().over(Window.orderBy(*order)).alias("position"),
+                      "Description", "avg_price", "total_quantity", "total_revenue", "Segment")
 
 
 def campaign_targets(spark: SparkSession, customers: DataFrame) -> DataFrame:

@@ -70,6 +70,11 @@ def q_rfm(spark, sf_dir):
     return rfm(spark, sf_dir)
 
 
+@query("reference_date")
+def q_reference_date(spark, sf_dir):
+    return FE.reference_date(clean_lines(spark, sf_dir, "rfm"))
+
+
 @query("rfm_describe")
 def q_rfm_describe(spark, sf_dir):
     return FE.describe(rfm(spark, sf_dir), FE.RFM_FEATURES)

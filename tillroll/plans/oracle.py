@@ -7,7 +7,7 @@ with ``with_(...)``.
 """
 from __future__ import annotations
 
-from tillroll.functions.text import STRIP_PATTERN
+from tillroll.functions.text import WHITESPACE
 
 ORACLE: dict[str, str] = {}
 
@@ -28,7 +28,8 @@ def with_(*ctes: tuple[str, str]) -> str:
 
 
 def strip_sql(col: str) -> str:
-    return f"regexp_replace({col}, '{STRIP_PATTERN}', '', 'g')"
+    chars = " || ".join(f"chr({ord(ch)})" for ch in WHITESPACE)
+    return f"trim({col}, {chars})"
 
 
 # ------------------------------------------------------------------ adapter --
@@ -172,6 +173,9 @@ def _report_sql() -> str:
 
 oracle("cleaning_report", _report_sql())
 oracle("rfm", with_(*rfm_ctes()) + "SELECT * FROM rfm")
+oracle("reference_date", with_(*clean_ctes("rfm")) + """
+SELECT max(InvoiceDate) AS last_invoice, max(InvoiceDate) + INTERVAL 1 DAY AS reference_time,
+       CAST(max(InvoiceDate) + INTERVAL 1 DAY AS DATE) AS reference_date FROM clean_rfm""")
 oracle("rfm_describe", with_(*rfm_ctes()) + describe_sql("rfm", ["Recency", "Frequency", "Monetary"]))
 oracle("product_features", with_(*product_features_ctes()) + "SELECT * FROM product_features")
 oracle("product_describe", with_(*product_features_ctes()) + describe_sql(
@@ -487,11 +491,13 @@ FROM cust_seg""")
 oracle("overview_top_rules", with_(*M) +
        f"SELECT antecedents_str, consequents_str, lift, confidence FROM rules_m ORDER BY {ORDER} LIMIT 5")
 oracle("top_customers", with_(*CS) + """
-SELECT CustomerID, Recency, Frequency, Monetary, Segment FROM cust_seg WHERE Segment = 'Champions'
-ORDER BY Monetary DESC, CustomerID LIMIT 10""")
+SELECT row_number() OVER (ORDER BY Monetary DESC, CustomerID) AS position, CustomerID, Recency, Frequency,
+       Monetary, Segment
+FROM (SELECT * FROM cust_seg WHERE Segment = 'Champions' ORDER BY Monetary DESC, CustomerID LIMIT 10)""")
 oracle("top_products", with_(*PS) + """
-SELECT Description, avg_price, total_quantity, total_revenue, Segment FROM prod_seg
-ORDER BY total_revenue DESC, Description LIMIT 10""")
+SELECT row_number() OVER (ORDER BY total_revenue DESC, Description) AS position, Description, avg_price,
+       total_quantity, total_revenue, Segment
+FROM (SELECT * FROM prod_seg ORDER BY total_revenue DESC, Description LIMIT 10)""")
 
 
 def _dist_sql(src: str, kind: str) -> str:
