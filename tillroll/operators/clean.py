@@ -60,7 +60,7 @@ def clean(df: DataFrame, variant: str) -> DataFrame:
     return out
 
 
-def cleaning_report(raw: DataFrame) -> DataFrame:
+def cleaning_report(raw: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """per variant raw rows, rows dropped for nulls, rows dropped as cancelled,
     clean rows, distinct products and distinct invoices — one aggregation pass.
 
@@ -68,9 +68,12 @@ def cleaning_report(raw: DataFrame) -> DataFrame:
     missing customers first and counts cancellations among the rest; the other
     two count cancellations over all rows.  "dropped_nulls" counts rows removed
     by the variant's null step after its other filters (RFM: before them).
+    ``approx_distinct=True`` replaces the exact distinct counts (an Expand of
+    the input per distinct column) with HyperLogLog sketches (A7 option).
     """
     cancelled = is_cancelled("InvoiceNo")
     positive = _positive()
+    distinct = F.approx_count_distinct if approx_distinct else F.count_distinct
     no_cust = F.col("CustomerID").isNull()
     no_desc = F.col("Description").isNull()
     aggs = [F.count(F.lit(1)).alias("raw_rows")]
@@ -89,8 +92,8 @@ def cleaning_report(raw: DataFrame) -> DataFrame:
             F.count_if(dropped_nulls).alias(f"{v}_dropped_nulls"),
             F.count_if(dropped_cancelled).alias(f"{v}_dropped_cancelled"),
             F.count_if(keep).alias(f"{v}_clean_rows"),
-            F.count_distinct(F.when(keep, normalised_description(v))).alias(f"{v}_distinct_products"),
-            F.count_distinct(F.when(keep, F.col("InvoiceNo"))).alias(f"{v}_distinct_invoices"),
+            distinct(F.when(keep, normalised_description(v))).alias(f"{v}_distinct_products"),
+            distinct(F.when(keep, F.col("InvoiceNo"))).alias(f"{v}_distinct_invoices"),
         ]
     wide = raw.agg(*aggs)
     metrics = ["dropped_nulls", "dropped_cancelled", "clean_rows", "distinct_products", "distinct_invoices"]

@@ -86,7 +86,9 @@ def frequent_itemsets(pairs: DataFrame, n_baskets: int, min_support: float,
 def frequent_itemsets_fpgrowth(arrays: DataFrame, min_support: float, max_len: int = 3) -> DataFrame:
     """Second engine: ``pyspark.ml.fpm.FPGrowth`` over one array per basket
     (empty arrays included, they count in N); FPGrowth has no length limit,
-    so longer itemsets are filtered afterwards."""
+    so longer itemsets are filtered afterwards.  It is the cross-check engine:
+    parallel FP-growth sends all conditional transactions of an item group to
+    one task, so the level-wise engine above is the default."""
     from pyspark.ml.fpm import FPGrowth
 
     n = arrays.count()

@@ -216,3 +216,21 @@ def campaign_targets(spark: SparkSession, customers: DataFrame) -> DataFrame:
                     F.coalesce("count", F.lit(0)).cast("bigint").alias("target_count"),
                     F.coalesce("percentage", F.lit(0.0)).alias("percentage"),
                     customers.select(F.count(F.lit(1))).scalar().alias("addressable_audience")))
+
+
+def _maybe_sample(df: DataFrame, fraction: float | None, seed: int) -> DataFrame:
+    return df if fraction is None else df.sample(fraction=fraction, seed=seed)
+
+
+def scatter_customers(customers: DataFrame, fraction: float | None = None, seed: int = 42) -> DataFrame:
+    """(Recency, Frequency, Monetary, Segment) points; ``fraction`` draws a
+    Bernoulli sample for plotting very large tables (whole table by default)."""
+    return _maybe_sample(customers.select("CustomerID", "Recency", "Frequency", "Monetary", "Segment"),
+                         fraction, seed)
+
+
+def scatter_products(products: DataFrame, fraction: float | None = None, seed: int = 42) -> DataFrame:
+    """(avg_price, revenue in thousands, Segment) points."""
+    return _maybe_sample(products.select("Description", "avg_price",
+                                         (F.col("total_revenue") / 1000).alias("revenue_k"), "Segment"),
+                         fraction, seed)

@@ -439,13 +439,12 @@ def q_segment_boxplot(spark, sf_dir):
 
 @query("scatter_customers")
 def q_scatter_customers(spark, sf_dir):
-    return customers_segmented(spark, sf_dir)[0].select("CustomerID", "Recency", "Frequency", "Monetary", "Segment")
+    return G.scatter_customers(customers_segmented(spark, sf_dir)[0])
 
 
 @query("scatter_products")
 def q_scatter_products(spark, sf_dir):
-    return products_segmented(spark, sf_dir)[0].select(
-        "Description", "avg_price", (F.col("total_revenue") / 1000).alias("revenue_k"), "Segment")
+    return G.scatter_products(products_segmented(spark, sf_dir)[0])
 
 
 @query("top_products_per_segment")

@@ -88,6 +88,19 @@ def run_to_table(df: DataFrame, name: str, output_mode: str = "append",
     return spark.read.schema(df.schema).parquet(f"{root}/data")
 
 
+def start_stream(df: DataFrame, name: str, output_mode: str = "append",
+                 processing_time: str = "30 seconds", base: str | None = None):
+    """Continuous form of ``run_to_table``: the dashboards' 30-second refresh
+    becomes a micro-batch trigger.  Returns the running ``StreamingQuery``."""
+    spark = df.sparkSession
+    root = base or f"{checkpoint_root(spark)}/streams/{name}"
+    return (df.writeStream.format("parquet").outputMode(output_mode)
+            .option("checkpointLocation", f"{root}/_checkpoint")
+            .option("path", f"{root}/data")
+            .queryName(name)
+            .trigger(processingTime=processing_time).start())
+
+
 def score_stream(rows: DataFrame, model, spark: SparkSession, kind: str) -> DataFrame:
     """Micro-batch scoring — each micro-batch of feature rows is assigned to
     the saved centres and labelled (pure column expressions, stateless)."""
