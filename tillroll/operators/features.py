@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.text import whole_days
+from tillroll.operators.quantiles import quantile_columns
 from tillroll.session import materialize
 
 RFM_FEATURES = ["Recency", "Frequency", "Monetary"]
@@ -60,43 +61,34 @@ def build_product_features(clean_product: DataFrame, revenue_quantile: float = 0
     """M2: A2 → keep total_revenue <= its ``revenue_quantile`` over all products
     → keep num_transactions >= ``min_transactions`` (F6).
 
-    The cap is the exact linear-interpolated percentile; there is one value per
-    product, so the aggregation buffer is bounded by the catalogue size.
-    ``exact_cap=False`` switches to ``percentile_approx`` for huge catalogues.
-    The per-product table is checkpointed once: the cap and the filter both
-    read it, instead of aggregating all lines twice.
+    The cap is the exact linear-interpolated quantile over all products,
+    computed without gathering the catalogue in one task
+    (``quantiles.exact_quantiles``); ``exact_cap=False`` switches to
+    ``percentile_approx``.  The per-product table is checkpointed once: the
+    cap and the filter both read it, instead of aggregating all lines twice.
     """
     agg = materialize(product_aggregates(clean_product))
     if exact_cap:
-        cap_expr = F.percentile("total_revenue", F.lit(revenue_quantile))
+        cap = quantile_columns(agg, [], "total_revenue", {"cap": revenue_quantile}).select("cap").scalar()
     else:
-        cap_expr = F.percentile_approx("total_revenue", F.lit(revenue_quantile), F.lit(100000))
-    cap = agg.select(cap_expr).scalar()
+        cap = agg.select(F.percentile_approx("total_revenue", F.lit(revenue_quantile), F.lit(100000))).scalar()
     return agg.filter((F.col("total_revenue") <= cap) & (F.col("num_transactions") >= min_transactions))
 
 
 def describe(df: DataFrame, features: list[str]) -> DataFrame:
     """Count, mean, std (n-1), min, 25/50/75 %, max per feature, rounded 2.
 
-    Exact percentiles (``df.summary`` is approximate).  One aggregation pass
-    computes every statistic of every feature; the result is unpivoted to one
-    row per feature.
+    Exact quartiles (``df.summary`` is approximate) from the distributed
+    quantile operator; the moments are one aggregation over the features
+    unpivoted to (feature, value).
     """
-    aggs = []
-    for f in features:
-        c = F.col(f).cast("double")
-        aggs += [
-            F.count(c).alias(f"{f}__count"),
-            F.avg(c).alias(f"{f}__mean"),
-            F.stddev_samp(c).alias(f"{f}__std"),
-            F.min(c).alias(f"{f}__min"),
-            F.percentile(c, F.lit(0.25)).alias(f"{f}__p25"),
-            F.percentile(c, F.lit(0.5)).alias(f"{f}__p50"),
-            F.percentile(c, F.lit(0.75)).alias(f"{f}__p75"),
-            F.max(c).alias(f"{f}__max"),
-        ]
-    wide = df.agg(*aggs)
-    stats = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
-    body = ", ".join(f"'{f}', " + ", ".join(f"`{f}__{s}`" for s in stats) for f in features)
-    long = wide.selectExpr(f"stack({len(features)}, {body}) as (feature, {', '.join(stats)})")
-    return long.select("feature", *[F.round(s, 2).alias(s) if s != "count" else F.col(s) for s in stats])
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("p")
+    ).select("p.feature", "p.v")
+    moments = long.groupBy("feature").agg(
+        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+        F.min("v").alias("min"), F.max("v").alias("max"))
+    quart = quantile_columns(long, ["feature"], "v", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    stats = ["mean", "std", "min", "p25", "p50", "p75", "max"]
+    return (moments.join(quart, "feature", "left")
+            .select("feature", "count", *[F.round(s, 2).alias(s) for s in stats]))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import dims
+from tillroll.operators.quantiles import quantile_columns
 from tillroll.operators.rules import round_half_up, rule_order
 
 
@@ -77,17 +78,15 @@ def segment_boxplot(seg: DataFrame, features: list[str]) -> DataFrame:
     interpolation), whiskers = most extreme values inside Q1 - 1.5 IQR /
     Q3 + 1.5 IQR, number of outliers beyond them.
 
-    Quartiles are exact ``percentile`` aggregates; their buffer is a
-    value -> count map, so its size is the number of *distinct* values of the
-    feature in a segment.  The whiskers need the fences, so the quartile rows
-    (segments x features) are joined back to the data once.
+    Quartiles are exact and distributed (``quantiles.exact_quantiles``: a
+    segment holding a third of all rows is never gathered in one task).  The
+    whiskers need the fences, so the quartile rows (segments x features) are
+    joined back to the data once.
     """
     long = seg.filter(F.col("Segment").isNotNull()).select(
         "Segment", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v"))
                                        for f in features])).alias("p")).select("Segment", "p.feature", "p.v")
-    q = long.groupBy("Segment", "feature").agg(
-        F.percentile("v", F.lit(0.25)).alias("q1"), F.percentile("v", F.lit(0.5)).alias("median"),
-        F.percentile("v", F.lit(0.75)).alias("q3"))
+    q = quantile_columns(long, ["Segment", "feature"], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     fenced = long.join(F.broadcast(q), ["Segment", "feature"])  # segments x features rows
     lo_f = F.col("q1") - 1.5 * F.col("iqr")
