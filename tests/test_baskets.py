@@ -49,3 +49,21 @@ def test_recommend_regex_and_literal(spark):
     assert [r["rank"] for r in rec] == list(range(1, len(rec) + 1))
     assert R.recommend(rules, ".", top_n=3).count() == 3          # regex wildcard
     assert R.recommend(rules, ".", top_n=3, literal=True).count() == 0
+
+
+def test_prepare_keeps_rare_only_baskets_in_denominator(spark):
+    from tillroll.operators.baskets import BasketSpec, prepare
+    rows = [("i1", "a", 1), ("i1", "a", 2), ("i2", "a", 1), ("i2", "b", 1), ("i3", "rare", 1)]
+    clean = spark.createDataFrame(rows, "InvoiceNo string, Description string, Quantity int")
+    pairs, n = prepare(clean, BasketSpec(min_count=2, max_items=500))
+    assert n == 3                                     # i3 has only a rare item but still counts
+    got = sorted((r.basket, r.item) for r in pairs.collect())
+    assert got == [("i1", "a"), ("i2", "a")]          # same item twice in i1 -> one pair
+
+
+def test_item_cap_keeps_most_frequent(spark):
+    from tillroll.operators.baskets import BasketSpec, kept_items
+    rows = [(f"b{i}", x) for i in range(5) for x in ("x", "y")] + [("b0", "z")]
+    pairs = spark.createDataFrame(rows, "basket string, item string")
+    kept = [r.item for r in kept_items(pairs, BasketSpec(min_count=1, max_items=2)).collect()]
+    assert sorted(kept) == ["x", "y"]

@@ -68,3 +68,11 @@ def test_model_save_load(spark, tmp_path):
     b = {x.CustomerID: x.Cluster for x in back.assign(r).collect()}
     assert a == b
     assert {x.Segment for x in seg.select("Segment").distinct().collect()} <= {"Champions", "Loyal", "At-Risk", "Lost"}
+
+
+def test_k_sweep_rows(spark):
+    r = C.rfm(spark, SF0001)
+    rows = K.k_sweep(r, ["Recency", "Frequency", "Monetary"], ks=[2, 3], n_init=2, max_iter=20, workers=4).collect()
+    assert [x.k for x in rows] == [2, 3]
+    assert all(0.0 < x.inertia < float("inf") for x in rows)
+    assert all(-1.0 <= x.silhouette <= 1.0 for x in rows)

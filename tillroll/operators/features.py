@@ -4,7 +4,8 @@ Both builders are a single hash aggregation keyed by the entity; partial
 aggregation runs before the shuffle, so a customer or product that owns a
 large share of all lines still contributes one partial row per input partition.
 The global scalars (reference date, revenue cap) are scalar subqueries that
-Spark evaluates once and inlines — no cross join, no driver round trip.
+Spark evaluates once and inlines — no cross join — over the checkpointed
+per-entity table, so the lines are aggregated only once.
 """
 from __future__ import annotations
 
@@ -21,14 +22,16 @@ PRODUCT_FEATURES = ["avg_price", "total_quantity", "num_transactions", "num_cust
 
 def build_rfm(clean_rfm: DataFrame) -> DataFrame:
     """CustomerID, Frequency (distinct invoices), Monetary, Recency (whole days
-    before max(InvoiceDate) + 1 day)."""
-    per_customer = clean_rfm.groupBy("CustomerID").agg(
+    before max(InvoiceDate) + 1 day).
+
+    The per-customer aggregate is checkpointed once; the reference date (a
+    scalar subquery) and the output both read it instead of scanning and
+    joining the lines twice."""
+    per_customer = materialize(clean_rfm.groupBy("CustomerID").agg(
         F.max("InvoiceDate").alias("LastPurchase"),
         F.count_distinct("InvoiceNo").alias("Frequency"),
         F.sum("TotalPrice").cast("double").alias("Monetary"),
-    )
-    # max over the per-customer maxima: the subquery shares the aggregation's
-    # shuffle with the main plan (reused exchange) instead of rescanning lines.
+    ))
     ref_date = per_customer.select(F.max("LastPurchase")).scalar() + F.expr("INTERVAL 1 DAY")
     return per_customer.select(
         "CustomerID", "Frequency", "Monetary",
