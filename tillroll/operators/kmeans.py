@@ -100,7 +100,8 @@ def fit_fixed_kmeans(df: DataFrame, id_col: str, features: list[str], k: int = 4
         raise ValueError(f"k must be in 1..{KEY_BASE}")
     scaler = fit_scaler(df, features)
     zcols = _milli(features)
-    points = materialize(scaler.transform(df.select(id_col, *features)).select(id_col, *zcols))
+    points = materialize(scaler.transform(df.select(id_col, *features)).select(id_col, *zcols),
+                         keep_in_memory=True)
     try:
         return _lloyd(points, id_col, zcols, features, scaler, k, max_iter)
     finally:

@@ -263,7 +263,7 @@ _MODELS: dict[tuple, K.FixedKMeansModel] = {}
 def customer_model(spark, sf_dir) -> K.FixedKMeansModel:
     key = ("customer", sf_dir, K_FINAL, KM_MAX_ITER)
     if key not in _MODELS:
-        r = materialize(rfm(spark, sf_dir))
+        r = materialize(rfm(spark, sf_dir), keep_in_memory=True)
         _, _MODELS[key] = K.segment(r, "CustomerID", FE.RFM_FEATURES, "customer", K_FINAL, KM_MAX_ITER,
                                     money=MONEY)
         r.unpersist()
@@ -273,7 +273,7 @@ def customer_model(spark, sf_dir) -> K.FixedKMeansModel:
 def product_model(spark, sf_dir) -> K.FixedKMeansModel:
     key = ("product", sf_dir, K_FINAL, KM_MAX_ITER)
     if key not in _MODELS:
-        p = materialize(product_features(spark, sf_dir))
+        p = materialize(product_features(spark, sf_dir), keep_in_memory=True)
         _, _MODELS[key] = K.segment(p, "Description", FE.PRODUCT_FEATURES, "product", K_FINAL, KM_MAX_ITER)
         p.unpersist()
     return _MODELS[key]

@@ -26,6 +26,8 @@ DEFAULT_CONF = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.ui.showConsoleProgress": "false",
+    # delete checkpoint files once the DataFrame that wrote them is garbage collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -65,15 +67,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return checkpoint_root(spark)
 
 
-def materialize(df: DataFrame, keep_in_memory: bool = True) -> DataFrame:
+def materialize(df: DataFrame, keep_in_memory: bool = False) -> DataFrame:
     """Cut lineage of a table that several later jobs (iterations, levels) reuse.
 
     ``checkpoint()`` writes to the shared checkpoint folder, so a lost executor
     does not force recomputation of the whole upstream plan.  Never a
     ``localCheckpoint``: those blocks die with the executor.  The input is
     persisted while the checkpoint is written (otherwise the write job would
-    compute it a second time), and the checkpointed table is cached for the
-    jobs that follow; lost cache blocks are re-read from the checkpoint.
+    compute it a second time).  Later jobs read the checkpoint files; with
+    ``keep_in_memory=True`` (tight loops that unpersist when done) the
+    checkpointed table is also cached, and lost blocks are re-read from the
+    checkpoint.
     """
     ensure_checkpoint_dir(df.sparkSession)
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
