@@ -26,8 +26,6 @@ DEFAULT_CONF = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.ui.showConsoleProgress": "false",
-    # delete checkpoint files once the DataFrame that wrote them is garbage collected
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
