@@ -258,6 +258,10 @@ PRODUCT_COLS = ["Description", *FE.PRODUCT_FEATURES, "Cluster", "Segment"]
 # reuse a model fitted once (a few numbers: moments, k centres, labels).
 # Training itself is measured by the kmeans_* queries that fit first.
 _MODELS: dict[tuple, K.FixedKMeansModel] = {}
+# The feature table each model was fitted on, checkpointed in the shared folder
+# (lineage cut, files only): assigning segments reads it instead of computing
+# the features a second time.
+_FEATURES: dict[tuple, DataFrame] = {}
 
 
 def customer_model(spark, sf_dir) -> K.FixedKMeansModel:
@@ -267,6 +271,7 @@ def customer_model(spark, sf_dir) -> K.FixedKMeansModel:
         _, _MODELS[key] = K.segment(r, "CustomerID", FE.RFM_FEATURES, "customer", K_FINAL, KM_MAX_ITER,
                                     money=MONEY)
         r.unpersist()
+        _FEATURES[key] = r
     return _MODELS[key]
 
 
@@ -276,18 +281,23 @@ def product_model(spark, sf_dir) -> K.FixedKMeansModel:
         p = materialize(product_features(spark, sf_dir), keep_in_memory=True)
         _, _MODELS[key] = K.segment(p, "Description", FE.PRODUCT_FEATURES, "product", K_FINAL, KM_MAX_ITER)
         p.unpersist()
+        _FEATURES[key] = p
     return _MODELS[key]
 
 
 def customers_segmented(spark, sf_dir):
     model = customer_model(spark, sf_dir)
-    seg = K.attach_labels(model.assign(rfm(spark, sf_dir)), spark, model.labels)
+    r = _FEATURES.get(("customer", sf_dir, K_FINAL, KM_MAX_ITER))
+    r = rfm(spark, sf_dir) if r is None else r
+    seg = K.attach_labels(model.assign(r), spark, model.labels)
     return seg.select(*CUSTOMER_COLS), model
 
 
 def products_segmented(spark, sf_dir):
     model = product_model(spark, sf_dir)
-    seg = K.attach_labels(model.assign(product_features(spark, sf_dir)), spark, model.labels)
+    p = _FEATURES.get(("product", sf_dir, K_FINAL, KM_MAX_ITER))
+    p = product_features(spark, sf_dir) if p is None else p
+    seg = K.attach_labels(model.assign(p), spark, model.labels)
     return seg.select(*PRODUCT_COLS), model
 
 
