@@ -5,8 +5,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, quality, secrets, simhash
+from . import bpe, chat, decontam, embed, lm, quality, secrets, simhash, suffix, tokenbin
 from .common import table
+from .sql import ORACLE  # noqa: F401 (re-exported)
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -15,6 +16,13 @@ def _sha(column: Column) -> Column:
     return F.sha2(column.cast("binary"), 256)
 
 
+def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], convs.schema)
+    return chat.conversation_digests(chat.format_windows(convs.unionByName(extra), RANKS, public_tokenizers.PATTERN))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     encoded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, offsets=True, keep=["doc_id"])
@@ -31,6 +39,26 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = tokenbin.token_table(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
+    return tokens.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean natural logarithm of a byte's score (0 for no bytes)."""
+    scored = lm.score(table(spark, sf_dir, "documents"))
+    mean = F.when(F.col("n_bytes") > 0, F.round(F.col("sum_log") / F.col("n_bytes"), 6)).otherwise(F.lit(0.0))
+    return scored.select("doc_id", "n_bytes", mean.alias("score"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -50,5 +78,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[count(k) for k in secrets.BASE], _sha(secrets.listed("base")).alias("base_sha256"), secrets.listed("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_simhash, op8_quality, op9_decontaminate, op10_secrets)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_byte_bpe, op3_simhash, op4_embedding_dedup, op5_repeated_bytes, op6_token_files,
+                                   op7_lm_score, op8_quality, op9_decontaminate, op10_secrets)}
