@@ -34,7 +34,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = secrets.scan(docs)
     text = F.when(F.col("row.text").isNotNull() & (F.size("spans") > 0), secrets.redacted()).otherwise(F.col("row.text"))
     found = found.select("row", text.alias("clean"))
-    new = {"text": F.col("clean"), "n_chars": F.when(F.col("clean") != F.col("row.text"), F.length("clean")).otherwise(F.col("row.n_chars"))}
+    new = {"text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("clean") != F.col("row.text"), F.length("clean")).otherwise(F.col("row.n_chars"))
     return found.select(*[(new[f.name] if f.name in new else F.col("row")[f.name]).cast(f.dataType).alias(f.name) for f in docs.schema])
 
 

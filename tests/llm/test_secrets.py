@@ -1,0 +1,65 @@
+import random
+import re
+import string
+
+from helpers import documents, edge_rows, prose
+from tillroll.llm import secrets
+
+KINDS = [("assign", re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 6),
+         ("access", re.compile("AKIA[A-Z0-9]+"), 20), ("hex", re.compile("[0-9a-f]+"), 24)]
+
+
+def brute(text):
+    out = []
+    for rank, (kind, pattern, least) in enumerate(KINDS):
+        for m in pattern.finditer(text or ""):
+            if len(m[1] if kind == "assign" else m[0]) >= least:
+                out.append((m.start(), rank, m.end(), kind))
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
+CASES = ["", None, "password=hunter2", "é\U0001F600 Password : \"abcdef\" x", "token= short", "api_key=api_key=abcdefgh", "secret: secret: abcdefg", "AKIA" + "A1" * 8, "AKIA" + "A1" * 7 + " AKIAAKIA" + "Z" * 16,
+         "x" + "0123456789abcdef" * 3 + "g" + "ab" * 12, "token = " + "deadbeef" * 4, "PASSWD='a.b-c_d+e/f='; apikey=123456", "toſecret=abcdef Key", "token=abcde token=abcdef"]
+
+
+def test_base_spans_match_brute_force(spark):
+    rows = edge_rows() + [(100 + k, t) for k, t in enumerate(CASES)]
+    got = secrets.scan(documents(spark, rows)).select("row.doc_id", "row.text", secrets.listed("base").alias("b"), "base", "spans")
+    seen = got.collect()
+    assert len(seen) == len(rows)
+    for r in seen:
+        assert r.b == brute(r.text), r.text
+        assert set(map(tuple, r.base)) <= set(map(tuple, r.spans))
+
+
+def test_method_finds_random_strings_and_leaves_words_alone(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choices("th er on an re he in ed nd ha at en es of or nt".split(), k=n // 2))
+    rows, planted = [], {}
+    for k in range(400):
+        body = prose(rng, 30)
+        if k % 4 == 0:
+            planted[k] = "".join(rng.choices(string.ascii_letters + string.digits, k=40))
+            body += " key " + planted[k]
+        else:
+            body += " " + word(26) + " " + word(30).title() + " some_long_identifier_name_in_code path/to/some/file/of/the/project"
+        rows.append((k, body))
+    got = secrets.scan(documents(spark, rows)).select("row.doc_id", "text", secrets.listed("spans").alias("s")).collect()
+    found = {r.doc_id: r for r in got if "random" in r.s}
+    assert set(found) <= set(planted)
+    assert len(found) >= 0.9 * len(planted)
+    for d, r in found.items():
+        _, a, b = r.s.split(":")
+        assert r.text[int(a):int(b)] == planted[d]
+
+
+def test_redaction_and_empty_table(spark):
+    docs = documents(spark, [(1, "a token=abcdef0123456789abcdef0123456789 z AKIA" + "Q" * 16), (2, "clean"), (3, "")])
+    got = {r.doc_id: r.t for r in secrets.scan(docs).select("row.doc_id", secrets.redacted().alias("t")).collect()}
+    assert got == {1: "a <SECRET> z <SECRET>", 2: "clean", 3: ""}
+    assert secrets.scan(documents(spark, [])).count() == 0
+
+
+def test_plan_has_no_python(spark):
+    plan = secrets.scan(documents(spark, [(1, "x")]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

@@ -91,6 +91,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, weight: np
     share = float((weight * label).sum() / max(1e-9, weight.sum())) if len(rows) else 0.5
     model.w0 = float(np.log(np.clip(share, 0.01, 0.99) / (1 - np.clip(share, 0.01, 0.99))))
     if len(set(label.tolist())) < 2:
+        model.v[:] = 0
         return model
     gw, gv, g0 = np.full(FEATURES, 1e-6, np.float32), np.full((FEATURES, rank), 1e-6, np.float32), 1e-6
     weight = weight / weight.mean()
