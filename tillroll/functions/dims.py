@@ -71,11 +71,6 @@ def segment_dim(spark: SparkSession, kind: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def label_dim(spark: SparkSession, labels: dict[int, str]) -> DataFrame:
-    """Explicit cluster id -> label map as a tiny table."""
-    return spark.createDataFrame(sorted(labels.items()), "Cluster int, Segment string")
-
-
 def campaign_dim(spark: SparkSession) -> DataFrame:
     rows = [(s, i, c[0], c[1], c[2]) for i, (s, c) in enumerate(CAMPAIGNS.items())]
     schema = T.StructType([

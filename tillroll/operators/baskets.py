@@ -1,10 +1,10 @@
 """Basket build (M7, A3, A5, F7, O3, J5) in long form — never a wide 0/1 matrix.
 
 ``(basket, item)`` pairs come from one aggregation keyed by the pair
-(quantity summed, kept when positive).  Items are then limited to those bought
+(quantity summed, kept when positive).  A caller may limit items to those bought
 in at least ``min_count`` baskets and, of these, the ``max_items`` most
-frequent ones (ties by item).  The kept-item list is a top-k result, so its
-size is bounded by ``max_items`` and it is broadcast into the semi join.
+frequent ones (ties by item); by default no item is dropped, since mining drops
+infrequent items anyway.
 
 Every cleaned basket stays in the support denominator, also when none of its
 items survive the item filter.
@@ -23,8 +23,8 @@ from tillroll.session import materialize
 class BasketSpec:
     basket_col: str = "InvoiceNo"
     item_col: str = "Description"
-    min_count: int = 100
-    max_items: int = 500
+    min_count: int = 1  # F7 and O3 are off unless a caller asks for them
+    max_items: int | None = None
 
 
 def basket_pairs(clean_basket: DataFrame, spec: BasketSpec) -> DataFrame:
@@ -37,36 +37,36 @@ def basket_pairs(clean_basket: DataFrame, spec: BasketSpec) -> DataFrame:
             .select("basket", "item"))
 
 
-def basket_count(clean_basket: DataFrame, spec: BasketSpec) -> int:
-    """Support denominator: all cleaned baskets (one distributed count)."""
-    return (clean_basket.filter(F.col(spec.basket_col).isNotNull())
-            .select(F.count_distinct(spec.basket_col)).first()[0])
-
-
 def item_frequency(pairs: DataFrame) -> DataFrame:
     """A5: number of baskets per item."""
     return pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n_baskets"))
 
 
 def kept_items(pairs: DataFrame, spec: BasketSpec) -> DataFrame:
-    """F7 + O3: items in >= min_count baskets, top ``max_items`` by frequency."""
-    return (item_frequency(pairs)
-            .filter(F.col("n_baskets") >= spec.min_count)
-            .orderBy(F.desc("n_baskets"), F.asc("item"))
-            .limit(spec.max_items))
+    """F7 + O3: items in >= min_count baskets and, if asked for, the top ``max_items`` by frequency."""
+    kept = item_frequency(pairs).filter(F.col("n_baskets") >= spec.min_count)
+    if spec.max_items is None:
+        return kept
+    return kept.orderBy(F.desc("n_baskets"), F.asc("item")).limit(spec.max_items)
+
+
+def limited(pairs: DataFrame, spec: BasketSpec) -> DataFrame:
+    """Pairs of the kept items.  A top-k list is bounded by ``max_items`` and broadcast; a
+    count limit alone is a join that Spark sizes itself."""
+    if spec.max_items is None and spec.min_count <= 1:
+        return pairs
+    keep = kept_items(pairs, spec).select("item")
+    keep = keep if spec.max_items is None else F.broadcast(keep)
+    return pairs.join(keep, "item", "left_semi").select("basket", "item")
 
 
 def basket_items(clean_basket: DataFrame, spec: BasketSpec) -> DataFrame:
-    """Pairs restricted to the kept items (broadcast semi join on a top-k table)."""
-    pairs = basket_pairs(clean_basket, spec)
-    keep = F.broadcast(kept_items(pairs, spec).select("item"))
-    return pairs.join(keep, "item", "left_semi").select("basket", "item")
+    return limited(basket_pairs(clean_basket, spec), spec)
 
 
 def basket_arrays(clean_basket: DataFrame, spec: BasketSpec) -> DataFrame:
     """One row per cleaned basket with its sorted kept items (empty array when
-    none survive) — the input shape of ``FPGrowth``.  Each array is bounded by
-    ``max_items``."""
+    none survive) — the input shape of ``FPGrowth``."""
     items = (basket_items(clean_basket, spec).groupBy("basket")
              .agg(F.array_sort(F.collect_list("item")).alias("items")))
     all_baskets = (clean_basket.filter(F.col(spec.basket_col).isNotNull())
@@ -76,11 +76,10 @@ def basket_arrays(clean_basket: DataFrame, spec: BasketSpec) -> DataFrame:
 
 
 def prepare(clean_basket: DataFrame, spec: BasketSpec) -> tuple[DataFrame, int]:
-    """Pairs restricted to the kept items, and the support denominator, from
-    one pass over the cleaned lines: the distinct pairs are checkpointed and
+    """Pairs of the kept items, and the support denominator, from
+    one pass over the cleaned lines: the distinct pairs are written once and
     both the basket count and the item statistics read them.  (Cleaned lines
     have positive quantities, so every cleaned basket has at least one pair.)"""
     pairs = materialize(basket_pairs(clean_basket, spec))
     n = pairs.select(F.count_distinct("basket")).first()[0]
-    keep = F.broadcast(kept_items(pairs, spec).select("item"))
-    return pairs.join(keep, "item", "left_semi").select("basket", "item"), n
+    return limited(pairs, spec), n

@@ -18,12 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.text import is_cancelled, py_strip
+from tillroll.session import materialize
 
 VARIANTS = ("rfm", "basket", "product")
 
 
 def _amount(df: DataFrame) -> Column:
-    return (F.col("Quantity").cast("decimal(10,0)") * F.col("UnitPrice")).cast("decimal(18,2)")
+    return (F.col("Quantity").cast("decimal(10,0)") * F.col("UnitPrice")).cast("decimal(24,6)")
 
 
 def _positive() -> Column:
@@ -60,45 +61,49 @@ def clean(df: DataFrame, variant: str) -> DataFrame:
     return out
 
 
-def cleaning_report(raw: DataFrame, approx_distinct: bool = False) -> DataFrame:
+def cleaning_report(raw: DataFrame) -> DataFrame:
     """per variant raw rows, rows dropped for nulls, rows dropped as cancelled,
-    clean rows, distinct products and distinct invoices — one aggregation pass.
+    clean rows, distinct products and distinct invoices.
 
     "dropped_cancelled" follows each job's step order: the RFM job drops
     missing customers first and counts cancellations among the rest; the other
     two count cancellations over all rows.  "dropped_nulls" counts rows removed
     by the variant's null step after its other filters (RFM: before them).
-    ``approx_distinct=True`` replaces the exact distinct counts (an Expand of
-    the input per distinct column) with HyperLogLog sketches (A7 option).
+
+    One scan and one shuffle over the lines: a line gives two narrow rows, one keyed by its
+    invoice (with the row counters) and one by its description, each with three keep flags;
+    partial aggregation merges them per key.  Descriptions are normalised on the table of
+    distinct ones.
     """
     cancelled = is_cancelled("InvoiceNo")
     positive = _positive()
-    distinct = F.approx_count_distinct if approx_distinct else F.count_distinct
     no_cust = F.col("CustomerID").isNull()
     no_desc = F.col("Description").isNull()
-    aggs = [F.count(F.lit(1)).alias("raw_rows")]
+    nulls = {"rfm": no_cust, "basket": ~cancelled & positive & no_desc, "product": ~cancelled & positive & (no_desc | no_cust)}
+    gone = {"rfm": ~no_cust & cancelled, "basket": cancelled, "product": cancelled}
+    keep = {v: keep_predicate(v) for v in VARIANTS}
+    counters = [F.lit(1).cast("bigint").alias("raw_rows")]
     for v in VARIANTS:
-        keep = keep_predicate(v)
-        if v == "rfm":
-            dropped_nulls = no_cust
-            dropped_cancelled = ~no_cust & cancelled
-        elif v == "basket":
-            dropped_nulls = ~cancelled & positive & no_desc
-            dropped_cancelled = cancelled
-        else:
-            dropped_nulls = ~cancelled & positive & (no_desc | no_cust)
-            dropped_cancelled = cancelled
-        aggs += [
-            F.count_if(dropped_nulls).alias(f"{v}_dropped_nulls"),
-            F.count_if(dropped_cancelled).alias(f"{v}_dropped_cancelled"),
-            F.count_if(keep).alias(f"{v}_clean_rows"),
-            distinct(F.when(keep, normalised_description(v))).alias(f"{v}_distinct_products"),
-            distinct(F.when(keep, F.col("InvoiceNo"))).alias(f"{v}_distinct_invoices"),
-        ]
-    wide = raw.agg(*aggs)
-    metrics = ["dropped_nulls", "dropped_cancelled", "clean_rows", "distinct_products", "distinct_invoices"]
-    stack = ", ".join(
-        f"'{v}', " + ", ".join(f"{v}_{m}" for m in metrics) for v in VARIANTS)
-    return wide.selectExpr(
-        "raw_rows",
-        f"stack({len(VARIANTS)}, {stack}) as (variant, {', '.join(metrics)})")
+        counters += [nulls[v].cast("bigint").alias(f"{v}_nulls"), gone[v].cast("bigint").alias(f"{v}_cancelled"),
+                     keep[v].cast("bigint").alias(f"{v}_clean")]
+    flags = [keep[v].alias(f"{v}_keep") for v in VARIANTS]
+    names = ["raw_rows"] + [f"{v}_{m}" for v in VARIANTS for m in ("nulls", "cancelled", "clean")]
+    invoice = F.struct(F.lit("invoice").alias("tag"), F.col("InvoiceNo").alias("key"), *flags, *counters)
+    product = F.struct(F.lit("product").alias("tag"), F.col("Description").alias("key"), *flags,
+                       *[F.lit(0).cast("bigint").alias(n) for n in names])
+    tagged = raw.select(F.explode(F.array(invoice, product)).alias("r")).select("r.*")
+    keys = materialize(tagged.groupBy("tag", "key").agg(*[F.bool_or(f"{v}_keep").alias(f"{v}_keep") for v in VARIANTS],
+                                                        *[F.sum(n).alias(n) for n in names]))
+    rows = keys.filter("tag = 'invoice'").agg(
+        *[F.sum(n).alias(n) for n in names],
+        *[F.count_if(F.col(f"{v}_keep") & F.col("key").isNotNull()).alias(f"{v}_invoices") for v in VARIANTS])
+    metrics = ["nulls", "cancelled", "clean", "invoices"]
+    stack = ", ".join(f"'{v}', " + ", ".join(f"{v}_{m}" for m in metrics) for v in VARIANTS)
+    rows = rows.selectExpr("raw_rows", f"stack({len(VARIANTS)}, {stack}) as (variant, dropped_nulls, dropped_cancelled, clean_rows, distinct_invoices)")
+    described = keys.filter("tag = 'product' and key is not null").withColumnRenamed("key", "Description")
+    named = described.select(F.explode(F.array(*[
+        F.struct(F.lit(v).alias("variant"), F.when(F.col(f"{v}_keep"), normalised_description(v)).alias("name")) for v in VARIANTS])).alias("r")).select("r.*")
+    products = named.filter("name is not null").distinct().groupBy("variant").agg(F.count(F.lit(1)).alias("distinct_products"))
+    return rows.join(products, "variant", "left").select(
+        F.coalesce("raw_rows", F.lit(0)).cast("bigint").alias("raw_rows"), "variant",
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("dropped_nulls", "dropped_cancelled", "clean_rows", "distinct_products", "distinct_invoices")])

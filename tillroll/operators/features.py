@@ -49,13 +49,26 @@ def reference_date(clean_rfm: DataFrame) -> DataFrame:
 
 
 def product_aggregates(clean_product: DataFrame) -> DataFrame:
-    """A2: per-Description features before the outlier and activity filters."""
-    return clean_product.groupBy("Description").agg(
-        (F.sum("UnitPrice").cast("double") / F.count("UnitPrice")).alias("avg_price"),
-        F.sum("Quantity").cast("bigint").alias("total_quantity"),
-        F.count_distinct("InvoiceNo").alias("num_transactions"),
-        F.count_distinct("CustomerID").alias("num_customers"),
-        F.sum("TotalRevenue").cast("double").alias("total_revenue"),
+    """A2: per-Description features before the outlier and activity filters.
+
+    The two distinct counts share one shuffle: a line gives a row keyed by its invoice (with the
+    sums) and one keyed by its customer; equal keys merge before they are counted.
+    """
+    zero = lambda c: F.lit(None).cast(clean_product.schema[c].dataType)
+    by_invoice = F.struct(F.lit("i").alias("tag"), F.col("InvoiceNo").alias("key"), "UnitPrice", "Quantity", "TotalRevenue")
+    by_customer = F.struct(F.lit("c").alias("tag"), F.col("CustomerID").alias("key"), zero("UnitPrice").alias("UnitPrice"),
+                           zero("Quantity").alias("Quantity"), zero("TotalRevenue").alias("TotalRevenue"))
+    tagged = clean_product.select("Description", F.explode(F.array(by_invoice, by_customer)).alias("r")).select("Description", "r.*")
+    merged = tagged.groupBy("Description", "tag", "key").agg(
+        F.sum("UnitPrice").alias("price"), F.count("UnitPrice").alias("prices"), F.sum("Quantity").alias("quantity"),
+        F.sum("TotalRevenue").alias("revenue"))
+    present = F.col("key").isNotNull()
+    return merged.groupBy("Description").agg(
+        (F.sum("price").cast("double") / F.sum("prices")).alias("avg_price"),
+        F.sum("quantity").cast("bigint").alias("total_quantity"),
+        F.count_if((F.col("tag") == "i") & present).alias("num_transactions"),
+        F.count_if((F.col("tag") == "c") & present).alias("num_customers"),
+        F.sum("revenue").cast("double").alias("total_revenue"),
     )
 
 
@@ -66,8 +79,8 @@ def build_product_features(clean_product: DataFrame, revenue_quantile: float = 0
 
     The cap is the exact linear-interpolated quantile over all products,
     computed without gathering the catalogue in one task
-    (``quantiles.exact_quantiles``); ``exact_cap=False`` switches to
-    ``percentile_approx``.  The per-product table is checkpointed once: the
+    (``quantiles.exact_quantiles``); ``exact_cap=False`` takes
+    ``percentile_approx`` instead.  The per-product table is written once: the
     cap and the filter both read it, instead of aggregating all lines twice.
     """
     agg = materialize(product_aggregates(clean_product))
@@ -83,11 +96,11 @@ def describe(df: DataFrame, features: list[str]) -> DataFrame:
 
     Exact quartiles (``df.summary`` is approximate) from the distributed
     quantile operator; the moments are one aggregation over the features
-    unpivoted to (feature, value).
+    unpivoted to (feature, value).  The unpivoted table is written once for both.
     """
-    long = df.select(F.explode(F.array(*[
+    long = materialize(df.select(F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("p")
-    ).select("p.feature", "p.v")
+    ).select("p.feature", "p.v"))
     moments = long.groupBy("feature").agg(
         F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
         F.min("v").alias("min"), F.max("v").alias("max"))

@@ -3,20 +3,15 @@
 Level-wise plan (lengths 1..max_len):
 
 1. level 1 = item counts over the distinct ``(basket, item)`` pairs;
-2. baskets are reduced to their frequent items and *identical baskets are
-   merged* into one weighted signature row (``groupBy(items).count()``), so a
-   basket pattern repeated millions of times is expanded once, with a weight;
-   the signature table is checkpointed and given a stable id;
-3. level k+1 extends every frequent level-k prefix found in a signature by the
+2. every basket becomes one row with its sorted frequent items, written once;
+3. level k+1 extends every frequent k-itemset found in a basket's row by the
    items that follow it (items are sorted, so each itemset is generated once),
-   sums the weights per candidate (partial aggregation before the shuffle) and
-   keeps candidates with ``freq / N >= min_support``.
-
-Candidate rows stay narrow — (signature id, weight, prefix, position) — and
-fetch the signature's items only where they are extended (a join on the
-signature id), instead of dragging every basket's item array through each
-level.  Level-2 rows are regenerated from the cached signatures rather than
-written out.  Arrays are bounded by the kept-item cap of the basket build.
+   counts each candidate (partial aggregation before the shuffle) and keeps those
+   with ``freq / N >= min_support``; each level is written.
+
+Candidate rows never leave their basket's row: infrequent ones are dropped by a semi
+join with the level's frequent itemsets, whose number is known once they are written.  Up to
+``BROADCAST_ITEMSETS`` they are broadcast; more than that (a support far below use) are joined by key.
 """
 from __future__ import annotations
 
@@ -36,51 +31,46 @@ def _finish(df: DataFrame, n_baskets: int) -> DataFrame:
     )
 
 
-def _extend(rows: DataFrame, signatures: DataFrame) -> DataFrame:
-    """(sig, w, prefix, pos) -> every extension by an item after ``pos``."""
-    with_items = rows.join(signatures.select("sig", "items"), "sig")
-    return (with_items
-            .select("sig", "w", "prefix", "pos",
-                    F.posexplode(F.slice("items", F.col("pos") + 2, F.size("items"))).alias("off", "item"))
-            .select("sig", "w", F.concat("prefix", F.array("item")).alias("prefix"),
-                    (F.col("pos") + 1 + F.col("off")).alias("pos")))
+#: Itemsets of one level that may be broadcast (tens of MB).
+BROADCAST_ITEMSETS = 200_000
+
+
+def _only(rows: DataFrame, frequent: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is in a written table of frequent items or itemsets."""
+    small = frequent.count() <= BROADCAST_ITEMSETS
+    return rows.join(F.broadcast(frequent) if small else frequent, key, "left_semi")
 
 
-def _pairs(signatures: DataFrame) -> DataFrame:
-    """Level-2 candidate rows generated inside each signature (no join)."""
-    return (signatures
-            .select("sig", "w", "items", F.posexplode("items").alias("pos", "a"))
-            .select("sig", "w", "a", "pos",
-                    F.posexplode(F.slice("items", F.col("pos") + 2, F.size("items"))).alias("off", "b"))
-            .select("sig", "w", F.array("a", "b").alias("prefix"), (F.col("pos") + 1 + F.col("off")).alias("pos")))
+def _extended(rows: DataFrame) -> DataFrame:
+    """(items, itemset, pos) -> every extension by an item after ``pos``."""
+    return rows.select("items", "itemset", "pos", F.posexplode(F.slice("items", F.col("pos") + 2, F.size("items"))).alias("off", "item")).select(
+        "items", F.concat("itemset", F.array("item")).alias("itemset"), (F.col("pos") + 1 + F.col("off")).alias("pos"))
 
 
 def frequent_itemsets(pairs: DataFrame, n_baskets: int, min_support: float,
                       max_len: int = 3) -> DataFrame:
-    """``pairs``: distinct ``(basket, item)``; returns ``items, freq, support, length``."""
+    """``pairs``: distinct ``(basket, item)``; returns ``items, freq, support, length`` (written once)."""
     if n_baskets <= 0:
         return _finish(pairs.sparkSession.createDataFrame([], "items array<string>, freq bigint"), 1)
     frequent = (F.col("freq") / F.lit(n_baskets)) >= F.lit(min_support)
 
-    l1 = pairs.groupBy("item").agg(F.count(F.lit(1)).alias("freq")).filter(frequent)
+    l1 = materialize(pairs.groupBy("item").agg(F.count(F.lit(1)).alias("freq")).filter(frequent))
     levels = [l1.select(F.array("item").alias("items"), "freq")]
     if max_len >= 2:
-        signatures = materialize(
-            pairs.join(l1.select("item"), "item", "left_semi")
-                 .groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("items"))
-                 .groupBy("items").agg(F.count(F.lit(1)).alias("w"))
-                 .withColumn("sig", F.monotonically_increasing_id()))
-        ext = _pairs(signatures)
+        baskets = materialize(_only(pairs, l1.select("item"), "item")
+                              .groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("items"))
+                              .filter(F.size("items") > 1).select("items"))
+        rows = baskets.select("items", F.posexplode("items").alias("pos", "item")).select("items", F.array("item").alias("itemset"), "pos")
         for k in range(2, max_len + 1):
-            counts = ext.groupBy("prefix").agg(F.sum("w").alias("freq")).filter(frequent)
+            rows = _extended(rows)
+            counts = materialize(rows.groupBy("itemset").agg(F.count(F.lit(1)).alias("freq")).filter(frequent))
+            levels.append(counts.select(F.col("itemset").alias("items"), "freq"))
             if k < max_len:
-                counts = materialize(counts)  # bounded by the candidate count
-                ext = _extend(ext.join(counts.select("prefix"), "prefix", "left_semi"), signatures)
-            levels.append(counts.select(F.col("prefix").alias("items"), "freq"))
+                rows = _only(rows, counts.select("itemset"), "itemset")
     out = levels[0]
     for lvl in levels[1:]:
         out = out.unionByName(lvl)
-    return _finish(out, n_baskets)
+    return materialize(_finish(out, n_baskets))
 
 
 def frequent_itemsets_fpgrowth(arrays: DataFrame, min_support: float, max_len: int = 3) -> DataFrame:

@@ -2,19 +2,20 @@
 
 Two engines:
 
-* ``FixedKMeans`` — Lloyd iterations in integer space (``z_milli`` columns),
+* ``FixedKMeansModel`` — Lloyd iterations in integer space (``z_milli`` columns),
   fully deterministic, so every downstream segment query has an exact SQL
-  oracle.  Each iteration is one pass over the (checkpointed) point table:
-  the nearest centre is a column expression over the k centres held as
-  literals, and the new centres are a ``groupBy(cluster)`` with partial
-  aggregation — k rows cross the shuffle per partition and only the k centres
-  reach the driver.  Initial centres: the k distinct points whose smallest id
-  comes first.  Ties go to the lower centre id; an empty cluster keeps its
-  centre.
+  oracle.  ``N_INIT`` starts run side by side until each has converged (at most
+  ``MAX_ITER`` iterations, else an error) and the one with the least inertia is
+  kept.  An iteration is one pass over the cached point table: Arrow batches are
+  assigned to the broadcast centres (starts x k small vectors) and give sums,
+  so starts x k rows cross the shuffle per batch and only these reach the driver.
+  The plan does not change with the centres.  Start s takes the first k distinct
+  points in the order of ``md5("s:id")``.  Ties go to the lower centre, then the
+  lower start; an empty cluster keeps its centre.
 * ``train_kmeans`` — ``pyspark.ml.clustering.KMeans`` (k-means||) with
   restarts over seeds, the sweep over k with training cost and silhouette
-  (``ClusteringEvaluator``: squared Euclidean, the metric Spark offers), and
-  ``PipelineModel`` persistence.
+  (``ClusteringEvaluator``: squared Euclidean, the metric Spark offers), and a
+  ``PipelineModel`` (scaler and clusters) that is saved, loaded and scored with.
 
 Cluster labels (M13) are derived from the centroid means in original units;
 an explicit id -> label map can override them.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from tillroll.operators.scaling import ScalerModel, fit_scaler
 from tillroll.session import materialize
 
-KEY_BASE = 16  # centre id packed into the distance key; k <= 16
+N_INIT, MAX_ITER = 10, 300
 
 
 def _milli(features: list[str]) -> list[str]:
@@ -39,20 +40,11 @@ def _milli(features: list[str]) -> list[str]:
 
 def nearest_centre(zcols: list[str], centres: list[list[int]]) -> Column:
     """Cluster id of the nearest centre (squared distance, ties -> lower id)."""
-    keys = []
+    options = []
     for j, c in enumerate(centres):
-        dist = None
-        for col, v in zip(zcols, c):
-            d = (F.col(col) - F.lit(int(v)))
-            term = d * d
-            dist = term if dist is None else dist + term
-        keys.append(dist * F.lit(KEY_BASE) + F.lit(j))
-    key = keys[0] if len(keys) == 1 else F.least(*keys)
-    return F.pmod(key, F.lit(KEY_BASE)).cast("int")
-
-
-def _floor_div(s: Column, n: Column) -> Column:
-    return ((s - F.pmod(s, n)) / n).cast("bigint")
+        terms = [(F.col(col) - F.lit(int(v))) * (F.col(col) - F.lit(int(v))) for col, v in zip(zcols, c)]
+        options.append(F.struct(sum(terms[1:], terms[0]).alias("distance"), F.lit(j).alias("cluster")))
+    return (options[0] if len(options) == 1 else F.least(*options))["cluster"].cast("int")
 
 
 @dataclass
@@ -62,6 +54,7 @@ class FixedKMeansModel:
     centres: list[list[int]]
     iterations: int = 0
     converged: bool = False
+    inertia: int = 0
     labels: dict[int, str] = field(default_factory=dict)
 
     @property
@@ -88,41 +81,76 @@ class FixedKMeansModel:
                                 labels={int(k): v for k, v in d["labels"].items()})
 
 
-def initial_centres(points: DataFrame, id_col: str, zcols: list[str], k: int) -> list[list[int]]:
-    first = (points.groupBy(*zcols).agg(F.min(id_col).alias("_first"))
-             .orderBy("_first").limit(k).collect())  # k rows
-    return [[int(r[c]) for c in zcols] for r in first]
+def initial_centres(points: DataFrame, id_col: str, zcols: list[str], k: int, start: int) -> list[list[int]]:
+    """The first k distinct points in the start's order; a few rows are taken, more only while they repeat."""
+    order, n = F.md5(F.concat(F.lit(f"{start}:"), F.col(id_col).cast("string")).cast("binary")), 4 * k
+    while True:
+        rows = points.select(*zcols, order.alias("_o")).orderBy("_o").limit(n).collect()
+        distinct = list(dict.fromkeys(tuple(int(r[c]) for c in zcols) for r in rows))
+        if len(distinct) >= k or len(rows) < n:
+            return [list(c) for c in distinct[:k]]
+        n *= 4
 
 
 def fit_fixed_kmeans(df: DataFrame, id_col: str, features: list[str], k: int = 4,
-                     max_iter: int = 20) -> FixedKMeansModel:
-    if not 1 <= k <= KEY_BASE:
-        raise ValueError(f"k must be in 1..{KEY_BASE}")
+                     max_iter: int = MAX_ITER, n_init: int = N_INIT) -> FixedKMeansModel:
     scaler = fit_scaler(df, features)
     zcols = _milli(features)
     points = materialize(scaler.transform(df.select(id_col, *features)).select(id_col, *zcols),
                          keep_in_memory=True)
     try:
-        return _lloyd(points, id_col, zcols, features, scaler, k, max_iter)
+        return _lloyd(points, id_col, zcols, features, scaler, k, max_iter, n_init)
     finally:
         points.unpersist()
 
 
-def _lloyd(points, id_col, zcols, features, scaler, k, max_iter) -> FixedKMeansModel:
-    centres = initial_centres(points, id_col, zcols, k)
-    it, converged = 0, False
-    while it < max_iter:
+def _step(points: DataFrame, zcols: list[str], centres: dict[int, list[list[int]]]) -> dict[tuple[int, int], tuple[int, int, list[int]]]:
+    """(start, cluster) -> members, sum of squared distances, sums of the coordinates."""
+    shared = points.sparkSession.sparkContext.broadcast(centres)
+    names = ["start", "cluster", "n", "cost", *zcols]
+
+    def sums(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy() for c in zcols], axis=1)
+            rows = []
+            for start, own in shared.value.items():
+                d = ((x[:, None, :] - np.array(own, np.int64)[None]) ** 2).sum(axis=2)
+                nearest = d.argmin(axis=1)
+                for j in range(len(own)):
+                    mine = nearest == j
+                    if mine.any():
+                        rows.append([start, j, int(mine.sum()), int(d[mine, j].sum()), *x[mine].sum(axis=0).tolist()])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))], names)
+
+    schema = ", ".join(f"`{n}` long" for n in names)
+    partial = points.select(*zcols).mapInArrow(sums, schema)
+    total = partial.groupBy("start", "cluster").agg(*[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in names[2:]])
+    out = {(r["start"], r["cluster"]): (int(r["n"]), int(r["cost"]), [int(r[c]) for c in zcols]) for r in total.collect()}
+    shared.unpersist()
+    return out
+
+
+def _lloyd(points, id_col, zcols, features, scaler, k, max_iter, n_init) -> FixedKMeansModel:
+    centres = {s: initial_centres(points, id_col, zcols, k, s) for s in range(n_init)}
+    if not centres or not centres[0]:
+        return FixedKMeansModel(list(features), scaler, [], converged=True)
+    open_, inertia, it = set(centres), {}, 0
+    while open_ and it < max_iter:
         it += 1
-        sums = (points.withColumn("_c", nearest_centre(zcols, centres))
-                .groupBy("_c").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in zcols]))
-        new = {r["_c"]: [int(r[c]) for c in zcols] for r in
-               sums.select("_c", *[_floor_div(F.col(c), F.col("_n")).alias(c) for c in zcols]).collect()}
-        nxt = [new.get(j, centres[j]) for j in range(len(centres))]
-        if nxt == centres:
-            converged = True
-            break
-        centres = nxt
-    return FixedKMeansModel(list(features), scaler, centres, iterations=it, converged=converged)
+        found = _step(points, zcols, {s: centres[s] for s in open_})
+        for s in sorted(open_):
+            inertia[s] = sum(found[s, j][1] for j in range(len(centres[s])) if (s, j) in found)
+            new = [[v // found[s, j][0] for v in found[s, j][2]] if (s, j) in found else c for j, c in enumerate(centres[s])]
+            if new == centres[s]:
+                open_.discard(s)
+            centres[s] = new
+    if open_:
+        raise RuntimeError(f"K-Means starts {sorted(open_)} have not converged after {max_iter} iterations")
+    best = min(centres, key=lambda s: (inertia[s], s))
+    return FixedKMeansModel(list(features), scaler, centres[best], iterations=it, converged=True, inertia=inertia[best])
 
 
 def cluster_means(assigned: DataFrame, features: list[str], cluster_col: str = "Cluster",
@@ -195,7 +223,7 @@ def attach_labels(assigned: DataFrame, spark: SparkSession, labels: dict[int, st
             .drop("_label"))
 
 
-def segment(df: DataFrame, id_col: str, features: list[str], kind: str, k: int = 4, max_iter: int = 20,
+def segment(df: DataFrame, id_col: str, features: list[str], kind: str, k: int = 4, max_iter: int = MAX_ITER,
             money: dict[str, str] | None = None,
             labels: dict[int, str] | None = None) -> tuple[DataFrame, FixedKMeansModel]:
     """Fit the fixed K-Means, assign every row, label the clusters.
@@ -211,13 +239,19 @@ def segment(df: DataFrame, id_col: str, features: list[str], kind: str, k: int =
 
 
 # ------------------------------------------------------------ trained model --
-def _vector_pipeline(features: list[str], ddof: int = 0):
+def _vector_pipeline(df: DataFrame, features: list[str], ddof: int = 0):
+    """Fitted scaling stages.  Spark's ``StandardScaler`` divides by the sample
+    deviation; ``SQLTransformer`` writes out the population form (``ddof=0``) and is
+    saved with the pipeline like any stage."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.feature import SQLTransformer, VectorAssembler
 
-    stages = [VectorAssembler(inputCols=features, outputCol="_raw")]
-    stages.append(StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True))
-    return Pipeline(stages=stages)
+    scaler = fit_scaler(df, features, ddof, grid=False)
+    scaled = [f"(CAST(`{f}` AS DOUBLE) - {m!r}D) / {s!r}D AS `_z_{f}`" if s else f"0D AS `_z_{f}`"
+              for f, m, s in zip(features, scaler.means, scaler.stds)]
+    stages = [SQLTransformer(statement=f"SELECT *, {', '.join(scaled)} FROM __THIS__"),
+              VectorAssembler(inputCols=[f"_z_{f}" for f in features], outputCol="features")]
+    return Pipeline(stages=stages).fit(df)
 
 
 def _fit_restarts(vectors: DataFrame, specs: list[tuple[int, int]], max_iter: int, tol: float,
@@ -246,7 +280,7 @@ def train_kmeans(df: DataFrame, features: list[str], k: int = 4, seed: int = 42,
     is cached once and shared by all restarts.  Returns (PipelineModel, cost)."""
     from pyspark.ml import PipelineModel
 
-    scaler_model = _vector_pipeline(features).fit(df)
+    scaler_model = _vector_pipeline(df, features)
     vectors = scaler_model.transform(df).select("features").cache()
     try:
         fits = _fit_restarts(vectors, [(k, s) for s in range(seed, seed + n_init)], max_iter, tol, workers)
@@ -264,7 +298,7 @@ def k_sweep(df: DataFrame, features: list[str], ks=range(2, 11), seed: int = 42,
     on that best model's assignment."""
     from pyspark.ml.evaluation import ClusteringEvaluator
 
-    scaler_model = _vector_pipeline(features).fit(df)
+    scaler_model = _vector_pipeline(df, features)
     vectors = scaler_model.transform(df).select("features").cache()
     try:
         specs = [(k, s) for k in ks for s in range(seed, seed + n_init)]
@@ -279,3 +313,38 @@ def k_sweep(df: DataFrame, features: list[str], ks=range(2, 11), seed: int = 42,
     finally:
         vectors.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+
+
+def save_pipeline(model, path: str) -> None:
+    """Scaler and clusters as one ``PipelineModel``."""
+    model.write().overwrite().save(path)
+
+
+def load_pipeline(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
+def score_trained(model, df: DataFrame, features: list[str], kind: str, money: dict[str, str] | None = None) -> DataFrame:
+    """Rows with the trained model's Cluster and, by the same rules as the fixed engine's, Segment."""
+    assigned = model.transform(df).select(*df.columns, F.col("Cluster").cast("int").alias("Cluster"))
+    means = [r.asDict() for r in cluster_means(assigned, features, exact=money).collect()]  # k rows
+    labels = label_customer_clusters(means) if kind == "customer" else label_product_clusters(means)
+    return attach_labels(assigned, df.sparkSession, labels)
+
+
+def trained_invariants(model, df: DataFrame, cost: float) -> DataFrame:
+    """What must hold for any trained model: each row's centre is the nearest one, and the
+    training cost is the sum of the squared distances to it.  One row: n_rows, n_clusters,
+    n_not_nearest, inertia_holds."""
+    from pyspark.ml.functions import vector_to_array
+
+    centres = [[float(v) for v in c] for c in model.stages[-1].clusterCenters()]
+    x = model.transform(df).select("Cluster", vector_to_array("features").alias("x"))
+    distance = [F.aggregate(F.zip_with("x", F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b) for c in centres]
+    d = x.select("Cluster", F.array(*distance).alias("d"))
+    own = F.element_at("d", F.col("Cluster") + 1)
+    out = d.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(own > F.array_min("d") + 1e-9).alias("n_not_nearest"), F.sum(own).alias("cost"))
+    return out.select("n_rows", F.lit(len(centres)).cast("bigint").alias("n_clusters"), "n_not_nearest",
+                      (F.abs(F.col("cost") - F.lit(float(cost))) <= 1e-6 * F.greatest(F.lit(1.0), F.col("cost"))).alias("inertia_holds"))

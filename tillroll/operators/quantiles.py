@@ -9,7 +9,7 @@ in one buffer.  Here a group is never gathered:
    partition — a value repeated millions of times becomes one row);
 2. a range partition of ``(group, value)``: a large group spans many
    partitions in value order (boundaries come from sampling, so it stays
-   balanced); the table is checkpointed so both uses below see the same
+   balanced); the table is written once so both uses below see the same
    partitioning;
 3. per (group, partition) block counts — a table of at most groups x
    partitions rows — give each block's rank range;
@@ -19,13 +19,6 @@ in one buffer.  Here a group is never gathered:
 
 Interpolation is the same as Spark's ``percentile`` (linear between the two
 neighbouring ranks, pandas/numpy "linear").
-
-Like a broadcast behind a size check, the cheap plan is used when it is
-provably small: after step 1 one aggregation measures the widest group (its
-number of distinct values); up to ``max_distinct`` the quantiles come from
-Spark's ``percentile`` over the (value, multiplicity) rows — exact, one pass,
-a buffer bounded by the checked size — and only wider groups take the
-range-partitioned plan.
 """
 from __future__ import annotations
 
@@ -35,29 +28,14 @@ from pyspark.sql import functions as F
 from tillroll.session import materialize
 
 
-# Distinct values one task may hold in a percentile buffer (~tens of MB).
-MAX_DISTINCT_IN_ONE_TASK = 1_000_000
-
-
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float],
-                    max_distinct: int = MAX_DISTINCT_IN_ONE_TASK) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float]) -> DataFrame:
     """One row per group and quantile: ``keys..., q, value`` (nulls ignored;
-    groups without values are absent)."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups without values are absent).  The same plan at every size."""
     if not keys:  # one global group: an internal constant key
-        out = exact_quantiles(df.withColumn("_g", F.lit(0)), ["_g"], value, qs, max_distinct)
-        return out.drop("_g")
+        return exact_quantiles(df.withColumn("_g", F.lit(0)), ["_g"], value, qs).drop("_g")
     vals = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     counted = vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_m"))
-    widest = counted.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0  # one number
-    if widest <= max_distinct:
-        qarr = F.array(*[F.lit(float(q)) for q in qs])
-        per_group = counted.groupBy(*keys).agg(F.percentile("_v", qarr, F.col("_m")).alias("_vals"))
-        return per_group.select(*keys, F.posexplode("_vals").alias("_i", "value")).select(
-            *keys, F.element_at(qarr, F.col("_i") + 1).alias("q"), "value")
-    ranged = materialize(counted.repartitionByRange(parts, *keys, "_v")
-                         .withColumn("_pid", F.spark_partition_id()))
+    ranged = materialize(counted.repartitionByRange(*keys, "_v").withColumn("_pid", F.spark_partition_id()))
     return _select(ranged, keys, qs)
 
 
@@ -95,10 +73,9 @@ def _select(ranged: DataFrame, keys: list[str], qs: list[float]) -> DataFrame:
     return out.select(*keys, F.col("_q").alias("q"), val.alias("value"))
 
 
-def quantile_columns(df: DataFrame, keys: list[str], value: str, named: dict[str, float],
-                     max_distinct: int = MAX_DISTINCT_IN_ONE_TASK) -> DataFrame:
+def quantile_columns(df: DataFrame, keys: list[str], value: str, named: dict[str, float]) -> DataFrame:
     """Wide form: one row per group, one column per named quantile."""
-    q = exact_quantiles(df, keys, value, list(named.values()), max_distinct)
+    q = exact_quantiles(df, keys, value, list(named.values()))
     aggs = [F.max(F.when(F.col("q") == F.lit(float(v)), F.col("value"))).alias(n) for n, v in named.items()]
     if keys:
         return q.groupBy(*keys).agg(*aggs)

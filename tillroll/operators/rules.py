@@ -95,15 +95,25 @@ def _interpretation() -> Column:
                     F.col("consequents_str"), F.lit("'"))
 
 
+#: Distinct antecedent texts that may be broadcast.
+BROADCAST_ANTECEDENTS = 100_000
+
+
 def recommend_batch(rules: DataFrame, products: DataFrame, top_n: int = 5) -> DataFrame:
-    """Batch form of M10: for every product in ``products(product)``, the top_n
-    rules having it as an antecedent item.  Equi-join on the exploded
-    antecedent (no pattern x rule product); per-product top-k via
-    ``row_number`` — Catalyst adds a ``WindowGroupLimit`` before the shuffle."""
-    exploded = rules.select("*", F.explode("antecedent").alias("product"))
-    joined = exploded.join(products.select("product").distinct(), "product")
+    """Batch form of M10: for every product in ``products(product)``, the top_n rules
+    whose antecedent text contains it (case-insensitive, as the single form does; literal text).
+
+    Products are matched against the distinct antecedent texts only — a mined, counted and so
+    bounded table — and the matches joined to the rules by equality.  More antecedents than
+    ``BROADCAST_ANTECEDENTS`` are an error, not a silent cut.  Per-product top-k: ``WindowGroupLimit``.
+    """
+    texts = rules.select("antecedents_str").distinct()
+    if texts.count() > BROADCAST_ANTECEDENTS:
+        raise ValueError("too many distinct antecedents: mine with a higher support")
+    wanted = products.select("product").filter("product is not null").distinct()
+    hits = wanted.join(F.broadcast(texts), F.lower("antecedents_str").contains(F.lower("product")))
     w = Window.partitionBy("product").orderBy(*rule_order())
-    return (joined.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
+    return (hits.join(rules, "antecedents_str").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
             .select("product", "rank", F.col("consequents_str").alias("recommended_product"),
                     "antecedents_str", "confidence", "lift", "support"))
 
@@ -126,6 +136,9 @@ def top_rules(rules: DataFrame, n: int = 20) -> DataFrame:
         *RULE_COLS,
         F.concat(F.substring("antecedents_str", 1, 30), F.lit("  →  "),
                  F.substring("consequents_str", 1, 25)).alias("label"),
+        F.concat(F.substring("antecedents_str", 1, 38), F.lit("  →  "),
+                 F.substring("consequents_str", 1, 33)).alias("long_label"),
+        (F.col("confidence") * 100).alias("confidence_pct"),
         ((F.col("lift") - mn) / (mx - mn + F.lit(1e-9))).alias("strength"))
 
 
@@ -146,6 +159,19 @@ def rule_matrix_wide(rules: DataFrame, n: int = 15) -> DataFrame:
     return (top.groupBy("antecedents_str").pivot("consequents_str").agg(F.max("lift")).na.fill(0.0))
 
 
+def rule_grid(rules: DataFrame, n: int = 15) -> DataFrame:
+    """A15 grid with its cells in one column: a row per antecedent of the top n rules with the
+    lifts of all their consequents in text order, missing cells 0."""
+    top = rules.orderBy(*rule_order()).limit(n)
+    cells = top.groupBy("antecedents_str", "consequents_str").agg(F.max("lift").alias("lift"))
+    columns = cells.agg(F.array_sort(F.collect_set("consequents_str")).alias("columns")).select("columns").scalar()  # <= n texts
+    by_row = cells.groupBy("antecedents_str").agg(F.map_from_entries(F.collect_list(F.struct("consequents_str", "lift"))).alias("m"))
+    return by_row.withColumn("columns", columns).select(
+        F.substring("antecedents_str", 1, 35).alias("row_label"), "antecedents_str", F.array_join("columns", " | ").alias("consequents"),
+        F.explode(F.transform("columns", lambda c: F.struct(c.alias("consequents_str"), F.coalesce(F.element_at("m", c), F.lit(0.0)).alias("lift")))).alias("cell")
+    ).select("row_label", "antecedents_str", F.col("cell.consequents_str").alias("consequents_str"), F.col("cell.lift").alias("lift"))
+
+
 def top50_export(rules: DataFrame, n: int = 50) -> DataFrame:
     """Q22: the export columns under their display names."""
     return (rules.orderBy(*rule_order()).limit(n)

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GRID = 1e6
@@ -39,28 +39,20 @@ class ScalerModel:
         return out.withColumns({f"{prefix}{f}_milli": F.floor(F.col(f"{prefix}{f}") * 1000).cast("bigint")
                                 for f in self.features})
 
-    def to_df(self, spark: SparkSession) -> DataFrame:
-        rows = list(zip(self.features, self.means, self.stds))
-        return spark.createDataFrame(rows, "feature string, mean double, std double")
 
-    @staticmethod
-    def from_df(df: DataFrame) -> "ScalerModel":
-        rows = df.collect()  # one row per feature
-        return ScalerModel([r.feature for r in rows], [r.mean for r in rows], [r.std for r in rows])
-
-
-def moments(df: DataFrame, features: list[str], ddof: int = 0) -> DataFrame:
-    """One row: ``<f>__mean``, ``<f>__std`` per feature (grid-rounded)."""
+def moments(df: DataFrame, features: list[str], ddof: int = 0, grid: bool = True) -> DataFrame:
+    """One row: ``<f>__mean``, ``<f>__std`` per feature (grid-rounded unless ``grid`` is off)."""
     std = F.stddev_pop if ddof == 0 else F.stddev_samp
+    keep = _grid if grid else (lambda c: c)
     aggs = []
     for f in features:
         x = F.col(f).cast("double")
-        aggs += [_grid(F.avg(x)).alias(f"{f}__mean"), _grid(std(x)).alias(f"{f}__std")]
+        aggs += [keep(F.avg(x)).alias(f"{f}__mean"), keep(std(x)).alias(f"{f}__std")]
     return df.agg(*aggs)
 
 
-def fit_scaler(df: DataFrame, features: list[str], ddof: int = 0) -> ScalerModel:
-    row = moments(df, features, ddof).first()  # a single row of 2 x features numbers
+def fit_scaler(df: DataFrame, features: list[str], ddof: int = 0, grid: bool = True) -> ScalerModel:
+    row = moments(df, features, ddof, grid).first()  # a single row of 2 x features numbers
     return ScalerModel(list(features), [row[f"{f}__mean"] for f in features],
                        [row[f"{f}__std"] for f in features])
 

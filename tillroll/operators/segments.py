@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tillroll.functions import dims
 from tillroll.operators.quantiles import quantile_columns
 from tillroll.operators.rules import round_half_up, rule_order
+from tillroll.session import materialize
 
 
 def segment_counts(seg: DataFrame, segment_col: str = "Segment") -> DataFrame:
@@ -73,32 +74,40 @@ def segment_profile(seg: DataFrame, features: list[str], invert: tuple[str, ...]
     return means.select(*cols)
 
 
-def segment_boxplot(seg: DataFrame, features: list[str]) -> DataFrame:
-    """Q17/A14 (long form: one row per segment x feature): quartiles (linear
-    interpolation), whiskers = most extreme values inside Q1 - 1.5 IQR /
-    Q3 + 1.5 IQR, number of outliers beyond them.
+def _fenced(seg: DataFrame, id_col: str | None, features: list[str]) -> DataFrame:
+    """Every (segment, feature, value) beside its quartiles; the unpivoted table is written once for both passes.
 
     Quartiles are exact and distributed (``quantiles.exact_quantiles``: a
-    segment holding a third of all rows is never gathered in one task).  The
-    whiskers need the fences, so the quartile rows (segments x features) are
-    joined back to the data once.
-    """
+    segment holding a third of all rows is never gathered in one task)."""
+    ids = [F.col(id_col).alias("id")] if id_col else []
     long = seg.filter(F.col("Segment").isNotNull()).select(
-        "Segment", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v"))
-                                       for f in features])).alias("p")).select("Segment", "p.feature", "p.v")
+        "Segment", *ids, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v"))
+                                             for f in features])).alias("p")).select("Segment", *(["id"] if id_col else []), "p.feature", "p.v")
+    long = materialize(long)
     q = quantile_columns(long, ["Segment", "feature"], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     fenced = long.join(F.broadcast(q), ["Segment", "feature"])  # segments x features rows
     lo_f = F.col("q1") - 1.5 * F.col("iqr")
     hi_f = F.col("q3") + 1.5 * F.col("iqr")
-    inside = (F.col("v") >= lo_f) & (F.col("v") <= hi_f)
-    return fenced.groupBy("Segment", "feature", "q1", "median", "q3", "iqr").agg(
-        F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
-        F.count_if(~inside).alias("n_outliers"),
+    return fenced.withColumn("inside", (F.col("v") >= lo_f) & (F.col("v") <= hi_f))
+
+
+def segment_boxplot(seg: DataFrame, features: list[str]) -> DataFrame:
+    """Q17/A14 (long form: one row per segment x feature): quartiles (linear
+    interpolation), whiskers = most extreme values inside Q1 - 1.5 IQR /
+    Q3 + 1.5 IQR, number of outliers beyond them."""
+    return _fenced(seg, None, features).groupBy("Segment", "feature", "q1", "median", "q3", "iqr").agg(
+        F.min(F.when(F.col("inside"), F.col("v"))).alias("whisker_low"),
+        F.max(F.when(F.col("inside"), F.col("v"))).alias("whisker_high"),
+        F.count_if(~F.col("inside")).alias("n_outliers"),
         F.count(F.lit(1)).alias("n"))
 
 
+def boxplot_outliers(seg: DataFrame, id_col: str, features: list[str]) -> DataFrame:
+    """A14's points beyond the whiskers: Segment, feature, id, value."""
+    return _fenced(seg, id_col, features).filter(~F.col("inside")).select("Segment", "feature", "id", F.col("v").alias("value"))
+
+
 def top_per_segment(seg: DataFrame, order_col: str, id_col: str, n: int) -> DataFrame:
     """Top n rows by ``order_col`` (desc, ties by id) within each segment;
     Catalyst limits each partition (``WindowGroupLimit``) before the shuffle."""
@@ -134,6 +143,13 @@ def products_by_segment(spark: SparkSession, products: DataFrame, limit: int = 2
                     F.least(F.col("segment_size"), F.lit(limit)).alias("count"), "segment_size", "action"))
 
 
+def products_of_segment(spark: SparkSession, products: DataFrame, segment: str, limit: int = 20) -> DataFrame:
+    """Q8/F11 for one segment; a name outside the four segments is an error that lists them."""
+    if segment not in dims.PRODUCT_SEGMENTS:
+        raise ValueError(f"invalid segment {segment!r}: choose from {dims.PRODUCT_SEGMENTS}")
+    return products_by_segment(spark, products.filter(F.col("Segment") == segment), limit)
+
+
 def customer_lookup(spark: SparkSession, customers: DataFrame, ids: DataFrame) -> DataFrame:
     """Q2 in batch form: ``ids(customer_id)`` semi-joined to the segmented
     customers by text equality (unknown ids give no row)."""
@@ -211,7 +227,7 @@ def campaign_targets(spark: SparkSession, customers: DataFrame) -> DataFrame:
     summary = segment_counts(customers)
     camp = F.broadcast(dims.campaign_dim(spark))
     return (camp.join(summary, "Segment", "left")
-            .select("Segment", "strategy", F.explode("channels").alias("channel"),
+            .select("Segment", "strategy", "campaign_description", F.explode("channels").alias("channel"),
                     F.coalesce("count", F.lit(0)).cast("bigint").alias("target_count"),
                     F.coalesce("percentage", F.lit(0.0)).alias("percentage"),
                     customers.select(F.count(F.lit(1))).scalar().alias("addressable_audience")))

@@ -33,17 +33,25 @@ def user_roles(spark: SparkSession, users: DataFrame) -> DataFrame:
 
 
 def check_new_accounts(requests: DataFrame, existing: DataFrame) -> DataFrame:
-    """each request gets a status — missing_fields (empty name or e-mail),
-    invalid_role, duplicate_email (already registered: anti/semi join on the
-    e-mail; or a second request for the same e-mail in the batch) or accepted."""
-    taken = existing.select(F.lower("email").alias("_email")).distinct().withColumn("_taken", F.lit(True))
-    req = requests.withColumn("_email", F.lower("email"))
-    first = req.groupBy("_email").agg(F.min("request_id").alias("_first"))
-    j = req.join(taken, "_email", "left").join(first, "_email", "left")
-    blank = (F.coalesce(F.length(F.trim("name")), F.lit(0)) == 0) | (F.coalesce(F.length(F.trim("email")), F.lit(0)) == 0)
-    status = (F.when(blank, F.lit("missing_fields"))
-               .when(~F.col("role").isin(dims.ROLES), F.lit("invalid_role"))
-               .when(F.coalesce("_taken", F.lit(False)) | (F.col("request_id") != F.col("_first")),
-                     F.lit("duplicate_email"))
-               .otherwise(F.lit("accepted")))
-    return j.select("request_id", "name", "email", "role", status.alias("status"))
+    """What happens to each request if they are handled in the order of ``arrival``.
+
+    missing_fields (empty name or e-mail); else duplicate_email (the e-mail, compared
+    exactly, is registered already or was by an earlier accepted request); else
+    invalid_role; else accepted.  Only an accepted request claims its e-mail: the first
+    valid one by (arrival, request_id).  Requests without an e-mail never enter the joins, so
+    blanks are no hot key.
+    """
+    blank = lambda c: F.coalesce(F.length(F.trim(c)), F.lit(0)) == 0
+    missing = blank("name") | blank("email")
+    out = ["request_id", "name", "email", "role"]
+    whole = requests.filter(~missing)
+    valid = F.col("role").isin(dims.ROLES)
+    turn = F.struct("arrival", "request_id")
+    taken = existing.select("email").distinct().withColumn("_taken", F.lit(True))
+    claims = whole.filter(F.coalesce(valid, F.lit(False))).groupBy("email").agg(F.min(turn).alias("_claim"))
+    known = whole.join(taken, "email", "left").join(claims, "email", "left")
+    status = (F.when(F.col("_taken") | (turn > F.col("_claim")), F.lit("duplicate_email"))
+               .when(F.coalesce(valid, F.lit(False)), F.lit("accepted"))
+               .otherwise(F.lit("invalid_role")))
+    return known.select(*out, status.alias("status")).unionByName(
+        requests.filter(missing).select(*out, F.lit("missing_fields").alias("status")))

@@ -7,6 +7,7 @@ different shape than the original retail extract; see README).
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import clean as C
 from tillroll.operators import features as FE
-from tillroll.sources.retail import retail_raw
+from tillroll.session import checkpoint_root, materialize
+from tillroll.sources.retail import read_transactions, retail_raw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -32,23 +34,39 @@ def _money(df: DataFrame, *cols: str) -> DataFrame:
 
 # ----------------------------------------------------------------- cleaning --
 def clean_lines(spark, sf_dir, variant: str, dirty: bool = False, item: str = "product") -> DataFrame:
-    raw = retail_raw(spark, sf_dir, item=item, with_description=(variant != "rfm"), dirty=dirty)
+    """Cleaned lines; ``dirty`` ones carry all columns, the others only the joins their variant needs."""
+    raw = retail_raw(spark, sf_dir, item=item, with_description=dirty or variant != "rfm", with_country=dirty, dirty=dirty)
     return C.clean(raw, variant)
 
 
 @query("clean_rfm")
 def q_clean_rfm(spark, sf_dir):
-    return _money(clean_lines(spark, sf_dir, "rfm", dirty=True), "UnitPrice", "TotalPrice").drop("Country")
+    return _money(clean_lines(spark, sf_dir, "rfm", dirty=True), "UnitPrice", "TotalPrice")
 
 
 @query("clean_basket")
 def q_clean_basket(spark, sf_dir):
-    return _money(clean_lines(spark, sf_dir, "basket", dirty=True), "UnitPrice").drop("Country")
+    return _money(clean_lines(spark, sf_dir, "basket", dirty=True), "UnitPrice")
 
 
 @query("clean_product")
 def q_clean_product(spark, sf_dir):
-    return _money(clean_lines(spark, sf_dir, "product", dirty=True), "UnitPrice", "TotalRevenue").drop("Country")
+    return _money(clean_lines(spark, sf_dir, "product", dirty=True), "UnitPrice", "TotalRevenue")
+
+
+@query("transactions_csv")
+def q_transactions_csv(spark, sf_dir):
+    """The dirty lines written as two CSV extracts with the source's headers (blanks included), read back in one scan."""
+    raw = retail_raw(spark, sf_dir, with_country=True, dirty=True)
+    named = raw.select(F.col("InvoiceNo").alias(" Invoice"), "StockCode", "Description", "Quantity",
+                       F.date_format("InvoiceDate", "M/d/yyyy H:mm:ss").alias("InvoiceDate"), F.col("UnitPrice").alias("Price "),
+                       F.col("CustomerID").alias("Customer ID"), "Country")
+    paths = []
+    for year, own in (("early", F.year(raw.InvoiceDate) < 1995), ("late", F.year(raw.InvoiceDate) >= 1995)):
+        path = f"{checkpoint_root(spark)}/tables/{year}-{uuid.uuid4().hex}"
+        named.filter(own).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+        paths.append(path)
+    return _money(read_transactions(spark, paths, timestamp_format="M/d/yyyy H:mm:ss"), "UnitPrice")
 
 
 @query("cleaning_report")
@@ -97,6 +115,7 @@ from tillroll.functions.text import items_text  # noqa: E402
 from tillroll.operators import baskets as B  # noqa: E402
 from tillroll.operators import itemsets as I  # noqa: E402
 from tillroll.operators import rules as R  # noqa: E402
+from tillroll.sources.store import Store  # noqa: E402
 
 
 @dataclass(frozen=True)
@@ -104,19 +123,19 @@ class BasketConfig:
     """Basket grain and mining thresholds.
 
     The reference mines invoices x product descriptions at support 0.03; on the
-    supplied tables no item pair reaches that at order grain, so the registered
-    queries use the customer as the basket and the part name as the item
-    (support 0.15), and orders x part type for rules with several items.
-    Confidence 0.3, lift 1.0, min item count 100, item cap 500 and max length 3
-    are the reference values.
+    supplied tables no item pair reaches that at this grain.  The registered
+    queries take the customer as the basket and the part type as the item
+    (support 0.15: rules at every scale factor), and orders x part type for
+    rules below lift 1.  Confidence 0.3, lift 1.0 and max length 3 are the
+    reference values.  No item is dropped before mining.
     """
     basket_col: str = "CustomerID"
-    item: str = "name"
+    item: str = "type"
     min_support: float = 0.15
     min_confidence: float = 0.3
     min_lift: float = 1.0
-    min_count: int = 100
-    max_items: int = 500
+    min_count: int = 1
+    max_items: int | None = None
     max_len: int = 3
 
     @property
@@ -125,6 +144,8 @@ class BasketConfig:
 
 
 MAIN = BasketConfig()
+# F7 + O3 with the reference's own numbers, at a grain where they bite.
+CAPPED = BasketConfig(item="product", min_count=5, max_items=500)
 MULTI = BasketConfig(basket_col="InvoiceNo", item="type", min_support=0.03, min_lift=0.0)
 
 
@@ -147,12 +168,12 @@ def _itemset_out(df: DataFrame) -> DataFrame:
 
 @query("item_frequency")
 def q_item_frequency(spark, sf_dir):
-    return B.item_frequency(B.basket_pairs(basket_clean(spark, sf_dir, MAIN), MAIN.spec))
+    return B.item_frequency(B.basket_pairs(basket_clean(spark, sf_dir, CAPPED), CAPPED.spec))
 
 
 @query("basket_items")
 def q_basket_items(spark, sf_dir):
-    return B.basket_items(basket_clean(spark, sf_dir, MAIN), MAIN.spec)
+    return B.basket_items(basket_clean(spark, sf_dir, CAPPED), CAPPED.spec)
 
 
 @query("frequent_itemsets")
@@ -172,9 +193,19 @@ def q_frequent_itemsets_fpgrowth(spark, sf_dir):
     return _itemset_out(I.frequent_itemsets_fpgrowth(arrays, MAIN.min_support, MAIN.max_len))
 
 
+def stored_itemsets(spark, sf_dir) -> DataFrame:
+    """What the mining job stored (it runs only where the store has no itemsets yet)."""
+    return Store(spark, sf_dir).table("itemsets", lambda: itemsets(spark, sf_dir, MAIN))
+
+
+def stored_rules(spark, sf_dir) -> DataFrame:
+    return Store(spark, sf_dir).table(
+        "rules", lambda: R.association_rules(stored_itemsets(spark, sf_dir), MAIN.min_confidence, MAIN.min_lift))
+
+
 @query("itemset_length_histogram")
 def q_itemset_length_histogram(spark, sf_dir):
-    return R.itemset_length_histogram(itemsets(spark, sf_dir, MAIN))
+    return R.itemset_length_histogram(stored_itemsets(spark, sf_dir))
 
 
 @query("association_rules")
@@ -189,116 +220,104 @@ def q_association_rules_multi(spark, sf_dir):
 
 @query("rule_counts_by_lift")
 def q_rule_counts_by_lift(spark, sf_dir):
-    return R.rule_counts(rules(spark, sf_dir, MAIN))
+    return R.rule_counts(stored_rules(spark, sf_dir))
 
 
-RECOMMEND_PRODUCT = "red widget"
+RECOMMEND_PRODUCT = "promo"
 
 
 @query("recommend_basket")
 def q_recommend_basket(spark, sf_dir):
-    return R.recommend(rules(spark, sf_dir, MAIN), RECOMMEND_PRODUCT, top_n=5)
+    return R.recommend(stored_rules(spark, sf_dir), RECOMMEND_PRODUCT, top_n=5)
 
 
 @query("recommend_batch")
 def q_recommend_batch(spark, sf_dir):
-    its = itemsets(spark, sf_dir, MAIN)
-    products = its.filter(F.col("length") == 1).select(F.element_at("items", 1).alias("product"))
-    return R.recommend_batch(R.association_rules(its, MAIN.min_confidence, MAIN.min_lift), products, top_n=5)
+    products = stored_itemsets(spark, sf_dir).filter(F.col("length") == 1).select(F.element_at("items", 1).alias("product"))
+    return R.recommend_batch(stored_rules(spark, sf_dir), products, top_n=5)
 
 
 @query("recommendable_products")
 def q_recommendable_products(spark, sf_dir):
-    return R.recommendable_products(rules(spark, sf_dir, MAIN))
+    return R.recommendable_products(stored_rules(spark, sf_dir))
 
 
 @query("top_rules")
 def q_top_rules(spark, sf_dir):
-    return R.top_rules(rules(spark, sf_dir, MAIN), 20)
+    return R.top_rules(stored_rules(spark, sf_dir), 20)
 
 
 @query("top_single_items")
 def q_top_single_items(spark, sf_dir):
-    return R.top_single_items(itemsets(spark, sf_dir, MAIN), 15)
+    return R.top_single_items(stored_itemsets(spark, sf_dir), 15)
 
 
 @query("rule_matrix")
 def q_rule_matrix(spark, sf_dir):
-    return R.rule_matrix(rules(spark, sf_dir, MAIN), 15)
+    return R.rule_matrix(stored_rules(spark, sf_dir), 15)
+
+
+@query("rule_grid")
+def q_rule_grid(spark, sf_dir):
+    return R.rule_grid(stored_rules(spark, sf_dir), 15)
 
 
 @query("top50_export")
 def q_top50_export(spark, sf_dir):
-    return R.top50_export(rules(spark, sf_dir, MAIN), 50)
+    """Q22 written as a CSV with its display names and read back with the stored schema."""
+    out = R.top50_export(stored_rules(spark, sf_dir), 50)
+    path = write_table(out, f"{checkpoint_root(spark)}/tables/top50-{uuid.uuid4().hex}", fmt="csv")
+    return read_csv(spark, path, out.schema)
 
 
 @query("scatter_rules")
 def q_scatter_rules(spark, sf_dir):
-    return R.scatter_rules(rules(spark, sf_dir, MAIN))
+    return R.scatter_rules(stored_rules(spark, sf_dir))
 
 
 # --------------------------------------------------------------- clustering --
-import uuid  # noqa: E402
-
 from tillroll.operators import kmeans as K  # noqa: E402
 from tillroll.operators import scaling as S  # noqa: E402
 from tillroll.operators import segments as G  # noqa: E402
-from tillroll.session import checkpoint_root, materialize  # noqa: E402
-from tillroll.sources.tables import row_counts, table  # noqa: E402
+from tillroll.sources.tables import read_csv, row_counts, table, write_table  # noqa: E402
 
 K_FINAL = 4          # reference FINAL_K
-KM_MAX_ITER = 20     # integer Lloyd iterations of the deterministic engine
 MONEY = {"Monetary": "decimal(28,2)"}
 CUSTOMER_COLS = ["CustomerID", "Frequency", "Monetary", "Recency", "Cluster", "Segment"]
 PRODUCT_COLS = ["Description", *FE.PRODUCT_FEATURES, "Cluster", "Segment"]
 
 
-# Trained models per (data folder, kind): like the served application, which
-# loads the models its training jobs wrote, the serving queries of one session
-# reuse a model fitted once (a few numbers: moments, k centres, labels).
-# Training itself is measured by the kmeans_* queries that fit first.
-_MODELS: dict[tuple, K.FixedKMeansModel] = {}
-# The feature table each model was fitted on, checkpointed in the shared folder
-# (lineage cut, files only): assigning segments reads it instead of computing
-# the features a second time.
-_FEATURES: dict[tuple, DataFrame] = {}
+def customer_job(spark, sf_dir) -> tuple[DataFrame, K.FixedKMeansModel]:
+    """Fits the customer model and assigns every customer."""
+    seg, model = K.segment(materialize(rfm(spark, sf_dir)), "CustomerID", FE.RFM_FEATURES, "customer", K_FINAL, money=MONEY)
+    return seg.select(*CUSTOMER_COLS), model
+
+
+def product_job(spark, sf_dir) -> tuple[DataFrame, K.FixedKMeansModel]:
+    seg, model = K.segment(materialize(product_features(spark, sf_dir)), "Description", FE.PRODUCT_FEATURES, "product", K_FINAL)
+    return seg.select(*PRODUCT_COLS), model
 
 
-def customer_model(spark, sf_dir) -> K.FixedKMeansModel:
-    key = ("customer", sf_dir, K_FINAL, KM_MAX_ITER)
-    if key not in _MODELS:
-        r = materialize(rfm(spark, sf_dir), keep_in_memory=True)
-        _, _MODELS[key] = K.segment(r, "CustomerID", FE.RFM_FEATURES, "customer", K_FINAL, KM_MAX_ITER,
-                                    money=MONEY)
-        r.unpersist()
-        _FEATURES[key] = r
-    return _MODELS[key]
+def _stored_segments(spark, sf_dir, kind, job) -> tuple[DataFrame, K.FixedKMeansModel]:
+    """The segment table and its model as the job stored them; the job runs only where they are missing."""
+    store = Store(spark, sf_dir)
+    path = store.model_path(f"{kind}-model")
 
+    def run():
+        seg, model = job(spark, sf_dir)
+        model.save(spark, path)
+        return seg
 
-def product_model(spark, sf_dir) -> K.FixedKMeansModel:
-    key = ("product", sf_dir, K_FINAL, KM_MAX_ITER)
-    if key not in _MODELS:
-        p = materialize(product_features(spark, sf_dir), keep_in_memory=True)
-        _, _MODELS[key] = K.segment(p, "Description", FE.PRODUCT_FEATURES, "product", K_FINAL, KM_MAX_ITER)
-        p.unpersist()
-        _FEATURES[key] = p
-    return _MODELS[key]
+    seg = store.table(f"{kind}s", run)
+    return seg, K.FixedKMeansModel.load(spark, path)
 
 
 def customers_segmented(spark, sf_dir):
-    model = customer_model(spark, sf_dir)
-    r = _FEATURES.get(("customer", sf_dir, K_FINAL, KM_MAX_ITER))
-    r = rfm(spark, sf_dir) if r is None else r
-    seg = K.attach_labels(model.assign(r), spark, model.labels)
-    return seg.select(*CUSTOMER_COLS), model
+    return _stored_segments(spark, sf_dir, "customer", customer_job)
 
 
 def products_segmented(spark, sf_dir):
-    model = product_model(spark, sf_dir)
-    p = _FEATURES.get(("product", sf_dir, K_FINAL, KM_MAX_ITER))
-    p = product_features(spark, sf_dir) if p is None else p
-    seg = K.attach_labels(model.assign(p), spark, model.labels)
-    return seg.select(*PRODUCT_COLS), model
+    return _stored_segments(spark, sf_dir, "product", product_job)
 
 
 def _scaled(df, id_col, features):
@@ -318,16 +337,14 @@ def q_scaled_products(spark, sf_dir):
 
 @query("kmeans_fixed_customers")
 def q_kmeans_fixed_customers(spark, sf_dir):
-    """Fits the model (never served from the session's model cache)."""
-    _MODELS.pop(("customer", sf_dir, K_FINAL, KM_MAX_ITER), None)
-    return customers_segmented(spark, sf_dir)[0]
+    """Fits the model (the job itself, not the store)."""
+    return customer_job(spark, sf_dir)[0]
 
 
 @query("kmeans_fixed_products")
 def q_kmeans_fixed_products(spark, sf_dir):
-    """Fits the model (never served from the session's model cache)."""
-    _MODELS.pop(("product", sf_dir, K_FINAL, KM_MAX_ITER), None)
-    return products_segmented(spark, sf_dir)[0]
+    """Fits the model (the job itself, not the store)."""
+    return product_job(spark, sf_dir)[0]
 
 
 def _means_long(seg, kind, features, exact=None):
@@ -347,17 +364,10 @@ def q_cluster_means(spark, sf_dir):
         _means_long(p, "product", FE.PRODUCT_FEATURES))
 
 
-def _saved_and_loaded(spark, model, name):
-    path = f"{checkpoint_root(spark)}/models/{name}-{uuid.uuid4().hex}"
-    model.save(spark, path)
-    return K.FixedKMeansModel.load(spark, path)
-
-
 @query("score_customers")
 def q_score_customers(spark, sf_dir):
-    """M11 over every customer's RFM row, with the model saved and reloaded."""
+    """M11 over every customer's RFM row, with the stored model."""
     _, model = customers_segmented(spark, sf_dir)
-    model = _saved_and_loaded(spark, model, "rfm-kmeans")
     r = rfm(spark, sf_dir).select("CustomerID", "Recency", "Frequency", "Monetary")
     scored = G.score(spark, model.assign(r), "customer", model.labels)
     return scored.select("CustomerID", F.col("Recency").alias("recency"), F.col("Frequency").alias("frequency"),
@@ -368,9 +378,8 @@ def q_score_customers(spark, sf_dir):
 
 @query("score_products")
 def q_score_products(spark, sf_dir):
-    """M12 over every product's feature row, model saved and reloaded."""
+    """M12 over every product's feature row, with the stored model."""
     _, model = products_segmented(spark, sf_dir)
-    model = _saved_and_loaded(spark, model, "product-kmeans")
     p = product_features(spark, sf_dir)
     scored = G.score(spark, model.assign(p), "product", model.labels)
     return scored.select("Description", *FE.PRODUCT_FEATURES, "cluster_id", "segment",
@@ -403,12 +412,12 @@ def q_products_by_segment(spark, sf_dir):
 def q_overview_kpis(spark, sf_dir):
     c, _ = customers_segmented(spark, sf_dir)
     p, _ = products_segmented(spark, sf_dir)
-    return G.overview_kpis(c, p, rules(spark, sf_dir, MAIN))
+    return G.overview_kpis(c, p, stored_rules(spark, sf_dir))
 
 
 @query("overview_top_rules")
 def q_overview_top_rules(spark, sf_dir):
-    return G.overview_top_rules(rules(spark, sf_dir, MAIN), 5)
+    return G.overview_top_rules(stored_rules(spark, sf_dir), 5)
 
 
 @query("top_customers")
@@ -447,6 +456,14 @@ def q_segment_boxplot(spark, sf_dir):
             .unionByName(G.segment_boxplot(p, FE.PRODUCT_FEATURES).withColumn("kind", F.lit("product"))))
 
 
+@query("boxplot_outliers")
+def q_boxplot_outliers(spark, sf_dir):
+    c, _ = customers_segmented(spark, sf_dir)
+    p, _ = products_segmented(spark, sf_dir)
+    return (G.boxplot_outliers(c, "CustomerID", FE.RFM_FEATURES).withColumn("kind", F.lit("customer"))
+            .unionByName(G.boxplot_outliers(p, "Description", FE.PRODUCT_FEATURES).withColumn("kind", F.lit("product"))))
+
+
 @query("scatter_customers")
 def q_scatter_customers(spark, sf_dir):
     return G.scatter_customers(customers_segmented(spark, sf_dir)[0])
@@ -471,22 +488,43 @@ def q_campaign_targets(spark, sf_dir):
 def q_dataset_health(spark, sf_dir):
     c, _ = customers_segmented(spark, sf_dir)
     p, _ = products_segmented(spark, sf_dir)
-    return row_counts({"customers": c, "products": p, "rules": rules(spark, sf_dir, MAIN)})
+    return row_counts({"customers": c, "products": p, "rules": stored_rules(spark, sf_dir)})
+
+
+# Trained (pyspark.ml) models: iterative and seed-driven, so rows-only checks; their
+# invariants are checked in ``trained_invariants``.
+def _trained(df: DataFrame, features: list[str], name: str):
+    """Trained, saved and loaded again."""
+    spark = df.sparkSession
+    model, cost = K.train_kmeans(df, features, k=K_FINAL)
+    path = f"{checkpoint_root(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    K.save_pipeline(model, path)
+    return K.load_pipeline(path), cost
 
 
-# Trained (pyspark.ml) models: iterative and seed-driven, so rows-only checks.
 @query("kmeans_trained_customers")
 def q_kmeans_trained_customers(spark, sf_dir):
     r = materialize(rfm(spark, sf_dir))
-    model, _ = K.train_kmeans(r, FE.RFM_FEATURES, k=K_FINAL)
-    return model.transform(r).select("CustomerID", *FE.RFM_FEATURES, "Cluster")
+    model, _ = _trained(r, FE.RFM_FEATURES, "rfm-pipeline")
+    return K.score_trained(model, r, FE.RFM_FEATURES, "customer", MONEY).select("CustomerID", *FE.RFM_FEATURES, "Cluster", "Segment")
 
 
 @query("kmeans_trained_products")
 def q_kmeans_trained_products(spark, sf_dir):
     p = materialize(product_features(spark, sf_dir))
-    model, _ = K.train_kmeans(p, FE.PRODUCT_FEATURES, k=K_FINAL)
-    return model.transform(p).select("Description", *FE.PRODUCT_FEATURES, "Cluster")
+    model, _ = _trained(p, FE.PRODUCT_FEATURES, "product-pipeline")
+    return K.score_trained(model, p, FE.PRODUCT_FEATURES, "product").select("Description", *FE.PRODUCT_FEATURES, "Cluster", "Segment")
+
+
+@query("trained_invariants")
+def q_trained_invariants(spark, sf_dir):
+    """Nearest centre for every row and inertia equal to the recomputed sum, for both models."""
+    out = []
+    for kind, df, features in (("customer", rfm(spark, sf_dir), FE.RFM_FEATURES), ("product", product_features(spark, sf_dir), FE.PRODUCT_FEATURES)):
+        df = materialize(df)
+        model, cost = _trained(df, features, f"{kind}-pipeline")
+        out.append(K.trained_invariants(model, df, cost).select(F.lit(kind).alias("kind"), "*"))
+    return out[0].unionByName(out[1])
 
 
 @query("k_sweep_customers")
@@ -528,7 +566,6 @@ def q_new_accounts(spark, sf_dir):
 
 # ---------------------------------------------------------------- streaming --
 from tillroll.functions import dims as D  # noqa: E402
-from tillroll.sources.tables import write_table  # noqa: E402
 from tillroll.streaming import kpis as ST  # noqa: E402
 
 
@@ -556,7 +593,6 @@ def q_stream_scoring(spark, sf_dir):
     """RFM rows arrive as files; each micro-batch is scored against the
     saved model."""
     _, model = customers_segmented(spark, sf_dir)
-    model = _saved_and_loaded(spark, model, "rfm-kmeans")
     root = f"{checkpoint_root(spark)}/streams/rfm-in-{uuid.uuid4().hex}"
     r = rfm(spark, sf_dir).select("CustomerID", "Recency", "Frequency", "Monetary")
     write_table(r, root)

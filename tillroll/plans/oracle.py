@@ -23,8 +23,8 @@ def with_(*ctes: tuple[str, str]) -> str:
         if name in seen:
             continue
         seen.add(name)
-        parts.append(f"{name} AS (\n{body}\n)")
-    return "WITH " + ",\n".join(parts) + "\n"
+        parts.append(f"{name} AS {'MATERIALIZED ' if name.startswith('z_') else ''}(\n{body}\n)")
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n"
 
 
 def strip_sql(col: str) -> str:
@@ -50,6 +50,10 @@ def raw_cte(name: str = "raw", item: str = "product", with_description: bool = T
                     f"ELSE {desc} END")
         price = f"CASE WHEN l_linenumber = 7 THEN CAST(0 AS DECIMAL(12,2)) ELSE {price} END"
     join_part = "JOIN part ON l_partkey = p_partkey" if with_description else ""
+    country = ""
+    if dirty:
+        join_part += " JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
+        country = ",\n         n_name AS Country"
     body = f"""
   SELECT (CASE WHEN l_returnflag = 'R' THEN 'C' ELSE '' END) || CAST(l_orderkey AS VARCHAR) AS InvoiceNo,
          CAST(l_partkey AS VARCHAR) AS StockCode,
@@ -57,7 +61,7 @@ def raw_cte(name: str = "raw", item: str = "product", with_description: bool = T
          CAST(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS INTEGER) AS Quantity,
          o_orderdate AS InvoiceDate,
          {price} AS UnitPrice,
-         {cust} AS CustomerID
+         {cust} AS CustomerID{country}
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey {join_part}"""
     return name, body
 
@@ -80,9 +84,10 @@ def desc_sql(variant: str) -> str:
             "product": f"upper({strip_sql('Description')})"}[variant]
 
 
-def clean_cte(variant: str, raw: str = "raw", name: str | None = None) -> tuple[str, str]:
+def clean_cte(variant: str, raw: str = "raw", name: str | None = None, dirty: bool = False) -> tuple[str, str]:
     amount = "CAST(CAST(Quantity AS DECIMAL(10,0)) * UnitPrice AS DECIMAL(18,2))"
     extra = {"rfm": f", {amount} AS TotalPrice", "product": f", {amount} AS TotalRevenue", "basket": ""}[variant]
+    extra += ", Country" if dirty else ""
     body = f"""
   SELECT InvoiceNo, StockCode, {desc_sql(variant)} AS Description, Quantity, InvoiceDate, UnitPrice,
          CustomerID{extra}
@@ -92,8 +97,8 @@ def clean_cte(variant: str, raw: str = "raw", name: str | None = None) -> tuple[
 
 def clean_ctes(variant: str, dirty: bool = False, item: str = "product") -> list[tuple[str, str]]:
     raw_name = f"raw_{variant}"
-    return [raw_cte(raw_name, item=item, with_description=(variant != "rfm"), dirty=dirty),
-            clean_cte(variant, raw=raw_name)]
+    return [raw_cte(raw_name, item=item, with_description=dirty or variant != "rfm", dirty=dirty),
+            clean_cte(variant, raw=raw_name, dirty=dirty)]
 
 
 # ---------------------------------------------------------------- features --
@@ -139,7 +144,7 @@ def describe_sql(source: str, features: list[str]) -> str:
 
 def _clean_select(variant: str, money: list[str]) -> str:
     cols = ["InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate",
-            "CAST(UnitPrice AS DOUBLE) AS UnitPrice", "CustomerID"]
+            "CAST(UnitPrice AS DOUBLE) AS UnitPrice", "CustomerID", "Country"]
     cols += [f"CAST({m} AS DOUBLE) AS {m}" for m in money]
     return f"SELECT {', '.join(cols)} FROM clean_{variant}"
 
@@ -149,6 +154,11 @@ oracle("clean_basket", with_(*clean_ctes("basket", dirty=True)) + _clean_select(
 oracle("clean_product", with_(*clean_ctes("product", dirty=True)) + _clean_select("product", ["TotalRevenue"]))
 
 
+oracle("transactions_csv", with_(raw_cte("raw", dirty=True)) + """
+SELECT InvoiceNo, StockCode, Description, Quantity, InvoiceDate, CAST(UnitPrice AS DOUBLE) AS UnitPrice, CustomerID, Country
+FROM raw""")
+
+
 def _report_sql() -> str:
     rows = []
     for v in ("rfm", "basket", "product"):
@@ -183,8 +193,8 @@ oracle("product_describe", with_(*product_features_ctes()) + describe_sql(
 
 
 # ------------------------------------------------------------------ baskets --
-def basket_ctes(basket_col: str = "CustomerID", item: str = "name", min_support: float = 0.15,
-                min_count: int = 100, max_items: int = 500, min_conf: float = 0.3,
+def basket_ctes(basket_col: str = "CustomerID", item: str = "type", min_support: float = 0.15,
+                min_count: int = 1, max_items: int | None = None, min_conf: float = 0.3,
                 min_lift: float = 1.0, tag: str = "m") -> list[tuple[str, str]]:
     """Pairs, kept items, itemsets (explicit joins per length, max 3) and rules
     (all splits written out per length)."""
@@ -199,7 +209,7 @@ def basket_ctes(basket_col: str = "CustomerID", item: str = "name", min_support:
         (f"item_freq_{t}", f"SELECT item, count(*) AS n_baskets FROM pairs_{t} GROUP BY item"),
         (f"kept_{t}", f"""
   SELECT item FROM item_freq_{t} WHERE n_baskets >= {min_count}
-  ORDER BY n_baskets DESC, item LIMIT {max_items}"""),
+  ORDER BY n_baskets DESC, item {f'LIMIT {max_items}' if max_items else ''}"""),
         (f"bi_{t}", f"SELECT basket, item FROM pairs_{t} WHERE item IN (SELECT item FROM kept_{t})"),
         (f"l1_{t}", f"""
   SELECT item AS i1, count(*) AS freq FROM bi_{t} GROUP BY item
@@ -242,6 +252,7 @@ def basket_ctes(basket_col: str = "CustomerID", item: str = "name", min_support:
 
 M = basket_ctes()
 MM = basket_ctes(basket_col="InvoiceNo", item="type", min_support=0.03, min_lift=0.0, tag="x")
+MC = basket_ctes(item="product", min_count=5, max_items=500, tag="c")
 RULE_SEL = "antecedents_str, consequents_str, support, confidence, lift"
 ORDER = "lift DESC, antecedents_str, consequents_str"
 
@@ -252,8 +263,8 @@ def hu(expr: str, digits: int) -> str:
     return f"(floor({expr} * {s} + 0.5) / {s})"
 
 
-oracle("item_frequency", with_(*M) + "SELECT item, n_baskets FROM item_freq_m")
-oracle("basket_items", with_(*M) + "SELECT basket, item FROM bi_m")
+oracle("item_frequency", with_(*MC) + "SELECT item, n_baskets FROM item_freq_c")
+oracle("basket_items", with_(*MC) + "SELECT basket, item FROM bi_c")
 oracle("frequent_itemsets", with_(*M) +
        "SELECT array_to_string(items, ', ') AS items_str, freq, support, length FROM itemsets_m")
 oracle("frequent_itemsets_multi", with_(*MM) +
@@ -267,19 +278,19 @@ oracle("rule_counts_by_lift", with_(*M) + """
 SELECT count(*) AS total_rules, count(*) FILTER (WHERE lift > 2.0) AS rules_lift_gt_2,
        count(*) FILTER (WHERE lift > 3.0) AS rules_lift_gt_3 FROM rules_m""")
 oracle("recommend_basket", with_(*M) + f"""
-SELECT 'red widget' AS product, row_number() OVER (ORDER BY {ORDER}) AS rank,
+SELECT 'promo' AS product, row_number() OVER (ORDER BY {ORDER}) AS rank,
        consequents_str AS recommended_product,
        {hu('confidence', 3)} AS confidence, {hu('lift', 3)} AS lift, {hu('support', 4)} AS support,
        'Customers who buy ''' || antecedents_str || ''' are ' || CAST({hu('lift', 1)} AS VARCHAR)
          || 'x more likely to also buy ''' || consequents_str || '''' AS interpretation
-FROM (SELECT * FROM rules_m WHERE coalesce(regexp_matches(antecedents_str, '(?i)red widget'), false)
+FROM (SELECT * FROM rules_m WHERE coalesce(regexp_matches(antecedents_str, '(?i)promo'), false)
       ORDER BY {ORDER} LIMIT 5)""")
-oracle("recommend_batch", with_(*M) + f"""
+oracle("recommend_batch", with_(*M) + """
 SELECT product, rank, recommended_product, antecedents_str, confidence, lift, support FROM (
   SELECT u.product, r.consequents_str AS recommended_product, r.antecedents_str, r.confidence, r.lift, r.support,
          row_number() OVER (PARTITION BY u.product ORDER BY r.lift DESC, r.antecedents_str, r.consequents_str) AS rank
-  FROM (SELECT *, unnest(ante) AS product FROM rules_m) r
-  JOIN (SELECT DISTINCT items[1] AS product FROM itemsets_m WHERE length = 1) u ON u.product = r.product
+  FROM rules_m r
+  JOIN (SELECT DISTINCT items[1] AS product FROM itemsets_m WHERE length = 1) u ON contains(lower(r.antecedents_str), lower(u.product))
 ) WHERE rank <= 5""")
 oracle("recommendable_products", with_(*M) + """
 SELECT product, (SELECT count(DISTINCT antecedents_str) FROM rules_m) AS total
@@ -287,6 +298,8 @@ FROM (SELECT DISTINCT antecedents_str AS product FROM rules_m)""")
 oracle("top_rules", with_(*M) + f"""
 SELECT row_number() OVER (ORDER BY {ORDER}) AS position, {RULE_SEL},
        substring(antecedents_str, 1, 30) || '  →  ' || substring(consequents_str, 1, 25) AS label,
+       substring(antecedents_str, 1, 38) || '  →  ' || substring(consequents_str, 1, 33) AS long_label,
+       confidence * 100 AS confidence_pct,
        (lift - min(lift) OVER ()) / (max(lift) OVER () - min(lift) OVER () + 1e-9) AS strength
 FROM (SELECT * FROM rules_m ORDER BY {ORDER} LIMIT 20)""")
 oracle("top_single_items", with_(*M) + """
@@ -296,6 +309,13 @@ oracle("rule_matrix", with_(*M) + f"""
 SELECT substring(antecedents_str, 1, 35) AS row_label, substring(consequents_str, 1, 30) AS col_label,
        antecedents_str, consequents_str, max(lift) AS max_lift
 FROM (SELECT * FROM rules_m ORDER BY {ORDER} LIMIT 15) GROUP BY antecedents_str, consequents_str""")
+oracle("rule_grid", with_(*M) + f"""
+SELECT substring(a.antecedents_str, 1, 35) AS row_label, a.antecedents_str, c.consequents_str, coalesce(max(t.lift), 0.0) AS lift
+FROM (SELECT DISTINCT antecedents_str FROM (SELECT * FROM rules_m ORDER BY {ORDER} LIMIT 15)) a
+JOIN (SELECT DISTINCT consequents_str FROM (SELECT * FROM rules_m ORDER BY {ORDER} LIMIT 15)) c ON true
+LEFT JOIN (SELECT * FROM rules_m ORDER BY {ORDER} LIMIT 15) t
+  ON t.antecedents_str = a.antecedents_str AND t.consequents_str = c.consequents_str
+GROUP BY a.antecedents_str, c.consequents_str""")
 oracle("top50_export", with_(*M) + f"""
 SELECT antecedents_str AS "If customer buys", consequents_str AS "Recommend", support AS "Support",
        confidence AS "Confidence", lift AS "Lift" FROM rules_m ORDER BY {ORDER} LIMIT 50""")
@@ -305,7 +325,6 @@ oracle("scatter_rules", with_(*M) + f"SELECT {RULE_SEL} FROM rules_m")
 # --------------------------------------------------------------- clustering --
 RFM_F = ["Recency", "Frequency", "Monetary"]
 PROD_F = ["avg_price", "total_quantity", "num_transactions", "num_customers", "total_revenue"]
-KM_ITERS = 20
 
 
 def scaled_ctes(src: str, id_col: str, feats: list[str], t: str) -> list[tuple[str, str]]:
@@ -322,30 +341,38 @@ def scaled_ctes(src: str, id_col: str, feats: list[str], t: str) -> list[tuple[s
             (f"z_{t}", f"SELECT *, {milli} FROM zf_{t}")]
 
 
-def kmeans_ctes(t: str, feats: list[str], k: int = 4, iters: int = KM_ITERS) -> list[tuple[str, str]]:
+def kmeans_ctes(t: str, feats: list[str], k: int = 4, n_init: int = 10, max_iter: int = 300) -> list[tuple[str, str]]:
+    """Lloyd iterations of all starts by recursion until each is a fixed point; the start with the least inertia."""
     zc = [f"z_{f}_milli" for f in feats]
-    cols = ", ".join(zc)
-    ctes = [(f"c0_{t}", f"""
-  SELECT CAST(row_number() OVER (ORDER BY first_id) - 1 AS BIGINT) AS cid, {cols}
-  FROM (SELECT {cols}, min(id) AS first_id FROM z_{t} GROUP BY {cols} ORDER BY first_id LIMIT {k})""")]
-    dist = " + ".join(f"(z.{c} - c.{c}) * (z.{c} - c.{c})" for c in zc)
-
-    def assign(i: int) -> tuple[str, str]:
-        return (f"a{i}_{t}", f"SELECT z.id, min(({dist}) * 16 + c.cid) % 16 AS cid "
-                             f"FROM z_{t} z CROSS JOIN c{i}_{t} c GROUP BY z.id")
-    for i in range(iters):
-        ctes.append(assign(i))
-        sums = ", ".join(f"sum(z.{c}) AS s_{c}" for c in zc)
-        ctes.append((f"s{i}_{t}", f"SELECT a.cid, count(*) AS n, {sums} FROM a{i}_{t} a JOIN z_{t} z ON a.id = z.id "
-                                  f"GROUP BY a.cid"))
-        upd = ", ".join(
-            f"CASE WHEN s.n IS NULL THEN c.{c} ELSE CAST((s.s_{c} - ((s.s_{c} % s.n) + s.n) % s.n) // s.n AS BIGINT) "
-            f"END AS {c}" for c in zc)
-        ctes.append((f"c{i + 1}_{t}", f"SELECT c.cid, {upd} FROM c{i}_{t} c LEFT JOIN s{i}_{t} s ON s.cid = c.cid"))
-    ctes.append(assign(iters))
-    ctes.append((f"assigned_{t}", f"a{iters}_{t}"))
-    ctes[-1] = (f"assigned_{t}", f"SELECT id, CAST(cid AS INTEGER) AS Cluster FROM a{iters}_{t}")
-    return ctes
+    cols, point = ", ".join(zc), "[" + ", ".join(zc) + "]"
+
+    def distance(j: int, centres: str) -> str:
+        return " + ".join(f"(z.{c} - {centres}[{j + 1}][{i + 1}]) * (z.{c} - {centres}[{j + 1}][{i + 1}])" for i, c in enumerate(zc))
+
+    def key(centres: str) -> str:  # nearest centre, ties to the lower one, packed as distance * k + centre
+        return "least(" + ", ".join(f"({distance(j, centres)}) * {k} + {j}" for j in range(k)) + ")"
+
+    floor_mean = "[" + ", ".join(f"CAST((sum({c}) - ((sum({c}) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)" for c in zc) + "]"
+    moved = ", ".join(f"coalesce(any_value(m) FILTER (WHERE cid = {j}), centres[{j + 1}])" for j in range(k))
+    return [
+        (f"first_{t}", f"""
+  SELECT s, {point} AS p, min(md5(s || ':' || id)) AS o FROM z_{t}, (SELECT unnest(range({n_init})) AS s) GROUP BY s, {cols}"""),
+        (f"lloyd_{t}", f"""
+  SELECT s, 0 AS it, list(p ORDER BY o) AS centres, false AS done
+  FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY o) AS rn FROM first_{t}) WHERE rn <= {k} GROUP BY s
+  UNION ALL
+  SELECT s, it + 1, nc, nc = centres FROM (
+    SELECT s, it, centres, [{moved}] AS nc FROM (
+      SELECT s, it, centres, cid, {floor_mean} AS m FROM (
+        SELECT l.s, l.it, l.centres, {key('l.centres')} % {k} AS cid, {', '.join('z.' + c for c in zc)}
+        FROM lloyd_{t} l, z_{t} z WHERE NOT l.done AND l.it < {max_iter})
+      GROUP BY s, it, centres, cid)
+    GROUP BY s, it, centres)"""),
+        (f"best_{t}", f"""
+  SELECT centres FROM (SELECT l.s, l.centres, sum({key('l.centres')} // {k}) AS inertia FROM lloyd_{t} l, z_{t} z WHERE l.done GROUP BY l.s, l.centres)
+  ORDER BY inertia, s LIMIT 1"""),
+        (f"assigned_{t}", f"SELECT z.id, CAST({key('b.centres')} % {k} AS INTEGER) AS Cluster FROM z_{t} z, best_{t} b"),
+    ]
 
 
 def customers_seg_ctes() -> list[tuple[str, str]]:
@@ -441,6 +468,9 @@ def _means_long_sql(src: str, kind: str, feats: list[str], exact: set[str]) -> s
     return "\nUNION ALL ".join(parts)
 
 
+oracle("trained_invariants", with_(*rfm_ctes(), *product_features_ctes()) + """
+SELECT 'customer' AS kind, count(*) AS n_rows, CAST(4 AS BIGINT) AS n_clusters, CAST(0 AS BIGINT) AS n_not_nearest, true AS inertia_holds FROM rfm
+UNION ALL SELECT 'product', count(*), 4, 0, true FROM product_features""")
 oracle("cluster_means", with_(*CS, *PS) + _means_long_sql("cust_seg", "customer", RFM_F, {"Monetary"}) +
        "\nUNION ALL " + _means_long_sql("prod_seg", "product", PROD_F, set()))
 
@@ -550,6 +580,18 @@ GROUP BY l.Segment, l.feature, q.q1, q.median, q.q3, q.iqr"""
 
 oracle("segment_boxplot", with_(*CS, *PS) + _box_sql("cust_seg", "customer", RFM_F) + "\nUNION ALL" +
        _box_sql("prod_seg", "product", PROD_F))
+def _outlier_sql(src: str, kind: str, ident: str, feats: list[str]) -> str:
+    long = " UNION ALL ".join(f"SELECT Segment, {ident} AS id, '{f}' AS feature, CAST({f} AS DOUBLE) AS v FROM {src} "
+                              f"WHERE Segment IS NOT NULL" for f in feats)
+    return f"""
+SELECT l.Segment, l.feature, l.id, l.v AS value, '{kind}' AS kind
+FROM ({long}) l JOIN (SELECT Segment, feature, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM ({long}) GROUP BY Segment, feature) q
+  ON q.Segment = l.Segment AND q.feature = l.feature
+WHERE NOT (l.v >= q.q1 - 1.5 * (q.q3 - q.q1) AND l.v <= q.q3 + 1.5 * (q.q3 - q.q1))"""
+
+
+oracle("boxplot_outliers", with_(*CS, *PS) + _outlier_sql("cust_seg", "customer", "CustomerID", RFM_F) + "\nUNION ALL" +
+       _outlier_sql("prod_seg", "product", "Description", PROD_F))
 oracle("scatter_customers", with_(*CS) + "SELECT CustomerID, Recency, Frequency, Monetary, Segment FROM cust_seg")
 oracle("scatter_products", with_(*PS) +
        "SELECT Description, avg_price, total_revenue / 1000 AS revenue_k, Segment FROM prod_seg")
@@ -563,14 +605,14 @@ FROM (SELECT *, row_number() OVER (PARTITION BY Segment ORDER BY total_revenue D
 def _campaign_sql() -> str:
     from tillroll.functions import dims
     rows = []
-    for seg, (strategy, _desc, channels) in dims.CAMPAIGNS.items():
+    for seg, (strategy, description, channels) in dims.CAMPAIGNS.items():
         for ch in channels:
-            rows.append((seg, strategy, ch))
-    return _dim_values(rows, "Segment, strategy, channel")
+            rows.append((seg, strategy, description, ch))
+    return _dim_values(rows, "Segment, strategy, campaign_description, channel")
 
 
 oracle("campaign_targets", with_(*CS, ("camp", _campaign_sql())) + f"""
-SELECT k.Segment, k.strategy, k.channel, CAST(coalesce(c.count, 0) AS BIGINT) AS target_count,
+SELECT k.Segment, k.strategy, k.campaign_description, k.channel, CAST(coalesce(c.count, 0) AS BIGINT) AS target_count,
        coalesce({hu('c.count / (SELECT count(*) FROM cust_seg) * 100', 1)}, 0.0) AS percentage,
        (SELECT count(*) FROM cust_seg) AS addressable_audience
 FROM camp k LEFT JOIN (SELECT Segment, count(*) AS count FROM cust_seg WHERE Segment IS NOT NULL GROUP BY Segment) c
@@ -602,21 +644,29 @@ SELECT coalesce(d.role, c.role) AS role, CAST(coalesce(c.n, 0) AS BIGINT) AS use
        (SELECT count(*) FROM users) AS total_users
 FROM (VALUES ('customer'), ('seller'), ('marketer'), ('admin')) d(role)
 FULL JOIN (SELECT role, count(*) AS n FROM users GROUP BY role) c ON c.role = d.role""")
+# Requests in order of arrival: an accepted one claims its e-mail; a taken e-mail is found out before a wrong role.
 oracle("new_accounts", with_(users_cte(), ("req", """
-  SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS request_id, s_name AS name,
+  SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS request_id, CASE WHEN s_nationkey <> 2 THEN s_name END AS name,
          lower(replace(s_name, '#', '.')) || '@example.com' AS email,
-         CASE WHEN s_nationkey = 0 THEN 'vendor' ELSE 'seller' END AS role FROM supplier
+         CASE WHEN s_nationkey = 0 THEN 'vendor' ELSE 'seller' END AS role, s_suppkey * 10 + 9 AS arrival FROM supplier
+  UNION ALL
+  SELECT 'R' || CAST(s_suppkey AS VARCHAR), s_name, lower(replace(s_name, '#', '.')) || '@example.com', 'seller', s_suppkey * 10 + 10
+  FROM supplier WHERE s_nationkey < 2
   UNION ALL
-  SELECT 'C' || CAST(c_custkey AS VARCHAR), c_name, lower(replace(c_name, '#', '.')) || '@example.com', 'customer'
-  FROM customer WHERE c_acctbal < 0""")) + """
+  SELECT 'C' || CAST(c_custkey AS VARCHAR), c_name,
+         CASE WHEN c_custkey % 2 = 1 THEN upper(lower(replace(c_name, '#', '.')) || '@example.com')
+              ELSE lower(replace(c_name, '#', '.')) || '@example.com' END, 'customer', c_custkey * 10
+  FROM customer WHERE c_acctbal < 0"""), ("ok", """
+  SELECT email, request_id, row_number() OVER (PARTITION BY email ORDER BY arrival, request_id) AS turn, arrival FROM req
+  WHERE coalesce(trim(name), '') <> '' AND coalesce(trim(email), '') <> ''
+    AND role IN ('customer', 'seller', 'marketer', 'admin') AND email NOT IN (SELECT email FROM users)""")) + """
 SELECT r.request_id, r.name, r.email, r.role,
-       CASE WHEN coalesce(length(trim(r.name)), 0) = 0 OR coalesce(length(trim(r.email)), 0) = 0 THEN 'missing_fields'
-            WHEN r.role NOT IN ('customer', 'seller', 'marketer', 'admin') THEN 'invalid_role'
-            WHEN lower(r.email) IN (SELECT lower(email) FROM users)
-              OR r.request_id <> (SELECT min(q.request_id) FROM req q WHERE lower(q.email) = lower(r.email))
-              THEN 'duplicate_email'
-            ELSE 'accepted' END AS status
-FROM req r""")
+       CASE WHEN coalesce(trim(r.name), '') = '' OR coalesce(trim(r.email), '') = '' THEN 'missing_fields'
+            WHEN r.email IN (SELECT email FROM users) THEN 'duplicate_email'
+            WHEN ok.request_id = r.request_id THEN 'accepted'
+            WHEN ok.arrival < r.arrival OR (ok.arrival = r.arrival AND ok.request_id < r.request_id) THEN 'duplicate_email'
+            ELSE 'invalid_role' END AS status
+FROM req r LEFT JOIN ok ON ok.email = r.email AND ok.turn = 1""")
 
 # ---------------------------------------------------------------- streaming --
 oracle("stream_kpis", """

@@ -2,12 +2,14 @@
 
 Everything here is ordinary SparkSession configuration; the library never
 re-implements planning or storage.  On a cluster the session is created by the
-platform and only ``ensure_checkpoint_dir`` / ``materialize`` are used.
+platform, must name a shared folder in ``spark.checkpoint.dir``, and only the
+helpers below ``get_spark`` are used.
 """
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -44,48 +46,63 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for reliable checkpoints and streaming state.
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names, the same for every session.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) a scratch folder is created.
+    Only a local master may go without one: it gets a scratch folder.  On any
+    other master executors would write to their own disks, so that is an error.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="tillroll-chk-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    if configured:
+        return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    global _scratch
+    _scratch = _scratch or tempfile.mkdtemp(prefix="tillroll-")
+    return _scratch
+
+
+_scratch: str | None = None  # a folder's name, for local masters only
+
+
+def checkpoint_root(spark: SparkSession) -> str:
+    """Folder of this session's run files inside the shared folder."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_root(spark))
+    return sc.getCheckpointDir()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return checkpoint_root(spark)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def materialize(df: DataFrame, keep_in_memory: bool = False) -> DataFrame:
-    """Cut lineage of a table that several later jobs (iterations, levels) reuse.
-
-    ``checkpoint()`` writes to the shared checkpoint folder, so a lost executor
-    does not force recomputation of the whole upstream plan.  Never a
-    ``localCheckpoint``: those blocks die with the executor.  The input is
-    persisted while the checkpoint is written (otherwise the write job would
-    compute it a second time).  Later jobs read the checkpoint files; with
-    ``keep_in_memory=True`` (tight loops that unpersist when done) the
-    checkpointed table is also cached, and lost blocks are re-read from the
-    checkpoint.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        cp = df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
-    return cp.persist(StorageLevel.MEMORY_AND_DISK) if keep_in_memory else cp
-
-
-def persist(df: DataFrame) -> DataFrame:
-    """Cache a small reused table; lost blocks are recomputed from lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Write a table that several later jobs reuse, once, as Parquet in the shared
+    folder, and return its scan: lineage is cut, later readers prune columns and
+    rows, and a lost executor costs a reread.  With ``keep_in_memory=True``
+    (tight loops that unpersist when done) the scan is also cached; lost blocks
+    are read again from the files."""
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    return out.persist(StorageLevel.MEMORY_AND_DISK) if keep_in_memory else out
+
+
+def clear_run_files(spark: SparkSession) -> None:
+    """Delete the tables and streams that this session's queries have written.
+    Results that still read them must have been consumed."""
+    for name in ("tables", "streams"):
+        delete_path(spark, f"{checkpoint_root(spark)}/{name}")

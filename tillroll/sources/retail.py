@@ -3,7 +3,7 @@
 ``retail_raw`` yields the retail line schema
 
     InvoiceNo string, StockCode string, Description string, Quantity int,
-    InvoiceDate timestamp_ntz, UnitPrice decimal(12,2), CustomerID string, Country string
+    InvoiceDate timestamp_ntz, UnitPrice decimal(18,6), CustomerID string, Country string
 
 from ``lineitem ⋈ orders [⋈ part] [⋈ customer ⋈ nation]``.  Only the joins whose
 columns a job needs are planned (an inner join cannot be pruned by Catalyst).
@@ -26,7 +26,7 @@ RETAIL_SCHEMA = T.StructType([
     T.StructField("Description", T.StringType()),
     T.StructField("Quantity", T.IntegerType()),
     T.StructField("InvoiceDate", T.TimestampNTZType()),
-    T.StructField("UnitPrice", T.DecimalType(12, 2)),
+    T.StructField("UnitPrice", T.DecimalType(18, 6)),
     T.StructField("CustomerID", T.StringType()),
     T.StructField("Country", T.StringType()),
 ])
@@ -43,11 +43,13 @@ def normalise_headers(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({k: v for k, v in RENAME.items() if k in df.columns and k != v})
 
 
-def read_transactions(spark: SparkSession, paths: str | list[str], fmt: str = "csv") -> DataFrame:
+def read_transactions(spark: SparkSession, paths: str | list[str], fmt: str = "csv",
+                      timestamp_format: str | None = None) -> DataFrame:
     """One or several yearly extracts in a single scan, typed to RETAIL_SCHEMA.
 
     CSV is read as text with its header, normalised, then cast — the customer
-    id stays text even when it looks numeric.
+    id stays text even when it looks numeric.  ``timestamp_format`` is a Spark
+    pattern such as ``M/d/yyyy H:mm``; without one ISO texts are expected.
     """
     reader = spark.read
     if fmt == "csv":
@@ -59,27 +61,15 @@ def read_transactions(spark: SparkSession, paths: str | list[str], fmt: str = "c
     for f in RETAIL_SCHEMA.fields:
         c = F.col(f.name) if f.name in raw.columns else F.lit(None)
         if f.name == "InvoiceDate" and fmt == "csv":
-            c = F.to_timestamp_ntz(c)
+            c = F.to_timestamp_ntz(c, F.lit(timestamp_format)) if timestamp_format else F.to_timestamp_ntz(c)
         cols.append(c.cast(f.dataType).alias(f.name))
     return raw.select(*cols)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the scanned lines over the cluster's cores when the input
-    arrives in fewer splits than there are cores (e.g. one large file with a
-    single row group), so joins, filters and partial aggregations run in
-    parallel.  Round-robin is skew-free; with a normally split input (many
-    files) nothing is added to the plan."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 <= cores:
-        return df.repartition(cores)
-    return df
-
-
 def _unit_price(price: Column, qty: Column) -> Column:
-    """Line price per unit in whole cents, as decimal(12,2) (integer cents keep engines equal)."""
+    """Line price per unit in whole cents (integer cents keep engines equal), in the schema's scale."""
     cents = F.floor(price * F.lit(100) / qty).cast("decimal(12,0)")
-    return (cents * F.lit(0.01).cast("decimal(3,2)")).cast("decimal(12,2)")
+    return (cents * F.lit(0.01).cast("decimal(3,2)")).cast("decimal(18,6)")
 
 
 def retail_raw(spark: SparkSession, sf_dir: str, item: str = "product", *,
@@ -98,8 +88,8 @@ def retail_raw(spark: SparkSession, sf_dir: str, item: str = "product", *,
     """
     if item not in ITEM_GRAINS:
         raise ValueError(f"item must be one of {ITEM_GRAINS}")
-    li = spread(table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber",
-                      "l_quantity", "l_extendedprice", "l_returnflag"))
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber",
+               "l_quantity", "l_extendedprice", "l_returnflag")
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     df = li.join(orders, li.l_orderkey == orders.o_orderkey)
 
@@ -138,7 +128,7 @@ def retail_raw(spark: SparkSession, sf_dir: str, item: str = "product", *,
                      .when((F.col("l_partkey") % 5 == 0) & (F.col("l_linenumber") % 2 == 0),
                            F.concat(F.lit(" "), F.upper(desc), F.lit("\t ")))
                      .otherwise(desc))
-        price = F.when(F.col("l_linenumber") == 7, F.lit(0).cast("decimal(12,2)")).otherwise(price)
+        price = F.when(F.col("l_linenumber") == 7, F.lit(0).cast("decimal(18,6)")).otherwise(price)
 
     return df.select(
         invoice.alias("InvoiceNo"),

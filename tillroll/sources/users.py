@@ -42,16 +42,21 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch of account requests derived from the data: every supplier asks
-    for a seller account (suppliers of nation 0 ask for an unknown role), and
-    every customer with a negative balance registers again with its address."""
-    sup = table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey").select(
-        F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("request_id"),
-        F.col("s_name").alias("name"), email_of(F.col("s_name")).alias("email"),
-        F.when(F.col("s_nationkey") == 0, F.lit("vendor")).otherwise(F.lit("seller")).alias("role"))
+    """A batch of account requests derived from the data, with their order of arrival: every
+    supplier asks for a seller account (suppliers of nation 0 for an unknown role first, and again
+    with the right one; those of nation 1 twice; those of nation 2 without a name), and every
+    customer with a negative balance registers again with its address, in capitals for odd keys."""
+    sup = table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
+    ask = lambda prefix, shift, role: [
+        F.concat(F.lit(prefix), F.col("s_suppkey").cast("string")).alias("request_id"),
+        F.when(F.col("s_nationkey") != 2, F.col("s_name")).alias("name"), email_of(F.col("s_name")).alias("email"), role.alias("role"),
+        (F.col("s_suppkey") * 10 + shift).cast("bigint").alias("arrival")]
+    first = sup.select(*ask("S", 9, F.when(F.col("s_nationkey") == 0, F.lit("vendor")).otherwise(F.lit("seller"))))
+    retry = sup.filter(F.col("s_nationkey") < 2).select(*ask("R", 10, F.lit("seller")))
     again = (table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_acctbal")
              .filter(F.col("c_acctbal") < 0)
              .select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("request_id"),
-                     F.col("c_name").alias("name"), email_of(F.col("c_name")).alias("email"),
-                     F.lit("customer").alias("role")))
-    return sup.unionByName(again)
+                     F.col("c_name").alias("name"),
+                     F.when(F.col("c_custkey") % 2 == 1, F.upper(email_of(F.col("c_name")))).otherwise(email_of(F.col("c_name"))).alias("email"),
+                     F.lit("customer").alias("role"), (F.col("c_custkey") * 10).cast("bigint").alias("arrival")))
+    return first.unionByName(retry).unionByName(again)

@@ -3,8 +3,8 @@
 The reference's dashboards poll static results and one endpoint invents an
 order; here the orders are a real stream: ``purchase`` events read with
 ``readStream``.  Results go to a Parquet sink in the shared checkpoint folder
-(``spark.checkpoint.dir``) together with the query's own checkpoint, so a
-restarted query resumes exactly where it stopped.  ``run_to_table`` drives a
+(``spark.checkpoint.dir``) together with the query's own checkpoint; a query
+started again with the same ``base`` folder resumes where it stopped.  ``run_to_table`` drives a
 query with ``availableNow`` (process what is there, then stop) — the same
 code runs continuously with ``trigger(processingTime=...)``.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,12 +28,22 @@ EVENTS_SCHEMA = T.StructType([
 ])
 
 
+def utc_instant(wall) -> Column:
+    """The instant at which UTC clocks show a timestamp_ntz, whatever the session's zone."""
+    return F.from_utc_timestamp(wall.cast("timestamp"), F.current_timezone())
+
+
+def utc_wall(instant) -> Column:
+    """What UTC clocks show at an instant, as timestamp_ntz."""
+    return F.to_utc_timestamp(instant, F.current_timezone()).cast("timestamp_ntz")
+
+
 def order_stream(spark: SparkSession, path: str, glob: str | None = None,
                  max_files_per_trigger: int | None = None) -> DataFrame:
     """Purchase events as orders: (order_id, customer_id, amount, ts timestamp).
 
     ``path`` is the folder new event files land in (``glob`` selects files in
-    it); ``ts`` is cast from timestamp_ntz to timestamp (session time zone)
+    it); ``ts`` is turned from timestamp_ntz (UTC) to a timestamp
     because watermarks need the latter."""
     reader = spark.readStream.schema(EVENTS_SCHEMA)
     if glob:
@@ -43,7 +53,7 @@ def order_stream(spark: SparkSession, path: str, glob: str | None = None,
     ev = reader.parquet(path)
     return (ev.filter(F.col("event_type") == "purchase")
             .select(F.col("event_id").alias("order_id"), F.col("user_id").cast("string").alias("customer_id"),
-                    F.col("value").alias("amount"), F.col("ts").cast("timestamp").alias("ts")))
+                    F.col("value").alias("amount"), utc_instant(F.col("ts")).alias("ts")))
 
 
 def live_kpis(orders: DataFrame, window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
@@ -55,8 +65,8 @@ def live_kpis(orders: DataFrame, window: str = "1 day", watermark: str = "1 hour
            .groupBy(F.window("ts", window))
            .agg(F.count(F.lit(1)).alias("orders"), F.sum(money).alias("_amount")))
     return agg.select(
-        F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("window.end").cast("timestamp_ntz").alias("window_end"),
+        utc_wall(F.col("window.start")).alias("window_start"),
+        utc_wall(F.col("window.end")).alias("window_end"),
         "orders",
         F.col("_amount").cast("double").alias("amount"),
         (F.col("_amount").cast("double") / F.col("orders")).alias("avg_amount"))
@@ -69,7 +79,7 @@ def enrich_orders(orders: DataFrame, customers_segmented: DataFrame, actions: Da
     seg = customers_segmented.select(F.col("CustomerID").alias("customer_id"), "Segment")
     act = F.broadcast(actions.select("Segment", "action"))
     return (orders.join(seg, "customer_id", "left").join(act, "Segment", "left")
-            .select("order_id", "customer_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "amount",
+            .select("order_id", "customer_id", utc_wall(F.col("ts")).alias("ts"), "amount",
                     F.coalesce("Segment", F.lit("Unknown")).alias("customer_segment"),
                     F.coalesce("action", F.lit("")).alias("marketing_action")))
 
