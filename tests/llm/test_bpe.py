@@ -7,7 +7,7 @@ import pytest
 import tiktoken
 
 from helpers import documents, edge_rows, prose, sha
-from tillroll.llm import bpe
+from tillroll.llm import bpe, chunks
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 
@@ -32,8 +32,9 @@ def test_codec_equals_the_rank_library_on_hard_texts(reference):
 
 
 def test_very_long_text_and_full_memory(reference, monkeypatch):
-    monkeypatch.setattr(bpe, "SLICE_BYTES", 1000)
-    monkeypatch.setattr(bpe, "REMEMBER", 50)
+    monkeypatch.setattr(chunks, "LONG", 1000)
+    monkeypatch.setattr(chunks, "PART", 77)
+    monkeypatch.setattr(chunks, "REMEMBER", 50)
     own, t = bpe.Codec(RANKS, P.PATTERN), prose(random.Random(1), 3000)
     assert own.encode(t.encode()).tolist() == reference.encode_ordinary(t)
 

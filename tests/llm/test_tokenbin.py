@@ -1,10 +1,12 @@
+import random
+
 import numpy as np
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
 from helpers import documents, edge_rows
-from tillroll.llm import tokenbin
+from tillroll.llm import chunks, tokenbin
 from tillroll.llm.common import RunFolder
 
 PATH = P.path("word_bpe_49k.json")
@@ -49,13 +51,32 @@ def test_files_hold_all_ids_in_order(spark, planes, chunk_ids):
     assert any(r.start == some.start and r.ids == some.ids for r in part) and (planes == "bit" or len(part) < len(got))
 
 
+def hard_texts():
+    rng = random.Random(4)
+    blanks = [" ", "  ", "\n", "\t\n ", "\x85", "\xa0", "\u2003", "\u3000", "\x1c", "\u200b", ""]
+    bits = ["don't", "I'LL", "x's", "'", "''s", "12345", "¼²", "!!!", "<|endoftext|>", "é", "e\u0301", "É", "ΣΑΣ", "İx", "漢字かな", "\U0001F600", "\x00", "\ufeff", "thethe", "µªº", "×÷", "\u212b", "ﬁ"]
+    texts = ["".join(rng.choice(blanks) + rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    return texts + ["".join(chr(c) for c in range(a, a + 500) if not 0xD800 <= c < 0xE000) for a in range(0, 0x20000, 500)]
+
+
+def test_words_equal_the_library_on_hard_texts():
+    own = Tokenizer.from_file(PATH)
+    own.encode_special_tokens = True
+    texts = hard_texts()
+    tokenbin.words.cache_clear()
+    for text, got in zip(texts, tokenbin.words(PATH).encode_all([t.encode() for t in texts])):
+        assert np.frombuffer(got, "<u4").tolist() == own.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_words_with_full_memory_and_long_texts(monkeypatch):
-    monkeypatch.setattr(tokenbin, "SLICE_BYTES", 100)
-    monkeypatch.setattr(tokenbin, "REMEMBER", 20)
+    monkeypatch.setattr(chunks, "LONG", 100)
+    monkeypatch.setattr(chunks, "PART", 17)
+    monkeypatch.setattr(chunks, "REMEMBER", 20)
     own = Tokenizer.from_file(PATH)
     own.encode_special_tokens = True
-    text = edge_rows()[12][1] + " ΣΑΣ É é　x ́y <|endoftext|> İ"
-    assert np.frombuffer(tokenbin.Words(PATH).encode(text.encode()), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+    text = edge_rows()[12][1] + " ΣΑΣ É é\u3000x \u0301y <|endoftext|> İ"
+    tokenbin.words.cache_clear()
+    assert np.frombuffer(tokenbin.words(PATH).encode_all([b"", text.encode(), b"a b"])[1], "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
 
 
 def test_empty_table(spark):

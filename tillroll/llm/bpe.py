@@ -2,9 +2,8 @@
 
 The library's byte-level form of a vocabulary writes every byte as one printable character.  The vocabulary
 and its merges are rebuilt from a rank file: a token's two parts are what the lower ranks
-make of its bytes.  Matches of the split pattern never reach over a blank run into the word before it,
-so a text is cut in chunks of blanks and the word after them, and each distinct chunk is
-encoded once and remembered in a bounded table of the worker.
+make of its bytes.  Texts are cut in chunks of blanks and the word after them, over whose ends no match of the split
+pattern reaches, and each distinct chunk is encoded once (``chunks.py``).
 
 Decoding reverses the byte table: ids become bytes, and bytes text.  A character may
 be split over tokens; offsets then give each of its tokens the whole character.
@@ -15,26 +14,22 @@ import base64
 import os
 import re
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SLICE_BYTES, per_text
+from .chunks import BLANK, LETTER, NUMBER, ChunkEncoder, byte_chars
+from .common import per_text
 
-#: Distinct chunks that a worker remembers; when full, it starts anew.
-REMEMBER = 1 << 18
-#: Blanks as the split pattern's library understands them (Unicode White_Space).
-_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_CHUNK = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
+_CHUNK = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
 
 
-def byte_chars() -> list[str]:
-    """The printable character that stands for each byte: its own where it has one, else the next from U+0100 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b if b in plain else next(spare)) for b in range(256)]
+def latin_split(pattern: str) -> re.Pattern:
+    """A split pattern for Python's ``re``, right for texts of Latin-1 characters."""
+    for name, chars in ((r"[^\s\p{L}\p{N}]", f"[^{BLANK}{LETTER}{NUMBER}]"), (r"\p{L}", f"[{LETTER}]"), (r"\p{N}", f"[{NUMBER}]"), (r"\s", f"[{BLANK}]"), (r"\S", f"[^{BLANK}]")):
+        pattern = pattern.replace(name, chars)
+    return re.compile(pattern)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -66,8 +61,8 @@ class Codec:
                 parts = _parts(token, ranks, rank)
                 if len(parts) == 2:
                     merges.append((name(parts[0]), name(parts[1])))
-        self.tokenizer = Tokenizer(models.BPE(vocab={name(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
-        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([
+        tokenizer = Tokenizer(models.BPE(vocab={name(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
+        tokenizer.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         size = max(ranks.values()) + 1
         table = [b""] * size
@@ -76,27 +71,14 @@ class Codec:
         self.lengths = np.array([len(t) for t in table], np.int64)
         self.starts = np.r_[0, np.cumsum(self.lengths)[:-1]]
         self.bytes = np.frombuffer(b"".join(table), np.uint8)
-        self.seen: dict[str, bytes] = {}
-
-    def _ids(self, chunks: list[str]) -> bytes:
-        new = {c for c in chunks if c not in self.seen}
-        if new:
-            if len(self.seen) + len(new) > REMEMBER:
-                self.seen.clear()
-                new = set(chunks)
-            some = list(new)
-            for chunk, got in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.seen[chunk] = np.array(got.ids, np.uint32).tobytes()
-        return b"".join(map(self.seen.__getitem__, chunks))
+        self.chunks = ChunkEncoder(tokenizer, _CHUNK, latin_split(pattern))
+
+    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each whole text."""
+        return [np.frombuffer(x, np.uint32) for x in self.chunks.encode_all(texts)]
 
     def encode(self, text: bytes) -> np.ndarray:
-        """Ids of one whole text; of a very long one, some 100,000 chunks are handled at a time."""
-        if len(text) < SLICE_BYTES:
-            return np.frombuffer(self._ids(_CHUNK.findall(text.decode("utf-8"))), np.uint32)
-        found, out = _CHUNK.finditer(text.decode("utf-8")), []
-        while some := [m[0] for m in islice(found, 100_000)]:
-            out.append(self._ids(some))
-        return np.frombuffer(b"".join(out), np.uint32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that the ids stand for (an id outside the table: an error)."""
@@ -142,7 +124,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
         own = codec(ranks_path, pattern)
 
         def work(part):
-            ids = [own.encode(t) for t in part]
+            ids = own.encode_all(part)
             out = {"ids": _lists(ids, pa.int32())}
             if offsets:
                 both = [own.char_offsets(i, t) for i, t in zip(ids, part)]

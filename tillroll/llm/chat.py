@@ -49,7 +49,7 @@ def _turns(convs: DataFrame, ranks: str, pattern: str, conv: str, turn: str, rol
 
     def make():
         own = codec(ranks, pattern)
-        return lambda part: {"tokens": pa.array([len(own.encode(t)) for t in part], pa.int64())}
+        return lambda part: {"tokens": pa.array([len(x) for x in own.encode_all(part)], pa.int64())}
 
     counted = per_text(rows, make, "tokens long", "seg").select("row.*", "tokens")
     tied = counted.withColumn("h", F.xxhash64("role", "seg")).withColumn("tie", F.monotonically_increasing_id())

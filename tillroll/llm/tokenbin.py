@@ -23,12 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, RunFolder, col, slices, texts
+from .chunks import BLANK, LOWER, NUMBER, ChunkEncoder
+from .common import RunFolder, col, slices, texts
 
 BLOCK, CHUNK_IDS, LEVEL = 16384, 1 << 17, 3
-#: Distinct words a worker remembers; when full, it starts anew.
-REMEMBER = 1 << 18
-_WORD = re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_WORD = re.compile(f"[^{BLANK}]+")
+#: The vocabulary's split of lower-cased Latin-1 words: contractions, letters, single numbers, other characters.
+_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LOWER}]+|[{NUMBER}]|[^{LOWER}{NUMBER}]+")
 _HEAD = struct.Struct("<4sB3xIQ")
 
 
@@ -72,44 +73,15 @@ def unpack(chunk: bytes) -> np.ndarray:
     return out
 
 
-class Words:
-    """Encoder of a word vocabulary: no token and no normalisation reaches over a blank, so each distinct word is encoded once."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.seen: dict[str, bytes] = {}
-
-    def _ids(self, words: list[str]) -> bytes:
-        new = {w for w in words if w not in self.seen}
-        if new:
-            if len(self.seen) + len(new) > REMEMBER:
-                self.seen.clear()
-                new = set(words)
-            some = list(new)
-            for word, got in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.seen[word] = np.array(got.ids, "<u4").tobytes()
-        return b"".join(map(self.seen.__getitem__, words))
-
-    def encode(self, text: bytes) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        if len(text) < SLICE_BYTES:
-            return self._ids(_WORD.findall(text.decode("utf-8")))
-        found, out, some = _WORD.finditer(text.decode("utf-8")), [], []
-        for m in found:
-            some.append(m[0])
-            if len(some) == 100_000:
-                out.append(self._ids(some))
-                some = []
-        return b"".join([*out, self._ids(some)])
-
-
 @lru_cache(maxsize=2)
-def _words(path: str) -> Words:
+def words(path: str) -> ChunkEncoder:
+    """Encoder of a word vocabulary (lower case, blanks dropped): one a Python worker and file."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Words(path)
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+    return ChunkEncoder(tokenizer, _WORD, _SPLIT, fold=True)
 
 
 def write_tokens(docs: DataFrame, folder: RunFolder, tokenizer: str, end_id: int, text: str = "text", doc_id: str = "doc_id",
@@ -126,7 +98,7 @@ def write_tokens(docs: DataFrame, folder: RunFolder, tokenizer: str, end_id: int
     end = np.array([end_id], "<u4").tobytes()
 
     def shard(batches):
-        own, here, chunk, ids, held, entries = _words(tokenizer), TaskContext.get().partitionId(), 0, [], 0, []
+        own, here, chunk, ids, held, entries = words(tokenizer), TaskContext.get().partitionId(), 0, [], 0, []
 
         def flush():
             data = np.frombuffer(b"".join(ids), "<u4")
@@ -138,8 +110,8 @@ def write_tokens(docs: DataFrame, folder: RunFolder, tokenizer: str, end_id: int
         for batch in batches:
             id_type = batch.column("doc_id").type
             for part in slices(batch):
-                for d, t in zip(part.column("doc_id").to_pylist(), texts(part.column("text"))):
-                    data = own.encode(t) + end
+                for d, data in zip(part.column("doc_id").to_pylist(), own.encode_all(list(texts(part.column("text"))))):
+                    data += end
                     ids.append(data)
                     entries.append((d, len(data) // 4))
                     held += len(data) // 4
