@@ -67,3 +67,36 @@ def test_item_cap_keeps_most_frequent(spark):
     pairs = spark.createDataFrame(rows, "basket string, item string")
     kept = [r.item for r in kept_items(pairs, BasketSpec(min_count=1, max_items=2)).collect()]
     assert sorted(kept) == ["x", "y"]
+
+
+def test_no_item_is_dropped_by_default(spark):
+    from tillroll.operators.baskets import BasketSpec, limited
+    pairs = spark.createDataFrame([(f"b{i}", f"x{i}") for i in range(700)], "basket string, item string")
+    assert limited(pairs, BasketSpec()).count() == 700
+
+
+def test_batch_recommendation_matches_text(spark):
+    its = I.frequent_itemsets(pairs(spark), len(BASKETS), 0.3, 3)
+    rules = R.association_rules(its, 0.0, 0.0)
+    got = R.recommend_batch(rules, spark.createDataFrame([("B",), ("zz",), (None,)], "product string"), 100).collect()
+    assert {r.antecedents_str for r in got} == {"b", "a, b", "b, c"} and {r.product for r in got} == {"B"}
+
+
+def test_grid_matches_pivot(spark):
+    its = I.frequent_itemsets(pairs(spark), len(BASKETS), 0.3, 3)
+    rules = R.association_rules(its, 0.0, 0.0)
+    wide = {r["antecedents_str"]: r.asDict() for r in R.rule_matrix_wide(rules, 6).collect()}
+    grid = R.rule_grid(rules, 6).collect()
+    assert len(grid) == len(wide) * (len(next(iter(wide.values()))) - 1)
+    assert all(wide[r.antecedents_str][r.consequents_str] == r.lift for r in grid)
+
+
+def test_candidates_are_never_broadcast(spark):
+    """Only the written table of frequent itemsets is small by proof."""
+    from tillroll.operators import itemsets as M
+    wide = spark.createDataFrame([(str(b), f"i{k}") for b in range(40) for k in range(12)], "basket string, item string")
+    frequent = M.frequent_itemsets(wide, 40, 0.5, 3)
+    assert frequent.count() == 12 + 66 + 220
+    rows = spark.createDataFrame([(["a", "b"], ["a"], 0)], "items array<string>, itemset array<string>, pos int")
+    plan = M._only(rows, spark.createDataFrame([(["a"],)], "itemset array<string>"), "itemset")._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan

@@ -1,5 +1,5 @@
 """Invariants of the deterministic K-Means and labelling."""
-from pyspark.sql import functions as F
+import pytest
 
 from tillroll.operators import kmeans as K
 from tillroll.plans import catalog as C
@@ -8,7 +8,7 @@ from conftest import SF0001
 
 def test_fixed_kmeans_invariants(spark):
     r = C.rfm(spark, SF0001)
-    model = K.fit_fixed_kmeans(r, "CustomerID", ["Recency", "Frequency", "Monetary"], k=4, max_iter=30)
+    model = K.fit_fixed_kmeans(r, "CustomerID", ["Recency", "Frequency", "Monetary"], k=4, n_init=3)
     z = model.scaler.transform(r).collect()
     cols = [f"z_{f}_milli" for f in model.features]
     sizes = {}
@@ -20,12 +20,14 @@ def test_fixed_kmeans_invariants(spark):
     for row in z:
         d = [sum((row[c] - v) ** 2 for c, v in zip(cols, cen)) for cen in model.centres]
         assert assigned[row.CustomerID] == min(range(len(d)), key=lambda j: (d[j], j))
-    if model.converged:  # a fixed point: every centre is the floor-mean of its members
-        for j, cen in enumerate(model.centres):
-            members = [row for row in z if assigned[row.CustomerID] == j]
-            if members:
-                assert cen == [sum(m[c] for m in members) // len(members) for c in cols]
-    again = K.fit_fixed_kmeans(r, "CustomerID", ["Recency", "Frequency", "Monetary"], k=4, max_iter=30)
+    assert model.converged  # a fixed point: every centre is the floor-mean of its members
+    for j, cen in enumerate(model.centres):
+        members = [row for row in z if assigned[row.CustomerID] == j]
+        if members:
+            assert cen == [sum(m[c] for m in members) // len(members) for c in cols]
+    own = [min(sum((row[c] - v) ** 2 for c, v in zip(cols, cen)) for cen in model.centres) for row in z]
+    assert model.inertia == sum(own)
+    again = K.fit_fixed_kmeans(r, "CustomerID", ["Recency", "Frequency", "Monetary"], k=4, n_init=3)
     assert again.centres == model.centres
 
 
@@ -59,7 +61,7 @@ def test_trained_kmeans_assigns_nearest(spark):
 
 def test_model_save_load(spark, tmp_path):
     r = C.rfm(spark, SF0001)
-    seg, model = K.segment(r, "CustomerID", ["Recency", "Frequency", "Monetary"], "customer", 4, 10,
+    seg, model = K.segment(r, "CustomerID", ["Recency", "Frequency", "Monetary"], "customer", 4,
                            money={"Monetary": "decimal(28,2)"})
     model.save(spark, str(tmp_path / "m"))
     back = K.FixedKMeansModel.load(spark, str(tmp_path / "m"))
@@ -76,3 +78,40 @@ def test_k_sweep_rows(spark):
     assert [x.k for x in rows] == [2, 3]
     assert all(0.0 < x.inertia < float("inf") for x in rows)
     assert all(-1.0 <= x.silhouette <= 1.0 for x in rows)
+
+
+def test_more_starts_never_worse_and_limit_is_an_error(spark):
+    r = C.rfm(spark, SF0001)
+    f = ["Recency", "Frequency", "Monetary"]
+    one, many = (K.fit_fixed_kmeans(r, "CustomerID", f, k=20, n_init=n) for n in (1, 4))
+    assert len(many.centres) == 20 and many.inertia <= one.inertia
+    with pytest.raises(RuntimeError):
+        K.fit_fixed_kmeans(r, "CustomerID", f, k=4, n_init=2, max_iter=1)
+
+
+def test_repeated_and_few_points(spark):
+    df = spark.createDataFrame([(str(i), float(i % 2)) for i in range(50)], "id string, x double")
+    model = K.fit_fixed_kmeans(df, "id", ["x"], k=4, n_init=2)
+    assert model.converged and len(model.centres) == 2 and model.inertia == 0
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_product_model_converges(spark, sf):
+    model = K.fit_fixed_kmeans(C.product_features(spark, sf), "Description", list(C.FE.PRODUCT_FEATURES))
+    assert model.converged and len(model.centres) == 4
+
+
+def test_trained_pipeline_is_saved_labelled_and_scaled_by_population_deviation(spark, tmp_path):
+    r = C.rfm(spark, SF0001)
+    f = ["Recency", "Frequency", "Monetary"]
+    model, cost = K.train_kmeans(r, f, k=4, n_init=2, workers=2)
+    K.save_pipeline(model, str(tmp_path / "p"))
+    back = K.load_pipeline(str(tmp_path / "p"))
+    scored = K.score_trained(back, r, f, "customer", {"Monetary": "decimal(28,2)"})
+    assert {x.Segment for x in scored.select("Segment").distinct().collect()} == {"Champions", "Loyal", "At-Risk", "Lost"}
+    one = K.trained_invariants(back, r, cost).first()
+    assert (one.n_rows, one.n_clusters, one.n_not_nearest, one.inertia_holds) == (r.count(), 4, 0, True)
+    z = [v.features.toArray() for v in back.transform(r).select("features").collect()]
+    n = len(z)
+    for k in range(3):
+        assert abs(sum(v[k] for v in z)) < 1e-6 and abs(sum(v[k] ** 2 for v in z) / n - 1) < 1e-9

@@ -13,7 +13,7 @@ def test_read_transactions_normalises_headers(spark, tmp_path):
     df = retail.read_transactions(spark, str(p))
     assert df.schema == retail.RETAIL_SCHEMA
     rows = df.orderBy("InvoiceNo").collect()
-    assert rows[0].CustomerID == "17850" and str(rows[0].UnitPrice) == "2.55"
+    assert rows[0].CustomerID == "17850" and float(rows[0].UnitPrice) == 2.55
     assert rows[1].CustomerID is None
 
 
@@ -38,3 +38,32 @@ def test_row_counts(spark):
     b = spark.range(5)
     got = {r.table: r.rows for r in tables.row_counts({"a": a, "b": b}).collect()}
     assert got == {"a": 3, "b": 5}
+
+
+def test_small_prices_survive_and_several_extracts_are_one_scan(spark, tmp_path):
+    from tillroll.operators.clean import clean
+    head = "Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\n"
+    (tmp_path / "a.csv").write_text(head + "1,A,pin,5,1/2/2010 8:26,0.001,17,UK\n")
+    (tmp_path / "b.csv").write_text(head + "2,B,nail,2,11/30/2011 17:05,2.555,18,UK\n")
+    df = retail.read_transactions(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], timestamp_format="M/d/yyyy H:mm")
+    rows = clean(df, "rfm").orderBy("InvoiceNo").collect()
+    assert [float(r.TotalPrice) for r in rows] == [0.005, 5.11]
+    assert [r.InvoiceDate.isoformat() for r in rows] == ["2010-01-02T08:26:00", "2011-11-30T17:05:00"]
+
+
+def test_no_expand_over_the_lines(spark):
+    from tillroll.operators.clean import clean, cleaning_report
+    from tillroll.operators.features import product_aggregates
+    raw = retail.retail_raw(spark, SF0001, dirty=True)
+    for df in (cleaning_report(raw), product_aggregates(clean(raw, "product"))):
+        assert "Expand" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distinct_counts_of_product_features(spark):
+    from tillroll.operators.features import product_aggregates
+    from tillroll.plans.catalog import clean_lines
+    lines = clean_lines(spark, SF0001, "product")
+    want = {r.Description: (r.i, r.c) for r in lines.groupBy("Description").agg(
+        F.count_distinct("InvoiceNo").alias("i"), F.count_distinct("CustomerID").alias("c")).collect()}
+    got = {r.Description: (r.num_transactions, r.num_customers) for r in product_aggregates(lines).collect()}
+    assert got == want

@@ -14,3 +14,29 @@ def test_stream_kpis_windows_close_by_watermark(spark, tmp_path):
     again = ST.run_to_table(ST.live_kpis(ST.order_stream(spark, SF0001, glob="events*.parquet"), "1 day", "1 hour"),
                             "t", base=str(tmp_path / "kpis"))
     assert again.count() == len(rows)
+
+
+def test_late_and_out_of_order_batches(spark, tmp_path):
+    """Rows behind the watermark of an earlier batch are dropped; rows out of order but in time count; zones don't matter."""
+    import datetime as dt
+
+    def batch(name, hours):
+        rows = [(k, dt.datetime(2020, 1, 1) + dt.timedelta(hours=h), 7, "purchase", 1.0, "") for k, h in enumerate(hours)]
+        spark.createDataFrame(rows, ST.EVENTS_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        kpis = ST.live_kpis(ST.order_stream(spark, str(tmp_path / "in")), "1 day", "1 hour")
+        return {r.window_start.day: r.orders for r in ST.run_to_table(kpis, "late", base=str(tmp_path / "out")).collect()}
+
+    batch("a", [30, 2, 50, 26])        # days 1, 2, 3 in disorder
+    assert run() == {1: 1, 2: 2}
+    batch("b", [3, 49, 80])            # day 1 is closed: its row is late; day 3 is open
+    assert run() == {1: 1, 2: 2, 3: 2}
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        ev = spark.read.parquet(str(tmp_path / "in"))
+        back = ev.select(ST.utc_wall(ST.utc_instant(ev.ts)).alias("b"), "ts").collect()
+        assert all(r.b == r.ts for r in back)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -85,7 +85,8 @@ def _fenced(seg: DataFrame, id_col: str | None, features: list[str]) -> DataFram
                                              for f in features])).alias("p")).select("Segment", *(["id"] if id_col else []), "p.feature", "p.v")
     long = materialize(long)
     q = quantile_columns(long, ["Segment", "feature"], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
+    # on the 1e-6 grid: an engine may or may not fuse the interpolation's multiply-add
+    q = q.withColumns({c: _grid(F.col(c)) for c in ("q1", "median", "q3")}).withColumn("iqr", F.col("q3") - F.col("q1"))
     fenced = long.join(F.broadcast(q), ["Segment", "feature"])  # segments x features rows
     lo_f = F.col("q1") - 1.5 * F.col("iqr")
     hi_f = F.col("q3") + 1.5 * F.col("iqr")

@@ -562,6 +562,10 @@ oracle("segment_profile_customers", with_(*CS) + _profile_sql("cust_seg", RFM_F,
 oracle("segment_profile_products", with_(*PS) + _profile_sql("prod_seg", PROD_F, set(), set()))
 
 
+def _grid_sql(expr: str) -> str:
+    return f"floor({expr} * 1000000.0 + 0.5) / 1000000.0"
+
+
 def _box_sql(src: str, kind: str, feats: list[str]) -> str:
     long = " UNION ALL ".join(f"SELECT Segment, '{f}' AS feature, CAST({f} AS DOUBLE) AS v FROM {src} "
                               f"WHERE Segment IS NOT NULL" for f in feats)
@@ -572,9 +576,10 @@ SELECT l.Segment, l.feature, q.q1, q.median, q.q3, q.iqr,
        count(*) FILTER (WHERE NOT (l.v >= q.q1 - 1.5 * q.iqr AND l.v <= q.q3 + 1.5 * q.iqr)) AS n_outliers,
        count(*) AS n, '{kind}' AS kind
 FROM ({long}) l JOIN (
-  SELECT Segment, feature, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median,
-         quantile_cont(v, 0.75) AS q3, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr
-  FROM ({long}) GROUP BY Segment, feature) q ON q.Segment = l.Segment AND q.feature = l.feature
+  SELECT *, q3 - q1 AS iqr FROM (
+    SELECT Segment, feature, {_grid_sql('quantile_cont(v, 0.25)')} AS q1, {_grid_sql('quantile_cont(v, 0.5)')} AS median,
+           {_grid_sql('quantile_cont(v, 0.75)')} AS q3
+    FROM ({long}) GROUP BY Segment, feature)) q ON q.Segment = l.Segment AND q.feature = l.feature
 GROUP BY l.Segment, l.feature, q.q1, q.median, q.q3, q.iqr"""
 
 
@@ -585,7 +590,7 @@ def _outlier_sql(src: str, kind: str, ident: str, feats: list[str]) -> str:
                               f"WHERE Segment IS NOT NULL" for f in feats)
     return f"""
 SELECT l.Segment, l.feature, l.id, l.v AS value, '{kind}' AS kind
-FROM ({long}) l JOIN (SELECT Segment, feature, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM ({long}) GROUP BY Segment, feature) q
+FROM ({long}) l JOIN (SELECT Segment, feature, {_grid_sql('quantile_cont(v, 0.25)')} AS q1, {_grid_sql('quantile_cont(v, 0.75)')} AS q3 FROM ({long}) GROUP BY Segment, feature) q
   ON q.Segment = l.Segment AND q.feature = l.feature
 WHERE NOT (l.v >= q.q1 - 1.5 * (q.q3 - q.q1) AND l.v <= q.q3 + 1.5 * (q.q3 - q.q1))"""
 
