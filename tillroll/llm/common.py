@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tillroll.session import checkpoint_root
 
 #: Bytes of text a Python worker handles at a time (a single longer text goes alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
