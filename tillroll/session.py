@@ -106,3 +106,24 @@ def clear_run_files(spark: SparkSession) -> None:
     Results that still read them must have been consumed."""
     for name in ("tables", "streams"):
         delete_path(spark, f"{checkpoint_root(spark)}/{name}")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, once a context, as ``--py-files`` would.
+
+    Functions inside tasks are then found wherever the driver was started from."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_tillroll_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tillroll-py-"), "tillroll.zip")  # the driver serves it
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("tillroll", os.path.relpath(full, home)))
+    sc.addPyFile(path)
+    sc._tillroll_shipped = True
