@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.session import checkpoint_root
+from tillroll.session import checkpoint_root, ship_package
 
 #: Bytes of text a Python worker handles at a time (a single longer text goes alone).
 SLICE_BYTES = 1 << 20
@@ -34,6 +34,7 @@ def col(name: str) -> Column:
 
 def packed(df: DataFrame, text: str, keep: Iterable[str] | None = None) -> DataFrame:
     """Columns ``row`` (struct of the kept columns, all by default) and ``text``."""
+    ship_package(df.sparkSession)
     names = df.columns if keep is None else list(keep)
     return df.select(F.struct(*[col(c).alias(c) for c in names]).alias("row"),
                      col(text).cast("string").alias("text"))
@@ -62,6 +63,7 @@ class RunFolder:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship_package(spark)
         self.spark = spark
         self.path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
