@@ -75,12 +75,12 @@ def q_cleaning_report(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- features --
-def rfm(spark, sf_dir) -> DataFrame:
-    return FE.build_rfm(clean_lines(spark, sf_dir, "rfm"))
+def rfm(spark, sf_dir, dirty: bool = False) -> DataFrame:
+    return FE.build_rfm(clean_lines(spark, sf_dir, "rfm", dirty))
 
 
-def product_features(spark, sf_dir) -> DataFrame:
-    return FE.build_product_features(clean_lines(spark, sf_dir, "product"))
+def product_features(spark, sf_dir, dirty: bool = False) -> DataFrame:
+    return FE.build_product_features(clean_lines(spark, sf_dir, "product", dirty))
 
 
 @query("rfm")
@@ -88,6 +88,11 @@ def q_rfm(spark, sf_dir):
     return rfm(spark, sf_dir)
 
 
+@query("rfm_dirty")
+def q_rfm_dirty(spark, sf_dir):
+    return rfm(spark, sf_dir, dirty=True)
+
+
 @query("reference_date")
 def q_reference_date(spark, sf_dir):
     return FE.reference_date(clean_lines(spark, sf_dir, "rfm"))
@@ -103,6 +108,11 @@ def q_product_features(spark, sf_dir):
     return product_features(spark, sf_dir)
 
 
+@query("product_features_dirty")
+def q_product_features_dirty(spark, sf_dir):
+    return product_features(spark, sf_dir, dirty=True)
+
+
 @query("product_describe")
 def q_product_describe(spark, sf_dir):
     return FE.describe(product_features(spark, sf_dir), FE.PRODUCT_FEATURES)
@@ -149,17 +159,17 @@ CAPPED = BasketConfig(item="product", min_count=5, max_items=500)
 MULTI = BasketConfig(basket_col="InvoiceNo", item="type", min_support=0.03, min_lift=0.0)
 
 
-def basket_clean(spark, sf_dir, cfg: BasketConfig) -> DataFrame:
-    return clean_lines(spark, sf_dir, "basket", item=cfg.item)
+def basket_clean(spark, sf_dir, cfg: BasketConfig, dirty: bool = False) -> DataFrame:
+    return clean_lines(spark, sf_dir, "basket", dirty, cfg.item)
 
 
-def itemsets(spark, sf_dir, cfg: BasketConfig = MAIN) -> DataFrame:
-    pairs, n = B.prepare(basket_clean(spark, sf_dir, cfg), cfg.spec)
+def itemsets(spark, sf_dir, cfg: BasketConfig = MAIN, dirty: bool = False) -> DataFrame:
+    pairs, n = B.prepare(basket_clean(spark, sf_dir, cfg, dirty), cfg.spec)
     return I.frequent_itemsets(pairs, n, cfg.min_support, cfg.max_len)
 
 
-def rules(spark, sf_dir, cfg: BasketConfig = MAIN) -> DataFrame:
-    return R.association_rules(itemsets(spark, sf_dir, cfg), cfg.min_confidence, cfg.min_lift)
+def rules(spark, sf_dir, cfg: BasketConfig = MAIN, dirty: bool = False) -> DataFrame:
+    return R.association_rules(itemsets(spark, sf_dir, cfg, dirty), cfg.min_confidence, cfg.min_lift)
 
 
 def _itemset_out(df: DataFrame) -> DataFrame:
@@ -213,6 +223,12 @@ def q_association_rules(spark, sf_dir):
     return rules(spark, sf_dir, MAIN).select(*R.RULE_COLS)
 
 
+@query("association_rules_dirty")
+def q_association_rules_dirty(spark, sf_dir):
+    """Null customers, null and padded descriptions and zero prices go through mining."""
+    return rules(spark, sf_dir, MAIN, dirty=True).select(*R.RULE_COLS)
+
+
 @query("association_rules_multi")
 def q_association_rules_multi(spark, sf_dir):
     return rules(spark, sf_dir, MULTI).select(*R.RULE_COLS)

@@ -102,8 +102,8 @@ def clean_ctes(variant: str, dirty: bool = False, item: str = "product") -> list
 
 
 # ---------------------------------------------------------------- features --
-def rfm_ctes() -> list[tuple[str, str]]:
-    return clean_ctes("rfm") + [("rfm", """
+def rfm_ctes(dirty: bool = False) -> list[tuple[str, str]]:
+    return clean_ctes("rfm", dirty=dirty) + [("rfm", """
   SELECT CustomerID, count(DISTINCT InvoiceNo) AS Frequency,
          CAST(sum(TotalPrice) AS DOUBLE) AS Monetary,
          CAST((epoch_us((SELECT max(InvoiceDate) FROM clean_rfm) + INTERVAL 1 DAY)
@@ -111,8 +111,8 @@ def rfm_ctes() -> list[tuple[str, str]]:
   FROM clean_rfm GROUP BY CustomerID""")]
 
 
-def product_agg_ctes() -> list[tuple[str, str]]:
-    return clean_ctes("product") + [("product_agg", """
+def product_agg_ctes(dirty: bool = False) -> list[tuple[str, str]]:
+    return clean_ctes("product", dirty=dirty) + [("product_agg", """
   SELECT Description,
          CAST(sum(UnitPrice) AS DOUBLE) / count(UnitPrice) AS avg_price,
          CAST(sum(Quantity) AS BIGINT) AS total_quantity,
@@ -122,8 +122,8 @@ def product_agg_ctes() -> list[tuple[str, str]]:
   FROM clean_product GROUP BY Description""")]
 
 
-def product_features_ctes(q: float = 0.99, min_tx: int = 10) -> list[tuple[str, str]]:
-    return product_agg_ctes() + [("product_features", f"""
+def product_features_ctes(q: float = 0.99, min_tx: int = 10, dirty: bool = False) -> list[tuple[str, str]]:
+    return product_agg_ctes(dirty) + [("product_features", f"""
   SELECT * FROM product_agg
   WHERE total_revenue <= (SELECT quantile_cont(total_revenue, {q}) FROM product_agg)
     AND num_transactions >= {min_tx}""")]
@@ -183,11 +183,13 @@ def _report_sql() -> str:
 
 oracle("cleaning_report", _report_sql())
 oracle("rfm", with_(*rfm_ctes()) + "SELECT * FROM rfm")
+oracle("rfm_dirty", with_(*rfm_ctes(dirty=True)) + "SELECT * FROM rfm")
 oracle("reference_date", with_(*clean_ctes("rfm")) + """
 SELECT max(InvoiceDate) AS last_invoice, max(InvoiceDate) + INTERVAL 1 DAY AS reference_time,
        CAST(max(InvoiceDate) + INTERVAL 1 DAY AS DATE) AS reference_date FROM clean_rfm""")
 oracle("rfm_describe", with_(*rfm_ctes()) + describe_sql("rfm", ["Recency", "Frequency", "Monetary"]))
 oracle("product_features", with_(*product_features_ctes()) + "SELECT * FROM product_features")
+oracle("product_features_dirty", with_(*product_features_ctes(dirty=True)) + "SELECT * FROM product_features")
 oracle("product_describe", with_(*product_features_ctes()) + describe_sql(
     "product_features", ["avg_price", "total_quantity", "num_transactions", "num_customers", "total_revenue"]))
 
@@ -195,11 +197,11 @@ oracle("product_describe", with_(*product_features_ctes()) + describe_sql(
 # ------------------------------------------------------------------ baskets --
 def basket_ctes(basket_col: str = "CustomerID", item: str = "type", min_support: float = 0.15,
                 min_count: int = 1, max_items: int | None = None, min_conf: float = 0.3,
-                min_lift: float = 1.0, tag: str = "m") -> list[tuple[str, str]]:
+                min_lift: float = 1.0, tag: str = "m", dirty: bool = False) -> list[tuple[str, str]]:
     """Pairs, kept items, itemsets (explicit joins per length, max 3) and rules
     (all splits written out per length)."""
     t = tag
-    ctes = clean_ctes("basket", item=item)
+    ctes = clean_ctes("basket", dirty=dirty, item=item)
     ctes += [
         (f"pairs_{t}", f"""
   SELECT {basket_col} AS basket, Description AS item FROM clean_basket
@@ -273,6 +275,7 @@ oracle("frequent_itemsets_fpgrowth", ORACLE["frequent_itemsets"])
 oracle("itemset_length_histogram", with_(*M) +
        "SELECT length, count(*) AS n_itemsets FROM itemsets_m GROUP BY length")
 oracle("association_rules", with_(*M) + f"SELECT {RULE_SEL} FROM rules_m")
+oracle("association_rules_dirty", with_(*basket_ctes(tag="d", dirty=True)) + f"SELECT {RULE_SEL} FROM rules_d")
 oracle("association_rules_multi", with_(*MM) + f"SELECT {RULE_SEL} FROM rules_x")
 oracle("rule_counts_by_lift", with_(*M) + """
 SELECT count(*) AS total_rules, count(*) FILTER (WHERE lift > 2.0) AS rules_lift_gt_2,

@@ -72,13 +72,20 @@ def live_kpis(orders: DataFrame, window: str = "1 day", watermark: str = "1 hour
         (F.col("_amount").cast("double") / F.col("orders")).alias("avg_amount"))
 
 
+#: Rows of a hot customer are spread over this many join keys.
+SALT = 8
+
+
 def enrich_orders(orders: DataFrame, customers_segmented: DataFrame, actions: DataFrame) -> DataFrame:
     """Stream-static left join of each order to its customer's segment and
-    the segment's marketing action (both static tables; the segment table is
-    joined on the key, the 4-row action table is broadcast)."""
-    seg = customers_segmented.select(F.col("CustomerID").alias("customer_id"), "Segment")
+    the segment's marketing action.  A streaming join is not split at run time, so the
+    key is salted: the segment table (a narrow row a customer) is repeated ``SALT`` times.  The
+    4-row action table is broadcast."""
+    seg = customers_segmented.select(F.col("CustomerID").alias("customer_id"), "Segment",
+                                     F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
     act = F.broadcast(actions.select("Segment", "action"))
-    return (orders.join(seg, "customer_id", "left").join(act, "Segment", "left")
+    salted = orders.withColumn("_salt", F.pmod(F.xxhash64("order_id"), F.lit(SALT)).cast("int"))
+    return (salted.join(seg, ["customer_id", "_salt"], "left").join(act, "Segment", "left")
             .select("order_id", "customer_id", utc_wall(F.col("ts")).alias("ts"), "amount",
                     F.coalesce("Segment", F.lit("Unknown")).alias("customer_segment"),
                     F.coalesce("action", F.lit("")).alias("marketing_action")))
