@@ -1,9 +1,9 @@
-"""Encoding of texts chunk by chunk with a BPE model of the tokenizers library.
+"""Encoding of texts piece by piece with a BPE model of the tokenizers library.
 
-A chunk is a run of non-blanks, with the blanks before it where they count.  No match of the split patterns used here reaches
-over the end of a chunk, so a text's ids are its chunks' ids.  Distinct chunks are remembered in a bounded table.  A new chunk of
-Latin-1 characters is split by the same pattern written out for Latin-1, and its pieces go to the library's BPE model; any other
-chunk goes through the library's whole encoder.
+A text of Latin-1 characters is split into pieces by the vocabulary's split pattern, written out for Latin-1, and each distinct
+piece goes to the library's BPE model once.  Any other text is cut in chunks, runs of non-blanks with the blanks before
+them where they count: no match of the split patterns used here reaches over the end of a chunk, so a text's ids are its chunks' ids, and each
+distinct chunk goes through the library's whole encoder once.  What is remembered is bounded.
 """
 from __future__ import annotations
 
@@ -11,9 +11,9 @@ import re
 from array import array
 from itertools import islice
 
-#: Distinct chunks, and pieces, that a worker remembers; when full, it keeps those of the present slice.
-REMEMBER = 1 << 17
-#: A text of this many bytes or more is encoded in parts of ``PART`` chunks.
+#: Distinct pieces, and chunks, that a worker remembers; when full, it keeps those of the present slice.
+REMEMBER = 1 << 18
+#: A text of this many bytes or more is encoded in parts of ``PART`` pieces.
 LONG, PART = 4 << 20, 100_000
 #: Blanks as the library's patterns understand them (Unicode White_Space), for a character class.
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -31,53 +31,71 @@ def byte_chars() -> list[str]:
 _CHARS = dict(enumerate(byte_chars()))
 
 
+class Memory:
+    """Ids of distinct strings, made by ``make`` and remembered."""
+
+    def __init__(self, make):
+        self.make, self.known = make, {}
+
+    def learn(self, used: set[str]) -> None:
+        new = used - self.known.keys()
+        if len(self.known) + len(new) > REMEMBER:
+            self.known = {x: self.known[x] for x in used - new}
+        known, make = self.known, self.make
+        for x in new:
+            known[x] = make(x)
+
+    def joined(self, parts: list[str]) -> bytes:
+        return b"".join(map(self.known.__getitem__, parts))
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class ChunkEncoder:
     """``tokenizer``: of the library; ``chunk`` and ``split``: patterns of chunks and, for Latin-1, of pieces; ``fold``: lower case first."""
 
     def __init__(self, tokenizer, chunk: re.Pattern, split: re.Pattern, fold: bool = False):
         self.tokenizer, self.model, self.chunk, self.split, self.fold = tokenizer, tokenizer.model, chunk, split, fold
-        self.seen: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _ids(self, chunk: str) -> bytes:
-        try:
-            chunk.encode("latin-1")
-        except UnicodeEncodeError:
-            return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-        out = []
-        for piece in self.split.findall(chunk.lower() if self.fold else chunk):
-            got = self.pieces.get(piece)
-            if got is None:
-                tokens = self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(_CHARS))
-                got = self.pieces[piece] = array("I", [t.id for t in tokens]).tobytes()
-            out.append(got)
-        return b"".join(out)
+        self.pieces, self.chunks = Memory(self._piece), Memory(self._chunk)
+
+    def _piece(self, piece: str) -> bytes:
+        if not (piece.isascii() and piece.isalnum()):
+            piece = piece.encode("utf-8").decode("latin-1").translate(_CHARS)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
-    def _learn(self, used: set[str]) -> None:
-        new = used - self.seen.keys()
-        if len(self.seen) + len(new) > REMEMBER:
-            self.seen = {c: self.seen[c] for c in used - new}
-        if len(self.pieces) > REMEMBER:
-            self.pieces = {}
-        for c in new:
-            self.seen[c] = self._ids(c)
+    def _chunk(self, chunk: str) -> bytes:
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    def _way(self, text: str) -> tuple[Memory, re.Pattern, str]:
+        if _is_latin(text):
+            return self.pieces, self.split, text.lower() if self.fold else text
+        return self.chunks, self.chunk, text
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each whole text as native unsigned 32-bit integers."""
-        short = [self.chunk.findall(t.decode("utf-8")) if len(t) < LONG else None for t in texts]
-        self._learn(set().union(*(c for c in short if c)))
-        out = []
-        for chunks, text in zip(short, texts):
-            if chunks is not None:
-                out.append(b"".join(map(self.seen.__getitem__, chunks)))
-        if len(out) < len(texts):
-            done = iter(out)
-            out = [self._long(t) if c is None else next(done) for c, t in zip(short, texts)]
-        return out
-
-    def _long(self, text: bytes) -> bytes:
-        found, out = self.chunk.finditer(text.decode("utf-8")), []
+        parts, used = [], {id(self.pieces): set(), id(self.chunks): set()}
+        for text in texts:
+            memory, pattern, text_ = self._way(text.decode("utf-8"))
+            if len(text) < LONG:
+                own = pattern.findall(text_)
+                used[id(memory)].update(own)
+                parts.append((memory, own))
+            else:
+                parts.append((None, (memory, pattern, text_)))
+        for memory in (self.pieces, self.chunks):
+            memory.learn(used[id(memory)])
+        out = [memory.joined(own) if memory else None for memory, own in parts]
+        return [x if x is not None else self._long(*parts[k][1]) for k, x in enumerate(out)]
+
+    def _long(self, memory: Memory, pattern: re.Pattern, text: str) -> bytes:
+        found, out = pattern.finditer(text), []
         while some := [m[0] for m in islice(found, PART)]:
-            self._learn(set(some))
-            out.append(b"".join(map(self.seen.__getitem__, some)))
+            memory.learn(set(some))
+            out.append(memory.joined(some))
         return b"".join(out)

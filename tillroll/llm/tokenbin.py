@@ -28,8 +28,8 @@ from .common import RunFolder, col, slices, texts
 
 BLOCK, CHUNK_IDS, LEVEL = 16384, 1 << 17, 3
 _WORD = re.compile(f"[^{BLANK}]+")
-#: The vocabulary's split of lower-cased Latin-1 words: contractions, letters, single numbers, other characters.
-_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LOWER}]+|[{NUMBER}]|[^{LOWER}{NUMBER}]+")
+#: The vocabulary's split of lower-cased Latin-1 texts: contractions, letters, single numbers, other characters but blanks.
+_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LOWER}]+|[{NUMBER}]|[^{BLANK}{LOWER}{NUMBER}]+")
 _HEAD = struct.Struct("<4sB3xIQ")
 
 
