@@ -8,10 +8,11 @@ occurrences.  An occurrence in a larger document than its phrase's least is repe
 Dictionary suffixes.  What is left, the novel text, is each phrase in its least document.  Its suffixes need an order to depth ``LENGTH`` only, since
 strings are equal or not at that depth.  Candidates are found by anchors: of the k-mers in a ``LENGTH``-byte string the one with the least
 hash; equal strings have equal anchors at equal places.  Anchors that occur in one document only
-are dropped.  For the others the run of strings that share the anchor is the context; equal contexts are one entry again, and only where an anchor
-has several contexts are the suffixes themselves (cut at ``LENGTH`` bytes) grouped and given their least document.
+are dropped.  For the others the run of strings that share the anchor is the context; equal contexts are one entry again, and only where
+contexts of an anchor agree on one side far enough to share a string are the suffixes themselves (cut at ``LENGTH`` bytes) put in order and given their
+least document.
 
-All grouping is by partial aggregation and joins on bytes (phrases: a 128-bit hash), so a passage that a third of
+All grouping is by partial aggregation and joins on bytes (phrases and suffixes: 128-bit hashes), so a passage that a third of
 all documents share is one entry, and no task gathers its occurrences.
 """
 from __future__ import annotations
@@ -27,6 +28,10 @@ from pyspark.sql import functions as F
 from .common import RunFolder, col, column_bytes, slices
 
 LENGTH, KMER, PHRASE = 50, 20, 256
+#: Bits of the table that lists shared anchors (8 MB).
+TABLE_BITS = 1 << 26
+#: Offsets of an anchor in a string that are told apart together before strings are formed.
+BLOCK = 8
 _STEP = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -145,15 +150,33 @@ def _novel(part: pa.RecordBatch, data: np.ndarray, cuts: np.ndarray) -> np.ndarr
     return np.cumsum(change[:-1]) > 0
 
 
-def _anchors(with_place: bool):
-    """(ah, doc) of every anchor in novel text, or (ah, rk, at)."""
+def _bit_table(shared: DataFrame) -> np.ndarray:
+    """``TABLE_BITS`` bits, those of the shared anchors' hashes set: a table of fixed size that lets
+    tasks drop most other anchors early.  What it lets through is joined exactly all the same."""
+    at = F.pmod(F.col("ah"), F.lit(TABLE_BITS))
+    words = shared.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(ah, 64) as int))")).alias("bits")).toArrow()
+    out = np.zeros(TABLE_BITS // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _listed(table: np.ndarray, ah: np.ndarray) -> np.ndarray:
+    at = ah.view(np.uint64) % np.uint64(TABLE_BITS)
+    return (table[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _anchors(table=None):
+    """(ah, doc) of every anchor in novel text or, given a bit table, (ah, rk, at) of those that it lists."""
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 data, cuts = _arrays(part)
                 for pos, ah, first, _ in anchor_runs(data, _novel(part, data, cuts)):
+                    if table is not None:
+                        own = _listed(table.value, ah)
+                        pos, ah, first = pos[own], ah[own], first[own]
                     row = np.searchsorted(cuts, first, "right") - 1
-                    if with_place:
+                    if table is not None:
                         columns = [pa.array(ah), part.column("rk").take(row), pa.array((pos - cuts[row]).astype(np.int32))]
                         yield pa.RecordBatch.from_arrays(columns, ["ah", "rk", "at"])
                     else:
@@ -239,25 +262,44 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     run.drop("dictionary")
 
     # Anchors of novel text in several documents, and the contexts around them.
-    shared = novel.select("doc", "text", "copies").mapInArrow(_anchors(False), "ah long, doc long").groupBy("ah").agg(F.min("doc").alias("a"), F.max("doc").alias("z"))
+    shared = novel.select("doc", "text", "copies").mapInArrow(_anchors(), "ah long, doc long").groupBy("ah").agg(F.min("doc").alias("a"), F.max("doc").alias("z"))
     shared = run.write(shared.where("a < z").select("ah"), "shared")
-    places = novel.select("rk", "text", "copies").mapInArrow(_anchors(True), "ah long, rk long, at int").join(shared, "ah", "left_semi")
+    table = docs.sparkSession.sparkContext.broadcast(_bit_table(shared))
+    places = novel.select("rk", "text", "copies").mapInArrow(_anchors(table), "ah long, rk long, at int").join(shared, "ah", "left_semi")
     places = run.write(places.groupBy("rk").agg(F.collect_set("at").alias("places")), "places")  # at most a document's anchors
     contexts = novel.select("doc", "rk", "text", "copies").join(places, "rk").mapInArrow(_contexts, "ah long, ctx binary, rel int, doc long, rk long, at int, n int")
     contexts = run.write(contexts, "contexts")
     run.drop("places")
-    entries = run.write(contexts.groupBy(*key).agg(F.min("doc").alias("least")), "entries")
-
-    # Suffixes of contexts whose anchor has several, cut at LENGTH bytes, with their least document.
-    several = entries.groupBy("ah").count().where("count > 1").select("ah")
-    starts = F.explode(F.sequence(F.lit(0), F.length("ctx") - LENGTH))
-    suffixes = entries.join(several, "ah", "left_semi").select(*key, "least", starts.alias("j"))
-    suffixes = run.write(suffixes.withColumn("suffix", F.expr(f"substring(ctx, j + 1, {LENGTH})")), "suffixes")
-    least = suffixes.groupBy("suffix").agg(F.min("least").alias("first"))
-    found = suffixes.join(least, "suffix").where("first < least").select(*key, "j")
-
-    late = contexts.join(entries, key).where("doc > least").select("doc", "rk", "at", "n")
-    early = contexts.join(entries, key).where("doc = least").select(*key, "doc", "rk", "at").join(found, key).select("doc", "rk", (F.col("at") + F.col("j")).alias("at"), F.lit(1).alias("n"))
+    entries = contexts.groupBy(*key).agg(F.min("doc").alias("least"))
+    entries = run.write(entries.withColumn("eid", F.monotonically_increasing_id()), "entries")
+    placed = run.write(contexts.join(entries, key).select("eid", "least", "doc", "rk", "at", "n"), "placed")
+    run.drop("contexts")
+
+    # Suffixes of contexts, cut at LENGTH bytes, with their least document.  A suffix has its anchor at some offset; for a block of
+    # offsets, contexts that share one agree on the bytes that all suffixes of the block have.
+    spare, last = LENGTH - KMER, F.length("ctx") - LENGTH
+    blocks = []
+    for low in range(0, spare + 1, BLOCK):
+        high = min(spare, low + BLOCK - 1)
+        first, stop = F.greatest(F.lit(low), F.col("rel") - last), F.least(F.lit(high), F.col("rel"))
+        same = F.xxhash64("ah", F.lit(low), F.expr(f"substring(ctx, rel - {low} + 1, {low})"), F.expr(f"substring(ctx, rel + {KMER} + 1, {spare - high})"))
+        blocks.append(F.struct(first.alias("first"), stop.alias("stop"), F.when(first <= stop, same).alias("same")))
+    sides = entries.select("eid", "least", F.explode(F.filter(F.array(*blocks), lambda x: x["same"].isNotNull())).alias("b")).select("eid", "least", "b.*")
+    agreed = run.write(sides.groupBy("same").agg(F.min("least").alias("a"), F.max("least").alias("z")).where("a < z").select("same"), "agreed")
+    close = run.write(sides.join(agreed, "same", "left_semi").select("eid", "first", "stop"), "close")
+    suffixes = entries.join(close, "eid").select("eid", "least", "ctx", "rel", F.explode(F.sequence("first", "stop")).alias("offset"))
+    suffixes = suffixes.withColumn("j", F.col("rel") - F.col("offset")).withColumn("suffix", F.expr(f"substring(ctx, j + 1, {LENGTH})"))
+    order = [F.xxhash64("suffix").alias("h1"), F.xxhash64(F.lit(1), F.col("suffix")).alias("h2")]  # 128 bits stand for the 50 bytes
+    suffixes = run.write(suffixes.select("eid", "least", "j", *order), "suffixes")
+    run.drop("close")
+    run.drop("entries")
+    repeated = suffixes.groupBy("h1", "h2").agg(F.min("least").alias("first"), F.max("least").alias("most")).where("first < most").drop("most")
+    found = run.write(suffixes.join(run.write(repeated, "repeated"), ["h1", "h2"]).where("first < least").select("eid", "j"), "found")
+    run.drop("suffixes")
+    run.drop("repeated")
+
+    late = placed.where("doc > least").select("doc", "rk", "at", "n")
+    early = placed.where("doc = least").select("eid", "doc", "rk", "at").join(found, "eid").select("doc", "rk", (F.col("at") + F.col("j")).alias("at"), F.lit(1).alias("n"))
     more = late.unionByName(early).groupBy("doc", "rk").agg(F.collect_set(F.struct("at", "n")).alias("more"))  # at most a document's bytes
     out = novel.join(run.write(more, "more"), ["doc", "rk"], "left").select("doc_id", "text", "copies", F.coalesce("more", none).alias("more"))
     kind = docs.select(col(doc_id)).schema[0].dataType.simpleString()
