@@ -203,13 +203,17 @@ def q_frequent_itemsets_fpgrowth(spark, sf_dir):
     return _itemset_out(I.frequent_itemsets_fpgrowth(arrays, MAIN.min_support, MAIN.max_len))
 
 
+def _store(spark, sf_dir) -> Store:
+    return Store(spark, sf_dir, repr((MAIN, K_FINAL, K.N_INIT, K.MAX_ITER)))
+
+
 def stored_itemsets(spark, sf_dir) -> DataFrame:
     """What the mining job stored (it runs only where the store has no itemsets yet)."""
-    return Store(spark, sf_dir).table("itemsets", lambda: itemsets(spark, sf_dir, MAIN))
+    return _store(spark, sf_dir).table("itemsets", lambda: itemsets(spark, sf_dir, MAIN))
 
 
 def stored_rules(spark, sf_dir) -> DataFrame:
-    return Store(spark, sf_dir).table(
+    return _store(spark, sf_dir).table(
         "rules", lambda: R.association_rules(stored_itemsets(spark, sf_dir), MAIN.min_confidence, MAIN.min_lift))
 
 
@@ -316,7 +320,7 @@ def product_job(spark, sf_dir) -> tuple[DataFrame, K.FixedKMeansModel]:
 
 def _stored_segments(spark, sf_dir, kind, job) -> tuple[DataFrame, K.FixedKMeansModel]:
     """The segment table and its model as the job stored them; the job runs only where they are missing."""
-    store = Store(spark, sf_dir)
+    store = _store(spark, sf_dir)
     path = store.model_path(f"{kind}-model")
 
     def run():

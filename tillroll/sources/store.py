@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.session import path_exists, shared_root
 
+#: Raise when the jobs compute or lay out anything differently.
+JOBS = 2
 INPUTS = ("lineitem", "orders", "part", "customer", "nation")
 
 
@@ -28,11 +30,12 @@ def input_version(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = IN
 
 
 class Store:
-    """Tables and models of one version of the input."""
+    """Tables and models of one version of the input and one set of job parameters."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, parameters: str = ""):
         self.spark = spark
-        self.path = f"{shared_root(spark)}/store/{input_version(spark, sf_dir)}"
+        jobs = hashlib.sha256(f"{JOBS} {parameters}".encode()).hexdigest()[:8]
+        self.path = f"{shared_root(spark)}/store/{input_version(spark, sf_dir)}-{jobs}"
 
     def has(self, name: str) -> bool:
         return path_exists(self.spark, f"{self.path}/{name}/_SUCCESS")
