@@ -12,7 +12,7 @@ from array import array
 from itertools import islice
 
 #: Distinct pieces, and chunks, that a worker remembers; when full, it keeps those of the present slice.
-REMEMBER = 1 << 18
+REMEMBER = 1 << 17
 #: A text of this many bytes or more is encoded in parts of ``PART`` pieces.
 LONG, PART = 4 << 20, 100_000
 #: Blanks as the library's patterns understand them (Unicode White_Space), for a character class.
