@@ -1,9 +1,11 @@
 import math
+import random
+import re
 from collections import Counter
 
 import pytest
 
-from helpers import documents, edge_rows
+from helpers import documents, edge_rows, prose
 from tillroll.llm import lm
 
 
@@ -51,3 +53,39 @@ def test_empty_table_and_orders(spark):
     assert lm.score(documents(spark, [])).count() == 0
     with pytest.raises(ValueError):
         lm.score(documents(spark, []), order=7)
+
+
+def brute_words(rows):
+    docs = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows]
+    one = Counter(w for _, ws in docs for w in ws)
+    two = Counter(p for _, ws in docs for p in zip(ws, ws[1:]))
+    total = sum(one.values())
+
+    def log_s(a, b):
+        if a is not None and two[a, b] >= lm.MIN_COUNT:
+            return math.log(two[a, b] / one[a])
+        return (0 if a is None else math.log(lm.BACKOFF)) + math.log(one[b] / total)
+
+    return sorted((str(d), len(ws), sum(log_s(a, b) for a, b in zip([None, *ws], ws))) for d, ws in docs)
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_words_match_brute_force(spark, blocks):
+    rows = edge_rows()
+    have = sorted((str(r.doc_id), r.n_words, r.sum_log) for r in lm.word_score(documents(spark, rows), blocks=blocks).collect())
+    want = brute_words(rows)
+    assert [x[:2] for x in have] == [x[:2] for x in want]
+    assert all(abs(a[2] - b[2]) < 1e-6 * max(1, abs(b[2])) for a, b in zip(have, want))
+    assert lm.word_score(documents(spark, [])).count() == 0
+
+
+def test_shuffled_words_lose_evidence(spark):
+    """Bytes hardly tell a text from the same words in another order; words do."""
+    rng = random.Random(4)
+    vocabulary = prose(rng, 300).split()
+    line = " ".join(rng.choices(vocabulary, k=400))
+    mixed = line.split()
+    rng.shuffle(mixed)
+    docs = documents(spark, [(1, line), (2, line), (3, " ".join(mixed))])
+    got = {r.doc_id: r.sum_log / r.n_words for r in lm.word_score(docs).collect()}
+    assert got[1] == got[2] > got[3] + 2

@@ -10,6 +10,10 @@ Documents are dealt to parts of about ``PART_BYTES`` by their ids.  A part lists
 partitioned by gram, is their sum; scores are joined to the parts' lists, and come back to the parts, where the grams of each
 document are looked up and summed.  A frequent gram is one row a part, so no key is hot, and rows grow with the
 number of parts, not with the occurrences.
+
+``word_score`` does the same with words (orders 1 and 2, by 64-bit hash), in Spark's own operators: counts are aggregated on the map side, joined
+to the exploded grams of the documents, and summed by document.  The grams are dealt by hash to ``WORD_BLOCKS`` blocks, one after the other, so that
+only one block's shuffle files are on disk.
 """
 from __future__ import annotations
 
@@ -24,6 +28,7 @@ from .common import RunFolder, col, column_bytes
 
 ORDER, BACKOFF, MIN_COUNT, PART_BYTES = 5, 0.4, 2, 16 << 20
 _STEP = 1 << 21
+WORD_BLOCKS = 3
 
 
 def grams(data: np.ndarray, order: int) -> np.ndarray:
@@ -140,3 +145,43 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: in
     run.drop("listed")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(_sums(order), f"doc_id {kind}, n_bytes long, sum_log double")
+
+
+def _word_grams(rows: DataFrame) -> DataFrame:
+    """rid, a, b, gram of each word: the hashes of the word before (null for a text's first), the word and both."""
+    words = r"transform(filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> ''), w -> xxhash64(w))"
+    # The outer transform binds the hashes to a name, so that the texts are split once.
+    pairs = f"transform(array({words}), h -> transform(h, (w, i) -> named_struct('a', if(i = 0, null, h[i - 1]), 'b', w)))[0]"
+    return rows.select("rid", F.explode(F.expr(pairs)).alias("p")).select("rid", "p.a", "p.b", F.xxhash64("p.a", "p.b").alias("gram"))
+
+
+def word_score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", backoff: float = BACKOFF, min_count: int = MIN_COUNT,
+               blocks: int = WORD_BLOCKS) -> DataFrame:
+    """doc_id, n_words, sum_log (natural logarithm of the scores of all words), for every row.
+
+    Words are what stands between ASCII blanks, as written.  The model is counted over all documents; null and empty texts have no words
+    and sum 0; repeated rows are counted and scored each; an empty table gives an empty one.
+    """
+    run = RunFolder(docs.sparkSession, "lm-words")
+    rows = docs.select(col(doc_id).alias("doc_id"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
+    rows = run.write(rows.withColumn("rid", F.monotonically_increasing_id()), "rows")
+    grams = _word_grams(rows)
+    words = run.write(grams.groupBy(F.col("b").alias("word")).agg(F.count("*").alias("c")), "words")
+    size = float(words.agg(F.sum("c")).first()[0] or 1)
+    seen = (F.col("n") >= min_count) & F.col("a").isNotNull()
+    found = F.when(seen, F.log(F.col("n") / F.col("c").cast("double"))).otherwise(
+        F.when(F.col("a").isNull(), 0.0).otherwise(math.log(backoff)) + F.log(F.col("c") / F.lit(size)))
+    sums = None
+    for k in range(blocks):
+        own = grams.where(F.pmod("gram", F.lit(blocks)) == k)
+        counts = own.groupBy("gram").agg(F.count("*").alias("n"), F.max("a").alias("a"), F.max("b").alias("b"))
+        # A counted gram needs its context's count, any other its last word's.
+        counts = counts.withColumn("word", F.when(seen, F.col("a")).otherwise(F.col("b")))
+        scores = run.write(counts.join(words, "word").select("gram", found.alias("log_s")), f"scores{k}")
+        part = own.select("rid", "gram").join(scores, "gram").groupBy("rid").agg(F.count("*").alias("n_words"), F.sum("log_s").alias("sum_log"))
+        part = run.write(part, f"sums{k}")
+        run.drop(f"scores{k}")
+        sums = part if sums is None else sums.unionByName(part)
+    sums = sums.groupBy("rid").agg(F.sum("n_words").alias("n_words"), F.sum("sum_log").alias("sum_log"))
+    return rows.select("rid", "doc_id").join(sums, "rid", "left").select(
+        "doc_id", F.coalesce("n_words", F.lit(0).cast("long")).alias("n_words"), F.coalesce("sum_log", F.lit(0.0)).alias("sum_log"))

@@ -59,6 +59,13 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_bytes", mean.alias("score"))
 
 
+def op7_word_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean natural logarithm of a word's score (0 for no words)."""
+    scored = lm.word_score(table(spark, sf_dir, "documents"))
+    mean = F.when(F.col("n_words") > 0, F.round(F.col("sum_log") / F.col("n_words"), 6)).otherwise(F.lit(0.0))
+    return scored.select("doc_id", "n_words", mean.alias("score"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -79,4 +86,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_byte_bpe, op3_simhash, op4_embedding_dedup, op5_repeated_bytes, op6_token_files,
-                                   op7_lm_score, op8_quality, op9_decontaminate, op10_secrets)}
+                                   op7_lm_score, op7_word_lm_score, op8_quality, op9_decontaminate, op10_secrets)}
