@@ -70,3 +70,19 @@ def test_other_columns_are_no_inputs(spark):
     docs = spark.createDataFrame([(1, text, "en", "a"), (2, text, "de", "b")], "doc_id long, text string, lang string, source string")
     model = quality.Machine(0.0, np.random.default_rng(0).normal(size=quality.FEATURES), np.zeros((quality.FEATURES, 2)))
     assert quality.classify(docs, model).select("score").distinct().count() == 1
+
+
+def test_repeated_ids_neither_grow_the_sample_nor_push_rows_out(spark, monkeypatch):
+    rng = random.Random(6)
+    once = [(k, prose(rng, 20)) for k in range(1, 41)]
+    docs = documents(spark, once + [(1, prose(rng, 20)) for _ in range(300)])
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 41)], "doc_id long, quality int, toxic int")
+    want = {0: 0, 1: 0}
+    for r in labels.where(~quality.held_out(F.col("doc_id"))).collect():
+        want[r.quality] += 1
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, label, weight: seen.append((len(rows), label, weight)))
+    quality.train(docs, labels, sample=25)
+    n, label, weight = seen[0]
+    assert n == sum(want.values()) and {q: int((label == q).sum()) for q in want} == want
+    assert np.allclose(weight, 1)

@@ -130,7 +130,7 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> Machine:
     """Fit on at most ``sample`` labelled rows of each class that aren't held out, the least by hash of the id.
 
-    Rows with null ids or labels, and labels other than 0 and 1, are left out; of repeated labels the least counts.  With
+    Of rows with the same id the one with the least text hash counts.  Rows with null ids or labels, and labels other than 0 and 1, are left out; of repeated labels the least counts.  With
     one class only (or none) the model is a constant.
     """
     known = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null")
@@ -138,11 +138,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     total = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64(F.lit("sample"), "doc_id")
     picked = [known.where(F.col("quality") == q).orderBy(order, "doc_id").limit(sample) for q in (0, 1)]
-    rows = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
-    rows = rows.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")  # at most 2 x sample rows
+    rows = docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))
+    rows = rows.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    # One row of each sampled id, the least by hash of its text: at most 2 x sample rows, and map-side, so that no id is hot.
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
     got = per_text(rows, _extract, "index array<int>, value array<float>", "text", ["doc_id", "quality"])
     got = got.select("row.doc_id", "row.quality", "index", "value").toArrow().to_pydict()
-    by_id = sorted(zip(got["doc_id"], got["quality"], got["index"], got["value"]))[:2 * sample]
+    by_id = sorted(zip(got["doc_id"], got["quality"], got["index"], got["value"]))
     label = np.array([x[1] for x in by_id], np.float64)
     weight = np.array([total[x[1]] / max(1, (label == x[1]).sum()) for x in by_id], np.float64)
     return fit([(np.array(x[2], np.int32), np.array(x[3], np.float32)) for x in by_id], label, weight)
