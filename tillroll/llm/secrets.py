@@ -4,8 +4,8 @@ Base spans come from three fixed patterns.  Spark has no function for the positi
 all matches, but the pieces between matches (``split``) and the matches
 (``regexp_extract_all``) alternate, so their lengths add up to the positions.
 
-The method adds strings that look drawn at random.  Candidates are runs of at least ``MIN_RUN`` characters of the usual encodings;
-the smallest alphabet that holds a run is its encoding.  The battery:
+The method adds strings that look drawn at random.  Candidates are runs of at least ``MIN_RUN`` characters of the usual encodings,
+and where base spans cover a part of a run, the pieces of that length beside them; the smallest alphabet that holds a run is its encoding.  The battery:
 
 * chi-squared: X2 = a/n * sum(c^2) - n against its mean a-1 for a uniform alphabet of a symbols;
 * runs: changes between the lower and upper half of the alphabet against (n-1)/2;
@@ -89,11 +89,17 @@ def _base() -> Column:
 
 
 def _runs() -> Column:
-    """Candidate runs with encoding, alphabet and characters' statistics: one lambda a step, so that nothing is computed twice."""
+    """Candidates (runs without the parts that ``base`` covers) with encoding, alphabet and characters' statistics: one lambda a step, so that nothing is computed twice."""
     name = "case " + " ".join(f"when x.part rlike '{p}' then '{n}'" for n, _, p in ENCODINGS[:-1]) + f" else '{ENCODINGS[-1][0]}' end"
-    digits = "x.part not rlike '^[0-9]+$'"
-    spans = _spans(RUN, digits, f"regexp_extract_all(text, {_quoted(RUN)}, 0)")
-    enc = f"transform({spans}, x -> named_struct('start', x.start, 'stop', x.stop, 'run', x.part, 'enc', {name}))"
+    spans = _spans(RUN, part=f"regexp_extract_all(text, {_quoted(RUN)}, 0)")
+    meets = "b -> b.start < x.stop and x.start < b.stop"
+    cut = f"""aggregate(concat(transform(filter(base, {meets}), b -> named_struct('start', b.start, 'stop', b.stop)), array(named_struct('start', x.stop, 'stop', x.stop))),
+        named_struct('at', x.start, 'out', cast(array() as array<struct<start:int,stop:int,part:string>>)),
+        (a, b) -> named_struct('at', greatest(a.at, b.stop), 'out', if(b.start - a.at >= {MIN_RUN},
+            concat(a.out, array(named_struct('start', a.at, 'stop', b.start, 'part', substring(x.part, a.at - x.start + 1, b.start - a.at)))), a.out)),
+        a -> a.out)"""
+    pieces = f"filter(flatten(transform({spans}, x -> if(exists(base, {meets}), {cut}, array(x)))), x -> x.part not rlike '^[0-9]+$')"
+    enc = f"transform({pieces}, x -> named_struct('start', x.start, 'stop', x.stop, 'run', x.part, 'enc', {name}))"
     alphabet = "case x.enc " + " ".join(f"when '{n}' then '{a}'" for n, a, _ in ENCODINGS) + " end"
     symbols = f"""transform({enc}, x -> named_struct('start', x.start, 'stop', x.stop, 'enc', x.enc, 'run', x.run, 'abc', {alphabet}, 'n', cast(length(x.run) as double)))"""
     counted = f"""transform({symbols}, x -> named_struct('start', x.start, 'stop', x.stop, 'enc', x.enc, 'n', x.n, 'a', cast(length(x.abc) as double),
@@ -119,7 +125,7 @@ def _runs() -> Column:
 
 def thresholds(docs: DataFrame, text: str = "text", rate: float = RATE) -> dict[str, int]:
     """Least bin of each stratum that holds the false-discovery rate, over all documents."""
-    runs = packed(docs, text, []).select(F.explode(_runs()).alias("r"))
+    runs = packed(docs, text, []).withColumn("base", _base()).select(F.explode(_runs()).alias("r"))
     bins = runs.groupBy(F.col("r.stratum").alias("stratum"), F.col("r.bin").alias("bin")).agg(F.count("*").alias("n"))
     above = Window.partitionBy("stratum").orderBy(F.col("bin").desc())
     table = bins.select("stratum", "bin", F.sum("n").over(above).alias("k"), F.sum("n").over(Window.partitionBy("stratum")).alias("m"))
@@ -130,7 +136,7 @@ def thresholds(docs: DataFrame, text: str = "text", rate: float = RATE) -> dict[
 def scan(docs: DataFrame, text: str = "text", rate: float = RATE, keep=None) -> DataFrame:
     """``row``, text, base and spans (arrays of start, rank, stop, kind; code points, end exclusive, ordered).
 
-    ``spans`` holds the base spans and, as kind "random", the runs found by the battery that
+    ``spans`` holds the base spans and, as kind "random", the candidates found by the battery; they
     overlap no base span.  A null text counts as empty and has no spans; repeated rows are scanned each;
     without documents there are no thresholds and nothing is found.
     """
@@ -138,7 +144,7 @@ def scan(docs: DataFrame, text: str = "text", rate: float = RATE, keep=None) ->
     hit = " or ".join(f"(x.stratum = '{s}' and x.bin >= {b})" for s, b in sorted(limits.items())) or "false"
     out = packed(docs, text, keep).select("row", F.coalesce("text", F.lit("")).alias("text"))
     out = out.withColumn("base", _base()).withColumn("runs", _runs())
-    found = F.expr(f"""transform(filter(runs, x -> ({hit}) and not exists(base, b -> b.start < x.stop and x.start < b.stop)),
+    found = F.expr(f"""transform(filter(runs, x -> {hit}),
         x -> named_struct('start', x.start, 'rank', {len(BASE)}, 'stop', x.stop, 'kind', 'random'))""")
     return out.select("row", "text", "base", F.array_sort(F.concat("base", found)).alias("spans"))
 
