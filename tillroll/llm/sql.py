@@ -65,9 +65,38 @@ FROM d LEFT JOIN t USING (doc_id)
 """
 
 
+def _host_rules() -> str:
+    rules = {"short": "n_words < 50", "repeated": "100 * n_repeat_words > 50 * n_words", "symbols": "10 * n_symbols > n_words",
+             "lines": "10 * n_dup_lines > 3 * n_lines", "word_length": "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 12 * n_words)"}
+    counts = ", ".join(f"CAST(count(*) FILTER (WHERE {c}) AS DOUBLE) AS {r}" for r, c in rules.items())
+    means = ", ".join(f"sum({r}) / sum(n) AS mu_{r}, sum({r} * {r} / n) - sum({r}) * sum({r}) / sum(n) AS s_{r}" for r in rules)
+    noise = lambda r: f"mu_{r} * (1 - mu_{r})"
+    room = lambda r: f"({noise(r)} * (total - nn / total - (hosts - 1)))"
+    strength = ", ".join(f"1 / least(0.1, greatest(0.001, CASE WHEN {room(r)} <= 0 THEN 0.01 ELSE (s_{r} - {noise(r)} * (hosts - 1)) / {room(r)} END)) - 1 AS m_{r}" for r in rules)
+    bad = " OR ".join(f"({r} + mu_{r} * m_{r}) / (n + m_{r}) > 0.5" for r in rules)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
+win AS (SELECT rid, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 3)),
+rep AS (SELECT rid, count(DISTINCT i + o) AS n FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM win) x, (VALUES (0), (1), (2)) y(o) WHERE c > 1 GROUP BY rid),
+lines AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+m AS (SELECT d.rid, doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+             CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
+             CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+      FROM d JOIN w USING (rid) JOIN lines USING (rid) LEFT JOIN rep USING (rid)),
+h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, {counts} FROM m WHERE source IS NOT NULL GROUP BY source),
+p AS (SELECT *, {strength} FROM (SELECT CAST(count(*) AS DOUBLE) AS hosts, sum(n) AS total, sum(n * n) AS nn, {means} FROM h)),
+v AS (SELECT source, {bad} AS rejected FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(rejected, false) AS kept
+FROM m LEFT JOIN v USING (source)
+"""
+
+
 ORACLE = {
     "op4_embedding_dedup": EMBEDDING,
     "op5_repeated_bytes": REPEATED_BYTES,
     "op7_lm_score": _backoff(),
     "op9_decontaminate": DECONTAMINATE,
+    "op12_host_rules": _host_rules(),
 }
