@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, embed, hostrules, lm, quality, secrets, simhash, suffix, tokenbin
+from . import bpe, chat, decontam, embed, hostrules, lm, quality, secrets, simhash, suffix, tokenbin, trie
 from .common import table
 from .sql import ORACLE  # noqa: F401 (re-exported)
 
@@ -85,10 +85,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[count(k) for k in secrets.BASE], _sha(secrets.listed("base")).alias("base_sha256"), secrets.listed("spans").alias("spans"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"), block=20, heads=4)
+
+
 def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hostrules.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_byte_bpe, op3_simhash, op4_embedding_dedup, op5_repeated_bytes, op6_token_files,
-                                   op7_lm_score, op7_word_lm_score, op8_quality, op9_decontaminate, op10_secrets, op12_host_rules)}
+                                   op7_lm_score, op7_word_lm_score, op8_quality, op9_decontaminate, op10_secrets, op11_prefix_trie, op12_host_rules)}

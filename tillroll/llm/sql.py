@@ -93,10 +93,30 @@ FROM m LEFT JOIN v USING (source)
 """
 
 
+PREFIX_TRIE = """
+WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+           FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT c, list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))) AS b FROM o),
+heads AS (SELECT c, c - c % 20 AS base, xor(list_reduce(b, lambda a, x: list_reduce(list_prepend(xor(a, x), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+                                                lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 4 AS h FROM ids),
+turns AS (SELECT heads.c, 0 AS own, i, role, text FROM heads JOIN o ON o.c = base AND i < h UNION ALL SELECT heads.c, 1, i, role, text FROM heads JOIN o ON o.c = heads.c AND i >= h),
+paths AS (SELECT heads.c, coalesce(l, []) AS l FROM heads LEFT JOIN (SELECT c, list({'r': role, 't': text} ORDER BY own, i) AS l FROM turns GROUP BY c) USING (c)),
+pre AS (SELECT c, l, d, CASE WHEN d = 0 THEN [] ELSE l[1:d] END AS p FROM (SELECT c, l, unnest(generate_series(0, len(l))) AS d FROM paths)),
+node AS (SELECT d, p, min(c) AS conv_id, count(*) AS n, max(len(l)) AS deepest, count(DISTINCT CASE WHEN len(l) > d THEN l[1:d + 1] END) AS children,
+                string_agg(CASE WHEN len(l) = d THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS ends,
+                CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(p[d].t, '[^\\x20\\x09-\\x0D]+')) END AS saved FROM pre GROUP BY d, p),
+tree AS (SELECT a.d, a.p, count(*) FILTER (WHERE b.deepest = b.d) AS leaves, sum(b.saved) AS saved FROM node a JOIN node b ON b.d >= a.d AND (a.d = 0 OR b.p[1:a.d] = a.p) GROUP BY a.d, a.p)
+SELECT node.conv_id, CAST(node.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, node.n AS n_convs, node.children AS n_children, leaves AS n_leaves,
+       CAST(tree.saved AS BIGINT) AS saved_tokens, sha256(coalesce(node.ends, '')) AS ends_sha256
+FROM node JOIN tree ON tree.d = node.d AND tree.p = node.p LEFT JOIN node up ON up.d = node.d - 1 AND up.p = CASE WHEN node.d = 1 THEN [] ELSE node.p[1:node.d - 1] END
+"""
+
+
 ORACLE = {
     "op4_embedding_dedup": EMBEDDING,
     "op5_repeated_bytes": REPEATED_BYTES,
     "op7_lm_score": _backoff(),
     "op9_decontaminate": DECONTAMINATE,
+    "op11_prefix_trie": PREFIX_TRIE,
     "op12_host_rules": _host_rules(),
 }
