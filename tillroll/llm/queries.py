@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, embed, hostrules, lm, quality, secrets, simhash, suffix, tokenbin, trie
+from . import align, bpe, chat, decontam, embed, hostrules, lm, quality, secrets, simhash, suffix, tokenbin, trie
 from .common import table
 from .sql import ORACLE  # noqa: F401 (re-exported)
 
@@ -94,5 +94,11 @@ def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    out = align.align(table(spark, sf_dir, "documents"), a, b, public_tokenizers.PATTERN, keep=["doc_id"], digest=True)
+    return out.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_byte_bpe, op3_simhash, op4_embedding_dedup, op5_repeated_bytes, op6_token_files,
-                                   op7_lm_score, op7_word_lm_score, op8_quality, op9_decontaminate, op10_secrets, op11_prefix_trie, op12_host_rules)}
+                                   op7_lm_score, op7_word_lm_score, op8_quality, op9_decontaminate, op10_secrets, op11_prefix_trie, op12_host_rules, op13_token_alignment)}
