@@ -36,6 +36,14 @@ _OTHER = BLANK.replace(r"\t-\r ", r"\t\x0b-\r")
 CHUNK = re.compile(rf"[ \n][{BLANK}]*[^{BLANK}]+(?:[{_OTHER}][{BLANK}]*[^{BLANK}]+)*(?:[{_OTHER}][{BLANK}]*\Z)?|[ \n][{BLANK}]*\Z")
 
 
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Recent:
     """Values of keys, made in bulk; of two generations the older one is forgotten when the younger is full."""
 
@@ -44,7 +52,7 @@ class Recent:
 
     def values(self, keys: list) -> list:
         young = self.young
-        missing = set(keys) - young.keys()
+        missing = [x for x in set(keys) if x not in young]
         if missing:
             old = self.old
             young.update((x, old[x]) for x in missing if x in old)
@@ -80,6 +88,8 @@ class Aligner:
             raise ValueError("the second vocabulary has pieces with a blank inside: texts can't be cut before blanks")
         self.bytes = a_bytes, b_bytes
         self.lengths = tuple(np.array([len(x) for x in side], np.int64) for side in self.bytes)
+        names = [str(k).encode() + end for side, last in zip(self.bytes, (b"|", b";")) for k in range(len(side)) for end in (b",", last)]
+        self.names, self.name_lengths, self.starts = names, np.array([len(x) for x in names]), (0, 2 * len(a_bytes))
         self.spaced = tuple(np.array([x[:1] == b" " for x in side]) for side in self.bytes)
         self.blank = self.b.piece_to_id("▁")
         self.split, self.translate = latin_split(pattern), dict(enumerate(self.chars))
@@ -91,49 +101,46 @@ class Aligner:
 
     def _chunks(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Ids of both sides; None where the joined bytes aren't the chunk's."""
-        cut, latin = [], []
-        for x in chunks:
-            plain = x.isascii() or max(map(ord, x)) < 256
-            latin.append(plain)
-            cut.append(self.split.findall(x) if plain else None)
-        self.pieces.values([p for own in cut if own for p in own])
-        known, old = self.pieces.young, self.pieces.old
-        left = iter(self.a.encode_batch([x for x, plain in zip(chunks, latin) if not plain], add_special_tokens=False))
+        findall = self.split.findall
+        cut = [findall(x) if x.isascii() or _is_latin(x) else None for x in chunks]
+        flat = [p for own in cut if own for p in own]
+        known = dict(zip(flat, self.pieces.values(flat)))
+        others = iter(self.a.encode_batch([x for x, own in zip(chunks, cut) if own is None], add_special_tokens=False))
+        left = [known[own[0]] if own and len(own) == 1 else b"".join([known[p] for p in own]) if own is not None else array("i", next(others).ids).tobytes() for own in cut]
         right = self.b.encode([x[1:] if x[0] == " " else x for x in chunks], num_threads=1)
-        out, a_bytes, b_bytes = [], *self.bytes
-        for x, own, b in zip(chunks, cut, right):
-            a = b"".join([known[p] if p in known else old[p] for p in own]) if own is not None else array("i", next(left).ids).tobytes()
-            if x[0] != " ":
-                b = b[1:] if b[0] == self.blank else []
-            raw = x.encode()
-            same = b"".join([b_bytes[k] for k in b]) == raw and b"".join([a_bytes[k] for k in memoryview(a).cast("i")]) == raw
-            out.append((a, array("i", b).tobytes()) if same else None)
+        right = [(ids or [self.blank]) if x[0] == " " else ids[1:] if ids[0] == self.blank else [] for x, ids in zip(chunks, right)]
+        out = list(zip(left, [array("i", ids).tobytes() for ids in right]))
+        raw = [x.encode() for x in chunks]
+        if not self._joined(out) == (whole := b"".join(raw), whole):  # else some chunk of these differs
+            out = [x if self._joined([x]) == (r, r) else None for x, r in zip(out, raw)]
         return out
 
+    def _joined(self, sides: list[tuple[bytes, bytes]]) -> tuple[bytes, ...]:
+        """The bytes of both sides' tokens."""
+        return tuple(b"".join(map(table.__getitem__, memoryview(b"".join([x[k] for x in sides])).cast("i"))) for k, table in enumerate(self.bytes))
+
     def _windows(self, windows: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
-        """Groups as text and links as pairs (B id in the upper half) of each tuple of ids."""
-        out, (a_length, b_length) = [], (x.tolist() for x in self.lengths)
-        for a_raw, b_raw in windows:
-            a, b = memoryview(a_raw).cast("i").tolist(), memoryview(b_raw).cast("i").tolist()
-            i = j = start_a = start_b = 0
-            end_a, end_b, groups, links = a_length[a[0]], b_length[b[0]], [], []
-            while True:
-                links.append(b[j] << 32 | a[i])
-                shared = end_a == end_b
-                go_a, go_b = end_a <= end_b, end_b <= end_a
-                i += go_a
-                j += go_b
-                if shared:
-                    groups.append(f"{','.join(map(str, a[start_a:i]))}|{','.join(map(str, b[start_b:j]))}")
-                    start_a, start_b = i, j
-                    if i == len(a):
-                        break
-                if go_a:
-                    end_a += a_length[a[i]]
-                if go_b:
-                    end_b += b_length[b[j]]
-            out.append((";".join(groups).encode(), array("q", links).tobytes()))
-        return out
+        """Groups as text and links as pairs (B id in the upper half) of each tuple of ids, of all of them at once.
+
+        Between two neighbouring ends, of either side, lies one A-B pair of overlapping tokens, and each pair once."""
+        if not windows:
+            return []
+        ids = [np.frombuffer(b"".join([x[k] for x in windows]), np.int32) for k in (0, 1)]
+        ends = [np.cumsum(length[x]) for length, x in zip(self.lengths, ids)]
+        marks = np.zeros((2, ends[0][-1] + 1), bool)
+        for mark, x in zip(marks, ends):
+            mark[x] = True
+        each, shared = np.flatnonzero(marks.any(axis=0)), np.flatnonzero(marks.all(axis=0))
+        of_a, of_b = (np.searchsorted(x, each) for x in ends)
+        links = (ids[1][of_b].astype(np.int64) << 32 | ids[0][of_a]).tobytes()
+        # The tokens of a group, A before B, each with what follows it.
+        order = np.argsort(np.concatenate([np.searchsorted(shared, x) * 2 + k for k, x in enumerate(ends)]), kind="stable")
+        codes = np.concatenate([start + 2 * x + mark[end] for start, x, mark, end in zip(self.starts, ids, marks[::-1], ends)])[order]
+        text = b"".join(map(self.names.__getitem__, codes.tolist()))
+        sizes = np.cumsum(np.array([[len(x) // 4, len(y) // 4] for x, y in windows]), axis=0)
+        text_cuts = np.r_[0, np.cumsum(self.name_lengths[codes])[sizes.sum(axis=1) - 1]].tolist()
+        link_cuts = np.r_[0, (np.searchsorted(each, ends[0][sizes[:, 0] - 1]) + 1) * 8].tolist()
+        return [(text[p:q - 1], links[r:s]) for p, q, r, s in zip(text_cuts, text_cuts[1:], link_cuts, link_cuts[1:])]
 
     def _anchored(self, chunks: list[str]) -> tuple[int, int, list[tuple[bytes, bytes]]] | None:
         """Numbers of tokens, and the aligned windows, of a run of chunks; None where bytes differ."""
