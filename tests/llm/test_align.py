@@ -92,16 +92,17 @@ def test_digest_is_of_the_groups_and_long_texts_are_whole(spark, monkeypatch):
         assert got[i].groups == (sha(w[6]) if w[0] else "") and (got[i].n_a, got[i].n_links) == (w[0], w[3])
     # In parts of a few chunks, as a text of many megabytes is.
     monkeypatch.setattr(align, "PART", 7)
+    assert [x[4] for x in align.aligner(A, B, PATTERN).align_all([t for _, t in rows], False)] == [w[6] for w in want]
     own = align.aligner(A, B, PATTERN)
     for (_, t), w in zip(rows, want):
-        na, nb, ng, nl, groups, pairs, times = own.align(t, False)
+        na, nb, ng, nl, groups, pairs, times = own.align_all([t], False)[0]
         assert (na, nb, ng, nl, groups) == (*w[:4], w[6]) and times.sum() == w[3] and len(set(pairs.tolist())) == len(pairs)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\r\t.,'ab1\xa0　▁é"), st.characters(blacklist_categories=["Cs"])), max_size=40))
 def test_chunks_join_to_the_whole_text(text):
-    got = align.aligner(A, B, PATTERN).align(text, False)
+    got = align.aligner(A, B, PATTERN).align_all([text], False)[0]
     na, nb, groups, links = brute_one(text)
     assert (got[0], got[1], got[2], got[3], got[4]) == (na, nb, len(groups), len(links), ";".join(groups))
     assert Counter(dict(zip(got[5].tolist(), got[6].tolist()))) == Counter(b << 32 | a for a, b in links)

@@ -142,49 +142,62 @@ class Aligner:
         link_cuts = np.r_[0, (np.searchsorted(each, ends[0][sizes[:, 0] - 1]) + 1) * 8].tolist()
         return [(text[p:q - 1], links[r:s]) for p, q, r, s in zip(text_cuts, text_cuts[1:], link_cuts, link_cuts[1:])]
 
-    def _anchored(self, chunks: list[str]) -> tuple[int, int, list[tuple[bytes, bytes]]] | None:
-        """Numbers of tokens, and the aligned windows, of a run of chunks; None where bytes differ."""
-        found = self.chunks.values(chunks)
-        if None in found:
-            return None
+    def _anchored(self, found: list[tuple[bytes, bytes]], counts: list[int]) -> list[tuple[int, int, list[tuple[bytes, bytes]]]]:
+        """Numbers of tokens, and the aligned windows, of runs of chunks; ``counts``: how many chunks each run has, one at least."""
         raw = b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
         ids = [np.frombuffer(x, np.int32) for x in raw]
         ends = [np.cumsum(length[x]) for length, x in zip(self.lengths, ids)]
+        first = np.r_[0, np.cumsum(counts)[:-1]]
+        sizes = [np.add.reduceat(np.array([len(x[k]) // 4 for x in found]), first) for k in (0, 1)]
         mark = np.zeros(ends[0][-1] + 1, bool)
         mark[ends[0]] = True
         at_b = np.flatnonzero(mark[ends[1]])
         at_a = np.searchsorted(ends[0], ends[1][at_b])
         last = len(at_a) - 1  # where both sides end
         anchor = self.spaced[0][ids[0][at_a[:last] + 1]] & self.spaced[1][ids[1][at_b[:last] + 1]]
-        cuts = [[0, *((x[:last][anchor] + 1) * 4).tolist(), (int(x[last]) + 1) * 4] for x in (at_a, at_b)]
-        keys = [(raw[0][p:q], raw[1][r:s]) for p, q, r, s in zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:])]
-        return len(ids[0]), len(ids[1]), self.windows.values(keys)
-
-    def align(self, text: str, digest: bool) -> tuple:
-        """n_a, n_b, n_groups, n_links, groups, pairs and how often each is linked, of one whole text."""
-        n_a = n_b = n_groups = n_links = 0
-        sha, kept, pairs, times = hashlib.sha256(), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-        found = CHUNK.finditer(" " + text) if len(text) >= PART else iter([CHUNK.findall(" " + text)] if text else [])
-        while some := ([m[0] for m in islice(found, PART)] if len(text) >= PART else next(found, None)):
-            got = self._anchored(some)
-            if got is None:
-                return 0, 0, 0, 0, "", pairs[:0], times[:0]
-            n_a, n_b = n_a + got[0], n_b + got[1]
-            groups = b";".join([x[0] for x in got[2]])
-            links = np.frombuffer(b"".join([x[1] for x in got[2]]), np.int64)
-            if digest:
-                sha.update(b";" * (n_groups > 0) + groups)
-            else:
-                kept.append(groups)
+        runs = np.cumsum(sizes[0])
+        anchor |= np.isin(at_a[:last] + 1, runs[:-1], kind="sort")
+        cuts = [np.r_[0, x[:last][anchor] + 1, x[last] + 1] for x in (at_a, at_b)]
+        of_run = np.searchsorted(cuts[0], np.r_[0, runs]).tolist()
+        a, b = ((x * 4).tolist() for x in cuts)
+        keys = [(raw[0][p:q], raw[1][r:s]) for p, q, r, s in zip(a, a[1:], b, b[1:])]
+        windows = self.windows.values(keys)
+        return [(n_a, n_b, windows[p:q]) for n_a, n_b, p, q in zip(*(x.tolist() for x in sizes), of_run, of_run[1:])]
+
+    def align_all(self, texts: list[str], digest: bool) -> list[tuple]:
+        """n_a, n_b, n_groups, n_links, groups, pairs and how often each is linked, of each whole text."""
+        out: list = [self._long(x, digest) if len(x) >= PART else None for x in texts]
+        short = [k for k, x in enumerate(texts) if out[k] is None and x]
+        cut = [CHUNK.findall(" " + texts[k]) for k in short]
+        found = iter(self.chunks.values([x for own in cut for x in own]))
+        found = [list(islice(found, len(own))) for own in cut]
+        good = [(k, x) for k, x in zip(short, found) if None not in x]
+        if good:
+            got = self._anchored([y for _, x in good for y in x], [len(x) for _, x in good])
+            for (k, _), one in zip(good, got):
+                out[k] = self._summed([one], digest)
+        return [x or self._summed([], digest) for x in out]
+
+    def _long(self, text: str, digest: bool) -> tuple:
+        """One text, in parts."""
+        parts, found = [], CHUNK.finditer(" " + text)
+        while some := [m[0] for m in islice(found, PART)]:
+            ids = self.chunks.values(some)
+            if None in ids:
+                return self._summed([], digest)
+            parts += self._anchored(ids, [len(ids)])
+        return self._summed(parts, digest)
+
+    def _summed(self, parts: list[tuple[int, int, list[tuple[bytes, bytes]]]], digest: bool) -> tuple:
+        sha, kept, n_groups, links = hashlib.sha256(), [], 0, [np.zeros(0, np.int64)]
+        for k, (_, _, windows) in enumerate(parts):
+            groups = b";".join([x[0] for x in windows])
             n_groups += groups.count(b"|")
-            n_links += len(links)
-            new, n = np.unique(links, return_counts=True)
-            if len(pairs):
-                links, n = np.concatenate([pairs, new]), np.concatenate([times, n])
-                new, where = np.unique(links, return_inverse=True)
-                n = np.bincount(where, n).astype(np.int64)
-            pairs, times = new, n
-        return n_a, n_b, n_groups, n_links, (sha.hexdigest() if digest and n_a else b";".join(kept).decode()), pairs, times
+            sha.update(b";" * (k > 0) + groups) if digest else kept.append(groups)
+            links.append(np.frombuffer(b"".join([x[1] for x in windows]), np.int64))
+        pairs, times = np.unique(np.concatenate(links), return_counts=True)
+        groups = (sha.hexdigest() if parts else "") if digest else b";".join(kept).decode()
+        return sum(x[0] for x in parts), sum(x[1] for x in parts), n_groups, int(times.sum()), groups, pairs, times
 
 
 @lru_cache(maxsize=2)
@@ -208,7 +221,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, pattern: str, text: str =
         own = aligner(a_path, b_path, pattern)
         for batch in batches:
             for part in slices(batch):
-                got = list(zip(*(own.align(t.decode("utf-8"), digest) for t in texts(part.column("text")))))
+                got = list(zip(*own.align_all([t.decode("utf-8") for t in texts(part.column("text"))], digest)))
                 yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(c, pa.int64()) for c in got[:4]), pa.array(got[4], pa.string()), _lists(got[5]), _lists(got[6])], names)
 
     return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<long>")
