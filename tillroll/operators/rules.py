@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.text import items_text, regex_contains_ci
+from tillroll.operators.containment import containing
 
 RULE_COLS = ["antecedents_str", "consequents_str", "support", "confidence", "lift"]
 
@@ -95,25 +96,20 @@ def _interpretation() -> Column:
                     F.col("consequents_str"), F.lit("'"))
 
 
-#: Distinct antecedent texts that may be broadcast.
-BROADCAST_ANTECEDENTS = 100_000
-
-
 def recommend_batch(rules: DataFrame, products: DataFrame, top_n: int = 5) -> DataFrame:
     """Batch form of M10: for every product in ``products(product)``, the top_n rules
     whose antecedent text contains it (case-insensitive, as the single form does; literal text).
 
-    Products are matched against the distinct antecedent texts only — a mined, counted and so
-    bounded table — and the matches joined to the rules by equality.  More antecedents than
-    ``BROADCAST_ANTECEDENTS`` are an error, not a silent cut.  Per-product top-k: ``WindowGroupLimit``.
+    The distinct lower-cased antecedents are found through an inverted index of grams, whatever their number.  Of an antecedent's rules only
+    its first top_n can be among a product's, so no more are joined to the hits.  Top-k: ``WindowGroupLimit``.  Null products get no row.
     """
-    texts = rules.select("antecedents_str").distinct()
-    if texts.count() > BROADCAST_ANTECEDENTS:
-        raise ValueError("too many distinct antecedents: mine with a higher support")
-    wanted = products.select("product").filter("product is not null").distinct()
-    hits = wanted.join(F.broadcast(texts), F.lower("antecedents_str").contains(F.lower("product")))
+    key = F.lower("antecedents_str").alias("text")
+    wanted = products.select("product").filter("product is not null").distinct().withColumn("word", F.lower("product"))
+    own = Window.partitionBy("text").orderBy(*rule_order())
+    first = rules.select(key, *RULE_COLS).withColumn("n", F.row_number().over(own)).filter(F.col("n") <= top_n).drop("n")
+    hits = containing(rules.select(key), wanted.select("word"))
     w = Window.partitionBy("product").orderBy(*rule_order())
-    return (hits.join(rules, "antecedents_str").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
+    return (hits.join(first, "text").join(wanted, "word").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
             .select("product", "rank", F.col("consequents_str").alias("recommended_product"),
                     "antecedents_str", "confidence", "lift", "support"))
 
