@@ -67,3 +67,46 @@ def test_distinct_counts_of_product_features(spark):
         F.count_distinct("InvoiceNo").alias("i"), F.count_distinct("CustomerID").alias("c")).collect()}
     got = {r.Description: (r.num_transactions, r.num_customers) for r in product_aggregates(lines).collect()}
     assert got == want
+
+
+def test_extracts_go_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\n1,A,pin,5,2010-01-02 08:26:00,1.5,17,UK\n")
+    (tmp_path / "b.csv").write_text("Price, Customer ID,Note,Quantity,InvoiceNo,Invoice Date\n2.5,18,x,7,2,2011-01-02 08:26:00\n")
+    paths = [str(tmp_path / n) for n in ("a.csv", "b.csv")]
+    for rows in (retail.read_transactions(spark, paths), retail.read_extracts(spark, paths)[0]):
+        assert rows.schema == retail.RETAIL_SCHEMA
+        a, b = rows.orderBy("InvoiceNo").collect()
+        assert (a.StockCode, a.Quantity, float(a.UnitPrice), a.CustomerID, a.Country) == ("A", 5, 1.5, "17", "UK")
+        assert (b.StockCode, b.Quantity, float(b.UnitPrice), b.CustomerID, b.Country) == (None, 7, 2.5, "18", None)
+        assert b.InvoiceDate.year == 2011
+
+
+def test_rejected_rows_have_reason_file_and_cells(spark, tmp_path):
+    head = "Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\n"
+    (tmp_path / "a.csv").write_text(head + "1,A,pin,5,1/2/2010 8:26,1.5,17,UK\n2,A,pin,five,1/2/2010 8:26,1.5,17,UK\n3,A,pin,,,,,\n4,A,pin,5,2010-01-02,x,17,UK\n")
+    (tmp_path / "b.csv").write_text(head + "5,A,pin,5,1/2/2010 8:26\n6,A,pin,99999999999,1/2/2010 8:26,1,17,UK,more\n7,A,\"a, b\",5,13/2/2010 8:26,1,17,UK\n8,A,pin,5,3/14/2010 2:30,1,17,UK\n")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")  # 2:30 does not exist there on that day
+    try:
+        rows, rejected = retail.read_extracts(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], timestamp_format="M/d/yyyy H:mm")
+        good = {r.InvoiceNo: r for r in rows.collect()}
+        bad = {r.InvoiceNo: r for r in rejected.collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert set(good) == {"1", "3", "8"} and good["3"].Quantity is None and good["8"].InvoiceDate.isoformat() == "2010-03-14T02:30:00"
+    assert {k: r.reason for k, r in bad.items()} == {"2": "Quantity", "4": "InvoiceDate; UnitPrice", "5": "fields", "6": "fields; Quantity", "7": "InvoiceDate"}
+    assert {k: r.file for k, r in bad.items()} == {"2": "a.csv", "4": "a.csv", "5": "b.csv", "6": "b.csv", "7": "b.csv"}
+    assert bad["2"].Quantity == "five" and bad["7"].Description == "a, b" and bad["6"].line.endswith(",more") and bad["2"].line is None
+
+
+def test_headers_that_cannot_be_told_apart_are_errors(spark, tmp_path):
+    import pytest
+    (tmp_path / "a.csv").write_text("Invoice,InvoiceNo\n1,2\n")
+    with pytest.raises(ValueError, match="InvoiceNo"):
+        retail.read_extracts(spark, str(tmp_path / "a.csv"))
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Invoice,Price\n1,2\n")
+    (folder / "b.csv").write_text("Price,Invoice\n1,2\n")
+    with pytest.raises(Exception, match="header"):
+        retail.read_extracts(spark, str(folder))[0].collect()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tillroll.operators import clean as C
 from tillroll.operators import features as FE
 from tillroll.session import checkpoint_root, materialize
-from tillroll.sources.retail import read_transactions, retail_raw
+from tillroll.sources.retail import read_extracts, read_transactions, retail_raw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -69,6 +69,40 @@ def q_transactions_csv(spark, sf_dir):
     return _money(read_transactions(spark, paths, timestamp_format="M/d/yyyy H:mm:ss"), "UnitPrice")
 
 
+US_TIME = "M/d/yyyy H:mm:ss"
+
+
+def _write_extract(df: DataFrame, name: str) -> str:
+    path = f"{checkpoint_root(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+@query("transactions_extracts")
+def q_transactions_extracts(spark, sf_dir):
+    """The dirty lines as three CSV extracts whose headers differ in spelling, order and number, read as one table."""
+    raw = retail_raw(spark, sf_dir, with_country=True, dirty=True).withColumn("year", F.year("InvoiceDate")).withColumn("date", F.date_format("InvoiceDate", US_TIME))
+    first = raw.filter("year < 1994").select(F.col("InvoiceNo").alias(" Invoice"), "StockCode", "Description", "Quantity", F.col("date").alias("InvoiceDate"),
+                                             F.col("UnitPrice").alias("Price "), F.col("CustomerID").alias("Customer ID"), "Country")
+    second = raw.filter("year in (1994, 1995)").select("CustomerID", "UnitPrice", F.col("date").alias("Invoice Date"), "Quantity", "StockCode", "Description", "InvoiceNo")
+    third = raw.filter("year > 1995").select(F.lit("seen").alias("Note"), "Country", F.col("CustomerID").alias("Customer ID"), F.col("UnitPrice").alias("Price"),
+                                             F.col("date").alias("InvoiceDate"), "Quantity", "Description", "StockCode", F.col("InvoiceNo").alias("Invoice"))
+    paths = [_write_extract(df, f"extract{k}") for k, df in enumerate((first, second, third))]
+    return _money(read_extracts(spark, paths, timestamp_format=US_TIME)[0], "UnitPrice")
+
+
+@query("transactions_rejected")
+def q_transactions_rejected(spark, sf_dir):
+    """Cells that are no value of their column, by fixed rules over every line, come back as rejected rows with the reason."""
+    raw = retail_raw(spark, sf_dir, dirty=True)
+    bad = lambda n: F.col("StockCode").cast("bigint") % n == 0
+    named = raw.select("InvoiceNo", "StockCode", F.when(bad(11), F.concat("Quantity", F.lit(" pcs"))).otherwise(F.col("Quantity").cast("string")).alias("Quantity"),
+                       F.when(bad(13), F.date_format("InvoiceDate", "yyyy.MM.dd")).otherwise(F.date_format("InvoiceDate", US_TIME)).alias("InvoiceDate"),
+                       F.when(bad(17), F.replace(F.col("UnitPrice").cast("string"), F.lit("."), F.lit(","))).otherwise(F.col("UnitPrice").cast("string")).alias("Price"), "CustomerID")
+    rejected = read_extracts(spark, _write_extract(named, "faulty"), timestamp_format=US_TIME)[1]
+    return rejected.select("reason", "InvoiceNo", "StockCode", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID")
+
+
 @query("cleaning_report")
 def q_cleaning_report(spark, sf_dir):
     return C.cleaning_report(retail_raw(spark, sf_dir, dirty=True))

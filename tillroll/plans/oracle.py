@@ -158,6 +158,19 @@ oracle("transactions_csv", with_(raw_cte("raw", dirty=True)) + """
 SELECT InvoiceNo, StockCode, Description, Quantity, InvoiceDate, CAST(UnitPrice AS DOUBLE) AS UnitPrice, CustomerID, Country
 FROM raw""")
 
+oracle("transactions_extracts", with_(raw_cte("raw", dirty=True)) + """
+SELECT InvoiceNo, StockCode, Description, Quantity, InvoiceDate, CAST(UnitPrice AS DOUBLE) AS UnitPrice, CustomerID,
+       CASE WHEN year(InvoiceDate) IN (1994, 1995) THEN NULL ELSE Country END AS Country
+FROM raw""")
+oracle("transactions_rejected", with_(raw_cte("raw", dirty=True)) + """
+SELECT concat_ws('; ', CASE WHEN q THEN 'Quantity' END, CASE WHEN d THEN 'InvoiceDate' END, CASE WHEN p THEN 'UnitPrice' END) AS reason, InvoiceNo, StockCode,
+       CAST(Quantity AS VARCHAR) || CASE WHEN q THEN ' pcs' ELSE '' END AS Quantity,
+       CASE WHEN d THEN strftime(InvoiceDate, '%Y.%m.%d') ELSE strftime(InvoiceDate, '%-m/%-d/%Y %-H:%M:%S') END AS InvoiceDate,
+       CASE WHEN p THEN replace(price, '.', ',') ELSE price END AS UnitPrice, CustomerID
+FROM (SELECT *, CAST(StockCode AS BIGINT) % 11 = 0 AS q, CAST(StockCode AS BIGINT) % 13 = 0 AS d, CAST(StockCode AS BIGINT) % 17 = 0 AS p,
+             CAST(CAST(UnitPrice AS DECIMAL(18,6)) AS VARCHAR) AS price FROM raw)
+WHERE q OR d OR p""")
+
 
 def _report_sql() -> str:
     rows = []

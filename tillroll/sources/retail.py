@@ -13,6 +13,8 @@ broadcast; nation (25 rows by definition) is always broadcast.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,35 +39,89 @@ RENAME = {"Invoice": "InvoiceNo", "Price": "UnitPrice", "CustomerID": "CustomerI
 ITEM_GRAINS = ("product", "name", "brand", "type")
 
 
+def canonical_names(columns: list[str]) -> list[str]:
+    """Strip + drop spaces in headers, then rename those that have another canonical name."""
+    return [RENAME.get(header_name(c), header_name(c)) for c in columns]
+
+
 def normalise_headers(df: DataFrame) -> DataFrame:
-    """Strip + drop spaces in headers, then rename the columns that exist."""
-    df = df.toDF(*[header_name(c) for c in df.columns])
-    return df.withColumnsRenamed({k: v for k, v in RENAME.items() if k in df.columns and k != v})
+    return df.toDF(*canonical_names(df.columns))
+
+
+#: Name of the column with the text of a line whose number of fields is wrong.
+_LINE = "_line"
+
+
+def _extract(spark: SparkSession, path: str, fmt: str, cells: bool) -> DataFrame:
+    """One extract under canonical names; CSV cells are texts.  With ``cells`` also ``file`` and the text of malformed lines.
+
+    Columns go by this extract's own header.  All files of a CSV extract must share it, which Spark checks as it reads them."""
+    if fmt == "csv":
+        header = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, _LINE]])
+        raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("columnNameOfCorruptRecord", _LINE).csv(path)
+    else:
+        raw = spark.read.format(fmt).load(path)
+        raw, header = raw.withColumn(_LINE, F.lit(None).cast("string")), raw.columns
+    names = canonical_names(header)
+    if twice := sorted({n for n in names if names.count(n) > 1}):
+        raise ValueError(f"{path}: several columns named {', '.join(twice)}")
+    known = [F.col(f"`{h}`").alias(n) for h, n in zip(header, names) if n in RETAIL_SCHEMA.fieldNames()]
+    return raw.select(*known, *([F.col("_metadata.file_name").alias("file"), _LINE] if cells else []))
+
+
+def _extracts(spark: SparkSession, paths: str | list[str], fmt: str, cells: bool) -> DataFrame:
+    own = [_extract(spark, p, fmt, cells) for p in ([paths] if isinstance(paths, str) else paths)]
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), own)
+    return out.withColumns({f.name: F.lit(None).cast("string") for f in RETAIL_SCHEMA.fields if f.name not in out.columns})
 
 
 def read_transactions(spark: SparkSession, paths: str | list[str], fmt: str = "csv",
                       timestamp_format: str | None = None) -> DataFrame:
-    """One or several yearly extracts in a single scan, typed to RETAIL_SCHEMA.
+    """One or several yearly extracts as one table, typed to RETAIL_SCHEMA; a cell that has no value of its type is an error.
 
-    CSV is read as text with its header, normalised, then cast — the customer
+    Each extract (a file or a folder of files with one header) is read by its own header, so extracts may differ in the order, spelling
+    and number of columns; what one lacks is null.  CSV is read as text, then cast — the customer
     id stays text even when it looks numeric.  ``timestamp_format`` is a Spark
     pattern such as ``M/d/yyyy H:mm``; without one ISO texts are expected.
     """
-    reader = spark.read
-    if fmt == "csv":
-        raw = reader.option("header", True).option("inferSchema", False).csv(paths)
-    else:
-        raw = reader.format(fmt).load(paths)
-    raw = normalise_headers(raw)
+    raw = _extracts(spark, paths, fmt, cells=False)
     cols = []
     for f in RETAIL_SCHEMA.fields:
-        c = F.col(f.name) if f.name in raw.columns else F.lit(None)
+        c = F.col(f.name)
         if f.name == "InvoiceDate" and fmt == "csv":
             c = F.to_timestamp_ntz(c, F.lit(timestamp_format)) if timestamp_format else F.to_timestamp_ntz(c)
         cols.append(c.cast(f.dataType).alias(f.name))
     return raw.select(*cols)
 
 
+def read_extracts(spark: SparkSession, paths: str | list[str], fmt: str = "csv",
+                  timestamp_format: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """S1 for extracts with bad rows: (rows typed to RETAIL_SCHEMA, rejected rows).
+
+    A row is rejected if a cell holds a text that is no value of its column's type, or if its line has too few or too
+    many fields.  ``rejected`` has the cells as texts, ``reason`` (columns in the schema's order, joined by ``; ``), the ``file`` and,
+    of a malformed line, its whole text as ``line``.  An empty cell is null and no fault.  Each row is in exactly one of the two;
+    both are scans of the extracts: write them once if several jobs follow.
+    """
+    raw = _extracts(spark, paths, fmt, cells=True)
+    typed, faults = {}, [F.when(F.col(_LINE).isNotNull(), F.lit("fields"))]
+    for f in RETAIL_SCHEMA.fields:
+        c = F.col(f.name)
+        if f.name == "InvoiceDate" and timestamp_format and fmt == "csv":
+            # the parser of wall clock times raises, so it only sees what the other one could read
+            value = F.when(F.try_to_timestamp(c, F.lit(timestamp_format)).isNotNull(), F.to_timestamp_ntz(c, F.lit(timestamp_format)))
+        else:
+            value = c.try_cast(f.dataType)
+        typed[f.name] = value
+        if not isinstance(f.dataType, T.StringType):
+            faults.append(F.when(c.isNotNull() & value.isNull(), F.lit(f.name)))
+    checked = raw.withColumn("reason", F.concat_ws("; ", *faults))
+    rows = checked.filter("reason = ''").select(*[typed[f.name].alias(f.name) for f in RETAIL_SCHEMA.fields])
+    rejected = checked.filter("reason <> ''").select("file", "reason", *[F.col(f.name).cast("string").alias(f.name) for f in RETAIL_SCHEMA.fields], F.col(_LINE).alias("line"))
+    return rows, rejected
+
+
 def _unit_price(price: Column, qty: Column) -> Column:
     """Line price per unit in whole cents (integer cents keep engines equal), in the schema's scale."""
     cents = F.floor(price * F.lit(100) / qty).cast("decimal(12,0)")
