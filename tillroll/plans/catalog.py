@@ -556,6 +556,22 @@ def _trained(df: DataFrame, features: list[str], name: str):
     return K.load_pipeline(path), cost
 
 
+def stored_trained(spark, sf_dir, kind: str):
+    """The trained pipeline and its clusters' labels as stored for this version of the input; trained only where they are missing."""
+    features, money, job = {"customer": (FE.RFM_FEATURES, MONEY, rfm), "product": (FE.PRODUCT_FEATURES, None, product_features)}[kind]
+    store = _store(spark, sf_dir)
+    path = store.model_path(f"{kind}-trained-model")
+
+    def run():
+        df = materialize(job(spark, sf_dir))
+        model, _ = K.train_kmeans(df, features, k=K_FINAL)
+        K.save_pipeline(model, path)
+        return K.score_trained(model, df, features, kind, money).select("Cluster", "Segment").distinct().coalesce(1)  # k rows
+
+    labels = {r.Cluster: r.Segment for r in store.table(f"{kind}-trained-labels", run).collect()}
+    return K.load_pipeline(path), labels
+
+
 @query("kmeans_trained_customers")
 def q_kmeans_trained_customers(spark, sf_dir):
     r = materialize(rfm(spark, sf_dir))
@@ -620,7 +636,10 @@ def q_new_accounts(spark, sf_dir):
 
 # ---------------------------------------------------------------- streaming --
 from tillroll.functions import dims as D  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
+
 from tillroll.streaming import kpis as ST  # noqa: E402
+from tillroll.streaming import upserts as UP  # noqa: E402
 
 
 def _events(spark, sf_dir):
@@ -656,3 +675,59 @@ def q_stream_scoring(spark, sf_dir):
         F.col("Monetary").alias("monetary"), "cluster_id", "segment",
         F.col("action").alias("marketing_action"), "segment_description")
     return ST.run_to_table(scored, "scoring")
+
+
+@query("stream_trained_scoring")
+def q_stream_trained_scoring(spark, sf_dir):
+    """T3 with the trained model: feature rows arrive twice, first as they stood after a customer's first order, then as they are; the stream stops in between.
+    Each micro-batch is scored and upserted, so that a customer has one row; ``agrees`` compares it with scoring the whole table at once."""
+    model, labels = stored_trained(spark, sf_dir, "customer")
+    base, now = UP.stream_base(spark, "trained"), materialize(rfm(spark, sf_dir).select("CustomerID", *FE.RFM_FEATURES))
+    table_ = UP.UpsertTable(spark, f"{base}/scores", T.StructType([*now.schema.fields, T.StructField("Cluster", T.IntegerType()), T.StructField("Segment", T.StringType())]), ["CustomerID"])
+    arrive = lambda df: df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in now.schema]).write.mode("append").parquet(f"{base}/in")
+
+    def scored(batch):
+        assigned = model.transform(batch).select(*batch.columns, F.col("Cluster").cast("int").alias("Cluster"))
+        return K.attach_labels(assigned, spark, labels)
+
+    out = None
+    for rows in (now.withColumn("Frequency", F.lit(1)).withColumn("Monetary", F.lit(0)), now):
+        arrive(rows)
+        out = UP.run_upserts(spark.readStream.schema(now.schema).parquet(f"{base}/in"), table_, base, scored)
+    want = scored(now).select("CustomerID", F.struct("Cluster", "Segment").alias("want"))
+    return out.join(want, "CustomerID", "full").select("CustomerID", *FE.RFM_FEATURES, (F.struct("Cluster", "Segment") == F.col("want")).alias("agrees"))
+
+
+def _arriving(spark, sf_dir, name: str):
+    """A stream over a folder that event files are put into one after the other."""
+    base = UP.stream_base(spark, name)
+    events = table(spark, sf_dir, "events")
+    put = lambda df: df.write.mode("append").parquet(f"{base}/in")
+    return base, events, put, lambda: ST.order_stream(spark, f"{base}/in")
+
+
+@query("stream_kpis_open")
+def q_stream_kpis_open(spark, sf_dir):
+    """T1 continuously: windows in update mode with the open one, after a stop and a second delivery of a seventh of the events."""
+    base, events, put, orders = _arriving(spark, sf_dir, "kpis-open")
+    kpis = UP.UpsertTable(spark, f"{base}/kpis", "window_start timestamp_ntz, window_end timestamp_ntz, orders bigint, amount double, avg_amount double", ["window_start"])
+    out = None
+    for part in (events, events.filter("event_id % 7 = 0")):
+        put(part)
+        out = UP.run_upserts(ST.open_kpis(orders(), "1 day", "1 hour"), kpis, base, output_mode="update")
+    return out
+
+
+@query("stream_order_feed_live")
+def q_stream_order_feed_live(spark, sf_dir):
+    """T2 continuously: the segments are read for each micro-batch; they are published between the even and the odd orders."""
+    c, _ = customers_segmented(spark, sf_dir)
+    base, events, put, orders = _arriving(spark, sf_dir, "feed-live")
+    segments, actions = UP.Versions(spark, f"{base}/segments"), D.segment_dim(spark, "customer")
+    feed = UP.UpsertTable(spark, f"{base}/feed", "order_id bigint, customer_id string, ts timestamp_ntz, amount double, customer_segment string, marketing_action string", ["order_id"])
+    out = None
+    for rest, known in ((0, c.filter("false")), (1, c)):
+        segments.publish(known.select("CustomerID", "Segment"))
+        put(events.filter(F.col("event_id") % 2 == rest))
+        out = UP.run_upserts(orders(), feed, base, lambda batch: ST.enrich_orders(batch, segments.latest(), actions))
+    return out

@@ -703,3 +703,15 @@ FROM events e LEFT JOIN cust_seg s ON s.CustomerID = CAST(e.user_id AS VARCHAR)
 LEFT JOIN dim_customer d ON d.Segment = s.Segment
 WHERE e.event_type = 'purchase'""")
 oracle("stream_scoring", ORACLE["score_customers"])
+
+oracle("stream_trained_scoring", with_(*rfm_ctes()) + "SELECT CustomerID, Recency, Frequency, Monetary, TRUE AS agrees FROM rfm")
+oracle("stream_kpis_open", """
+SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, count(*) AS orders,
+       CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS amount, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS avg_amount
+FROM events WHERE event_type = 'purchase' GROUP BY 1, 2""")
+oracle("stream_order_feed_live", with_(*CS, _seg_dim("customer")) + """
+SELECT e.event_id AS order_id, CAST(e.user_id AS VARCHAR) AS customer_id, e.ts, e.value AS amount,
+       coalesce(s.Segment, 'Unknown') AS customer_segment, coalesce(d.action, '') AS marketing_action
+FROM events e LEFT JOIN cust_seg s ON s.CustomerID = CAST(e.user_id AS VARCHAR) AND e.event_id % 2 = 1
+LEFT JOIN dim_customer d ON d.Segment = s.Segment
+WHERE e.event_type = 'purchase'""")
