@@ -115,3 +115,54 @@ def test_trained_pipeline_is_saved_labelled_and_scaled_by_population_deviation(s
     n = len(z)
     for k in range(3):
         assert abs(sum(v[k] for v in z)) < 1e-6 and abs(sum(v[k] ** 2 for v in z) / n - 1) < 1e-9
+
+
+def _seeds_by_hand(rows, k, n_init):
+    """k-means++ by the same draws, in plain Python over (id, point)."""
+    import hashlib
+    import math
+    out = {}
+    for s in range(n_init):
+        own = []
+        for j in range(k):
+            digest = lambda i: hashlib.md5(f"{s}:{j}:{i}".encode()).hexdigest()
+            if not own:
+                own.append(min((digest(i), i, p) for i, p in rows)[2])
+                continue
+            race = []
+            for i, p in rows:
+                d = min(sum((a - b) ** 2 for a, b in zip(p, c)) for c in own)
+                if d:
+                    race.append((-math.log((int(digest(i)[:13], 16) + 0.5) / 2 ** 52) / d, i, p))
+            if race:
+                own.append(min(race)[2])
+        out[s] = own
+    return out
+
+
+def test_seeds_are_drawn_by_distance(spark):
+    import random
+    rng = random.Random(2)
+    rows = [(str(i), [rng.randint(-3000, 3000), rng.randint(0, 9)]) for i in range(400)] + [(f"twin{i}", [50_000, 5]) for i in range(3)]
+    df = spark.createDataFrame([(i, *p) for i, p in rows], "id string, z1 bigint, z2 bigint")
+    got = K.initial_centres(df.repartition(5), "id", ["z1", "z2"], 4, 6)
+    assert got == _seeds_by_hand(rows, 4, 6)
+    assert all([50_000, 5] in own for own in got.values())            # far away: drawn as the second or third centre
+    assert all(len({tuple(c) for c in own}) == 4 for own in got.values())
+
+
+def test_equal_points_bring_few_rows_to_the_driver(spark, monkeypatch):
+    df = spark.range(200_000).selectExpr("cast(id as string) as id", "7 as z1")
+    fetched, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: fetched.append(collect(self)) or fetched[-1])
+    assert K.initial_centres(df, "id", ["z1"], 4, 3) == {s: [[7]] for s in range(3)}
+    assert [len(x) for x in fetched] == [3, 0]                        # a row a start, then none is left
+    assert K.initial_centres(df.where("false"), "id", ["z1"], 4, 2) == {0: [], 1: []}
+
+
+def test_store_follows_every_parameter(spark, monkeypatch):
+    before = C._store(spark, SF0001).path
+    assert C._store(spark, SF0001).path == before
+    cap = C.FE.build_product_features
+    monkeypatch.setattr(C.FE, "build_product_features", lambda clean, revenue_quantile=0.95, min_transactions=10: cap(clean, revenue_quantile, min_transactions))
+    assert C._store(spark, SF0001).path != before

@@ -9,9 +9,9 @@ Two engines:
   kept.  An iteration is one pass over the cached point table: Arrow batches are
   assigned to the broadcast centres (starts x k small vectors) and give sums,
   so starts x k rows cross the shuffle per batch and only these reach the driver.
-  The plan does not change with the centres.  Start s takes the first k distinct
-  points in the order of ``md5("s:id")``.  Ties go to the lower centre, then the
-  lower start; an empty cluster keeps its centre.
+  The plan does not change with the centres.  Starts are seeded by k-means++
+  (``initial_centres``).  Ties go to the lower centre, then the lower start; an
+  empty cluster keeps its centre.
 * ``train_kmeans`` — ``pyspark.ml.clustering.KMeans`` (k-means||) with
   restarts over seeds, the sweep over k with training cost and silhouette
   (``ClusteringEvaluator``: squared Euclidean, the metric Spark offers), and a
@@ -81,15 +81,33 @@ class FixedKMeansModel:
                                 labels={int(k): v for k, v in d["labels"].items()})
 
 
-def initial_centres(points: DataFrame, id_col: str, zcols: list[str], k: int, start: int) -> list[list[int]]:
-    """The first k distinct points in the start's order; a few rows are taken, more only while they repeat."""
-    order, n = F.md5(F.concat(F.lit(f"{start}:"), F.col(id_col).cast("string")).cast("binary")), 4 * k
-    while True:
-        rows = points.select(*zcols, order.alias("_o")).orderBy("_o").limit(n).collect()
-        distinct = list(dict.fromkeys(tuple(int(r[c]) for c in zcols) for r in rows))
-        if len(distinct) >= k or len(rows) < n:
-            return [list(c) for c in distinct[:k]]
-        n *= 4
+def initial_centres(points: DataFrame, id_col: str, zcols: list[str], k: int, n_init: int) -> dict[int, list[list[int]]]:
+    """k-means++ for all starts at once: one pass a centre, one point a start and pass reaches the driver.
+
+    The first centre is a row drawn evenly, each further one a row drawn in proportion to the squared distance from the centres so far.  A draw is a
+    race: the row with the least -ln(u) / weight wins, with u in (0, 1) from the first 52 bits of ``md5("start:place:id")``; ties go to the
+    lesser id.  Where fewer than k points differ, a start has as many centres as there are points.
+    """
+    centres: dict[int, list[list[int]]] = {s: [] for s in range(n_init)}
+    point = [F.col(id_col).cast("string").alias("id"), *[F.col(c) for c in zcols]]
+    for j in range(k):
+        going = [s for s, own in centres.items() if len(own) == j]
+        if not going:
+            break
+        # The centres are one constant of the plan, so that each place's code is compiled once.
+        rows = points.select(*point, F.posexplode(F.lit([[s] + [v for centre in centres[s] for v in centre] for s in going]).cast("array<array<bigint>>")).alias("at", "own"))
+        h = F.md5(F.concat(F.get("own", F.lit(0)).cast("string"), F.lit(f":{j}:"), F.col("id")).cast("binary"))
+        key = h
+        if j:
+            far = [sum(((F.col(c) - F.get("own", F.lit(1 + m * len(zcols) + i))) * (F.col(c) - F.get("own", F.lit(1 + m * len(zcols) + i)))
+                        for i, c in enumerate(zcols)), F.lit(0).cast("bigint")) for m in range(j)]
+            rows = rows.withColumn("weight", far[0] if j == 1 else F.least(*far)).filter("weight > 0")
+            u = (F.conv(F.substring(h, 1, 13), 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(float(1 << 52))
+            key = -F.log(u) / F.col("weight")
+        won = rows.groupBy("at").agg(F.min(F.struct(key.alias("key"), "id", *zcols)).alias("won"))
+        for row in won.collect():  # one row a start
+            centres[going[row["at"]]].append([int(row["won"][c]) for c in zcols])
+    return centres
 
 
 def fit_fixed_kmeans(df: DataFrame, id_col: str, features: list[str], k: int = 4,
@@ -134,7 +152,7 @@ def _step(points: DataFrame, zcols: list[str], centres: dict[int, list[list[int]
 
 
 def _lloyd(points, id_col, zcols, features, scaler, k, max_iter, n_init) -> FixedKMeansModel:
-    centres = {s: initial_centres(points, id_col, zcols, k, s) for s in range(n_init)}
+    centres = initial_centres(points, id_col, zcols, k, n_init)
     if not centres or not centres[0]:
         return FixedKMeansModel(list(features), scaler, [], converged=True)
     open_, inertia, it = set(centres), {}, 0

@@ -7,6 +7,7 @@ different shape than the original retail extract; see README).
 """
 from __future__ import annotations
 
+import inspect
 import uuid
 from collections.abc import Callable
 
@@ -237,8 +238,13 @@ def q_frequent_itemsets_fpgrowth(spark, sf_dir):
     return _itemset_out(I.frequent_itemsets_fpgrowth(arrays, MAIN.min_support, MAIN.max_len))
 
 
+RFM_MONEY = {"Monetary": "decimal(28,2)"}
+
+
 def _store(spark, sf_dir) -> Store:
-    return Store(spark, sf_dir, repr((MAIN, K_FINAL, K.N_INIT, K.MAX_ITER)))
+    """The store of this version of the input and of all parameters that the jobs run with, their defaults included."""
+    jobs = (FE.build_rfm, FE.build_product_features, retail_raw, B.BasketSpec, I.frequent_itemsets, R.association_rules, K.segment, K.fit_fixed_kmeans, K.train_kmeans)
+    return Store(spark, sf_dir, repr((MAIN, K_FINAL, K.N_INIT, K.MAX_ITER, RFM_MONEY, *[(f.__name__, str(inspect.signature(f))) for f in jobs])))
 
 
 def stored_itemsets(spark, sf_dir) -> DataFrame:
@@ -336,7 +342,7 @@ from tillroll.operators import segments as G  # noqa: E402
 from tillroll.sources.tables import read_csv, row_counts, table, write_table  # noqa: E402
 
 K_FINAL = 4          # reference FINAL_K
-MONEY = {"Monetary": "decimal(28,2)"}
+MONEY = RFM_MONEY
 CUSTOMER_COLS = ["CustomerID", "Frequency", "Monetary", "Recency", "Cluster", "Segment"]
 PRODUCT_COLS = ["Description", *FE.PRODUCT_FEATURES, "Cluster", "Segment"]
 

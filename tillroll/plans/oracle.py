@@ -370,12 +370,20 @@ def kmeans_ctes(t: str, feats: list[str], k: int = 4, n_init: int = 10, max_iter
 
     floor_mean = "[" + ", ".join(f"CAST((sum({c}) - ((sum({c}) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)" for c in zc) + "]"
     moved = ", ".join(f"coalesce(any_value(m) FILTER (WHERE cid = {j}), centres[{j + 1}])" for j in range(k))
+    won = "-ln((CAST('0x' || substring(md5(s || ':{j}:' || id), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) / d"
+    seeds = [(f"seed1_{t}", f"""
+  SELECT s, [p] AS centres FROM (SELECT s, {point} AS p, row_number() OVER (PARTITION BY s ORDER BY md5(s || ':0:' || id), id) AS rn
+                                 FROM z_{t}, (SELECT unnest(range({n_init})) AS s)) WHERE rn = 1""")]
+    for j in range(1, k):
+        nearest = "least(" + ", ".join(distance(i, "q.centres") for i in range(j)) + ")"
+        seeds.append((f"seed{j + 1}_{t}", f"""
+  SELECT s, list_append(centres, p) AS centres FROM (
+    SELECT s, centres, p, row_number() OVER (PARTITION BY s ORDER BY {won.format(j=j)}, id) AS rn
+    FROM (SELECT q.s, q.centres, z.id, {point} AS p, {nearest} AS d FROM seed{j}_{t} q, z_{t} z) WHERE d > 0) WHERE rn = 1"""))
     return [
-        (f"first_{t}", f"""
-  SELECT s, {point} AS p, min(md5(s || ':' || id)) AS o FROM z_{t}, (SELECT unnest(range({n_init})) AS s) GROUP BY s, {cols}"""),
+        *seeds,
         (f"lloyd_{t}", f"""
-  SELECT s, 0 AS it, list(p ORDER BY o) AS centres, false AS done
-  FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY o) AS rn FROM first_{t}) WHERE rn <= {k} GROUP BY s
+  SELECT s, 0 AS it, centres, false AS done FROM seed{k}_{t}
   UNION ALL
   SELECT s, it + 1, nc, nc = centres FROM (
     SELECT s, it, centres, [{moved}] AS nc FROM (

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tillroll.session import path_exists, shared_root
 
 #: Raise when the jobs compute or lay out anything differently.
-JOBS = 2
+JOBS = 3
 INPUTS = ("lineitem", "orders", "part", "customer", "nation")
 
 
