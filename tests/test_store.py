@@ -69,3 +69,44 @@ def test_invalid_segment_is_an_error(spark):
     with pytest.raises(ValueError, match="Premium"):
         products_of_segment(spark, products, "Gold")
     assert {r.Segment for r in products_of_segment(spark, products, "Budget").collect()} <= {"Budget"}
+
+
+def _scanned(df):
+    """Rows that the scans of an executed plan have read."""
+    rows = df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return rows, sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_lookup_skips_row_groups_and_pages(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from tillroll.sources.store import write
+    n = 200_000
+    table = spark.range(n).select(F.sha2(F.col("id").cast("string"), 256).alias("CustomerID"), "id", F.repeat(F.lit("x"), 50).alias("pad")).repartition(4)
+    small = {"parquet.block.size": str(1 << 20)}
+    write(table, str(tmp_path / "plain"), None, **small)
+    write(table, str(tmp_path / "laid"), "CustomerID", **small)
+    known = table.filter("id = 123456").first()["CustomerID"]
+    for where, most in (("plain", n), ("laid", n // 8)):
+        stored = spark.read.parquet(str(tmp_path / where))
+        rows, scanned = _scanned(stored.filter(F.col("CustomerID") == known))
+        assert [r.id for r in rows] == [123456] and 0 < scanned <= most, (where, scanned)
+        if where == "plain":
+            assert scanned > n // 8  # unsorted: every row group may hold the id
+    rows, scanned = _scanned(stored.filter(F.col("CustomerID") == known[:-1] + "!"))  # within the range, in no Bloom filter
+    assert rows == [] and scanned == 0
+    assert sorted(stored.select("id").toPandas()["id"]) == list(range(n))
+
+
+def test_single_lookup_equals_the_batch(spark):
+    from pyspark.sql import functions as F
+    from tillroll.operators import segments as G
+    from tillroll.plans import catalog as C
+    from conftest import SF0001
+    customers, _ = C.customers_segmented(spark, SF0001)
+    one = customers.orderBy("CustomerID").first()["CustomerID"]
+    got = G.customer_by_id(spark, customers, one)
+    assert "PushedFilters: [IsNotNull(CustomerID), EqualTo(CustomerID," in got._jdf.queryExecution().executedPlan().toString()
+    batch = G.customer_lookup(spark, customers, spark.createDataFrame([(one,), ("nobody",)], "customer_id string"))
+    assert got.collect() == batch.collect() and len(got.collect()) == 1
+    assert G.customer_by_id(spark, customers, "nobody").count() == 0

@@ -151,12 +151,19 @@ def products_of_segment(spark: SparkSession, products: DataFrame, segment: str,
     return products_by_segment(spark, products.filter(F.col("Segment") == segment), limit)
 
 
+def customer_by_id(spark: SparkSession, customers: DataFrame, customer_id: str) -> DataFrame:
+    """Q2/F10 for one customer: an equality that the scan of the stored table prunes files, row groups and pages by.  An unknown id gives no row."""
+    return _looked_up(spark, customers.filter(F.col("CustomerID") == str(customer_id)))
+
+
 def customer_lookup(spark: SparkSession, customers: DataFrame, ids: DataFrame) -> DataFrame:
     """Q2 in batch form: ``ids(customer_id)`` semi-joined to the segmented
     customers by text equality (unknown ids give no row)."""
+    return _looked_up(spark, customers.join(ids.select(F.col("customer_id").cast("string").alias("CustomerID")).distinct(), "CustomerID"))
+
+
+def _looked_up(spark: SparkSession, hit: DataFrame) -> DataFrame:
     dim = F.broadcast(dims.segment_dim(spark, "customer").select("Segment", "action"))
-    hit = customers.join(ids.select(F.col("customer_id").cast("string").alias("CustomerID")).distinct(),
-                         "CustomerID")
     return (hit.join(dim, "Segment", "left")
             .select(F.col("CustomerID").alias("customer_id"),
                     F.coalesce("Segment", F.lit("Unknown")).alias("segment"),

@@ -368,7 +368,7 @@ def _stored_segments(spark, sf_dir, kind, job) -> tuple[DataFrame, K.FixedKMeans
         model.save(spark, path)
         return seg
 
-    seg = store.table(f"{kind}s", run)
+    seg = store.table(f"{kind}s", run, by={"customer": "CustomerID", "product": "Description"}[kind])
     return seg, K.FixedKMeansModel.load(spark, path)
 
 
