@@ -27,11 +27,30 @@ def build_rfm(clean_rfm: DataFrame) -> DataFrame:
     The per-customer aggregate is checkpointed once; the reference date (a
     scalar subquery) and the output both read it instead of scanning and
     joining the lines twice."""
-    per_customer = materialize(clean_rfm.groupBy("CustomerID").agg(
+    return _rfm(clean_rfm.groupBy("CustomerID").agg(
         F.max("InvoiceDate").alias("LastPurchase"),
         F.count_distinct("InvoiceNo").alias("Frequency"),
         F.sum("TotalPrice").cast("double").alias("Monetary"),
     ))
+
+
+def rfm_partials(clean_rfm: DataFrame) -> DataFrame:
+    """What A1 needs of some of the lines: (CustomerID, InvoiceNo, last, amount); partials of several parts merge to those of all."""
+    return clean_rfm.groupBy("CustomerID", "InvoiceNo").agg(F.max("InvoiceDate").alias("last"), F.sum("TotalPrice").alias("amount"))
+
+
+def merged_rfm_partials(partials: DataFrame) -> DataFrame:
+    return partials.groupBy("CustomerID", "InvoiceNo").agg(F.max("last").alias("last"), F.sum("amount").cast(partials.schema["amount"].dataType).alias("amount"))
+
+
+def rfm_of_partials(partials: DataFrame) -> DataFrame:
+    """``build_rfm`` from partials: an invoice whose lines lie in several parts counts once."""
+    return _rfm(merged_rfm_partials(partials).groupBy("CustomerID").agg(
+        F.max("last").alias("LastPurchase"), F.count("InvoiceNo").alias("Frequency"), F.sum("amount").cast("double").alias("Monetary")))
+
+
+def _rfm(per_customer: DataFrame) -> DataFrame:
+    per_customer = materialize(per_customer)
     ref_date = per_customer.select(F.max("LastPurchase")).scalar() + F.expr("INTERVAL 1 DAY")
     return per_customer.select(
         "CustomerID", "Frequency", "Monetary",
@@ -49,7 +68,12 @@ def reference_date(clean_rfm: DataFrame) -> DataFrame:
 
 
 def product_aggregates(clean_product: DataFrame) -> DataFrame:
-    """A2: per-Description features before the outlier and activity filters.
+    """A2: per-Description features before the outlier and activity filters."""
+    return _product_totals(product_partials(clean_product))
+
+
+def product_partials(clean_product: DataFrame) -> DataFrame:
+    """What A2 needs of some of the lines: sums by (Description, tag, key); partials of several parts merge to those of all.
 
     The two distinct counts share one shuffle: a line gives a row keyed by its invoice (with the
     sums) and one keyed by its customer; equal keys merge before they are counted.
@@ -59,9 +83,17 @@ def product_aggregates(clean_product: DataFrame) -> DataFrame:
     by_customer = F.struct(F.lit("c").alias("tag"), F.col("CustomerID").alias("key"), zero("UnitPrice").alias("UnitPrice"),
                            zero("Quantity").alias("Quantity"), zero("TotalRevenue").alias("TotalRevenue"))
     tagged = clean_product.select("Description", F.explode(F.array(by_invoice, by_customer)).alias("r")).select("Description", "r.*")
-    merged = tagged.groupBy("Description", "tag", "key").agg(
+    return tagged.groupBy("Description", "tag", "key").agg(
         F.sum("UnitPrice").alias("price"), F.count("UnitPrice").alias("prices"), F.sum("Quantity").alias("quantity"),
         F.sum("TotalRevenue").alias("revenue"))
+
+
+def merged_product_partials(partials: DataFrame) -> DataFrame:
+    sums = [F.sum(c).cast(partials.schema[c].dataType).alias(c) for c in ("price", "prices", "quantity", "revenue")]
+    return partials.groupBy("Description", "tag", "key").agg(*sums)
+
+
+def _product_totals(merged: DataFrame) -> DataFrame:
     present = F.col("key").isNotNull()
     return merged.groupBy("Description").agg(
         (F.sum("price").cast("double") / F.sum("prices")).alias("avg_price"),
@@ -83,7 +115,16 @@ def build_product_features(clean_product: DataFrame, revenue_quantile: float = 0
     ``percentile_approx`` instead.  The per-product table is written once: the
     cap and the filter both read it, instead of aggregating all lines twice.
     """
-    agg = materialize(product_aggregates(clean_product))
+    return _active_below_cap(product_aggregates(clean_product), revenue_quantile, min_transactions, exact_cap)
+
+
+def product_features_of_partials(partials: DataFrame, revenue_quantile: float = 0.99, min_transactions: int = 10, exact_cap: bool = True) -> DataFrame:
+    """``build_product_features`` from partials."""
+    return _active_below_cap(_product_totals(merged_product_partials(partials)), revenue_quantile, min_transactions, exact_cap)
+
+
+def _active_below_cap(agg: DataFrame, revenue_quantile: float, min_transactions: int, exact_cap: bool) -> DataFrame:
+    agg = materialize(agg)
     if exact_cap:
         cap = quantile_columns(agg, [], "total_revenue", {"cap": revenue_quantile}).select("cap").scalar()
     else:

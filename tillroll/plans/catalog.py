@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tillroll.operators import clean as C
 from tillroll.operators import features as FE
 from tillroll.session import checkpoint_root, materialize
+from tillroll.sources.increments import Increments
 from tillroll.sources.retail import read_extracts, read_transactions, retail_raw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,6 +154,29 @@ def q_product_describe(spark, sf_dir):
     return FE.describe(product_features(spark, sf_dir), FE.PRODUCT_FEATURES)
 
 
+def _refreshed(spark, sf_dir) -> Increments:
+    """The dirty lines land in three deliveries, so that invoices lie in several; the features follow after each."""
+    base = f"{checkpoint_root(spark)}/tables/increments-{uuid.uuid4().hex}"
+    raw = retail_raw(spark, sf_dir, dirty=True)
+    kept = Increments(spark, f"{base}/landing", f"{base}/partials", lambda paths: spark.read.schema(raw.schema).parquet(*paths))
+    for k in range(3):
+        raw.filter(F.pmod(F.col("StockCode").cast("bigint"), F.lit(3)) == k).write.mode("append").parquet(f"{base}/landing")
+        kept.refresh()
+    return kept
+
+
+@query("rfm_incremental")
+def q_rfm_incremental(spark, sf_dir):
+    return _refreshed(spark, sf_dir).rfm()
+
+
+@query("product_features_incremental")
+def q_product_features_incremental(spark, sf_dir):
+    kept = _refreshed(spark, sf_dir)
+    kept.compact()
+    return kept.product_features()
+
+
 # ------------------------------------------------------------------ baskets --
 from dataclasses import dataclass  # noqa: E402
 

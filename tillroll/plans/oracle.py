@@ -203,6 +203,8 @@ SELECT max(InvoiceDate) AS last_invoice, max(InvoiceDate) + INTERVAL 1 DAY AS re
 oracle("rfm_describe", with_(*rfm_ctes()) + describe_sql("rfm", ["Recency", "Frequency", "Monetary"]))
 oracle("product_features", with_(*product_features_ctes()) + "SELECT * FROM product_features")
 oracle("product_features_dirty", with_(*product_features_ctes(dirty=True)) + "SELECT * FROM product_features")
+oracle("rfm_incremental", ORACLE["rfm_dirty"])
+oracle("product_features_incremental", ORACLE["product_features_dirty"])
 oracle("product_describe", with_(*product_features_ctes()) + describe_sql(
     "product_features", ["avg_price", "total_quantity", "num_transactions", "num_customers", "total_revenue"]))
 
