@@ -363,6 +363,7 @@ def q_scatter_rules(spark, sf_dir):
 from tillroll.operators import kmeans as K  # noqa: E402
 from tillroll.operators import scaling as S  # noqa: E402
 from tillroll.operators import segments as G  # noqa: E402
+from tillroll.operators import silhouette as SI  # noqa: E402
 from tillroll.sources.tables import read_csv, row_counts, table, write_table  # noqa: E402
 
 K_FINAL = 4          # reference FINAL_K
@@ -627,6 +628,20 @@ def q_trained_invariants(spark, sf_dir):
     return out[0].unionByName(out[1])
 
 
+SILHOUETTE_SAMPLE = 1000
+
+
+@query("segment_silhouette")
+def q_segment_silhouette(spark, sf_dir):
+    """M6 of the served models: Euclidean beside squared, on the same sample of scaled rows."""
+    out = []
+    for kind, (seg, model), id_col, features in (("customer", customers_segmented(spark, sf_dir), "CustomerID", FE.RFM_FEATURES),
+                                                 ("product", products_segmented(spark, sf_dir), "Description", FE.PRODUCT_FEATURES)):
+        found = SI.silhouettes(model.scaler.transform(seg), id_col, [f"z_{f}_milli" for f in features], sample=SILHOUETTE_SAMPLE)
+        out.append(found.select(F.lit(kind).alias("kind"), "n_rows", "n_sampled", F.round("euclidean", 6).alias("euclidean"), F.round("squared", 6).alias("squared")))
+    return out[0].unionByName(out[1])
+
+
 @query("k_sweep_customers")
 def q_k_sweep_customers(spark, sf_dir):
     return K.k_sweep(materialize(rfm(spark, sf_dir)), FE.RFM_FEATURES)

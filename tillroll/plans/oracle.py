@@ -481,6 +481,22 @@ oracle("scaled_rfm", with_(*rfm_ctes(), *scaled_ctes("rfm", "CustomerID", RFM_F,
 oracle("scaled_products", with_(*product_features_ctes(), *scaled_ctes("product_features", "Description", PROD_F, "p")) +
        "SELECT id AS Description, " + ", ".join(f"z_{f}" for f in PROD_F) + ", " +
        ", ".join(f"z_{f}_milli" for f in PROD_F) + " FROM z_p")
+def _silhouette_sql(kind: str, t: str, feats: list[str], sample: int = 1000) -> str:
+    squared = " + ".join(f"CAST((a.z_{f}_milli - b.z_{f}_milli) * (a.z_{f}_milli - b.z_{f}_milli) AS DOUBLE)" for f in feats)
+    form = lambda d: f"""(SELECT avg(CASE WHEN n = 1 OR greatest(inside, outside) = 0 THEN 0.0 ELSE (outside - inside) / greatest(inside, outside) END) FROM (
+    SELECT id, any_value(n) AS n, sum(total) FILTER (WHERE own) / greatest(1, any_value(n) - 1) AS inside, min(total / m) FILTER (WHERE NOT own) AS outside FROM (
+      SELECT a.id, a.Cluster = b.Cluster AS own, (SELECT count(*) FROM taken_{t} x WHERE x.Cluster = a.Cluster) AS n, count(*) AS m, sum({d}) AS total
+      FROM taken_{t} a, taken_{t} b GROUP BY a.id, a.Cluster, b.Cluster) GROUP BY id))"""
+    return f"""
+SELECT '{kind}' AS kind, (SELECT count(*) FROM z_{t}) AS n_rows, (SELECT count(*) FROM taken_{t}) AS n_sampled,
+       round({form(f'sqrt({squared})')}, 6) AS euclidean, round({form(squared)}, 6) AS squared"""
+
+
+def _taken(t: str, sample: int = 1000) -> tuple[str, str]:
+    return f"taken_{t}", f"SELECT z.*, Cluster FROM z_{t} z JOIN assigned_{t} USING (id) ORDER BY md5(id), id LIMIT {sample}"
+
+
+oracle("segment_silhouette", with_(*CS, *PS, _taken("c"), _taken("p")) + _silhouette_sql("customer", "c", RFM_F) + " UNION ALL " + _silhouette_sql("product", "p", PROD_F))
 oracle("kmeans_fixed_customers", with_(*CS) + "SELECT * FROM cust_seg")
 oracle("kmeans_fixed_products", with_(*PS) + "SELECT * FROM prod_seg")
 
