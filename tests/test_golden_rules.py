@@ -34,3 +34,9 @@ def test_published_pair(spark):
         assert abs(r.support - s) < 1e-15
         assert abs(r.confidence - conf) < 1e-15
         assert abs(r.lift - lift) < 1e-12
+
+
+def test_display_rounding_is_half_even(spark):
+    from tillroll.operators.rules import round_half_even
+    rows = spark.createDataFrame([(0.125,), (0.375,), (2.5,), (0.0625,), (0.3,)], "x double").select("x", round_half_even("x", 2).alias("r"), round_half_even("x", 0).alias("w")).collect()
+    assert [(r.r, r.w) for r in rows] == [(round(r.x, 2), round(r.x, 0)) for r in rows]

@@ -66,11 +66,11 @@ def top_single_items(itemsets: DataFrame, n: int = 15) -> DataFrame:
             .orderBy(F.desc("support"), F.asc("item")).limit(n))
 
 
-def round_half_up(c: Column | str, digits: int) -> Column:
-    """Display rounding as plain arithmetic (identical in every engine)."""
+def round_half_even(c: Column | str, digits: int) -> Column:
+    """Display rounding, ties to the even digit, as plain arithmetic (identical in every engine)."""
     col = F.col(c) if isinstance(c, str) else c
     scale = 10.0 ** digits
-    return F.floor(col * scale + 0.5) / scale
+    return F.rint(col * scale) / scale
 
 
 def recommend(rules: DataFrame, product: str, top_n: int = 5, literal: bool = False) -> DataFrame:
@@ -84,15 +84,15 @@ def recommend(rules: DataFrame, product: str, top_n: int = 5, literal: bool = Fa
         F.lit(product).alias("product"),
         rank.alias("rank"),
         F.col("consequents_str").alias("recommended_product"),
-        round_half_up("confidence", 3).alias("confidence"),
-        round_half_up("lift", 3).alias("lift"),
-        round_half_up("support", 4).alias("support"),
+        round_half_even("confidence", 3).alias("confidence"),
+        round_half_even("lift", 3).alias("lift"),
+        round_half_even("support", 4).alias("support"),
         _interpretation().alias("interpretation"))
 
 
 def _interpretation() -> Column:
     return F.concat(F.lit("Customers who buy '"), F.col("antecedents_str"), F.lit("' are "),
-                    round_half_up("lift", 1).cast("string"), F.lit("x more likely to also buy '"),
+                    round_half_even("lift", 1).cast("string"), F.lit("x more likely to also buy '"),
                     F.col("consequents_str"), F.lit("'"))
 
 

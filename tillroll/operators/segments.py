@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions import dims
 from tillroll.operators.quantiles import quantile_columns
-from tillroll.operators.rules import round_half_up, rule_order
+from tillroll.operators.rules import round_half_even, rule_order
 from tillroll.session import materialize
 
 
@@ -24,7 +24,7 @@ def segment_counts(seg: DataFrame, segment_col: str = "Segment") -> DataFrame:
     total = seg.select(F.count(F.lit(1))).scalar()
     counts = seg.filter(F.col(segment_col).isNotNull()).groupBy(segment_col).agg(F.count(F.lit(1)).alias("count"))
     return counts.select(segment_col, "count",
-                         round_half_up(F.col("count") / total * 100, 1).alias("percentage"),
+                         round_half_even(F.col("count") / total * 100, 1).alias("percentage"),
                          total.alias("total"))
 
 
@@ -43,7 +43,7 @@ def segment_distribution(spark: SparkSession, seg: DataFrame, kind: str) -> Data
     return (dim.join(counts, "Segment", "left")
             .select(F.lit(kind).alias("kind"), "Segment", "seg_order",
                     F.coalesce("n", F.lit(0)).cast("bigint").alias("count"),
-                    round_half_up(F.coalesce("n", F.lit(0)) / total * 100, 1).alias("percentage")))
+                    round_half_even(F.coalesce("n", F.lit(0)) / total * 100, 1).alias("percentage")))
 
 
 def _grid(c):
@@ -70,7 +70,7 @@ def segment_profile(seg: DataFrame, features: list[str], invert: tuple[str, ...]
         norm = (m - lo) / F.when(hi - lo != 0, hi - lo)
         if f in invert:
             norm = F.lit(1.0) - norm
-        cols += [round_half_up(m, 2).alias(f"mean_{f}"), norm.alias(f"norm_{f}")]
+        cols += [round_half_even(m, 2).alias(f"mean_{f}"), norm.alias(f"norm_{f}")]
     return means.select(*cols)
 
 
@@ -167,9 +167,9 @@ def _looked_up(spark: SparkSession, hit: DataFrame) -> DataFrame:
     return (hit.join(dim, "Segment", "left")
             .select(F.col("CustomerID").alias("customer_id"),
                     F.coalesce("Segment", F.lit("Unknown")).alias("segment"),
-                    round_half_up(F.col("Recency").cast("double"), 2).alias("recency"),
+                    round_half_even(F.col("Recency").cast("double"), 2).alias("recency"),
                     F.col("Frequency").cast("bigint").alias("frequency"),
-                    round_half_up("Monetary", 2).alias("monetary"),
+                    round_half_even("Monetary", 2).alias("monetary"),
                     F.coalesce("action", F.lit("")).alias("marketing_action")))
 
 
@@ -201,9 +201,9 @@ def overview_kpis(customers: DataFrame, products: DataFrame, rules: DataFrame) -
     spark = customers.sparkSession
     return spark.range(1).select(
         n.alias("total_customers"),
-        round_half_up(rev.cast("double"), 2).alias("total_revenue_gbp"),
-        round_half_up(rev.cast("double") / n, 2).alias("avg_order_value"),
-        round_half_up(rev.cast("double") / inv, 2).alias("avg_invoice_value"),
+        round_half_even(rev.cast("double"), 2).alias("total_revenue_gbp"),
+        round_half_even(rev.cast("double") / n, 2).alias("avg_order_value"),
+        round_half_even(rev.cast("double") / inv, 2).alias("avg_invoice_value"),
         products.select(F.count(F.lit(1))).scalar().alias("total_products"),
         rules.select(F.count(F.lit(1))).scalar().alias("total_rules"))
 

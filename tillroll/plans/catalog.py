@@ -438,7 +438,7 @@ def _means_long(seg, kind, features, exact=None):
     body = ", ".join(f"'{f}', mean_{f}" for f in features)
     return m.selectExpr(f"'{kind}' AS kind", "Cluster", "Segment", "n",
                         f"stack({len(features)}, {body}) AS (feature, mean)") \
-            .withColumn("mean", R.round_half_up("mean", 2))
+            .withColumn("mean", R.round_half_even("mean", 2))
 
 
 @query("cluster_means")

@@ -275,9 +275,9 @@ ORDER = "lift DESC, antecedents_str, consequents_str"
 
 
 def hu(expr: str, digits: int) -> str:
-    """Half-up display rounding written as arithmetic (same as the Spark side)."""
+    """Display rounding, ties to the even digit, on the scaled value."""
     s = f"{10.0 ** digits!r}"
-    return f"(floor({expr} * {s} + 0.5) / {s})"
+    return f"(round_even(CAST({expr} AS DOUBLE) * {s}, 0) / {s})"
 
 
 oracle("item_frequency", with_(*MC) + "SELECT item, n_baskets FROM item_freq_c")
