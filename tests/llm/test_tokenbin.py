@@ -31,7 +31,6 @@ def test_planes_are_smaller_than_plain_ids():
 def test_files_hold_all_ids_in_order(spark, planes, chunk_ids):
     rows = edge_rows()
     own = Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
     chunks, index = tokenbin.write_tokens(documents(spark, rows), RunFolder(spark, "test"), PATH, 2, planes=planes, chunk_ids=chunk_ids)
     got = sorted(tokenbin.read_tokens(chunks, index).collect(), key=lambda r: r.start)
     assert len(got) == len(rows)
@@ -61,7 +60,6 @@ def hard_texts():
 
 def test_words_equal_the_library_on_hard_texts():
     own = Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
     texts = hard_texts()
     tokenbin.words.cache_clear()
     for text, got in zip(texts, tokenbin.words(PATH).encode_all([t.encode() for t in texts])):
@@ -73,7 +71,6 @@ def test_words_with_full_memory_and_long_texts(monkeypatch):
     monkeypatch.setattr(chunks, "PART", 17)
     monkeypatch.setattr(chunks, "REMEMBER", 20)
     own = Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
     text = edge_rows()[12][1] + " ΣΑΣ É é\u3000x \u0301y <|endoftext|> İ"
     tokenbin.words.cache_clear()
     assert np.frombuffer(tokenbin.words(PATH).encode_all([b"", text.encode(), b"a b"])[1], "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
@@ -81,3 +78,12 @@ def test_words_with_full_memory_and_long_texts(monkeypatch):
 
 def test_empty_table(spark):
     assert tokenbin.token_table(spark, documents(spark, []), PATH, 2).count() == 0
+
+
+def test_strings_of_added_tokens_are_encoded_as_the_plain_call_does(spark):
+    own = Tokenizer.from_file(PATH)
+    texts = ["x <|endoftext|> y", "<|startoftext|>", "<|ENDOFTEXT|> z", "a<|endoftext|>b <| |>", "<|endoftext", "no < such > é<|endoftext|>中"]
+    got = tokenbin.words(PATH).encode_all([t.encode() for t in texts])
+    for t, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u4").tolist() == own.encode(t, add_special_tokens=False).ids, t
+    assert 49407 in np.frombuffer(got[0], "<u4")

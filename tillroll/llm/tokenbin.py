@@ -73,15 +73,34 @@ def unpack(chunk: bytes) -> np.ndarray:
     return out
 
 
+class Words:
+    """Encoder of a word vocabulary (lower case, blanks dropped), with the ids of the library's plain call.
+
+    A text that holds the string of an added token, whatever its case, goes whole through the library, which makes it one id."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.plain = Tokenizer.from_file(path)
+        self.added = [t.content.lower().encode() for t in self.plain.get_added_tokens_decoder().values()]
+        self.first = {c for t in self.added for c in (t[:1], t[:1].upper())}
+        by_chunk = Tokenizer.from_file(path)
+        by_chunk.encode_special_tokens = True
+        self.chunks = ChunkEncoder(by_chunk, _WORD, _SPLIT, fold=True)
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        special = {k for k, x in enumerate(texts) if any(c in x for c in self.first) and any(t in x.lower() for t in self.added)}
+        out = self.chunks.encode_all([b"" if k in special else x for k, x in enumerate(texts)])
+        for k in special:
+            out[k] = np.array(self.plain.encode(texts[k].decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+
 @lru_cache(maxsize=2)
-def words(path: str) -> ChunkEncoder:
-    """Encoder of a word vocabulary (lower case, blanks dropped): one a Python worker and file."""
+def words(path: str) -> Words:
+    """One encoder a Python worker and file."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-    return ChunkEncoder(tokenizer, _WORD, _SPLIT, fold=True)
+    return Words(path)
 
 
 def write_tokens(docs: DataFrame, folder: RunFolder, tokenizer: str, end_id: int, text: str = "text", doc_id: str = "doc_id",
