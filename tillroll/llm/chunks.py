@@ -32,14 +32,14 @@ _CHARS = dict(enumerate(byte_chars()))
 
 
 class Memory:
-    """Ids of distinct strings, made by ``make`` and remembered."""
+    """Ids of distinct strings, made by ``make`` and remembered (``limit``: how many, ``REMEMBER`` if None)."""
 
-    def __init__(self, make):
-        self.make, self.known = make, {}
+    def __init__(self, make, limit: int | None = None):
+        self.make, self.known, self.limit = make, {}, limit
 
     def learn(self, used: set[str]) -> None:
-        new = used - self.known.keys()
-        if len(self.known) + len(new) > REMEMBER:
+        new = {x for x in used if x not in self.known}
+        if len(self.known) + len(new) > (self.limit or REMEMBER):
             self.known = {x: self.known[x] for x in used - new}
         known, make = self.known, self.make
         for x in new:
@@ -58,11 +58,11 @@ def _is_latin(text: str) -> bool:
 
 
 class ChunkEncoder:
-    """``tokenizer``: of the library; ``chunk`` and ``split``: patterns of chunks and, for Latin-1, of pieces; ``fold``: lower case first."""
+    """``tokenizer``: of the library; ``chunk`` and ``split``: patterns of chunks and, for Latin-1, of pieces; ``fold``: lower case first; ``limit``: of the pieces' memory."""
 
-    def __init__(self, tokenizer, chunk: re.Pattern, split: re.Pattern, fold: bool = False):
+    def __init__(self, tokenizer, chunk: re.Pattern, split: re.Pattern, fold: bool = False, limit: int | None = None):
         self.tokenizer, self.model, self.chunk, self.split, self.fold = tokenizer, tokenizer.model, chunk, split, fold
-        self.pieces, self.chunks = Memory(self._piece), Memory(self._chunk)
+        self.pieces, self.chunks = Memory(self._piece, limit), Memory(self._chunk)
 
     def _piece(self, piece: str) -> bytes:
         if not (piece.isascii() and piece.isalnum()):

@@ -73,6 +73,10 @@ def unpack(chunk: bytes) -> np.ndarray:
     return out
 
 
+#: Distinct pieces that a worker remembers, some 100 MB.
+REMEMBER = 1 << 19
+
+
 class Words:
     """Encoder of a word vocabulary (lower case, blanks dropped), with the ids of the library's plain call.
 
@@ -86,7 +90,7 @@ class Words:
         self.first = {c for t in self.added for c in (t[:1], t[:1].upper())}
         by_chunk = Tokenizer.from_file(path)
         by_chunk.encode_special_tokens = True
-        self.chunks = ChunkEncoder(by_chunk, _WORD, _SPLIT, fold=True)
+        self.chunks = ChunkEncoder(by_chunk, _WORD, _SPLIT, fold=True, limit=REMEMBER)
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         special = {k for k, x in enumerate(texts) if any(c in x for c in self.first) and any(t in x.lower() for t in self.added)}
