@@ -9,8 +9,8 @@ Dictionary suffixes.  What is left, the novel text, is each phrase in its least
 strings are equal or not at that depth.  Candidates are found by anchors: of the k-mers in a ``LENGTH``-byte string the one with the least
 hash; equal strings have equal anchors at equal places.  Anchors that occur in one document only
 are dropped.  For the others the run of strings that share the anchor is the context; equal contexts are one entry again, and only where
-contexts of an anchor agree on one side far enough to share a string are the suffixes themselves (cut at ``LENGTH`` bytes) put in order and given their
-least document.
+contexts of an anchor agree on one side far enough to share a string are the suffixes themselves (cut at ``LENGTH`` bytes) grouped by hash and given their
+least document.  No suffix array is built; the grouping stands in for its order.
 
 All grouping is by partial aggregation and joins on bytes (phrases and suffixes: 128-bit hashes), so a passage that a third of
 all documents share is one entry, and no task gathers its occurrences.
