@@ -32,7 +32,8 @@ LENGTH, KMER, PHRASE = 50, 20, 256
 TABLE_BITS = 1 << 26
 #: Offsets of an anchor in a string that are told apart together before strings are formed.
 BLOCK = 8
-_STEP = 1 << 20
+#: Bytes that are hashed at a time: the arrays stay in a processor's cache.
+_STEP = 1 << 15
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _POS = np.uint64((1 << 21) - 1)
@@ -165,45 +166,36 @@ def _listed(table: np.ndarray, ah: np.ndarray) -> np.ndarray:
     return (table[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _anchors(table=None):
-    """(ah, doc) of every anchor in novel text or, given a bit table, (ah, rk, at) of those that it lists."""
+def _anchors(batches):
+    """(ah, doc) of every anchor in novel text."""
+    for batch in batches:
+        for part in slices(batch):
+            data, cuts = _arrays(part)
+            for _, ah, first, _ in anchor_runs(data, _novel(part, data, cuts)):
+                row = np.searchsorted(cuts, first, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(ah), part.column("doc").take(row)], ["ah", "doc"])
+
+
+def _contexts(table):
+    """The context of every run whose anchor the bit table lists: ah, ctx, rel (place of the anchor in it), and where it is."""
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 data, cuts = _arrays(part)
-                for pos, ah, first, _ in anchor_runs(data, _novel(part, data, cuts)):
-                    if table is not None:
-                        own = _listed(table.value, ah)
-                        pos, ah, first = pos[own], ah[own], first[own]
+                raw = memoryview(np.ascontiguousarray(data))
+                for pos, ah, first, last in anchor_runs(data, _novel(part, data, cuts)):
+                    own = _listed(table.value, ah)
+                    pos, ah, first, last = pos[own], ah[own], first[own], last[own]
+                    if not len(pos):
+                        continue
                     row = np.searchsorted(cuts, first, "right") - 1
-                    if table is not None:
-                        columns = [pa.array(ah), part.column("rk").take(row), pa.array((pos - cuts[row]).astype(np.int32))]
-                        yield pa.RecordBatch.from_arrays(columns, ["ah", "rk", "at"])
-                    else:
-                        yield pa.RecordBatch.from_arrays([pa.array(ah), part.column("doc").take(row)], ["ah", "doc"])
+                    ctx = [bytes(raw[a:b + LENGTH]) for a, b in zip(first.tolist(), last.tolist())]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ah), pa.array(ctx, pa.binary()), pa.array((pos - first).astype(np.int32)), part.column("doc").take(row), part.column("rk").take(row),
+                         pa.array((first - cuts[row]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))], ["ah", "ctx", "rel", "doc", "rk", "at", "n"])
     return run
 
 
-def _contexts(batches):
-    """The context of every run whose anchor is a candidate: ah, ctx, rel (place of the anchor in it), and where it is."""
-    for batch in batches:
-        for part in slices(batch):
-            data, cuts = _arrays(part)
-            raw = memoryview(np.ascontiguousarray(data))
-            lists = part.column("places")
-            wanted = lists.flatten().to_numpy() + np.repeat(cuts[:-1], np.diff(lists.offsets.to_numpy()))
-            for pos, ah, first, last in anchor_runs(data, _novel(part, data, cuts)):
-                own = np.isin(pos, wanted)
-                pos, ah, first, last = pos[own], ah[own], first[own], last[own]
-                if not len(pos):
-                    continue
-                row = np.searchsorted(cuts, first, "right") - 1
-                ctx = [bytes(raw[a:b + LENGTH]) for a, b in zip(first.tolist(), last.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ah), pa.array(ctx, pa.binary()), pa.array((pos - first).astype(np.int32)), part.column("doc").take(row), part.column("rk").take(row),
-                     pa.array((first - cuts[row]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))], ["ah", "ctx", "rel", "doc", "rk", "at", "n"])
-
-
 def merged(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte runs (start, end) that strings starting in [at, at + n) cover, merged."""
     if not len(at):
@@ -262,14 +254,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     run.drop("dictionary")
 
     # Anchors of novel text in several documents, and the contexts around them.
-    shared = novel.select("doc", "text", "copies").mapInArrow(_anchors(), "ah long, doc long").groupBy("ah").agg(F.min("doc").alias("a"), F.max("doc").alias("z"))
+    shared = novel.select("doc", "text", "copies").mapInArrow(_anchors, "ah long, doc long").groupBy("ah").agg(F.min("doc").alias("a"), F.max("doc").alias("z"))
     shared = run.write(shared.where("a < z").select("ah"), "shared")
     table = docs.sparkSession.sparkContext.broadcast(_bit_table(shared))
-    places = novel.select("rk", "text", "copies").mapInArrow(_anchors(table), "ah long, rk long, at int").join(shared, "ah", "left_semi")
-    places = run.write(places.groupBy("rk").agg(F.collect_set("at").alias("places")), "places")  # at most a document's anchors
-    contexts = novel.select("doc", "rk", "text", "copies").join(places, "rk").mapInArrow(_contexts, "ah long, ctx binary, rel int, doc long, rk long, at int, n int")
-    contexts = run.write(contexts, "contexts")
-    run.drop("places")
+    contexts = novel.select("doc", "rk", "text", "copies").mapInArrow(_contexts(table), "ah long, ctx binary, rel int, doc long, rk long, at int, n int")
+    contexts = run.write(contexts.join(shared, "ah", "left_semi"), "contexts")
+    run.drop("shared")
     entries = contexts.groupBy(*key).agg(F.min("doc").alias("least"))
     entries = run.write(entries.withColumn("eid", F.monotonically_increasing_id()), "entries")
     placed = run.write(contexts.join(entries, key).select("eid", "least", "doc", "rk", "at", "n"), "placed")
