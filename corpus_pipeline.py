@@ -14,18 +14,26 @@ from tillroll.llm.common import RunFolder, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorisation machine rejects (score below 0.3) go."""
+    """Documents that the factorisation machine rejects (score below 0.3) go.
+
+    Null and empty texts are scored like any other, by their statistics; repeated rows get one score; without
+    labelled rows the model is constant, and an empty table stays empty."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.classify(docs, model).where("predicted = 1").select("row.*")
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays: the one with the least doc_id."""
+    """One document of each group of linked fingerprints stays: the one with the least doc_id.
+
+    Null, empty and blank texts have fingerprint zero and form one group; of rows with one id the one with the least
+    hash of its columns stays; a row without an id stays only where its group has no other."""
     return simhash.deduplicate(docs, shingle=3, radius=3)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go.
+
+    Null and empty texts have no words and stay, repeated rows share their fate, and without benchmark rows all stay."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select("row.*")
 
 
@@ -41,11 +49,16 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the check that they decode to its text."""
+    """The columns of documents with token_ids, n_tokens and round_trip (the ids decode to the text) behind them.
+
+    Null and empty texts have no ids; repeated rows are encoded each. An input column with the name of a result
+    (letter case aside) gives way to it."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     out = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern)
     whole = F.coalesce(F.col("row.text"), F.lit("")).cast("binary") == F.col("decoded")
-    return out.select("row.*", F.col("ids").alias("token_ids"), F.size("ids").cast("long").alias("n_tokens"), whole.alias("round_trip"))
+    new = [F.col("ids").alias("token_ids"), F.size("ids").cast("long").alias("n_tokens"), whole.alias("round_trip")]
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ("token_ids", "n_tokens", "round_trip")]
+    return out.select(*kept, *new)
 
 
 STAGES = [
