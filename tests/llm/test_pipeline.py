@@ -68,3 +68,11 @@ def test_whole_run(spark, docs):
     out = corpus_pipeline.run(spark, SF).collect()
     assert out and all(r.round_trip and r.n_tokens == len(r.token_ids) for r in out)
     assert len({r.doc_id for r in out}) == len(out) < docs.count()
+
+
+def test_last_stage_takes_columns_named_like_its_results(spark):
+    docs = documents(spark, edge_rows()).selectExpr("*", "7L as n_tokens", "'x' as Token_IDs", "false as round_trip")
+    out = corpus_pipeline.byte_bpe(spark, docs, SF)
+    assert out.columns == [*docs.columns[:-3], "token_ids", "n_tokens", "round_trip"]
+    got = out.collect()
+    assert len(got) == docs.count() and all(r.round_trip and r.n_tokens == len(r.token_ids) for r in got)

@@ -86,3 +86,9 @@ def test_components_of_paths_hubs_and_loops(spark):
     roots = {r.u: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long"), RunFolder(spark, "test")).collect()}
     assert all(roots[i] == 0 for i in range(1, 61)) and all(roots[1000 + i] == 1000 for i in range(1, 300)) and roots[5000] == 4999
     assert len(roots) == 60 + 299 + 1
+
+
+def test_deduplicate_decides_ties_by_the_rows_themselves(spark):
+    rows = [(1, "one text of some words", source) for source in "cab"] + [(1, "one text of some words", None), (2, "one text of some words", "a")]
+    kept = {tuple(simhash.deduplicate(spark.createDataFrame(own, "doc_id long, text string, source string").coalesce(1)).collect()) for own in (rows, rows[::-1], rows[2:] + rows[:2])}
+    assert len(kept) == 1 and len(next(iter(kept))) == 1 and next(iter(kept))[0].doc_id == 1

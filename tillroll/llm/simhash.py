@@ -190,7 +190,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, radius: int = 3) -> DataFrame:
     """One row of each group, with the columns of ``docs``: the row with the least doc_id.
 
-    Among rows without an id, and among repeated rows with that id, one stays; a row
+    Among rows without an id, and among rows with that id, the one with the least hash of
+    all its columns stays, whatever the input's order; rows that are equal in all columns are one. A row
     without an id stays only where no row of its group has one.
     """
     found = near_duplicates(docs, text, doc_id, shingle, radius)
@@ -198,4 +199,5 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     keep = found.groupBy("root").agg(best).select(F.col("best.doc_id").alias("keep_id"), F.col("best.fp").alias("keep_fp"))
     rows = fingerprints(docs, text, shingle).select("row", "fp", F.col("row")[doc_id].alias("id"))
     rows = rows.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("fp") == F.col("keep_fp")), "left_semi")
-    return rows.dropDuplicates(["id", "fp"]).select("row.*")
+    rows = rows.withColumn("tie", F.to_json("row")).withColumn("tie", F.struct(F.xxhash64("tie").alias("a"), F.xxhash64(F.lit(1), "tie").alias("b")))
+    return rows.groupBy("id", "fp").agg(F.min_by("row", "tie").alias("row")).select("row.*")
