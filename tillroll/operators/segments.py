@@ -241,19 +241,30 @@ def campaign_targets(spark: SparkSession, customers: DataFrame) -> DataFrame:
                     customers.select(F.count(F.lit(1))).scalar().alias("addressable_audience")))
 
 
-def _maybe_sample(df: DataFrame, fraction: float | None, seed: int) -> DataFrame:
-    return df if fraction is None else df.sample(fraction=fraction, seed=seed)
+def scatter_customers(customers: DataFrame) -> DataFrame:
+    """(Recency, Frequency, Monetary, Segment) points, all of them."""
+    return customers.select("CustomerID", "Recency", "Frequency", "Monetary", "Segment")
 
 
-def scatter_customers(customers: DataFrame, fraction: float | None = None, seed: int = 42) -> DataFrame:
-    """(Recency, Frequency, Monetary, Segment) points; ``fraction`` draws a
-    Bernoulli sample for plotting very large tables (whole table by default)."""
-    return _maybe_sample(customers.select("CustomerID", "Recency", "Frequency", "Monetary", "Segment"),
-                         fraction, seed)
+def scatter_products(products: DataFrame) -> DataFrame:
+    """(avg_price, revenue in thousands, Segment) points, all of them."""
+    return products.select("Description", "avg_price", (F.col("total_revenue") / 1000).alias("revenue_k"), "Segment")
 
 
-def scatter_products(products: DataFrame, fraction: float | None = None, seed: int = 42) -> DataFrame:
-    """(avg_price, revenue in thousands, Segment) points."""
-    return _maybe_sample(products.select("Description", "avg_price",
-                                         (F.col("total_revenue") / 1000).alias("revenue_k"), "Segment"),
-                         fraction, seed)
+def density(points: DataFrame, x: str, y: str, cells: int = 50) -> DataFrame:
+    """P9 at any size: Segment, cell_x, cell_y, n on a grid of ``cells`` x ``cells`` over the range of all points.
+
+    At most segments x cells^2 rows, counted partially first.  A column of one value lies in cell 0; points without x or y are left out."""
+    own = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select("Segment", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    ends = own.agg(F.struct(*[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]).alias("ends")).scalar()
+    cell = lambda c: F.when(ends[f"hi_{c}"] > ends[f"lo_{c}"], F.least(
+        F.lit(cells - 1), F.floor((F.col(c) - ends[f"lo_{c}"]) * cells / (ends[f"hi_{c}"] - ends[f"lo_{c}"])).cast("int"))).otherwise(0)
+    placed = own.select("Segment", cell("x").alias("cell_x"), cell("y").alias("cell_y"))
+    return placed.groupBy("Segment", "cell_x", "cell_y").agg(F.count(F.lit(1)).alias("n"))
+
+
+def reservoir(points: DataFrame, ident: str, size: int = 100) -> DataFrame:
+    """P9 at any size: a uniform sample of at most ``size`` points a segment, the ones with the least hash of their id: the same
+    on every run, and a sample of two tables' union is the sample of their samples."""
+    drawn = Window.partitionBy("Segment").orderBy(F.md5(F.col(ident).cast("binary")), F.col(ident))
+    return points.withColumn("_draw", F.row_number().over(drawn)).where(F.col("_draw") <= size).drop("_draw")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import clean as C
 from tillroll.operators import features as FE
+from tillroll.operators import sketches as SK
 from tillroll.session import checkpoint_root, materialize
 from tillroll.sources.increments import Increments
 from tillroll.sources.retail import read_extracts, read_transactions, retail_raw
@@ -110,6 +111,15 @@ def q_cleaning_report(spark, sf_dir):
     return C.cleaning_report(retail_raw(spark, sf_dir, dirty=True))
 
 
+@query("distinct_sketches")
+def q_distinct_sketches(spark, sf_dir):
+    """Distinct invoices, products and customers of each year, merged from the months' sketches, beside the exact counts."""
+    columns = ["InvoiceNo", "StockCode", "CustomerID"]
+    raw = retail_raw(spark, sf_dir, dirty=True).select("InvoiceDate", *columns)
+    sketches = materialize(SK.distinct_sketches(raw, F.trunc("InvoiceDate", "month"), columns))
+    return SK.checked_distinct(raw, sketches, F.year("InvoiceDate"), F.year("part"), columns).withColumnRenamed("key", "year")
+
+
 # ----------------------------------------------------------------- features --
 def rfm(spark, sf_dir, dirty: bool = False) -> DataFrame:
     return FE.build_rfm(clean_lines(spark, sf_dir, "rfm", dirty))
@@ -559,6 +569,37 @@ def q_scatter_products(spark, sf_dir):
     return G.scatter_products(products_segmented(spark, sf_dir)[0])
 
 
+@query("density_customers")
+def q_density_customers(spark, sf_dir):
+    """Customers by recency and amount, counted by cell of a plot."""
+    return G.density(customers_segmented(spark, sf_dir)[0], "Recency", "Monetary")
+
+
+@query("density_products")
+def q_density_products(spark, sf_dir):
+    return G.density(products_segmented(spark, sf_dir)[0], "avg_price", "total_revenue")
+
+
+@query("reservoir_customers")
+def q_reservoir_customers(spark, sf_dir):
+    """A hundred points a segment (the sample is the feature)."""
+    return G.reservoir(G.scatter_customers(customers_segmented(spark, sf_dir)[0]), "CustomerID")
+
+
+@query("quantile_sketches")
+def q_quantile_sketches(spark, sf_dir):
+    """Quantiles of all rows from the segments' sketches, held against the rows' ranks."""
+    out = None
+    for kind, (df, _), features in (("customer", customers_segmented(spark, sf_dir), FE.RFM_FEATURES), ("product", products_segmented(spark, sf_dir), FE.PRODUCT_FEATURES)):
+        long = df.select("Segment", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("p"))
+        long = long.select(F.lit(kind).alias("kind"), "Segment", "p.*")
+        out = long if out is None else out.unionByName(long)
+    long = materialize(out)
+    sketches = materialize(SK.quantile_sketches(long, ["kind", "feature", "Segment"]))
+    quantiles = materialize(SK.merged_quantiles(sketches, ["kind", "feature"], [0.25, 0.5, 0.75, 0.99]))
+    return SK.checked_quantiles(long, quantiles, ["kind", "feature"])
+
+
 @query("top_products_per_segment")
 def q_top_products_per_segment(spark, sf_dir):
     return G.top_products_per_segment(products_segmented(spark, sf_dir)[0], 10)

@@ -642,6 +642,29 @@ oracle("boxplot_outliers", with_(*CS, *PS) + _outlier_sql("cust_seg", "customer"
 oracle("scatter_customers", with_(*CS) + "SELECT CustomerID, Recency, Frequency, Monetary, Segment FROM cust_seg")
 oracle("scatter_products", with_(*PS) +
        "SELECT Description, avg_price, total_revenue / 1000 AS revenue_k, Segment FROM prod_seg")
+
+
+def _density_sql(src: str, x: str, y: str, cells: int = 50) -> str:
+    place = lambda c: f"CASE WHEN max({c}) OVER () > min({c}) OVER () THEN least({cells - 1}, CAST(floor(({c} - min({c}) OVER ()) * {cells} / (max({c}) OVER () - min({c}) OVER ())) AS INTEGER)) ELSE 0 END"
+    return f"""
+SELECT Segment, cell_x, cell_y, count(*) AS n FROM (
+  SELECT Segment, {place('x')} AS cell_x, {place('y')} AS cell_y
+  FROM (SELECT Segment, CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL))
+GROUP BY 1, 2, 3"""
+
+
+oracle("density_customers", with_(*CS) + _density_sql("cust_seg", "Recency", "Monetary"))
+oracle("density_products", with_(*PS) + _density_sql("prod_seg", "avg_price", "total_revenue"))
+oracle("reservoir_customers", with_(*CS) + """
+SELECT CustomerID, Recency, Frequency, Monetary, Segment
+FROM (SELECT *, row_number() OVER (PARTITION BY Segment ORDER BY md5(CustomerID), CustomerID) AS draw FROM cust_seg) WHERE draw <= 100""")
+# The sketches' values differ by engine; that they keep their error bounds doesn't.
+oracle("quantile_sketches", with_(*CS, *PS) + "\nUNION ALL".join(
+    f"\nSELECT '{kind}' AS kind, '{f}' AS feature, q, count({f}) AS n, TRUE AS within_error FROM {src}, (SELECT unnest([0.25, 0.5, 0.75, 0.99])::DOUBLE AS q) GROUP BY q"
+    for kind, src, feats in (("customer", "cust_seg", RFM_F), ("product", "prod_seg", PROD_F)) for f in feats))
+oracle("distinct_sketches", with_(raw_cte("raw", dirty=True)) + "\nUNION ALL".join(
+    f"\nSELECT CAST(year(InvoiceDate) AS INTEGER) AS year, '{c}' AS metric, count(DISTINCT {c}) AS exact_count, TRUE AS within_error FROM raw WHERE {c} IS NOT NULL GROUP BY 1"
+    for c in ("InvoiceNo", "StockCode", "CustomerID")))
 oracle("top_products_per_segment", with_(*PS) + """
 SELECT Segment, rank, Description, substring(Description, 1, 40) AS label, total_revenue,
        total_revenue / 1000 AS revenue_k
