@@ -11,7 +11,8 @@ partitioned by gram, is their sum; scores are joined to the parts' lists, and co
 document are looked up and summed.  A frequent gram is one row a part, so no key is hot, and rows grow with the
 number of parts, not with the occurrences.
 
-``word_score`` does the same with words (orders 1 and 2, by 64-bit hash), in Spark's own operators: counts are aggregated on the map side, joined
+``word_score`` does the same with words (orders 1 and 2), in Spark's own operators: each text is split once and written as its words'
+64-bit hashes; counts are aggregated on the map side, joined
 to the exploded grams of the documents, and summed by document.  The grams are dealt by hash to ``WORD_BLOCKS`` blocks, one after the other, so that
 only one block's shuffle files are on disk.
 """
@@ -149,10 +150,9 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: in
 
 def _word_grams(rows: DataFrame) -> DataFrame:
     """rid, a, b, gram of each word: the hashes of the word before (null for a text's first), the word and both."""
-    words = r"transform(filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> ''), w -> xxhash64(w))"
-    # The outer transform binds the hashes to a name, so that the texts are split once.
-    pairs = f"transform(array({words}), h -> transform(h, (w, i) -> named_struct('a', if(i = 0, null, h[i - 1]), 'b', w)))[0]"
-    return rows.select("rid", F.explode(F.expr(pairs)).alias("p")).select("rid", "p.a", "p.b", F.xxhash64("p.a", "p.b").alias("gram"))
+    rows = rows.select("rid", "h", F.posexplode("h").alias("i", "b"))
+    rows = rows.select("rid", F.get("h", F.col("i") - 1).alias("a"), "b")
+    return rows.withColumn("gram", F.xxhash64("a", "b"))
 
 
 def word_score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", backoff: float = BACKOFF, min_count: int = MIN_COUNT,
@@ -163,8 +163,10 @@ def word_score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", back
     and sum 0; repeated rows are counted and scored each; an empty table gives an empty one.
     """
     run = RunFolder(docs.sparkSession, "lm-words")
+    words = r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
     rows = docs.select(col(doc_id).alias("doc_id"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
-    rows = run.write(rows.withColumn("rid", F.monotonically_increasing_id()), "rows")
+    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.expr(f"transform({words}, w -> xxhash64(w))").alias("h"))
+    rows = run.write(rows, "rows")  # the texts are split once; from here on words are their hashes
     grams = _word_grams(rows)
     words = run.write(grams.groupBy(F.col("b").alias("word")).agg(F.count("*").alias("c")), "words")
     size = float(words.agg(F.sum("c")).first()[0] or 1)
