@@ -29,7 +29,7 @@ from .common import RunFolder, col, column_bytes
 
 ORDER, BACKOFF, MIN_COUNT, PART_BYTES = 5, 0.4, 2, 16 << 20
 _STEP = 1 << 21
-WORD_BLOCKS = 3
+WORD_BLOCKS = 4
 
 
 def grams(data: np.ndarray, order: int) -> np.ndarray:
