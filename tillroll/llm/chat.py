@@ -9,7 +9,8 @@ whole turns of limited history before its own; only a window's own assistant tex
 is a target once.
 
 Prefix sums are taken in two steps, inside the parts of a range partitioning and over the parts' totals, so that a
-conversation with a large share of all turns is spread over tasks.
+conversation with a large share of all turns is spread over tasks.  Turns are tokenised once and written with a number; windows are worked
+out from numbers, lengths and tokens alone, and the texts join them at the end.
 """
 from __future__ import annotations
 
@@ -38,24 +39,26 @@ def unescaped(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
-def _turns(convs: DataFrame, ranks: str, pattern: str, conv: str, turn: str, role: str, text: str, run: RunFolder) -> DataFrame:
-    """Turns in order: key columns (nk, kc), part, place, h, tie, role, seg, lead, tokens."""
+def _turns(convs: DataFrame, ranks: str, pattern: str, conv: str, turn: str, role: str, text: str, run: RunFolder) -> tuple[DataFrame, DataFrame]:
+    """Turns in order without their texts (key columns nk and kc, part, place, h, tie, system, target, lead, length, tokens); and tie, seg."""
     kind = convs.schema[conv].dataType
     rows = convs.select(col(conv).isNull().alias("nk"), F.coalesce(col(conv), F.lit(0).cast(kind)).alias("kc"), col(turn).alias("place"),
                         F.coalesce(col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(col(text).cast("string"), F.lit("")).alias("said"))
     head = F.concat(F.lit("<s>[INST]"), escaped(F.col("role")), F.lit("[/INST]"))
     rows = rows.withColumn("head", head).withColumn("seg", F.concat("head", escaped(F.col("said")), F.lit("</s>")))
-    rows = rows.select("nk", "kc", "place", "role", F.length("head").alias("lead"), "seg")
+    rows = rows.select("nk", "kc", "place", F.xxhash64("role", "seg").alias("h"), (F.col("role") == "system").alias("system"), (F.col("role") == "assistant").alias("target"),
+                       F.length("head").alias("lead"), F.length("seg").alias("length"), "seg")
 
     def make():
         own = codec(ranks, pattern)
         return lambda part: {"tokens": pa.array([len(x) for x in own.encode_all(part)], pa.int64())}
 
     counted = per_text(rows, make, "tokens long", "seg").select("row.*", "tokens")
-    tied = counted.withColumn("h", F.xxhash64("role", "seg")).withColumn("tie", F.monotonically_increasing_id())
+    # Written before the range partitioning, which reads its input twice.
+    counted = run.write(counted.withColumn("tie", F.monotonically_increasing_id()), "counted")
     order = ["nk", "kc", "place", "h", "tie"]
-    dealt = tied.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    return run.write(dealt, "turns")
+    dealt = counted.drop("seg").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    return run.write(dealt, "turns"), counted.select("tie", "seg")
 
 
 def format_windows(convs: DataFrame, ranks: str, pattern: str, budget: int = BUDGET, history: int = HISTORY, conv: str = "conv_id",
@@ -70,17 +73,18 @@ def format_windows(convs: DataFrame, ranks: str, pattern: str, budget: int = BUD
     if history > budget // 2 or budget < 2:
         raise ValueError("history is limited to half the budget")
     run, key, grid = RunFolder(convs.sparkSession, "chat"), ["nk", "kc"], budget // 2
-    turns = _turns(convs, ranks, pattern, conv, turn, role, text, run)
+    turns, texts = _turns(convs, ranks, pattern, conv, turn, role, text, run)
     # Prefix sums: inside a part, then over the few parts that a conversation reaches over.
     over = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = turns.groupBy(*key, "part").agg(F.sum("tokens").alias("sum_tokens"), F.count("*").alias("n"))
     parts = parts.select(*key, "part", F.coalesce(F.sum("sum_tokens").over(over), F.lit(0)).alias("tokens_before"), F.coalesce(F.sum("n").over(over), F.lit(0)).alias("n_before"))
     inside = Window.partitionBy(*key, "part").orderBy("place", "h", "tie")
     turns = turns.withColumn("i", F.row_number().over(inside)).withColumn("p", F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens"))
-    turns = turns.join(parts, [*key, "part"]).select(*key, "role", "lead", "seg", "tokens", (F.col("i") + F.col("n_before")).alias("i"), (F.col("p") + F.col("tokens_before")).alias("p"))
-    system = (F.col("i") == 1) & (F.col("role") == "system")
-    turns = run.write(turns.withColumn("is_system", system), "placed")
-    systems = turns.where("is_system").select(*key, F.col("seg").alias("sys_seg"), F.col("lead").alias("sys_lead"), F.col("tokens").alias("sys_tokens"))
+    turns = turns.join(parts, [*key, "part"]).select(*key, "tie", "system", "target", "lead", "length", "tokens", (F.col("i") + F.col("n_before")).alias("i"), (F.col("p") + F.col("tokens_before")).alias("p"))
+    turns = run.write(turns.withColumn("is_system", F.col("system") & (F.col("i") == 1)), "placed")
+    run.drop("turns")
+    systems = turns.where("is_system").join(texts, "tie").select(*key, F.col("seg").alias("sys_seg"), F.col("length").alias("sys_length"), F.col("tokens").alias("sys_tokens"))
+    systems = run.write(systems, "systems")
 
     cell = turns.where("not is_system").withColumn("cell", F.floor(F.col("p") / grid))
     cell = cell.withColumn("start", F.min("p").over(Window.partitionBy(*key, "cell"))).join(systems.select(*key, "sys_tokens"), key, "left")
@@ -93,26 +97,30 @@ def format_windows(convs: DataFrame, ranks: str, pattern: str, budget: int = BUD
     windows = windows.select(*key, "window", back.alias("back"))
     look = windows.where("back > 0 and window > 0").withColumn("from", F.col("window") - F.col("back"))
     look = look.withColumn("cell", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col("from")) / grid), F.floor((F.col("window") - 1) / grid))))
-    repeated = look.join(own.select(*key, "cell", "p", "role", "lead", "seg", "tokens"), [*key, "cell"]).where(F.col("p").between(F.col("from"), F.col("window") - 1))
+    repeated = look.join(own.select(*key, "cell", "p", "tie", "target", "lead", "length", "tokens"), [*key, "cell"]).where(F.col("p").between(F.col("from"), F.col("window") - 1))
 
     # The system turn: new in the first window (or alone in a conversation of its own), repeated in the others.
     first = windows.groupBy(*key).agg(F.min("window").alias("first"))
-    heads = systems.join(first, key, "left").select(*key, "sys_seg", "sys_lead", "sys_tokens", F.coalesce("first", F.lit(0)).alias("first"))
-    lone = heads.select(*key, F.col("first").alias("window"), F.lit(-1).cast("long").alias("p"), F.lit(True).alias("new"), F.lit("system").alias("role"),
-                        F.col("sys_lead").alias("lead"), F.col("sys_seg").alias("seg"), F.col("sys_tokens").alias("tokens"))
-    kept = windows.join(heads, key).where(F.col("window") > F.col("first")).select(
-        *key, "window", F.lit(-1).cast("long").alias("p"), F.lit(False).alias("new"), F.lit("system").alias("role"),
-        F.col("sys_lead").alias("lead"), F.col("sys_seg").alias("seg"), F.col("sys_tokens").alias("tokens"))
-    shape = lambda df, new: df.select(*key, "window", "p", F.lit(new).alias("new"), "role", "lead", "seg", "tokens")
-    rows = shape(own, True).unionByName(shape(repeated, False)).unionByName(lone).unionByName(kept)
-
-    turn_of = F.struct("p", "new", "tokens", F.length("seg").alias("length"), F.when(F.col("new") & (F.col("role") == "assistant"), F.col("lead")).alias("from"), "seg")
+    heads = systems.join(first, key, "left").select(*key, "sys_seg", "sys_length", "sys_tokens", F.coalesce("first", F.lit(0)).alias("first"))
+    placed = lambda df, window, new: df.select(
+        *key, window.alias("window"), F.lit(-1).cast("long").alias("p"), F.lit(new).alias("new"), F.col("sys_tokens").alias("tokens"), F.col("sys_length").alias("length"),
+        F.lit(None).cast("int").alias("from"), F.col("sys_seg").alias("seg"))
+    lone = placed(heads, F.col("first"), True)
+    kept = placed(windows.join(heads, key).where(F.col("window") > F.col("first")), F.col("window"), False)
+    shape = lambda df, new: df.select(*key, "window", "p", F.lit(new).alias("new"), "tokens", "length", F.when(F.lit(new) & F.col("target"), F.col("lead")).alias("from"), "tie")
+    said = shape(own, True).unionByName(shape(repeated, False)).join(texts, "tie").drop("tie")
+    rows = said.unionByName(lone).unionByName(kept)
+
+    turn_of = F.struct("p", "new", "tokens", "length", "from", "seg")
     made = rows.groupBy(*key, "window").agg(F.sort_array(F.collect_list(turn_of)).alias("t"))  # a window's turns: a budget's worth
     spans = F.expr("""aggregate(t, named_struct('at', 0, 'out', cast(array() as array<struct<start:int,stop:int>>)),
         (a, x) -> named_struct('at', a.at + x.length, 'out', if(x.`from` is null, a.out, concat(a.out, array(named_struct('start', a.at + x.`from`, 'stop', a.at + x.length - 4))))), a -> a.out)""")
     made = made.select(F.when(~F.col("nk"), F.col("kc")).alias("conv_id"), "window", F.expr("aggregate(t, 0L, (a, x) -> a + x.tokens)").alias("n_tokens"),
                        F.size(F.filter("t", lambda x: ~x["new"])).alias("n_repeated"), F.array_join(F.transform("t", lambda x: x["seg"]), "").alias("text"), spans.alias("loss"))
-    return run.write(made, "formatted")
+    made = run.write(made, "formatted")
+    for name in ("counted", "placed", "systems", "own"):
+        run.drop(name)
+    return made
 
 
 def read_turns(text: str) -> list[tuple[str, str]]:
