@@ -166,3 +166,40 @@ def test_store_follows_every_parameter(spark, monkeypatch):
     cap = C.FE.build_product_features
     monkeypatch.setattr(C.FE, "build_product_features", lambda clean, revenue_quantile=0.95, min_transactions=10: cap(clean, revenue_quantile, min_transactions))
     assert C._store(spark, SF0001).path != before
+
+
+def _lloyd_by_pyspark(vectors, k, seed, max_iter, tol):
+    from pyspark.ml.clustering import KMeans
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="features", predictionCol="Cluster").fit(vectors)
+    return [[float(v) for v in c] for c in model.clusterCenters()], model.summary.trainingCost
+
+
+def test_fits_side_by_side_are_those_of_pyspark_and_share_their_passes(spark, monkeypatch):
+    r, f = C.rfm(spark, SF0001), ["Recency", "Frequency", "Monetary"]
+    vectors, columns = K._scaled_vectors(K._vector_pipeline(r, f), r, f)
+    specs, passes, step = [(k, s) for k in (2, 3, 5) for s in (42, 43)], [], K._step
+    monkeypatch.setattr(K, "_step", lambda points, zcols, centres, whole=True: passes.append(len(centres)) or step(points, zcols, centres, whole))
+    got = K._fit_restarts(vectors, columns, specs, 30, 1e-4, 4)
+    for k, s in specs:
+        centres, cost = _lloyd_by_pyspark(vectors, k, s, 30, 1e-4)
+        assert abs(got[k, s][1] - cost) <= 1e-9 * cost
+        assert len(centres) == len(got[k, s][0]) and all(abs(a - b) < 1e-9 for x, y in zip(centres, got[k, s][0]) for a, b in zip(x, y))
+    vectors.unpersist()
+    assert passes[0] == len(specs) and len(passes) <= 30              # one pass for all fits, not one each
+
+
+@pytest.mark.parametrize("size", [1000, 2 ** 27])                      # the greater ones are beyond exact doubles
+def test_a_pass_is_exact_in_integers(spark, size):
+    import random
+    rng = random.Random(5)
+    rows = [(rng.randint(-size, size), rng.randint(-size, size)) for _ in range(500)] + [(7, 7)] * 3
+    centres = {0: [[7, 7], [7, 7], [size, 0]], 3: [list(rows[0])]}     # equal centres: the lower one takes the rows
+    got = K._step(spark.createDataFrame(rows, "a bigint, b bigint").repartition(3), ["a", "b"], centres)
+    want = {}
+    for s, own in centres.items():
+        for p in rows:
+            d = [sum((x - y) ** 2 for x, y in zip(p, c)) for c in own]
+            for key, n, cost, sums in (((s, d.index(min(d))), 1, 0, p), ((s, -1), 0, min(d), (0, 0))):
+                a = want.get(key, (0, 0, [0, 0]))
+                want[key] = (a[0] + n, a[1] + cost, [x + y for x, y in zip(a[2], sums)])
+    assert got == want
