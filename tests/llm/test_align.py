@@ -119,5 +119,39 @@ def test_memory_forgets_by_generations():
     assert len(memory.young) + len(memory.old) < 12
 
 
+def test_known_chunks_take_one_look_up_each(monkeypatch):
+    own, text = align.Aligner(A, B, PATTERN), prose(random.Random(8), 500)
+    want = own.align_all([text], False)[0][:5]
+    looked, values = [], align.Recent.values
+    monkeypatch.setattr(align.Recent, "values", lambda self, keys: looked.extend(keys) or values(self, keys))
+    assert own.align_all([text], False)[0][:5] == want
+    assert looked == align.CHUNK.findall(" " + text)
+
+
+def test_new_chunks_are_encoded_together(monkeypatch):
+    """A few encoder calls for many new words; chunks that can't be joined, or whose bytes differ, are found among them."""
+    rng, calls = random.Random(9), []
+    own = align.Aligner(A, B, PATTERN)
+
+    class Counting:
+        def __init__(self, whole):
+            self.whole = whole
+
+        def encode(self, x, **more):
+            calls.extend([x] if isinstance(x, str) else x)
+            return self.whole.encode(x, **more)
+
+    own.b = Counting(own.b)
+    text = prose(rng, 3000)
+    assert own.align_all([text], False)[0][:5] == (*(w := brute_one(text))[:2], len(w[2]), len(w[3]), ";".join(w[2])) and len(calls) <= 4
+    for together in (1, 3, 2048):
+        monkeypatch.setattr(align, "TOGETHER", together)
+        own, texts = align.Aligner(A, B, PATTERN), [prose(rng, 30), *CASES, prose(rng, 30)]
+        for got, t in zip(own.align_all(texts, False), texts):
+            na, nb, groups, links = brute_one(t)
+            assert got[:5] == (na, nb, len(groups), len(links), ";".join(groups))
+            assert Counter(dict(zip(got[5].tolist(), got[6].tolist()))) == Counter(b << 32 | a for a, b in links)
+
+
 def test_empty_table(spark):
     assert align.align(documents(spark, []), A, B, PATTERN).count() == 0

@@ -4,9 +4,8 @@ Both tokenizers encode a blank and the text; B, a sentencepiece model, adds the
 (space or line feed) after a non-blank: the split pattern of A never reaches over such a place, and no piece of B holds a blank after a
 non-blank (``Aligner`` checks this), so a text's ids are its chunks' ids, and a chunk that was seen lately is not encoded again.
 
-From then on only ids count.  Ends that both sides share, found by byte lengths, are anchors where the next token of
-either side begins with a space; they cut a document into windows of token ids.  How a window's tokens overlap depends on its ids alone, so it
-is worked out once for each tuple of ids that was not seen lately.
+Both sides' tokens end where a chunk ends, so that a text's groups and links are its chunks' groups and links too: what a chunk gives, from its ids to
+the text of its groups, is worked out once for each chunk that was not seen lately, in bulk, and a text takes one look-up a chunk.
 
 How often an id pair is linked in the corpus is summed by Spark from each document's distinct pairs.  The
 counts go back to the documents in shards of at most ``SHARD`` pairs: the number of pairs is bounded by the two vocabularies and not by the corpus,
@@ -18,8 +17,10 @@ import hashlib
 import os
 import re
 from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import compress, islice, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,14 @@ from .bpe import latin_split
 from .chunks import BLANK, byte_chars
 from .common import RunFolder, packed, slices, texts
 
-#: Pairs of a shard; entries of a memory; chunks that are handled at a time.
-SHARD, REMEMBER, PART = 1 << 21, 1 << 17, 200_000
+#: Pairs of a shard; entries of a memory; chunks that are handled at a time; chunks that are encoded as one text.
+SHARD, REMEMBER, PART, TOGETHER = 1 << 21, 1 << 17, 200_000, 2048
 _OTHER = BLANK.replace(r"\t-\r ", r"\t\x0b-\r")
 CHUNK = re.compile(rf"[ \n][{BLANK}]*[^{BLANK}]+(?:[{_OTHER}][{BLANK}]*[^{BLANK}]+)*(?:[{_OTHER}][{BLANK}]*\Z)?|[ \n][{BLANK}]*\Z")
 
+#: What is remembered of a chunk.
+_GROUPS, _LINKS, _N_A, _N_B = map(itemgetter, range(4))
+
 
 def _is_latin(text: str) -> bool:
     try:
@@ -44,6 +48,9 @@ def _is_latin(text: str) -> bool:
     return True
 
 
+_ABSENT = object()
+
+
 class Recent:
     """Values of keys, made in bulk; of two generations the older one is forgotten when the younger is full."""
 
@@ -52,13 +59,15 @@ class Recent:
 
     def values(self, keys: list) -> list:
         young = self.young
-        missing = [x for x in set(keys) if x not in young]
-        if missing:
-            old = self.old
+        out = list(map(young.get, keys, repeat(_ABSENT)))
+        places = [k for k, x in enumerate(out) if x is _ABSENT]
+        if places:
+            missing, old = {keys[k] for k in places}, self.old
             young.update((x, old[x]) for x in missing if x in old)
             new = [x for x in missing if x not in old]
             young.update(zip(new, self.make_all(new)))
-        out = list(map(young.__getitem__, keys))
+            for k in places:
+                out[k] = young[keys[k]]
         if len(young) > self.limit:
             self.old, self.young = young, {}
         return out
@@ -90,42 +99,76 @@ class Aligner:
         self.lengths = tuple(np.array([len(x) for x in side], np.int64) for side in self.bytes)
         names = [str(k).encode() + end for side, last in zip(self.bytes, (b"|", b";")) for k in range(len(side)) for end in (b",", last)]
         self.names, self.name_lengths, self.starts = names, np.array([len(x) for x in names]), (0, 2 * len(a_bytes))
-        self.spaced = tuple(np.array([x[:1] == b" " for x in side]) for side in self.bytes)
         self.blank = self.b.piece_to_id("▁")
         self.split, self.translate = latin_split(pattern), dict(enumerate(self.chars))
-        self.pieces, self.chunks, self.windows = Recent(self._pieces), Recent(self._chunks), Recent(self._windows)
+        self.pieces, self.chunks = Recent(self._pieces), Recent(self._chunks, 2 * REMEMBER)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         tokenize, translate = self.a.model.tokenize, self.translate
         return [array("i", [t.id for t in tokenize(x.encode().decode("latin-1").translate(translate))]).tobytes() for x in pieces]
 
-    def _chunks(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Ids of both sides; None where the joined bytes aren't the chunk's."""
-        findall = self.split.findall
-        cut = [findall(x) if x.isascii() or _is_latin(x) else None for x in chunks]
-        flat = [p for own in cut if own for p in own]
-        known = dict(zip(flat, self.pieces.values(flat)))
-        others = iter(self.a.encode_batch([x for x, own in zip(chunks, cut) if own is None], add_special_tokens=False))
-        left = [known[own[0]] if own and len(own) == 1 else b"".join([known[p] for p in own]) if own is not None else array("i", next(others).ids).tobytes() for own in cut]
+    def _chunks(self, chunks: list[str]) -> list[tuple]:
+        """Groups as text, links, and both sides' numbers of tokens; an empty tuple where the joined bytes aren't the chunk's."""
+        out, latin = [()] * len(chunks), [x.isascii() or _is_latin(x) for x in chunks]
+        for kind in (True, False):
+            places = [k for k, x in enumerate(latin) if x is kind]
+            for at in range(0, len(places), TOGETHER):
+                some = places[at:at + TOGETHER]
+                own = [chunks[k] for k in some]
+                good, ids, sizes = self._together(own, kind) or self._apart(own, kind)
+                for k, x in zip(compress(some, good), self._aligned(ids, sizes)):
+                    out[k] = x
+        return out
+
+    def _ids_a(self, texts: list[str], latin: bool) -> list[bytes]:
+        if not latin:
+            return [array("i", x.ids).tobytes() for x in self.a.encode_batch(texts, add_special_tokens=False)]
+        cut = [self.split.findall(x) for x in texts]
+        found = iter(self.pieces.values([p for own in cut for p in own]))
+        return [b"".join(islice(found, len(own))) for own in cut]
+
+    def _together(self, chunks: list[str], latin: bool) -> tuple | None:
+        """Which chunks are good (all), the ids of both sides and how many each chunk has, encoded as one text whose chunks they are.
+
+        None where they aren't that text's chunks (one ends with a blank), or its joined bytes differ."""
+        own = [" a", *chunks]  # a text begins with a blank, a chunk maybe with a line feed
+        if CHUNK.findall(whole := "".join(own)) != own:
+            return None
+        raw = self._ids_a([whole], latin)[0], array("i", self.b.encode(whole[1:])).tobytes()
+        if not self._joined([raw]) == (text := whole.encode(), text):
+            return None
+        upto = np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in own])
+        ids, sizes = [], []
+        for x, length in zip(raw, self.lengths):
+            x = np.frombuffer(x, np.int32)
+            ends = np.cumsum(length[x])
+            cuts = np.searchsorted(ends, upto)
+            if (ends[cuts] != upto).any():
+                return None
+            ids.append(x[cuts[0] + 1:])
+            sizes.append(np.diff(cuts))
+        return repeat(True), ids, sizes
+
+    def _apart(self, chunks: list[str], latin: bool) -> tuple:
+        """The same, encoded one by one; bad chunks are left out of the ids and sizes."""
+        left = self._ids_a(chunks, latin)
         right = self.b.encode([x[1:] if x[0] == " " else x for x in chunks], num_threads=1)
         right = [(ids or [self.blank]) if x[0] == " " else ids[1:] if ids[0] == self.blank else [] for x, ids in zip(chunks, right)]
-        out = list(zip(left, [array("i", ids).tobytes() for ids in right]))
-        raw = [x.encode() for x in chunks]
-        if not self._joined(out) == (whole := b"".join(raw), whole):  # else some chunk of these differs
-            out = [x if self._joined([x]) == (r, r) else None for x, r in zip(out, raw)]
-        return out
+        found = list(zip(left, [array("i", ids).tobytes() for ids in right]))
+        good = [self._joined([x]) == (r := c.encode(), r) for x, c in zip(found, chunks)]
+        found = list(compress(found, good))
+        return good, [np.frombuffer(b"".join([x[k] for x in found]), np.int32) for k in (0, 1)], [np.array([len(x[k]) // 4 for x in found], np.int64) for k in (0, 1)]
 
     def _joined(self, sides: list[tuple[bytes, bytes]]) -> tuple[bytes, ...]:
         """The bytes of both sides' tokens."""
         return tuple(b"".join(map(table.__getitem__, memoryview(b"".join([x[k] for x in sides])).cast("i"))) for k, table in enumerate(self.bytes))
 
-    def _windows(self, windows: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
-        """Groups as text and links as pairs (B id in the upper half) of each tuple of ids, of all of them at once.
+    def _aligned(self, ids: list[np.ndarray], sizes: list[np.ndarray]) -> list[tuple[bytes, bytes, int, int]]:
+        """Groups as text, links as pairs (B id in the upper half) and both sides' numbers of tokens of each chunk, of all of them at once.
 
         Between two neighbouring ends, of either side, lies one A-B pair of overlapping tokens, and each pair once."""
-        if not windows:
+        if not len(sizes[0]):
             return []
-        ids = [np.frombuffer(b"".join([x[k] for x in windows]), np.int32) for k in (0, 1)]
         ends = [np.cumsum(length[x]) for length, x in zip(self.lengths, ids)]
         marks = np.zeros((2, ends[0][-1] + 1), bool)
         for mark, x in zip(marks, ends):
@@ -137,67 +180,37 @@ class Aligner:
         order = np.argsort(np.concatenate([np.searchsorted(shared, x) * 2 + k for k, x in enumerate(ends)]), kind="stable")
         codes = np.concatenate([start + 2 * x + mark[end] for start, x, mark, end in zip(self.starts, ids, marks[::-1], ends)])[order]
         text = b"".join(map(self.names.__getitem__, codes.tolist()))
-        sizes = np.cumsum(np.array([[len(x) // 4, len(y) // 4] for x, y in windows]), axis=0)
-        text_cuts = np.r_[0, np.cumsum(self.name_lengths[codes])[sizes.sum(axis=1) - 1]].tolist()
-        link_cuts = np.r_[0, (np.searchsorted(each, ends[0][sizes[:, 0] - 1]) + 1) * 8].tolist()
-        return [(text[p:q - 1], links[r:s]) for p, q, r, s in zip(text_cuts, text_cuts[1:], link_cuts, link_cuts[1:])]
-
-    def _anchored(self, found: list[tuple[bytes, bytes]], counts: list[int]) -> list[tuple[int, int, list[tuple[bytes, bytes]]]]:
-        """Numbers of tokens, and the aligned windows, of runs of chunks; ``counts``: how many chunks each run has, one at least."""
-        raw = b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
-        ids = [np.frombuffer(x, np.int32) for x in raw]
-        ends = [np.cumsum(length[x]) for length, x in zip(self.lengths, ids)]
-        first = np.r_[0, np.cumsum(counts)[:-1]]
-        sizes = [np.add.reduceat(np.array([len(x[k]) // 4 for x in found]), first) for k in (0, 1)]
-        mark = np.zeros(ends[0][-1] + 1, bool)
-        mark[ends[0]] = True
-        at_b = np.flatnonzero(mark[ends[1]])
-        at_a = np.searchsorted(ends[0], ends[1][at_b])
-        last = len(at_a) - 1  # where both sides end
-        anchor = self.spaced[0][ids[0][at_a[:last] + 1]] & self.spaced[1][ids[1][at_b[:last] + 1]]
-        runs = np.cumsum(sizes[0])
-        anchor |= np.isin(at_a[:last] + 1, runs[:-1], kind="sort")
-        cuts = [np.r_[0, x[:last][anchor] + 1, x[last] + 1] for x in (at_a, at_b)]
-        of_run = np.searchsorted(cuts[0], np.r_[0, runs]).tolist()
-        a, b = ((x * 4).tolist() for x in cuts)
-        keys = [(raw[0][p:q], raw[1][r:s]) for p, q, r, s in zip(a, a[1:], b, b[1:])]
-        windows = self.windows.values(keys)
-        return [(n_a, n_b, windows[p:q]) for n_a, n_b, p, q in zip(*(x.tolist() for x in sizes), of_run, of_run[1:])]
+        upto = [np.cumsum(x) for x in sizes]
+        text_cuts = np.r_[0, np.cumsum(self.name_lengths[codes])[upto[0] + upto[1] - 1]].tolist()
+        link_cuts = np.r_[0, (np.searchsorted(each, ends[0][upto[0] - 1]) + 1) * 8].tolist()
+        return [(text[p:q - 1], links[r:s], *n) for p, q, r, s, *n in zip(text_cuts, text_cuts[1:], link_cuts, link_cuts[1:], *(x.tolist() for x in sizes))]
 
     def align_all(self, texts: list[str], digest: bool) -> list[tuple]:
         """n_a, n_b, n_groups, n_links, groups, pairs and how often each is linked, of each whole text."""
-        out: list = [self._long(x, digest) if len(x) >= PART else None for x in texts]
-        short = [k for k, x in enumerate(texts) if out[k] is None and x]
-        cut = [CHUNK.findall(" " + texts[k]) for k in short]
+        cut = [CHUNK.findall(" " + x) if x and len(x) < PART else [] for x in texts]
         found = iter(self.chunks.values([x for own in cut for x in own]))
-        found = [list(islice(found, len(own))) for own in cut]
-        good = [(k, x) for k, x in zip(short, found) if None not in x]
-        if good:
-            got = self._anchored([y for _, x in good for y in x], [len(x) for _, x in good])
-            for (k, _), one in zip(good, got):
-                out[k] = self._summed([one], digest)
-        return [x or self._summed([], digest) for x in out]
-
-    def _long(self, text: str, digest: bool) -> tuple:
-        """One text, in parts."""
-        parts, found = [], CHUNK.finditer(" " + text)
+        parts = [[list(islice(found, len(own)))] if own else [] for own in cut]
+        return [self._summed(own if len(x) < PART else self._long(x), digest) for x, own in zip(texts, parts)]
+
+    def _long(self, text: str) -> Iterator[list[tuple]]:
+        """What the chunks of one text give, in parts."""
+        found = CHUNK.finditer(" " + text)
         while some := [m[0] for m in islice(found, PART)]:
-            ids = self.chunks.values(some)
-            if None in ids:
-                return self._summed([], digest)
-            parts += self._anchored(ids, [len(ids)])
-        return self._summed(parts, digest)
+            yield self.chunks.values(some)
 
-    def _summed(self, parts: list[tuple[int, int, list[tuple[bytes, bytes]]]], digest: bool) -> tuple:
-        sha, kept, n_groups, links = hashlib.sha256(), [], 0, [np.zeros(0, np.int64)]
-        for k, (_, _, windows) in enumerate(parts):
-            groups = b";".join([x[0] for x in windows])
+    def _summed(self, parts: Iterable[list[tuple]], digest: bool) -> tuple:
+        sha, kept, links, n_a, n_b, n_groups = hashlib.sha256(), [], [], 0, 0, 0
+        for k, own in enumerate(parts):
+            if not all(own):
+                return self._summed([], digest)
+            groups = b";".join(map(_GROUPS, own))
             n_groups += groups.count(b"|")
+            n_a, n_b = n_a + sum(map(_N_A, own)), n_b + sum(map(_N_B, own))
             sha.update(b";" * (k > 0) + groups) if digest else kept.append(groups)
-            links.append(np.frombuffer(b"".join([x[1] for x in windows]), np.int64))
-        pairs, times = np.unique(np.concatenate(links), return_counts=True)
-        groups = (sha.hexdigest() if parts else "") if digest else b";".join(kept).decode()
-        return sum(x[0] for x in parts), sum(x[1] for x in parts), n_groups, int(times.sum()), groups, pairs, times
+            links.append(b"".join(map(_LINKS, own)))
+        pairs, times = np.unique(np.frombuffer(b"".join(links), np.int64), return_counts=True)
+        groups = (sha.hexdigest() if links else "") if digest else b";".join(kept).decode()
+        return n_a, n_b, n_groups, int(times.sum()), groups, pairs, times
 
 
 @lru_cache(maxsize=2)
