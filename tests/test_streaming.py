@@ -1,3 +1,5 @@
+import re
+
 from tillroll.streaming import kpis as ST
 from conftest import SF0001
 
@@ -40,3 +42,26 @@ def test_late_and_out_of_order_batches(spark, tmp_path):
         assert all(r.b == r.ts for r in back)
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_segments_are_spread_by_their_files_and_orders_pass_unsorted(spark, tmp_path, monkeypatch):
+    """A task of the join holds a bounded part of the segments, however many there are, and none of the orders."""
+    import datetime as dt
+
+    from tillroll.functions import dims
+    actions = dims.segment_dim(spark, "customer")
+    segment = actions.first()["Segment"]
+    at = str(tmp_path / "segments")
+    spark.createDataFrame([(str(i), segment if i % 2 else None) for i in range(50)], "CustomerID string, Segment string").write.parquet(at)
+    at_hour = dt.datetime(2020, 1, 1)
+    rows = [(i, c, 1.0, at_hour) for i, c in enumerate(["7"] * 40 + ["8", None, "999"])]
+    orders = spark.createDataFrame(rows, "order_id long, customer_id string, amount double, ts timestamp")
+    monkeypatch.setattr(ST, "SEGMENT_BYTES", 16, raising=False)
+    out = ST.enrich_orders(orders, spark.read.parquet(at), actions)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = {int(n) for n in re.findall(r"hashpartitioning\(customer_id\S+, _salt\S+, (\d+)\)", plan)}
+    assert len(spread) == 1 and spread.pop() > tasks
+    got = {r.order_id: (r.customer_id, r.customer_segment, bool(r.marketing_action)) for r in out.collect()}
+    assert got == {i: (c, segment if c == "7" else "Unknown", c == "7") for i, c, *_ in rows}
