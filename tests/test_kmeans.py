@@ -1,4 +1,6 @@
 """Invariants of the deterministic K-Means and labelling."""
+import re
+
 import pytest
 
 from tillroll.operators import kmeans as K
@@ -203,3 +205,14 @@ def test_a_pass_is_exact_in_integers(spark, size):
                 a = want.get(key, (0, 0, [0, 0]))
                 want[key] = (a[0] + n, a[1] + cost, [x + y for x, y in zip(a[2], sums)])
     assert got == want
+
+
+def test_drawing_the_starts_sorts_no_rows(spark, monkeypatch):
+    """A task keeps the least row of each start, not all rows of all starts."""
+    points = spark.createDataFrame([(f"p{i}" if i % 5 else None, i % 7, i % 3) for i in range(60)], "id string, x_milli long, y_milli long")
+    plans, kind = [], type(points)
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or collect(self))
+    centres = K.initial_centres(points, "id", ["x_milli", "y_milli"], 4, 3)
+    assert len(plans) == 4 and not any(re.search(r"\bSort \[|Generate", p) for p in plans)
+    assert sorted(centres) == [0, 1, 2] and all(len({tuple(c) for c in own}) == 4 for own in centres.values())
