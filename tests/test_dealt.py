@@ -57,3 +57,18 @@ def test_tasks_follow_the_files_and_a_hot_owner_is_split(spark, tmp_path, monkey
     assert out.rdd.getNumPartitions() >= 50
     used = out.select(F.spark_partition_id().alias("p"), "_part").distinct().collect()
     assert len({r["p"] for r in used}) > 2 and len(used) == DEAL_PARTS
+
+
+def test_lines_and_orders_are_joined_over_tasks_by_their_files(spark, monkeypatch):
+    from conftest import SF0001
+    from tillroll import session
+    from tillroll.sources.retail import retail_raw
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    before, small = retail_raw(spark, SF0001), plan(retail_raw(spark, SF0001))
+    assert "REPARTITION_BY_NUM" not in small
+    monkeypatch.setattr(session, "DEAL_BYTES", 1 << 10)
+    many = retail_raw(spark, SF0001)
+    tasks = session.tasks_for(sum(input_bytes(spark.read.parquet(f"{SF0001}/{t}.parquet")) for t in ("lineitem", "orders")))
+    assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "hashpartitioning(l_orderkey" in plan(many) and f", {tasks})" in plan(many)
+    assert sorted(map(repr, many.collect())) == sorted(map(repr, before.collect()))
